@@ -217,3 +217,14 @@ def repo_type(files: DataFrame, key: str = "repo", path: str = "path", text: str
     kind = F.when(F.col("has_anchor") & (F.col("has_declare") | F.col("has_crate")), "AnchorProgram").when(
         F.col("has_declare") | F.col("has_entry"), "NativeSolanaProgram").otherwise("RustInfrastructure")
     return agg.select(key, kind.alias("repo_type"), *flags)
+
+
+def file_ratios(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Ratio features per file, for files with at least one function."""
+    n = lambda p: F.size(_positions(F.col("_lines"), p))
+    c = files.select(*keep, lines_of(F.col(text)).alias("_lines")).select(
+        *keep, n(r"^\s*pub \w+: ").alias("accounts"), n(L.FUNCTION_START).alias("fns"), n("require|assert").alias("checks"),
+        n(r"borrow_mut|\.balance = ").alias("mutations"), n(r"Signer<|is_signer").alias("signers")).where("fns > 0")
+    return c.select(*keep, (F.col("accounts") / F.col("fns")).alias("account_to_instruction_ratio"),
+                    (F.col("checks") / F.greatest("mutations", F.lit(1))).alias("check_to_mutation_ratio"),
+                    (F.col("signers") / F.col("fns")).alias("signer_check_frequency"))

@@ -7,21 +7,13 @@ from pyspark.sql import functions as F
 from auditloom.functions import text as T
 from auditloom.operators import scan, source as S
 from auditloom.queries import views as V
+from auditloom.queries.base import Area
 from auditloom.queries.views import CODE_SQL, LINES_SQL, with_sql
 from auditloom.rules import contract, lines as L
 from auditloom.rules.formula import Has, Rule, all_of, any_of, none_of, quote
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLE[name] = oracle
-        return fn
-    return add
+area = Area()
+QUERIES, ORACLE, query = area.queries, area.oracle, area.query
 
 
 KEEP = ["doc_id"]
