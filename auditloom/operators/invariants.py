@@ -26,3 +26,78 @@ def mine_invariants(files: DataFrame, text: str, keep: list[str], min_confidence
     kept = kept.withColumnRenamed("rule_confidence", "confidence")
     violated = hits.where("note <> ''").withColumnRenamed("note", "counterexample")
     return kept, violated
+
+
+def monotonic(df: DataFrame, keys: list[str], ts: list[str], bucket: Column, cols: list[str], holds) -> DataFrame:
+    """Compare each state with the previous one of its key; ``holds(now, before)`` on dicts of columns.
+
+    The first state of a key has nothing to compare with and passes.
+    """
+    prev = previous(df, keys, ts, bucket, {c: f"_prev_{c}" for c in cols})
+    now, before = {c: F.col(c) for c in cols}, {c: F.col(f"_prev_{c}") for c in cols}
+    ok = F.when(before[cols[0]].isNull(), True).otherwise(holds(now, before))
+    return prev.withColumn("ok", ok).drop(*[f"_prev_{c}" for c in cols])
+
+
+def wide(c: Column) -> Column:
+    return c.cast("decimal(19,0)")
+
+
+def int_div(x: Column, y: Column) -> Column:
+    """Exact floor of x / y for non-negative decimals (a plain quotient would be rounded)."""
+    return (x - F.pmod(x, y)) / y
+
+
+def check_pool(df: DataFrame, keys: list[str], ts: list[str], bucket: Column, tolerance: int = 1000) -> DataFrame:
+    """Pool states: product close to ``expected_k``, not falling, and the shares that ``deposit_x`` and
+    ``deposit_y`` earn of ``total_lp`` equal within 1.
+
+    Reserves are 64-bit; their products are exact in decimal(38,0).
+    """
+    k = wide(F.col("reserve_x")) * wide(F.col("reserve_y"))
+    at = df.withColumn("k", k)
+    out = monotonic(at, keys, ts, bucket, ["k"], lambda n, b: n["k"] >= b["k"]).withColumnRenamed("ok", "k_not_falling")
+    within = F.abs(F.col("k") - F.col("expected_k")) <= tolerance
+    lp = lambda side: int_div((wide(F.col(f"deposit_{side}")) * wide(F.col("total_lp"))).cast("decimal(38,0)"), wide(F.col(f"reserve_{side}")))
+    return out.withColumn("k_within", within).withColumn("share_proportional", F.abs(lp("x") - lp("y")) <= 1)
+
+
+def check_lending(df: DataFrame, min_ratio_bps: int = 10_000) -> DataFrame:
+    """Solvency, collateral ratio and health of lending pools; no borrows passes."""
+    b, c = wide(F.col("total_borrows")), wide(F.col("total_collateral"))
+    none = F.col("total_borrows") == 0
+    safe = F.when(none, F.lit(1).cast("decimal(19,0)")).otherwise(b)
+    ratio = int_div((c * 10_000).cast("decimal(38,0)"), safe)
+    health = int_div((c * F.col("liquidation_threshold_bps").cast("decimal(10,0)")).cast("decimal(38,0)"), (safe * 100).cast("decimal(38,0)"))
+    return (df.withColumn("solvent", F.col("total_deposits") >= F.col("total_borrows"))
+            .withColumn("collateral_ok", none | (ratio >= min_ratio_bps)).withColumn("healthy", none | (health >= 100)))
+
+
+def check_vault(df: DataFrame, keys: list[str], ts: list[str], bucket: Column) -> DataFrame:
+    """Vault states: share price not falling (cross-multiplied), deposits mint shares, dead shares exist."""
+    price = lambda n, b: wide(n["total_assets"]) * wide(b["total_shares"]) >= wide(b["total_assets"]) * wide(n["total_shares"])
+    out = monotonic(df, keys, ts, bucket, ["total_assets", "total_shares"], price).withColumnRenamed("ok", "price_not_falling")
+    minted = F.when(F.col("total_assets") > 0, int_div(
+        (wide(F.col("deposit")) * wide(F.col("total_shares"))).cast("decimal(38,0)"), wide(F.col("total_assets")))).otherwise(wide(F.col("deposit")))
+    return out.withColumn("mints", (F.col("deposit") == 0) | (minted > 0)).withColumn("has_dead_shares", F.col("dead_shares") > 0)
+
+
+def check_staking(users: DataFrame, totals: DataFrame) -> DataFrame:
+    """Sum of user stakes equals the total; rewards do not exceed elapsed time x rate."""
+    s = users.groupBy("pool").agg(F.sum("amount").alias("staked"))
+    allowed = F.greatest(F.lit(0), F.col("now") - F.col("last_update")) * F.col("reward_rate")
+    return totals.join(s, "pool", "left").select(
+        "pool", (F.coalesce("staked", F.lit(0)) == F.col("total_staked")).alias("conserved"), (F.col("total_rewards") <= allowed).alias("rewards_bounded"))
+
+
+def check_fees(df: DataFrame) -> DataFrame:
+    """Fee at most amount x basis points / 10000."""
+    return df.withColumn("fee_ok", F.col("fee") * 10_000 <= F.col("amount") * F.col("bps"))
+
+
+def overall(df: DataFrame, by: list[str], checks: list[str]) -> DataFrame:
+    """Violated when any check of any row fails."""
+    bad = F.lit(False)
+    for c in checks:
+        bad = bad | ~F.col(c)
+    return df.groupBy(*by).agg(F.when(F.bool_or(bad), "Violated").otherwise("Proven").alias("status"), F.count_if(bad).alias("violations"))

@@ -57,7 +57,9 @@ def _slots(weights: Column) -> Column:
     def slot(d: Column) -> Column:
         first = F.pmod(d * UNSTRIDE, F.lit(DIM))
         at = F.when(first < n, F.sequence(first, n - 1, F.lit(DIM))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(at, F.lit(0.0), lambda s, i: s + F.get(weights, i))
+        many = F.aggregate(at, F.lit(0.0), lambda s, i: s + F.get(weights, i))
+        # up to DIM tokens feed a slot at most once
+        return F.when(n <= DIM, F.coalesce(F.get(weights, first), F.lit(0.0))).otherwise(many)
     return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), slot)
 
 
@@ -101,14 +103,19 @@ def tier(similarity: Column) -> Column:
 MAX_INLINE = 256
 
 
-def cross_similarity(vecs: DataFrame, patterns: DataFrame, keep: list[str], label: str, vector: str = "vector") -> DataFrame:
+def cross_similarity(vecs: DataFrame, patterns: DataFrame, keep: list[str], label: str, vector: str = "vector",
+                     normalised: bool = False) -> DataFrame:
     """Similarity of every vector with every pattern; both sides have ``vector``.
 
+    ``normalised`` says that all vectors have length 1 or 0, so the product is the cosine.
+
     Up to ``MAX_INLINE`` patterns become one array value read by every row: no join at all.
     Larger pattern sets are cut in groups of that size and joined by group number.
     """
+    measure = dot if normalised else cosine
+
     def scored(df: DataFrame) -> DataFrame:
-        pairs = F.transform("_ps", lambda p: F.struct(p["l"].alias(label), cosine(F.col(vector), p["v"]).alias("similarity")))
+        pairs = F.transform("_ps", lambda p: F.struct(p["l"].alias(label), measure(F.col(vector), p["v"]).alias("similarity")))
         return df.select(*keep, F.inline(pairs))
 
     pats = cut(patterns.select(F.struct(F.col(label).alias("l"), F.col(vector).alias("v")).alias("p"), F.xxhash64(label).alias("_h")))
@@ -127,6 +134,6 @@ def best_line(files: DataFrame, text: str, keep: list[str], threshold: float = 0
     rows = files.select(*keep, F.posexplode(lines_of(F.col(text))).alias("_p", "line")).where(
         (F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit("//")))
     vecs = rows.select(*keep, (F.col("_p") + 1).alias("line_no"), embed(F.col("line")).alias("vector"))
-    sims = cross_similarity(vecs, pats, [*keep, "line_no"], "pattern").where(F.col("similarity") > threshold)
+    sims = cross_similarity(vecs, pats, [*keep, "line_no"], "pattern", normalised=True).where(F.col("similarity") > threshold)
     return sims.groupBy(*keep, "pattern").agg(F.max_by(F.struct("line_no", "similarity"), F.struct("similarity", -F.col("line_no"))).alias("b")).select(
         *keep, "pattern", "b.line_no", "b.similarity")

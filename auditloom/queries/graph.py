@@ -18,7 +18,7 @@ _REACH_SQL = """reach AS (
   SELECT label, node, 0 AS depth, node AS path FROM seeds_v
   UNION ALL
   SELECT label, dst, depth + 1, path || '>' || dst FROM (
-    SELECT r.label, e.dst, r.depth, r.path, row_number() OVER (PARTITION BY r.label, e.dst ORDER BY r.path) AS rn
+    SELECT r.label, e.dst, r.depth, r.path, row_number() OVER (PARTITION BY r.label, e.dst ORDER BY r.path || '>') AS rn
     FROM reach r JOIN edges_v e ON e.src = r.node) WHERE rn = 1),
 best AS (SELECT label, node, MIN(depth) AS depth, arg_min(path, (depth, path)) AS path FROM reach GROUP BY label, node)"""
 
@@ -57,7 +57,7 @@ def _(spark, sf):
 @query("backward_flows", with_sql(EDGES_SQL, """sinks AS (SELECT 'n' || n_nationkey AS node FROM nation),
 back AS (SELECT node AS sink, node, 0 AS depth, node AS path FROM sinks
   UNION ALL SELECT sink, src, depth + 1, path || '>' || src FROM (
-    SELECT b.sink, e.src, b.depth, b.path, row_number() OVER (PARTITION BY b.sink, e.src ORDER BY b.path) AS rn FROM back b JOIN edges_v e ON e.dst = b.node) WHERE rn = 1),
+    SELECT b.sink, e.src, b.depth, b.path, row_number() OVER (PARTITION BY b.sink, e.src ORDER BY b.path || '>') AS rn FROM back b JOIN edges_v e ON e.dst = b.node) WHERE rn = 1),
 best AS (SELECT sink, node, arg_min(path, (depth, path)) AS path FROM back GROUP BY ALL)""", body=f"""
 SELECT sink, node AS source, path, {_SEV_SQL} AS severity FROM (SELECT b.sink, b.node, b.path, {V.choose_sql(_SINKS, "CAST(substring(b.sink, 2) AS INTEGER)")} AS sink_kind,
   {_KIND_SQL.replace('label', 'c.c_mktsegment')} AS kind FROM best b JOIN customer c ON b.node = 'c' || c.c_custkey)""", recursive=True))
@@ -77,8 +77,8 @@ def _(spark, sf):
     return G.reachable(back, start)
 
 
-@query("call_contexts", """SELECT event_id, array_to_string(list_slice(
- ['click@' || (event_id % 7), event_type || '@' || (user_id % 5), 'view@' || (event_id % 3), event_type || '@' || (event_id % 11)][1:(event_id % 4) + 1], -2, NULL), ' -> ') AS context FROM events""")
+@query("call_contexts", """SELECT event_id, array_to_string(sites[greatest(len(sites) - 1, 1):len(sites)], ' -> ') AS context FROM (SELECT event_id,
+ (['click@' || (event_id % 7), event_type || '@' || (user_id % 5), 'view@' || (event_id % 3), event_type || '@' || (event_id % 11)])[1:(event_id % 4) + 1] AS sites FROM events)""")
 def _(spark, sf):
     site = lambda caller, n: F.struct(caller.alias("caller"), n.cast("string").alias("loc"))
     e, t = F.col("event_id"), F.col("event_type")
