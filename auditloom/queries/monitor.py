@@ -81,9 +81,8 @@ def _(spark, sf):
 @query("monitor_statistics", with_sql(_TX_SQL, _SIG_SQL, f"lv AS (SELECT signature, MAX({_LEVEL_SQL}) AS level FROM sig GROUP BY 1)", body="""
 SELECT (SELECT COUNT(*) FROM tx_v) AS analysed, COUNT(*) AS threats, COUNT(*) FILTER (WHERE level >= 3) AS alerts FROM lv"""))
 def _(spark, sf):
-    t = X.with_signals(transactions(V.table(spark, sf, "lineitem")))
-    level = F.array_max(F.transform("signals", lambda x: X.threat_level(x["threat_type"], x["confidence"])))
-    return M.monitor_stats(t.select(level.alias("level")))
+    t = transactions(V.table(spark, sf, "lineitem")).select(X.signals().alias("signals"))
+    return M.monitor_stats(t.select(X.max_level(C("signals")).alias("level")))
 
 
 # ---------------------------------------------------------------- validators
@@ -154,7 +153,7 @@ def _alerts(t):
     return M.alert_feed(big, fail)
 
 
-_ALERT_SQL = lambda t, sev, d, w: f"""SELECT substring(sha256('{t}|' || key || '|' || epoch_us(ts) || '|' || event_id), 1, 16) AS id, ts, '{t}' AS alert_type, {sev} AS severity, key AS program, {d} AS description,
+_ALERT_SQL = lambda t, sev, d, w: f"""SELECT substring(sha256('{t}|' || key || '|' || strftime(ts, '%Y%m%d%H%M%S%f') || '|' || event_id), 1, 16) AS id, ts, '{t}' AS alert_type, {sev} AS severity, key AS program, {d} AS description,
  event_id::VARCHAR AS tx, false AS resolved FROM ticks_v WHERE {w}"""
 _FEED_SQL = with_sql(TICKS_SQL, body=_ALERT_SQL("large_move", 4, "'moved ' || cents", "cents >= 15000") + " UNION ALL " + _ALERT_SQL("failed_large", 3, "'failed'", "failed AND cents > 10000"))
 

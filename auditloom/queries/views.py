@@ -282,7 +282,7 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 def tick_columns(events: DataFrame) -> DataFrame:
     return events.select(
-        "event_id", F.col("user_id").cast("string").alias("key"), "ts", F.round(F.col("value") * 100).cast("long").alias("cents"),
+        "event_id", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("cents"),
         (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "signup").alias("is_new"), "event_type")
 
 

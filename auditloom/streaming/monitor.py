@@ -160,7 +160,7 @@ def alert(df: DataFrame, alert_type: str, severity: Column | int, program: Colum
     """Rows of any detector in the alert schema with a deterministic id."""
     sev = severity if isinstance(severity, Column) else F.lit(severity)
     ref = (tx if tx is not None else F.lit(None)).cast("string")
-    ident = F.substring(F.sha2(F.concat_ws("|", F.lit(alert_type), program.cast("string"), F.unix_micros(ts).cast("string"), ref), 256), 1, 16)
+    ident = F.substring(F.sha2(F.concat_ws("|", F.lit(alert_type), program.cast("string"), F.date_format(ts, "yyyyMMddHHmmssSSSSSS"), ref), 256), 1, 16)
     return df.select(ident.alias("id"), ts.alias("ts"), F.lit(alert_type).alias("alert_type"), sev.alias("severity"), program.cast("string").alias("program"),
                      description.alias("description"), ref.alias("tx"), F.lit(False).alias("resolved"))
 

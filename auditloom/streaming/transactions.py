@@ -19,56 +19,60 @@ LEVEL_OF = {"FlashLoanAttack": 4, "ReentrancyAttempt": 4, "OracleManipulation":
 LEVEL_NAMES = {1: "Low", 2: "Medium", 3: "High", 4: "Critical"}
 UNSURE = 0.3
 
-SIGNAL = "struct<threat_type:string,confidence:double,details:string>"
-
-
 def signal(threat: str, confidence: float, details: Column) -> Column:
     return F.struct(F.lit(threat).alias("threat_type"), F.lit(confidence).alias("confidence"), details.alias("details"))
 
 
+def _paired(a: Column, b: Column) -> Column:
+    """(l, r) for every position common to both arrays."""
+    n = F.least(F.size(a), F.size(b))
+    return F.arrays_zip(F.slice(a, F.lit(1), n).alias("l"), F.slice(b, F.lit(1), n).alias("r"))
+
+
 def zip_any(a: Column, b: Column, test) -> Column:
     """Some position common to both arrays satisfies ``test(left, right)``."""
-    n = F.least(F.size(a), F.size(b))
-    pairs = F.arrays_zip(F.slice(a, F.lit(1), n).alias("l"), F.slice(b, F.lit(1), n).alias("r"))
-    return F.exists(pairs, lambda p: test(p["l"], p["r"]))
+    return F.exists(_paired(a, b), lambda p: test(p["l"], p["r"]))
 
 
-def _zip_first(a: Column, b: Column, test) -> Column:
-    n = F.least(F.size(a), F.size(b))
-    pairs = F.arrays_zip(F.slice(a, F.lit(1), n).alias("l"), F.slice(b, F.lit(1), n).alias("r"))
-    return F.get(F.filter(pairs, lambda p: test(p["l"], p["r"])), 0)
-
-
-def default_signals() -> list[Column]:
-    """The four built-in signals; each is null when it does not fire."""
-    pre, post, acc = F.col("pre_token_balances"), F.col("post_token_balances"), F.col("accounts")
-    diff = lambda l, r: F.abs(l["amount"] - r["amount"])
-    moved = zip_any(pre, post, lambda l, r: diff(l, r) > LARGE_CHANGE)
-    back = zip_any(pre, post, lambda l, r: (l["amount"] == r["amount"]) & (l["amount"] > 0))
-    loan = F.when(moved & back, signal("FlashLoanAttack", 0.7, F.lit("Large token movement with return to original balance detected")))
-    # integer share of the balance, as amounts are whole numbers
-    ninety = lambda l: F.floor(l["amount"] * 9 / 10)
-    hit = _zip_first(pre, post, lambda l, r: (l["mint"] == r["mint"]) & (l["amount"] > 0) & (diff(l, r) > ninety(l)))
-    d = diff(hit["l"], hit["r"])
-    flow = F.when(hit.isNotNull(), signal("AbnormalTokenFlow", 0.8, F.concat(
-        F.lit("Large token movement: "), d.cast("decimal(38,0)").cast("string"), F.lit(" tokens ("),
-        F.floor(d * 100 / hit["l"]["amount"]).cast("string"), F.lit("% of balance)"))))
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``, which may use it many times."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _token_signals(moves: Column) -> Column:
+    """Signals on (amount before, change, same mint) of each token; amounts are whole numbers."""
+    loan = F.exists(moves, lambda m: m["d"] > LARGE_CHANGE) & F.exists(moves, lambda m: (m["d"] == 0) & (m["a"] > 0))
+    drained = F.filter(moves, lambda m: m["same"] & (m["a"] > 0) & (m["d"] * 10 > m["a"] * 9))
+    text = lambda h: F.when(h.isNotNull(), signal("AbnormalTokenFlow", 0.8, F.concat(
+        F.lit("Large token movement: "), h["d"].cast("string"), F.lit(" tokens ("),
+        F.floor(h["d"] * 100 / h["a"]).cast("string"), F.lit("% of balance)"))))
+    return F.array(
+        F.when(loan, signal("FlashLoanAttack", 0.7, F.lit("Large token movement with return to original balance detected"))),
+        bind(F.get(drained, F.lit(0)), text))
+
+
+def default_signals() -> Column:
+    """Array of the four built-in signals; one that does not fire is null."""
+    acc = F.col("accounts")
+    moves = F.transform(_paired(F.col("pre_token_balances"), F.col("post_token_balances")), lambda p: F.struct(
+        p["l"]["amount"].alias("a"), F.abs(p["l"]["amount"] - p["r"]["amount"]).alias("d"), (p["l"]["mint"] == p["r"]["mint"]).alias("same")))
     n = F.size(acc)
     many = F.when(n > MAX_ACCOUNTS, signal("UnusualAccountPattern", 0.5, F.concat(F.lit("Unusually high account count: "), n.cast("string")))).when(
         F.size(F.array_distinct(acc)) < n, signal("ReentrancyAttempt", 0.6, F.lit("Duplicate accounts detected - possible reentrancy setup")))
     heavy = F.when(F.col("compute_units") > MAX_COMPUTE, signal("SuspiciousTimingPattern", 0.4, F.concat(
         F.lit("Very high compute usage: "), F.col("compute_units").cast("string"), F.lit(" CUs"))))
-    return [loan, flow, many, heavy]
+    return F.concat(bind(moves, _token_signals), F.array(many, heavy))
 
 
-def with_signals(tx: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
-    """Add ``signals``, the array of signals that fire, in order; user signals come last."""
-    return tx.withColumn("signals", F.filter(F.array(*default_signals(), *extra), lambda s: s.isNotNull()))
+def signals(extra: Sequence[Column] = ()) -> Column:
+    """Array of the signals that fire, in order; user signals come last."""
+    every = F.concat(default_signals(), F.array(*extra)) if extra else default_signals()
+    return F.filter(every, lambda s: s.isNotNull())
 
 
 def tx_signals(tx: DataFrame, keep: list[str], extra: Sequence[Column] = ()) -> DataFrame:
     """One row per signal."""
-    return with_signals(tx, extra).select(*keep, F.inline("signals"))
+    return tx.select(*keep, F.inline(signals(extra)))
 
 
 def threat_level(threat: Column, confidence: Column) -> Column:
@@ -86,14 +90,19 @@ def level_name(level: Column) -> Column:
     return out
 
 
+def max_level(fired: Column) -> Column:
+    return F.array_max(F.transform(fired, lambda x: threat_level(x["threat_type"], x["confidence"])))
+
+
 def fold_signals(tx: DataFrame, keep: list[str], min_level: int = 1, extra: Sequence[Column] = ()) -> DataFrame:
     """One threat per transaction: highest level, first type, highest confidence, joined details."""
-    s = F.col("signals")
-    at = with_signals(tx, extra).where(F.size("signals") > 0)
-    level = F.array_max(F.transform(s, lambda x: threat_level(x["threat_type"], x["confidence"])))
-    out = at.select(*keep, F.get(s, F.lit(0))["threat_type"].alias("threat_type"), level.alias("level"),
-                    F.array_max(F.transform(s, lambda x: x["confidence"])).alias("confidence"),
-                    F.array_join(F.transform(s, lambda x: x["details"]), "; ").alias("explanation"))
+    def folded(s: Column) -> Column:
+        return F.when(F.size(s) > 0, F.struct(
+            F.get(s, F.lit(0))["threat_type"].alias("threat_type"), max_level(s).alias("level"),
+            F.array_max(F.transform(s, lambda x: x["confidence"])).alias("confidence"),
+            F.array_join(F.transform(s, lambda x: x["details"]), "; ").alias("explanation")))
+    one = F.filter(F.transform(F.array(signals(extra)), folded), lambda x: x.isNotNull())
+    out = tx.select(*keep, F.inline(one))
     return out.where(F.col("level") >= min_level).withColumn("threat_level", level_name(F.col("level")))
 
 
