@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.operators.scan import _hits, scan_rules
+from auditloom.plans.lineage import cut
 from auditloom.plans.skew import salted_join
 from auditloom.rules.facts import CONSTRAINT_RULES, DERIVATION_RULES, FIELD_RULES, HOOK_RULES, USAGE_RULES
 
@@ -113,7 +114,7 @@ def check_runs(runs: DataFrame, functions: DataFrame) -> DataFrame:
         F.when(first.isNotNull(), F.struct(F.lit("ArbitraryAccountSubstitution").alias("rule_id"), F.lit(4).alias("severity"), first.alias("function")))),
         lambda x: x.isNotNull())).alias("v")).select("run_id", "v.*")
     bad = functions.where("modifies and not has_signer_check").select(F.col("name").alias("function")).distinct()
-    changes = runs.select("run_id", F.posexplode("changes").alias("i", "c")).select("run_id", "i", F.col("c.function").alias("function"))
+    changes = runs.select("run_id", F.posexplode(F.transform("changes", lambda c: c["function"])).alias("i", "function"))
     mutated = salted_join(changes, bad, ["function"], ["run_id"]).groupBy("run_id").agg(F.min_by("function", "i").alias("function"))
     return direct.unionByName(mutated.select("run_id", F.lit("UnauthorizedStateChange").alias("rule_id"), F.lit(5).alias("severity"), "function"))
 
@@ -171,14 +172,14 @@ def related_pairs(fields: DataFrame, by: list[str]) -> DataFrame:
             tags.append(F.when(F.contains(name, F.lit(word)), F.struct(F.lit(f"#{i:02d}").alias("block"), F.lit(side).alias("side"))))
     is_account = F.col("field_type").rlike("Account<|AccountInfo|UncheckedAccount<")
     is_mut = F.contains("attrs", F.lit("mut")) & ~F.contains("attrs", F.lit("immut"))
-    entries = fields.where(is_account & is_mut).select(*by, "pos", F.col("field_name").alias("name"), F.inline(
-        F.filter(F.array(*tags), lambda t: t.isNotNull())))
+    entries = cut(fields.where(is_account & is_mut).select(*by, "pos", F.col("field_name").alias("name"), F.inline(
+        F.filter(F.array(*tags), lambda t: t.isNotNull()))))
     block = [*by, "block"]
     sizes = entries.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("pos", "name", "side")).alias("_first"),
                                         F.min(F.when(F.col("side") == "a", F.struct("pos", "name", "side"))).alias("_fa"),
                                         F.min(F.when(F.col("side") == "b", F.struct("pos", "name", "side"))).alias("_fb"))
-    small = sizes.where(F.col("_n").between(2, SMALL_STRUCT)).select(*block)
-    e = salted_join(entries, small, block, ["pos", "name"])
+    sized = cut(salted_join(entries, sizes.where("_n > 1"), block, ["pos", "name"]))
+    e = sized.where(F.col("_n") <= SMALL_STRUCT)
     other = {"s": "s", "a": "b", "b": "a"}
     flip = F.create_map(*[F.lit(x) for kv in other.items() for x in kv])
     left = e.select(*block, "side", F.col("pos").alias("pos_a"), F.col("name").alias("name_a"))
@@ -186,7 +187,7 @@ def related_pairs(fields: DataFrame, by: list[str]) -> DataFrame:
     differ = (F.col("side") != "s") | (F.lower("name_a") != F.lower("name_b"))
     listed = left.join(right, [*block, "side"]).where((F.col("pos_a") < F.col("pos_b")) & differ).select(
         *by, "pos_a", "name_a", "pos_b", "name_b", F.lit(False).alias("compact"))
-    big = salted_join(entries, sizes.where(F.col("_n") > SMALL_STRUCT), block, ["pos", "name"])
+    big = sized.where(F.col("_n") > SMALL_STRUCT)
     head = F.when(F.col("side") == "a", F.col("_fb")).when(F.col("side") == "b", F.col("_fa")).otherwise(F.col("_first"))
     star = big.withColumn("_h", head).where(F.col("_h").isNotNull() & (F.col("_h.pos") != F.col("pos")) & (
         (F.col("side") != "s") | (F.lower("_h.name") != F.lower("name"))))

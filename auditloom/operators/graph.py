@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.plans.fixpoint import closure
-from auditloom.plans.lineage import cut
+from auditloom.plans.lineage import cut, cut_bucketed, cut_counted
 from auditloom.plans.skew import hot_keys, replicated, with_salt
 
 SEP = ">"
@@ -19,14 +19,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> Data
     """(label, node, depth, path): labels flow along ``edges(src, dst)`` from ``seeds(label, node)``.
 
     One shortest path is kept per label and node, the lexicographically first among equals, so
-    cycles end.  The edge table is salted once by its hub sources.
+    cycles end.  The edge table is bucketed by source once, so rounds do not shuffle it; hub
+    sources, if there are any, are salted first.
     """
-    hubs = cut(hot_keys(edges, ["src"]))
-    salted = cut(with_salt(edges.select("src", "dst"), hubs, ["src"], ["dst"]))
+    keys = ["src"]
+    table = cut_bucketed(edges.select("src", "dst"), keys)
+    hubs, n_hubs = cut_counted(hot_keys(table, ["src"]))
+    if n_hubs:
+        keys = ["src", "salt"]
+        table = cut_bucketed(with_salt(table, hubs, ["src"], ["dst"]), keys)
 
     def step(front: DataFrame) -> DataFrame:
-        f = replicated(front.withColumnRenamed("node", "src"), hubs, ["src"])
-        return (f.join(salted, ["src", "salt"]).groupBy("label", F.col("dst").alias("node"))
+        f = front.withColumnRenamed("node", "src")
+        f = replicated(f, hubs, ["src"]) if n_hubs else f
+        return (f.join(table, keys).groupBy("label", F.col("dst").alias("node"))
                 .agg(F.min(F.col("depth") + 1).alias("depth"), F.min(F.concat("path", F.lit(SEP), "dst")).alias("path")))
 
     start = seeds.select("label", "node").distinct().select("label", "node", F.lit(0).alias("depth"), F.col("node").alias("path"))
@@ -200,30 +206,44 @@ def _expand(c: Column, s: Column) -> Column:
 
 
 def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """Node embeddings after rounds of (in-neighbour sum + 2 x self) -> linear map -> ReLU.
+    """Nodes after rounds of (in-neighbour sum + 2 x self) -> linear map -> ReLU.
 
     ``nodes(func, node, features)`` with up to 64 features, ``edges(func, src, dst)``.  Because the
-    map has rank two, two numbers per edge are shuffled instead of sixty-four.
+    map has rank two, a node's embedding is given by two sums ``c, s`` (see :func:`embedding`), and
+    two numbers per edge are shuffled instead of sixty-four.
     """
     cur = nodes.select("func", "node", *_project(F.col("features")))
     for r in range(rounds):
+        if r:
+            # both branches below read the round's result; it is two numbers per node
+            pair = F.get(F.transform(F.array(embedding()), lambda e: F.struct(*_project(e))), 0)
+            cur = cut(cur.select("func", "node", pair.alias("p")).select("func", "node", "p.c", "p.s"))
         own = cur.select("func", "node", (F.col("c") * 2).alias("c"), (F.col("s") * 2).alias("s"))
         sent = cur.withColumnRenamed("node", "src").join(edges.select("func", "src", "dst"), ["func", "src"]).select(
             "func", F.col("dst").alias("node"), "c", "s")
         # a node only counts when it is in the node table: it always sends its own share
-        agg = own.withColumn("_own", F.lit(1)).unionByName(sent.withColumn("_own", F.lit(0))).groupBy("func", "node").agg(
+        cur = own.withColumn("_own", F.lit(1)).unionByName(sent.withColumn("_own", F.lit(0))).groupBy("func", "node").agg(
             F.sum("c").alias("c"), F.sum("s").alias("s"), F.max("_own").alias("_own")).where("_own = 1").drop("_own")
-        emb = agg.select("func", "node", _expand(F.col("c"), F.col("s")).alias("embedding"))
-        cur = emb.select("func", "node", "embedding", *_project(F.col("embedding")))
-    return cur.select("func", "node", "embedding")
+    return cur
 
 
-def rms_outliers(emb: DataFrame, threshold: float | None = 0.7, min_nodes: int = 3) -> DataFrame:
-    """Distance of each node from its graph's mean embedding; graphs below ``min_nodes`` are skipped."""
-    means = emb.groupBy("func").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("embedding", F.lit(i))).alias(f"m{i}") for i in range(DIM)])
-    means = means.where(F.col("n") >= min_nodes).select("func", F.array(*[F.col(f"m{i}") for i in range(DIM)]).alias("mean"))
-    sq = F.aggregate(F.zip_with("embedding", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    out = emb.join(means, "func").select("func", "node", F.sqrt(sq / DIM).alias("deviation"))
+def embedding() -> Column:
+    """The 64 values a node's ``c, s`` stand for."""
+    return _expand(F.col("c"), F.col("s"))
+
+
+def rms_outliers(nodes: DataFrame, threshold: float | None = 0.7, min_nodes: int = 3) -> DataFrame:
+    """Distance of each node (``func, node, c, s``) from its graph's mean embedding.
+
+    Graphs below ``min_nodes`` are skipped.  The node table is small (two sums per node), so it is
+    kept once and expanded where needed.
+    """
+    kept = cut(nodes)
+    at = kept.select("func", embedding().alias("e"))
+    means = at.groupBy("func").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("e", F.lit(i))).alias(f"m{i}") for i in range(DIM)])
+    means = means.where(F.col("n") >= min_nodes).select("func", F.array(*[F.col(f"m{i}") / F.col("n") for i in range(DIM)]).alias("mean"))
+    sq = F.aggregate(F.zip_with(embedding(), F.col("mean"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    out = kept.join(means, "func").select("func", "node", F.sqrt(sq / DIM).alias("deviation"))
     return out if threshold is None else out.where(F.col("deviation") > threshold)
 
 

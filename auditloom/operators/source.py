@@ -27,8 +27,12 @@ def _positions(lines: Column, pattern: str) -> Column:
     return F.filter(F.transform(lines, lambda l, i: F.when(l.rlike(pattern), i)), lambda i: i.isNotNull())
 
 
-def _with_units(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``units``: array of (kind, name, line_no, code), each reaching to the next unit's start."""
+def _unit_array(files: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, Column]:
+    """Frame with lines, and the expression for its array of (kind, name, line_no, code).
+
+    The array is exploded as an expression, not as a column: for a column the optimizer infers a
+    non-empty filter, pushes it below the projections and computes everything again in it.
+    """
     at = files.select(*keep, lines_of(F.col(text)).alias("_lines")).withColumn(
         "_starts", _positions(F.col("_lines"), L.UNIT_START))
     line, starts = F.col("_lines"), F.col("_starts")
@@ -37,12 +41,13 @@ def _with_units(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
         F.regexp_extract(F.get(line, s), L.UNIT_START, 2).alias("unit_name"),
         (s + 1).alias("line_no"),
         F.array_join(F.slice(line, s + 1, F.coalesce(F.get(starts, j + 1), F.size(line)) - s), "\n").alias("code"))
-    return at.select(*keep, F.transform(starts, unit).alias("units"))
+    return at, F.transform(starts, unit)
 
 
 def segment_units(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Function and struct units found by their first line (no parser)."""
-    return _with_units(files, text, keep).select(*keep, F.inline("units"))
+    at, units = _unit_array(files, text, keep)
+    return at.select(*keep, F.inline(units))
 
 
 def attach_context(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -56,7 +61,8 @@ def attach_context(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
             wanted.alias("context_name"), F.coalesce(struct["code"], F.lit("")).alias("context_code"),
             F.when(struct.isNotNull(), F.concat(struct["code"], F.lit("\n"), u["code"])).otherwise(u["code"]).alias("code"))
     fns = F.transform(F.filter(units, lambda u: u["unit_kind"] == "fn"), joined)
-    return _with_units(files, text, keep).select(*keep, F.inline(fns))
+    at, array = _unit_array(files, text, keep)
+    return at.select(*keep, array.alias("units")).select(*keep, F.inline(fns))
 
 
 def enclosing_fn(files: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from auditloom.plans.lineage import cut
+from auditloom.plans.lineage import cut, cut_counted
 
 
 def closure(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int = 100) -> DataFrame:
     """Rows reachable from ``seeds`` by ``step``, one row per ``keys``, first found wins.
 
-    ``step`` must return at most one row per ``keys``.  The driver learns one bit per round.
+    ``step`` must return at most one row per ``keys``.  The driver only learns the row count of a round.
     """
     seen = frontier = cut(seeds)
     for _ in range(max_rounds):
-        fresh = cut(step(frontier).join(seen.select(*keys), keys, "left_anti").select(*seen.columns))
-        if fresh.isEmpty():
+        fresh, n = cut_counted(step(frontier).join(seen.select(*keys), keys, "left_anti").select(*seen.columns))
+        if n == 0:
             break
         seen = seen.unionByName(fresh)
         frontier = fresh

@@ -14,7 +14,7 @@ from auditloom.rules import facts as RF
 area = Area()
 QUERIES, ORACLE, query = area.queries, area.oracle, area.query
 C = F.col
-lineitem = lambda spark, sf: V.table(spark, sf, "lineitem")
+lineitem = V.lineitem
 _text = lambda c: C(c).cast("string")
 
 # ---------------------------------------------------------------- usages

@@ -220,8 +220,8 @@ emb AS (SELECT {key}, d, x / sqrt(SUM(x * x) OVER (PARTITION BY {key})) AS x FRO
 
 @query("text_embeddings", with_sql(_EMB_SQL("documents", "doc_id", "text"), body="SELECT doc_id, CAST(d AS INTEGER) AS dim, round(x, 4) AS val FROM emb WHERE round(x, 4) <> 0"))
 def _(spark, sf):
-    e = VC.embed_text(V.table(spark, sf, "documents"), "text", ["doc_id"])
-    return e.select("doc_id", F.posexplode("vector").alias("dim", "val")).withColumn("val", F.round("val", 4)).where("val <> 0")
+    e = VC.embed_text(V.documents(spark, sf), "text", ["doc_id"])
+    return e.select("doc_id", F.posexplode(F.transform("vector", lambda x: F.round(x, 4))).alias("dim", "val")).where("val <> 0")
 
 
 _DOC_SQL = ("ln AS (SELECT doc_id, generate_subscripts(ls, 1) AS line_no, len(ls) AS n, unnest(ls) AS text FROM (SELECT doc_id, " + V.lines_sql("text") + " AS ls FROM documents))",
@@ -232,8 +232,8 @@ _DOC_SQL = ("ln AS (SELECT doc_id, generate_subscripts(ls, 1) AS line_no, len(ls
 
 @query("document_embeddings", with_sql(*_DOC_SQL, body="SELECT doc_id, CAST(d AS INTEGER) AS dim, round(x, 4) AS val FROM du WHERE round(x, 4) <> 0"))
 def _(spark, sf):
-    e = VC.embed_doc(V.table(spark, sf, "documents"), "text", ["doc_id"])
-    return e.select("doc_id", F.posexplode("vector").alias("dim", "val")).withColumn("val", F.round("val", 4)).where("val <> 0")
+    e = VC.embed_doc(V.documents(spark, sf), "text", ["doc_id"])
+    return e.select("doc_id", F.posexplode(F.transform("vector", lambda x: F.round(x, 4))).alias("dim", "val")).where("val <> 0")
 
 
 _COS = "list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[])"
@@ -242,7 +242,7 @@ _COS = "list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[])"
 @query("pattern_similarity", f"""SELECT v.vec_id, p.vec_id AS pattern, round({_COS}, 4) AS similarity, CASE WHEN {_COS} > 0.85 THEN 'Critical' WHEN {_COS} > 0.75 THEN 'High'
  WHEN {_COS} > 0.6 THEN 'Medium' ELSE 'None' END AS tier FROM embeddings v, embeddings p WHERE p.vec_id < 8""")
 def _(spark, sf):
-    e = V.table(spark, sf, "embeddings")
+    e = V.table(spark, sf, "embeddings", ["vec_id"])
     pats = e.where("vec_id < 8").select(F.col("vec_id").alias("pattern"), F.col("embedding").alias("vector"))
     s = VC.cross_similarity(e.select("vec_id", F.col("embedding").alias("vector")), pats, ["vec_id"], "pattern")
     return s.select("vec_id", "pattern", F.round("similarity", 4).alias("similarity"), VC.tier(F.col("similarity")).alias("tier"))

@@ -49,7 +49,7 @@ _LEVEL_SQL = "CASE threat_type " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in X
 
 @query("transaction_signals", with_sql(_TX_SQL, _SIG_SQL, body="SELECT signature, threat_type, confidence, details FROM sig"))
 def _(spark, sf):
-    return X.tx_signals(transactions(V.table(spark, sf, "lineitem")), ["signature"])
+    return X.tx_signals(transactions(V.lineitem(spark, sf)), ["signature"])
 
 
 _FOLD_SQL = f"""SELECT signature, arg_min(threat_type, ord) AS threat_type, CAST(MAX({_LEVEL_SQL}) AS INTEGER) AS level, MAX(confidence) AS confidence, string_agg(details, '; ' ORDER BY ord) AS explanation,
@@ -58,13 +58,13 @@ _FOLD_SQL = f"""SELECT signature, arg_min(threat_type, ord) AS threat_type, CAST
 
 @query("folded_threats", with_sql(_TX_SQL, _SIG_SQL, body=_FOLD_SQL))
 def _(spark, sf):
-    return X.fold_signals(transactions(V.table(spark, sf, "lineitem")), ["signature"], 2)
+    return X.fold_signals(transactions(V.lineitem(spark, sf)), ["signature"], 2)
 
 
 @query("zipped_balances", with_sql(_TX_SQL, body="""SELECT signature, pre1 > post1 OR pre2 > post2 OR pre3 > post3 AS any_drop, pre1 = post1 OR pre2 = post2 OR pre3 = post3 AS any_same FROM tx_v"""))
 def _(spark, sf):
     a, b = C("pre_token_balances"), C("post_token_balances")
-    return transactions(V.table(spark, sf, "lineitem")).select(
+    return transactions(V.lineitem(spark, sf)).select(
         "signature", X.zip_any(a, b, lambda l, r: l["amount"] > r["amount"]).alias("any_drop"), X.zip_any(a, b, lambda l, r: l["amount"] == r["amount"]).alias("any_same"))
 
 
@@ -72,7 +72,7 @@ def _(spark, sf):
  (['a', 'b', 'c'])[i + 1] AS account, ([post1 - pre1, post2 - pre2, post3 - pre3])[i + 1] AS delta FROM tx_v, (SELECT unnest([0, 1, 2]) AS i)"""))
 def _(spark, sf):
     amounts = lambda c: F.transform(c, lambda x: x["amount"].cast("long"))
-    t = transactions(V.table(spark, sf, "lineitem")).select(
+    t = transactions(V.lineitem(spark, sf)).select(
         "signature", "error", "fee", F.transform("pre_token_balances", lambda x: x["account"]).alias("accounts"),
         amounts("pre_token_balances").alias("pre_balances"), amounts("post_token_balances").alias("post_balances"))
     return X.tx_detail(t, ["signature"])
@@ -81,7 +81,7 @@ def _(spark, sf):
 @query("monitor_statistics", with_sql(_TX_SQL, _SIG_SQL, f"lv AS (SELECT signature, MAX({_LEVEL_SQL}) AS level FROM sig GROUP BY 1)", body="""
 SELECT (SELECT COUNT(*) FROM tx_v) AS analysed, COUNT(*) AS threats, COUNT(*) FILTER (WHERE level >= 3) AS alerts FROM lv"""))
 def _(spark, sf):
-    t = transactions(V.table(spark, sf, "lineitem")).select(X.signals().alias("signals"))
+    t = transactions(V.lineitem(spark, sf)).select(X.signals().alias("signals"))
     return M.monitor_stats(t.select(X.max_level(C("signals")).alias("level")))
 
 

@@ -37,7 +37,7 @@ _PROSE_FACTS = ", ".join(
 
 def audit_documents(spark, sf):
     """Flagship: prose rules over whole documents, fingerprints, severity counts and risk per source."""
-    docs = V.table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = V.documents(spark, sf).select("doc_id", "source", "text")
     hits = scan.scan_rules(docs, PROSE_RULES, F.col("text"), ["doc_id", "source"])
     fp = hits.withColumn("fp", T.fingerprint(F.col("source"), F.col("doc_id"), F.col("rule_id")))
     n = lambda s: F.count_if(F.col("severity") == s)
@@ -64,7 +64,7 @@ FROM hits GROUP BY source""")
     f"SELECT doc_id, '{r.id}' AS rule_id, '{r.category}' AS category, {r.severity} AS severity FROM documents WHERE {r.when.sql('text')}"
     for r in PROSE_RULES) + ")")
 def _(spark, sf):
-    return scan.scan_rules(V.table(spark, sf, "documents"), PROSE_RULES, F.col("text"), KEEP).select(
+    return scan.scan_rules(V.documents(spark, sf), PROSE_RULES, F.col("text"), KEEP).select(
         "doc_id", "rule_id", "category", "severity")
 
 

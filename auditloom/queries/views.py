@@ -9,10 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditloom.rules.formula import quote
+from auditloom.sources.tables import read_table
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread_by: list[str] | None = None) -> DataFrame:
+    return read_table(spark, f"{sf}/{name}.parquet", spread_by)
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for CPU-heavy text work."""
+    return table(spark, sf, "documents", ["doc_id"])
+
+
+def lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items for CPU-heavy row work."""
+    return table(spark, sf, "lineitem", LINE_KEYS)
 
 
 # ---------------------------------------------------------------- text
@@ -100,7 +111,7 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
     n = len(LISTING)
     listing = F.array(*[F.lit(x) for x in LISTING])
     pick = lambda l, i: F.element_at(listing, F.pmod(F.length(l) + i + 1, F.lit(n)) + 1)
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.col("source").alias("repo"),
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("path"),
         F.array_join(F.transform(F.split("text", "\n"), pick), "\n").alias("content"))
