@@ -6,6 +6,8 @@ shuffle, and writes every round to the shared checkpoint folder.  Hub nodes are
 
 from __future__ import annotations
 
+from math import cos, sin
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.plans.fixpoint import closure
@@ -196,13 +198,20 @@ def _project(v: Column) -> list[Column]:
     return [dot(F.cos).alias("c"), dot(F.sin).alias("s")]
 
 
-def _expand(c: Column, s: Column) -> Column:
-    """ReLU of the linear map with weights sin((i+j)/10)*scale.
+def _total(parts: list[Column]) -> Column:
+    """Sum as a balanced tree, which keeps the generated code shallow."""
+    while len(parts) > 1:
+        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0]
+
+
+def embedding() -> list[Column]:
+    """The 64 values a node's ``c, s`` stand for: ReLU of the linear map with weights sin((i+j)/10)*scale.
 
-    sin(a+b) = sin(a)cos(b) + cos(a)sin(b), so the 64x64 map only depends on two sums.
+    sin(a+b) = sin(a)cos(b) + cos(a)sin(b), so the 64x64 map only depends on two sums.  The values
+    are plain arithmetic on two columns and stay inside generated code; no array is built.
     """
-    return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)),
-                       lambda i: F.greatest(F.lit(0.0), (F.sin(i * _ANGLE) * c + F.cos(i * _ANGLE) * s) * _SCALE))
+    return [F.greatest(F.lit(0.0), F.col("c") * (sin(i * _ANGLE) * _SCALE) + F.col("s") * (cos(i * _ANGLE) * _SCALE)) for i in range(DIM)]
 
 
 def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
@@ -216,8 +225,9 @@ def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFra
     for r in range(rounds):
         if r:
             # both branches below read the round's result; it is two numbers per node
-            pair = F.get(F.transform(F.array(embedding()), lambda e: F.struct(*_project(e))), 0)
-            cur = cut(cur.select("func", "node", pair.alias("p")).select("func", "node", "p.c", "p.s"))
+            e = embedding()
+            cur = cut(cur.select("func", "node", _total([x * cos(i * _ANGLE) for i, x in enumerate(e)]).alias("c"),
+                                 _total([x * sin(i * _ANGLE) for i, x in enumerate(e)]).alias("s")))
         own = cur.select("func", "node", (F.col("c") * 2).alias("c"), (F.col("s") * 2).alias("s"))
         sent = cur.withColumnRenamed("node", "src").join(edges.select("func", "src", "dst"), ["func", "src"]).select(
             "func", F.col("dst").alias("node"), "c", "s")
@@ -227,11 +237,6 @@ def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFra
     return cur
 
 
-def embedding() -> Column:
-    """The 64 values a node's ``c, s`` stand for."""
-    return _expand(F.col("c"), F.col("s"))
-
-
 def rms_outliers(nodes: DataFrame, threshold: float | None = 0.7, min_nodes: int = 3) -> DataFrame:
     """Distance of each node (``func, node, c, s``) from its graph's mean embedding.
 
@@ -239,11 +244,11 @@ def rms_outliers(nodes: DataFrame, threshold: float | None = 0.7, min_nodes: int
     kept once and expanded where needed.
     """
     kept = cut(nodes)
-    at = kept.select("func", embedding().alias("e"))
-    means = at.groupBy("func").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("e", F.lit(i))).alias(f"m{i}") for i in range(DIM)])
-    means = means.where(F.col("n") >= min_nodes).select("func", F.array(*[F.col(f"m{i}") / F.col("n") for i in range(DIM)]).alias("mean"))
-    sq = F.aggregate(F.zip_with(embedding(), F.col("mean"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    out = kept.join(means, "func").select("func", "node", F.sqrt(sq / DIM).alias("deviation"))
+    e = embedding()
+    means = kept.groupBy("func").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"m{i}") for i, x in enumerate(e)])
+    means = means.where(F.col("n") >= min_nodes)
+    off = [x - F.col(f"m{i}") / F.col("n") for i, x in enumerate(e)]
+    out = kept.join(means, "func").select("func", "node", F.sqrt(_total([d * d for d in off]) / DIM).alias("deviation"))
     return out if threshold is None else out.where(F.col("deviation") > threshold)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.functions.text import lines_of
 from auditloom.plans.lineage import cut
+from auditloom.sources.tables import constant_rows
 
 DIM = 128
 STRIDE = 7
@@ -118,22 +119,23 @@ def cross_similarity(vecs: DataFrame, patterns: DataFrame, keep: list[str], labe
         pairs = F.transform("_ps", lambda p: F.struct(p["l"].alias(label), measure(F.col(vector), p["v"]).alias("similarity")))
         return df.select(*keep, F.inline(pairs))
 
-    pats = cut(patterns.select(F.struct(F.col(label).alias("l"), F.col(vector).alias("v")).alias("p"), F.xxhash64(label).alias("_h")))
-    if len(pats.select("_h").limit(MAX_INLINE + 1).take(MAX_INLINE + 1)) <= MAX_INLINE:
+    pats = cut(patterns.select(F.struct(F.col(label).alias("l"), F.col(vector).alias("v")).alias("p"), F.xxhash64(label, vector).alias("_h")))
+    n = pats.count()
+    if n <= MAX_INLINE:
         one = pats.agg(F.array_sort(F.collect_list("p")).alias("ps"))
         return scored(vecs.withColumn("_ps", one.scalar()))
-    groups = -(-pats.count() // (MAX_INLINE // 2))
+    groups = -(-n // (MAX_INLINE // 2))
     g = pats.withColumn("_g", F.pmod("_h", F.lit(groups)).cast("int")).groupBy("_g").agg(F.collect_list("p").alias("_ps"))
     return scored(vecs.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(g, "_g"))
 
 
 def best_line(files: DataFrame, text: str, keep: list[str], threshold: float = 0.5) -> DataFrame:
     """Per (file, pattern): the line most similar to the pattern, the earliest on a tie."""
-    spark = files.sparkSession
-    pats = spark.createDataFrame(list(PATTERNS.items()), "pattern string, body string").select("pattern", embed(F.col("body")).alias("vector"))
-    rows = files.select(*keep, F.posexplode(lines_of(F.col(text))).alias("_p", "line")).where(
+    rows = [{"pattern": n, "body": b} for n, b in PATTERNS.items()]
+    pats = constant_rows(files.sparkSession, rows).select("pattern", embed(F.col("body")).alias("vector"))
+    lines = files.select(*keep, F.posexplode(lines_of(F.col(text))).alias("_p", "line")).where(
         (F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit("//")))
-    vecs = rows.select(*keep, (F.col("_p") + 1).alias("line_no"), embed(F.col("line")).alias("vector"))
+    vecs = lines.select(*keep, (F.col("_p") + 1).alias("line_no"), embed(F.col("line")).alias("vector"))
     sims = cross_similarity(vecs, pats, [*keep, "line_no"], "pattern", normalised=True).where(F.col("similarity") > threshold)
     return sims.groupBy(*keep, "pattern").agg(F.max_by(F.struct("line_no", "similarity"), F.struct("similarity", -F.col("line_no"))).alias("b")).select(
         *keep, "pattern", "b.line_no", "b.similarity")

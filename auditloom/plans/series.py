@@ -18,8 +18,8 @@ CHUNK = 100_000
 def with_position(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "pos") -> DataFrame:
     """Dense 1-based position of each row in its key.
 
-    ``bucket`` must be monotone in ``order``.  Only bucket sizes (one row per key and bucket)
-    are ever gathered per key.
+    ``bucket`` must be monotone in ``order`` and fine enough that one bucket of the busiest key fits
+    a task (a minute, say).  Only bucket sizes, one row per key and bucket, are gathered per key.
     """
     rows = df.withColumn("_bucket", bucket)
     part = [*keys, "_bucket"]

@@ -8,6 +8,7 @@ from auditloom.functions import labels as LB, text as T
 from auditloom.operators import findings as FN, scores as SC
 from auditloom.queries import views as V
 from auditloom.queries.base import Area
+from auditloom.sources.tables import constant_rows
 from auditloom.queries.views import FINDINGS_SQL, REPORTS_SQL, VOTES_SQL, with_sql
 
 area = Area()
@@ -346,7 +347,7 @@ h AS (SELECT *, greatest(c, r)::DOUBLE / t AS a, wc::DOUBLE / t / 100 AS m,
     body="""SELECT finding_id, votes, round(a, 6) AS agreement, round(m, 6) AS mean_confidence, verdict, verdict = 'Confirmed' AND wc >= 50 * t AS should_report FROM h"""))
 def _(spark, sf):
     v = V.votes(spark, sf).withColumn("confidence", F.col("conf_pct") / 100.0)
-    models = spark.createDataFrame([(m, t / 10.0) for m, t in SC.MODEL_TENTHS.items()], "model string, weight double")
+    models = constant_rows(spark, [{"model": m, "weight": t / 10.0} for m, t in SC.MODEL_TENTHS.items()])
     c = SC.consensus(v, models)
     return c.select("finding_id", "votes", F.round("agreement", 6).alias("agreement"), F.round("mean_confidence", 6).alias("mean_confidence"),
                     "verdict", "should_report")

@@ -134,7 +134,7 @@ def _(spark, sf):
 @query("stale_feeds", with_sql(TICKS_SQL, body="""SELECT key, last_seen, ts AS resumed FROM (SELECT key, ts, lag(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS last_seen FROM ticks_v)
 WHERE epoch_us(ts) - epoch_us(last_seen) >= 86400000000"""))
 def _(spark, sf):
-    return M.stale_feed(V.ticks(spark, sf), "key", "ts", 86_400, F.date_trunc("day", "ts"))
+    return M.stale_feed(V.ticks(spark, sf), "key", "ts", 86_400, F.date_trunc("minute", "ts"))
 
 
 @query("large_moves", with_sql(TICKS_SQL, body="SELECT event_id, key, cents FROM ticks_v WHERE cents >= 15000"))
@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @query("value_changes", with_sql(TICKS_SQL, body="""SELECT event_id, key, before, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY key ORDER BY ts, event_id) AS before FROM ticks_v) WHERE before <> event_type"""))
 def _(spark, sf):
-    return M.value_changed(V.ticks(spark, sf), "key", ["ts", "event_id"], F.date_trunc("day", "ts"), "event_type").select("event_id", "key", "before", "event_type")
+    return M.value_changed(V.ticks(spark, sf), "key", ["ts", "event_id"], F.date_trunc("minute", "ts"), "event_type").select("event_id", "key", "before", "event_type")
 
 
 def _alerts(t):

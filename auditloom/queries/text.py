@@ -148,15 +148,12 @@ def _(spark, sf):
         "doc_id", "unit_kind", "unit_name", "line_no", "rule_id", "category", "severity")
 
 
-_TESTS = "contains(text, '#[test]') OR contains(text, '#[cfg(test)]')"
-
-
 @query("test_code_flags", with_sql(*UNITS_SQL, body="""
-SELECT doc_id, unit_kind, COUNT(*) AS units, COUNT(*) FILTER (WHERE contains(code, '#[account(') OR contains(code, '#[cfg(')) AS flagged
+SELECT doc_id, unit_kind, COUNT(*) AS units, COUNT(*) FILTER (WHERE contains(code, '#[test]') OR contains(code, '#[cfg(test)]')) AS flagged
 FROM units GROUP BY ALL"""))
 def _(spark, sf):
     units = S.segment_units(V.code(spark, sf), "content", KEEP)
-    flag = any_of("#[account(", "#[cfg(").column(F.col("code"))
+    flag = any_of("#[test]", "#[cfg(test)]").column(F.col("code"))
     return units.groupBy("doc_id", "unit_kind").agg(F.count(F.lit(1)).alias("units"), F.count_if(flag).alias("flagged"))
 
 

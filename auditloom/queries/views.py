@@ -85,6 +85,7 @@ LISTING: tuple[str, ...] = (
     "    let addr = Pubkey::from_str(\"admin\").unwrap();",
     "    withdraw(ctx, initialize(ctx));",
     "    let t = Clock::get()?.unix_timestamp + lock;",
+    "#[cfg(test)]",
 )
 
 

@@ -65,7 +65,7 @@ FIELD_RULES: tuple[Rule, ...] = (
          _seeds & ~_attr(Matches(r"seeds\s*=\s*\[[^\]]*,[^\]]*\]")) & ~_attr('b"')),
     Rule("SEC3-BUMP", "Insecure PDA Derivation", "InsecurePDADerivation", 3, "CWE-330", _seeds & ~_bump & ~_init),
     Rule("SEC3-NOSEED", "Insecure PDA Derivation", "InsecurePDADerivation", 4, "CWE-330",
-         _name(any_of(*PDA_NAMES)) & ~_seeds & ~_type("Account<") & ~_type("Signer<")),
+         _name(any_of(*PDA_NAMES)) & ~_seeds & _type("Account<")),
 )
 
 _typed = _type(any_of("Account <", "Account<", "Program <", "Program<", "Signer", "Sysvar", "SystemAccount"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_table(spark: SparkSession, path: str, spread_by: list[str] | None = None) -> DataFrame:
@@ -18,3 +18,8 @@ def read_table(spark: SparkSession, path: str, spread_by: list[str] | None = Non
         if df.rdd.getNumPartitions() < cores:
             return df.repartition(cores, *spread_by)
     return df
+
+
+def constant_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Rows written in code as a frame, without a Python stage."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])))
