@@ -15,8 +15,8 @@ def _rule_rows(df: DataFrame, keep: list[str], rules: list[tuple[str, int, Colum
     return df.select(*keep, F.inline(_hits([c for _, _, c in rules], facts)))
 
 
-def _columns(*names: str) -> dict[str, Column]:
-    return {n: F.col(n) for n in names}
+def _columns(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
 
 
 def check_usages(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -131,7 +131,7 @@ def scan_constraints(fields: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def scan_hooks(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    return scan_rules(files, HOOK_RULES, F.col(text), keep).select(*keep, "rule_id", "category", "severity")
+    return scan_rules(files, HOOK_RULES, text, keep).select(*keep, "rule_id", "category", "severity")
 
 
 def missing_checks(ops: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:

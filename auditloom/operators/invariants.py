@@ -15,7 +15,7 @@ def mine_invariants(files: DataFrame, text: str, keep: list[str], min_confidence
     A file can trigger each rule once, so the cap per file only cuts when more rules than ``cap``
     exist; it is applied in rule order.
     """
-    hits = scan_rules(files, INVARIANT_RULES, F.col(text), keep)
+    hits = scan_rules(files, INVARIANT_RULES, text, keep)
     order = F.lit(0)
     for i, r in enumerate(INVARIANT_RULES):
         order = F.when(F.col("rule_id") == r.id, i).otherwise(order)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from auditloom.rules.formula import Rule
+from auditloom.rules.formula import Rule, spark_quote
 from auditloom.rules.lines import LineRule
 
 
@@ -16,30 +16,43 @@ def _hits(tests: list[Column], facts: Column) -> Column:
     return F.transform(F.filter(numbered, lambda i: i.isNotNull()), lambda i: F.element_at(facts, i))
 
 
-def scan_rules(df: DataFrame, rules: Sequence[Rule], text: Column | dict[str, Column], keep: list[str],
-               kinds: Sequence[str] | None = None, kind: Column | None = None) -> DataFrame:
+def _literal(v) -> str:
+    if v is None:
+        return "cast(null as string)"
+    return spark_quote(v) if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v)
+
+
+def _hits_text(tests: list[str], facts: list[dict]) -> Column:
+    """As :func:`_hits` for a large catalogue: one SQL expression, parsed once, instead of thousands of calls."""
+    numbered = ", ".join(f"CASE WHEN {t} THEN {i} END" for i, t in enumerate(tests, 1))
+    rows = ", ".join("named_struct(" + ", ".join(f"'{k}', {_literal(v)}" for k, v in f.items()) + ")" for f in facts)
+    return F.expr(f"transform(filter(array({numbered}), i -> i is not null), i -> element_at(array({rows}), i))")
+
+
+def scan_rules(df: DataFrame, rules: Sequence[Rule], text: str | dict[str, str], keep: list[str],
+               kinds: Sequence[str] | None = None, kind: str | None = None) -> DataFrame:
     """Evaluate every rule on every row in one narrow pass.
 
-    ``kinds`` opens further unit kinds beside those a rule names itself.
+    ``text`` names the column to search, or maps the names a rule uses to columns.  With ``kind``,
+    the column holding the unit kind, a rule only sees the kinds it names; ``kinds`` opens more.
     """
     tests = []
     for r in rules:
-        t = r.when.column(text)
+        t = r.when.spark(text)
         if kind is not None:
-            t = kind.isin(*set(r.kinds) | set(kinds or ())) & t
+            seen = ", ".join(spark_quote(k) for k in sorted({*r.kinds, *(kinds or ())}))
+            t = f"{kind} IN ({seen}) AND {t}"
         tests.append(t)
-    facts = F.array(*[F.struct(
-        F.lit(r.id).alias("rule_id"), F.lit(r.vuln_type).alias("vuln_type"), F.lit(r.category).alias("category"),
-        F.lit(r.severity).alias("severity"), F.lit(r.cwe).cast("string").alias("cwe"),
-        F.lit(r.confidence).cast("double").alias("rule_confidence"), F.lit(r.note).alias("note")) for r in rules])
-    return df.select(*keep, F.inline(_hits(tests, facts)))
+    facts = [{"rule_id": r.id, "vuln_type": r.vuln_type, "category": r.category, "severity": r.severity, "cwe": r.cwe,
+              "rule_confidence": -1.0 if r.confidence is None else r.confidence, "note": r.note} for r in rules]
+    out = df.select(*keep, F.inline(_hits_text(tests, facts)))
+    return out.withColumn("rule_confidence", F.nullif("rule_confidence", F.lit(-1.0)))
 
 
 def scan_lines(lines: DataFrame, rules: Sequence[LineRule], text: str, keep: list[str]) -> DataFrame:
     """One row per (rule, line) whose pattern occurs in the line."""
-    facts = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"),
-                               F.lit(r.severity).alias("severity"), F.lit(r.cwe).alias("cwe")) for r in rules])
-    return lines.select(*keep, F.inline(_hits([F.col(text).rlike(r.pattern) for r in rules], facts)))
+    facts = [{"rule_id": r.id, "category": r.category, "severity": r.severity, "cwe": r.cwe} for r in rules]
+    return lines.select(*keep, F.inline(_hits_text([f"rlike({text}, {spark_quote(r.pattern)})" for r in rules], facts)))
 
 
 def rules_sql(view: str, rules: Sequence[Rule], text: str | dict[str, str], keep: str) -> str:

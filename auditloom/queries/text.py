@@ -38,7 +38,7 @@ _PROSE_FACTS = ", ".join(
 def audit_documents(spark, sf):
     """Flagship: prose rules over whole documents, fingerprints, severity counts and risk per source."""
     docs = V.documents(spark, sf).select("doc_id", "source", "text")
-    hits = scan.scan_rules(docs, PROSE_RULES, F.col("text"), ["doc_id", "source"])
+    hits = scan.scan_rules(docs, PROSE_RULES, "text", ["doc_id", "source"])
     fp = hits.withColumn("fp", T.fingerprint(F.col("source"), F.col("doc_id"), F.col("rule_id")))
     n = lambda s: F.count_if(F.col("severity") == s)
     return fp.groupBy("source").agg(
@@ -64,7 +64,7 @@ FROM hits GROUP BY source""")
     f"SELECT doc_id, '{r.id}' AS rule_id, '{r.category}' AS category, {r.severity} AS severity FROM documents WHERE {r.when.sql('text')}"
     for r in PROSE_RULES) + ")")
 def _(spark, sf):
-    return scan.scan_rules(V.documents(spark, sf), PROSE_RULES, F.col("text"), KEEP).select(
+    return scan.scan_rules(V.documents(spark, sf), PROSE_RULES, "text", KEEP).select(
         "doc_id", "rule_id", "category", "severity")
 
 
@@ -128,23 +128,23 @@ def unit_text(spark, sf):
 @query("contract_rule_scan", with_sql(*FULL_SQL, STRIPPED_SQL, body=scan.rules_sql(
     "stripped", contract.UNIT_RULES, "code", "doc_id, unit_name, CAST(line_no AS INTEGER) AS line_no")))
 def _(spark, sf):
-    return scan.scan_rules(unit_text(spark, sf), contract.UNIT_RULES, F.col("code"), ["doc_id", "unit_name", "line_no"],
-                           kind=F.col("unit_kind")).select("doc_id", "unit_name", "line_no", "rule_id", "category", "severity")
+    return scan.scan_rules(unit_text(spark, sf), contract.UNIT_RULES, "code", ["doc_id", "unit_name", "line_no"],
+                           kind="unit_kind").select("doc_id", "unit_name", "line_no", "rule_id", "category", "severity")
 
 
 @query("extra_unit_rule_scan", with_sql(*FULL_SQL, STRIPPED_SQL, body=scan.rules_sql(
     "stripped", contract.EXTRA_UNIT_RULES, "code", "doc_id, unit_name, CAST(line_no AS INTEGER) AS line_no")))
 def _(spark, sf):
-    return scan.scan_rules(unit_text(spark, sf), contract.EXTRA_UNIT_RULES, F.col("code"), ["doc_id", "unit_name", "line_no"],
-                           kind=F.col("unit_kind")).select("doc_id", "unit_name", "line_no", "rule_id", "category", "severity")
+    return scan.scan_rules(unit_text(spark, sf), contract.EXTRA_UNIT_RULES, "code", ["doc_id", "unit_name", "line_no"],
+                           kind="unit_kind").select("doc_id", "unit_name", "line_no", "rule_id", "category", "severity")
 
 
 @query("struct_unit_rule_scan", with_sql(*UNITS_SQL, body=scan.rules_sql(
     "units", contract.UNIT_RULES, "code", "doc_id, unit_kind, unit_name, CAST(line_no AS INTEGER) AS line_no")))
 def _(spark, sf):
     units = S.segment_units(V.code(spark, sf), "content", KEEP)
-    return scan.scan_rules(units, contract.UNIT_RULES, F.col("code"), ["doc_id", "unit_kind", "unit_name", "line_no"],
-                           kinds=("struct",), kind=F.col("unit_kind")).select(
+    return scan.scan_rules(units, contract.UNIT_RULES, "code", ["doc_id", "unit_kind", "unit_name", "line_no"],
+                           kinds=("struct",), kind="unit_kind").select(
         "doc_id", "unit_kind", "unit_name", "line_no", "rule_id", "category", "severity")
 
 

@@ -1,8 +1,7 @@
 """Boolean formulas over a text column.
 
-A formula is plain data.  ``column`` turns it into one Column expression, so a whole catalogue
-is a single projection that stays inside the JVM; ``sql`` writes the same test as SQL text for
-use in a WHERE clause.
+A formula is plain data.  ``column`` turns it into a Column, ``spark`` into Spark SQL text (a whole
+catalogue becomes one expression in one call), ``sql`` into ANSI SQL text for other engines.
 """
 
 from __future__ import annotations
@@ -17,7 +16,14 @@ def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def spark_quote(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Test:
+    def spark(self, text: str) -> str:
+        raise NotImplementedError
+
     def column(self, text: Column) -> Column:
         raise NotImplementedError
 
@@ -46,6 +52,9 @@ class Has(Test):
     def sql(self, text):
         return f"contains({text}, {quote(self.token)})"
 
+    def spark(self, text):
+        return f"contains({text}, {spark_quote(self.token)})"
+
 
 @dataclass(frozen=True)
 class Matches(Test):
@@ -59,6 +68,9 @@ class Matches(Test):
     def sql(self, text):
         return f"regexp_matches({text}, {quote(self.pattern)})"
 
+    def spark(self, text):
+        return f"rlike({text}, {spark_quote(self.pattern)})"
+
 
 @dataclass(frozen=True)
 class Count(Test):
@@ -73,6 +85,9 @@ class Count(Test):
     def sql(self, text):
         return f"length({text}) - length(replace({text}, {quote(self.token)}, '')) >= {self.n * len(self.token)}"
 
+    def spark(self, text):
+        return f"length({text}) - length(replace({text}, {spark_quote(self.token)}, '')) >= {self.n * len(self.token)}"
+
 
 @dataclass(frozen=True)
 class AtLeast(Test):
@@ -87,6 +102,9 @@ class AtLeast(Test):
     def sql(self, text):
         return "(" + " + ".join(f"cast({p.sql(text)} as int)" for p in self.parts) + f") >= {self.n}"
 
+    def spark(self, text):
+        return "(" + " + ".join(f"cast({p.spark(text)} as int)" for p in self.parts) + f") >= {self.n}"
+
 
 @dataclass(frozen=True)
 class SomeLine(Test):
@@ -102,6 +120,10 @@ class SomeLine(Test):
         return (f"len(list_filter(string_split({text}, chr(10)), lambda l: regexp_matches(l, {quote(self.pattern)})"
                 f" AND NOT regexp_matches(l, {quote(self.comment)}))) > 0")
 
+    def spark(self, text):
+        return (f"exists(split({text}, '\\n'), l -> rlike(l, {spark_quote(self.pattern)})"
+                f" AND NOT rlike(l, {spark_quote(self.comment)}))")
+
 
 @dataclass(frozen=True)
 class All(Test):
@@ -113,6 +135,9 @@ class All(Test):
     def sql(self, text):
         return "(" + " AND ".join(p.sql(text) for p in self.parts) + ")"
 
+    def spark(self, text):
+        return "(" + " AND ".join(p.spark(text) for p in self.parts) + ")"
+
 
 @dataclass(frozen=True)
 class Any(Test):
@@ -124,6 +149,9 @@ class Any(Test):
     def sql(self, text):
         return "(" + " OR ".join(p.sql(text) for p in self.parts) + ")"
 
+    def spark(self, text):
+        return "(" + " OR ".join(p.spark(text) for p in self.parts) + ")"
+
 
 @dataclass(frozen=True)
 class Not(Test):
@@ -135,6 +163,9 @@ class Not(Test):
     def sql(self, text):
         return f"(NOT {self.part.sql(text)})"
 
+    def spark(self, text):
+        return f"(NOT {self.part.spark(text)})"
+
 
 @dataclass(frozen=True)
 class On(Test):
@@ -149,6 +180,9 @@ class On(Test):
     def sql(self, text):
         return self.part.sql(text[self.name])
 
+    def spark(self, text):
+        return self.part.spark(text[self.name])
+
 
 @dataclass(frozen=True)
 class Equals(Test):
@@ -160,6 +194,9 @@ class Equals(Test):
     def sql(self, text):
         return f"{text} = {quote(self.value) if isinstance(self.value, str) else str(self.value).lower()}"
 
+    def spark(self, text):
+        return f"{text} = {spark_quote(self.value) if isinstance(self.value, str) else str(self.value).lower()}"
+
 
 @dataclass(frozen=True)
 class OneOf(Test):
@@ -171,6 +208,9 @@ class OneOf(Test):
     def sql(self, text):
         return f"{text} IN ({', '.join(quote(v) for v in self.values)})"
 
+    def spark(self, text):
+        return f"{text} IN ({', '.join(spark_quote(v) for v in self.values)})"
+
 
 @dataclass(frozen=True)
 class ListHas(Test):
@@ -184,6 +224,9 @@ class ListHas(Test):
     def sql(self, text):
         return f"list_contains({text}, {quote(self.value)})"
 
+    def spark(self, text):
+        return f"array_contains({text}, {spark_quote(self.value)})"
+
 
 @dataclass(frozen=True)
 class SizeAtMost(Test):
@@ -195,6 +238,9 @@ class SizeAtMost(Test):
     def sql(self, text):
         return f"len({text}) <= {self.n}"
 
+    def spark(self, text):
+        return f"size({text}) <= {self.n}"
+
 
 def any_of(*tokens: str) -> Test:
     return Any(tuple(Has(t) for t in tokens))

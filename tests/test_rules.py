@@ -56,7 +56,7 @@ def hits(spark):
     files = spark.createDataFrame(rows, "path string, content string")
     units = S.attach_context(files, "content", ["path"]).withColumn("code", strip_comments(F.col("code")))
     out = {name: [] for name, _ in rows}
-    for r in scan.scan_rules(units, contract.UNIT_RULES, F.col("code"), ["path"], kind=F.col("unit_kind")).collect():
+    for r in scan.scan_rules(units, contract.UNIT_RULES, "code", ["path"], kind="unit_kind").collect():
         out[r.path].append(r)
     return out
 
@@ -78,14 +78,14 @@ def test_catalogue_is_complete():
 
 def test_struct_units_need_opening(spark):
     units = spark.createDataFrame([("struct", RAW_AUTHORITY + "fn ")], "unit_kind string, code string")
-    closed = scan.scan_rules(units, contract.UNIT_RULES, F.col("code"), [], kind=F.col("unit_kind"))
-    opened = scan.scan_rules(units, contract.UNIT_RULES, F.col("code"), [], kinds=("struct",), kind=F.col("unit_kind"))
+    closed = scan.scan_rules(units, contract.UNIT_RULES, "code", [], kind="unit_kind")
+    opened = scan.scan_rules(units, contract.UNIT_RULES, "code", [], kinds=("struct",), kind="unit_kind")
     assert closed.count() == 0 and opened.count() > 0
 
 
 def test_result_does_not_depend_on_partitions(spark):
     files = spark.createDataFrame([(f"f{i}", c[1]) for i, c in enumerate(CASES)], "path string, content string")
-    run = lambda n: sorted(map(tuple, scan.scan_rules(S.attach_context(files.repartition(n), "content", ["path"]), contract.UNIT_RULES, F.col("code"), ["path"]).collect()), key=str)
+    run = lambda n: sorted(map(tuple, scan.scan_rules(S.attach_context(files.repartition(n), "content", ["path"]), contract.UNIT_RULES, "code", ["path"]).collect()), key=str)
     assert run(1) == run(7)
 
 

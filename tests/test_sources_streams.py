@@ -79,7 +79,7 @@ def test_user_signal_and_rule(spark):
     reg.register_rule(Rule("U-1", "User", "User", 3, None, Has("bad")))
     files = spark.createDataFrame([("a.rs", "bad"), ("b.txt", "bad")], "path string, content string")
     from auditloom.operators.scan import scan_rules
-    reg.register_analyzer("mine", lambda f: scan_rules(f, reg.rules, F.col("content"), ["path"]), F.endswith("path", F.lit(".rs")))
+    reg.register_analyzer("mine", lambda f: scan_rules(f, reg.rules, "content", ["path"]), F.endswith("path", F.lit(".rs")))
     reg.register_analyzer("broken", lambda f: f.select("no_such_column"))
     out = reg.run(files)
     assert [(r.engine, r.path, r.severity) for r in out.collect()] == [("mine", "a.rs", 3)] and "broken" in reg.failed
