@@ -37,14 +37,16 @@ def enrich(df: DataFrame) -> DataFrame:
 def drop_mirrors(df: DataFrame, by: list[str], proven: str = "KANI-", mirrored: str = "SEC3-") -> DataFrame:
     """Drop rows of one engine that restate a property another engine already reports.
 
-    The property of a mirrored row is its instruction without ``proof_``; only its distinct
-    values are shuffled for the anti join.
+    The property of a mirrored row is its instruction without ``proof_``; of the other engine only
+    the distinct properties are shuffled.  Rows that cannot be mirrors get keys of their own that
+    match nothing, so they spread evenly instead of meeting at a null key.
     """
     props = df.where(F.startswith("finding_id", F.lit(proven))).select(
         *by, F.lower(F.substring("finding_id", len(proven) + 1, 1000)).alias("_prop")).distinct()
     instr = F.lower("instruction")
     key = F.when(F.startswith("finding_id", F.lit(mirrored)) & F.startswith(instr, F.lit("proof_")), F.substring(instr, 7, 1000))
-    return df.withColumn("_prop", key).join(props, [*by, "_prop"], "left_anti").drop("_prop")
+    own = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("finding_id", "seq"), F.lit(4096)).cast("string"))
+    return df.withColumn("_prop", F.coalesce(key, own)).join(props, [*by, "_prop"], "left_anti").drop("_prop")
 
 
 def drop_synthetic(df: DataFrame) -> DataFrame:
@@ -143,7 +145,10 @@ def critical_path(df: DataFrame, by: list[str], n: int = 5) -> DataFrame:
 
 
 def query_findings(df: DataFrame, severity: str | None = None, category: str | None = None, text: str | None = None) -> DataFrame:
-    """Interactive filter: severity by label or priority, category and free text by substring."""
+    """Interactive filter: severity by label or priority, category and free text by substring.
+
+    The sort has an id behind the severity: five severities alone would make five sort ranges.
+    """
     out = df
     if severity:
         out = out.where((F.lower("severity_label") == severity.lower()) | (F.lower("priority") == severity.lower()))
@@ -152,7 +157,7 @@ def query_findings(df: DataFrame, severity: str | None = None, category: str | N
     if text:
         hay = [F.contains(F.lower(c), F.lit(text.lower())) for c in ("vuln_type", "description", "finding_id")]
         out = out.where(hay[0] | hay[1] | hay[2])
-    return out.orderBy(F.desc("severity"))
+    return out.orderBy(F.desc("severity"), F.asc("finding_id"))
 
 
 def apply_config(df: DataFrame, min_severity: int = 1, allow: list[str] | None = None, deny: list[str] | None = None,

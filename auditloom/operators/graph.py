@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.plans.fixpoint import closure
 from auditloom.plans.lineage import cut, cut_bucketed, cut_counted
-from auditloom.plans.skew import hot_keys, replicated, with_salt
+from auditloom.plans.skew import hot_keys, replicated, salted_join, with_salt
 
 SEP = ">"
 
@@ -116,7 +116,8 @@ def field_taint(uses: DataFrame, taints: DataFrame, keep: list[str]) -> DataFram
     parts = F.split("path", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
     known = taints.select(F.col("path").alias("_at"), "label").distinct()
-    return uses.select(*keep, "path", F.explode(prefixes).alias("_at")).join(known, "_at").select(*keep, "path", "label").distinct()
+    asked = uses.select(*keep, "path").distinct().select(*keep, "path", F.explode(prefixes).alias("_at"))
+    return salted_join(asked, known, ["_at"], [*keep, "path"]).select(*keep, "path", "label").distinct()
 
 
 def path_taint(uses: DataFrame, states: DataFrame, keep: list[str]) -> DataFrame:
@@ -124,7 +125,8 @@ def path_taint(uses: DataFrame, states: DataFrame, keep: list[str]) -> DataFrame
     c = F.col("conditions")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(c)), lambda n: F.array_join(F.slice(c, F.lit(1), n), "&"))
     known = states.select("var", F.array_join("conditions", "&").alias("_at"), "label").distinct()
-    return uses.select(*keep, "var", F.explode(prefixes).alias("_at")).join(known, ["var", "_at"]).select(*keep, "var", "label").distinct()
+    asked = uses.select(*keep, "var", "conditions").distinct().select(*keep, "var", "conditions", F.explode(prefixes).alias("_at"))
+    return salted_join(asked, known, ["var", "_at"], [*keep, "conditions"]).select(*keep, "var", "label").distinct()
 
 
 def reaching_defs(edges: DataFrame, defs: DataFrame, max_rounds: int = 1000) -> DataFrame:

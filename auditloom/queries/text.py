@@ -275,10 +275,10 @@ def _(spark, sf):
         ("division before multiplication", r" / .* \* |\([^()]* / [^()]*\) \* ", 4), ("precision loss", " / ", 3),
         ("narrowing cast", r"\bas (u64|u32|u8)\b", 3))])))
 def _(spark, sf):
-    lines = S.explode_lines(V.code(spark, sf), "content", KEEP)
     facts = S.manifest_facts(V.manifests(spark, sf), "content", KEEP)
-    joined = lines.join(facts, "doc_id", "left")
-    return S.scan_arithmetic(joined, ["doc_id", "line_no"], F.coalesce(F.col("overflow_checks"), F.lit(False)))
+    files = V.code(spark, sf).join(facts, "doc_id", "left")
+    lines = S.explode_lines(files, "content", ["doc_id", "overflow_checks"])
+    return S.scan_arithmetic(lines, ["doc_id", "line_no"], F.coalesce(F.col("overflow_checks"), F.lit(False)))
 
 
 @query("manifest_facts", with_sql(V.MANIFEST_SQL, body=r"""

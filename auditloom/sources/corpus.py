@@ -11,16 +11,18 @@ def read_corpus(spark: SparkSession, root: str | list[str], ext: str = "rs", max
                 max_files: int | None = None) -> DataFrame:
     """One row per file of a tree: repo (first folder below root), path, content, size.
 
-    The size test is on file metadata, so large files are not read.
+    The size test is on file metadata, so large files are not read.  Roots inside other roots are
+    left out, so no file comes twice and file contents need no shuffle.
     """
-    roots = [root] if isinstance(root, str) else root
+    given = sorted({r.rstrip("/") for r in ([root] if isinstance(root, str) else root)})
+    roots = [r for r in given if not any(r.startswith(o + "/") for o in given)]
     df = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", True)
           .load(roots).where(F.col("length") <= max_bytes))
     rel = F.col("path")
     for r in roots:
         rel = F.regexp_replace(rel, r"^[a-z0-9]+:/*" + r.rstrip("/").lstrip("/") + "/", "")
     out = df.select(F.split(rel, "/")[0].alias("repo"), F.col("path"), F.decode("content", "utf-8").alias("content"),
-                    F.col("length").alias("size")).dropDuplicates(["path"])
+                    F.col("length").alias("size"))
     return out.orderBy("path").limit(max_files) if max_files is not None else out
 
 

@@ -18,6 +18,7 @@ def test_corpus(spark, tmp_path):
     got = {r.repo: r.content for r in read_corpus(spark, str(tmp_path), max_bytes=1000).collect()}
     assert got == {"r1": "fn a() {}", "r2": "ä"}
     assert read_corpus(spark, str(tmp_path), max_files=1).count() == 1
+    assert read_corpus(spark, [str(tmp_path), str(tmp_path / "r1")]).count() == 3
 
 
 def test_reports(spark, tmp_path):
