@@ -214,10 +214,11 @@ KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
 def line_id() -> Column:
-    return F.concat_ws("-", *[F.col(c).cast("string") for c in LINE_KEYS])
+    """Identity of a line item: its keys and its price in cents."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in LINE_KEYS], F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
 
 
-LINE_ID_SQL = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+LINE_ID_SQL = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT)"
 
 
 def choose(values: tuple[str, ...], n: Column) -> Column:
