@@ -6,8 +6,8 @@ shuffle, and writes every round to the shared checkpoint folder.  Hub nodes are
 
 from __future__ import annotations
 
-from math import cos, sin
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.plans.fixpoint import closure
@@ -200,36 +200,46 @@ def _project(v: Column) -> list[Column]:
     return [dot(F.cos).alias("c"), dot(F.sin).alias("s")]
 
 
-def _total(parts: list[Column]) -> Column:
-    """Sum as a balanced tree, which keeps the generated code shallow."""
-    while len(parts) > 1:
-        parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + ([parts[-1]] if len(parts) % 2 else [])
-    return parts[0]
+def _vector_udfs():
+    """Arrow functions on a node's two sums ``c, s``.
 
+    They stand for 64 values, the ReLU of a linear map with weights sin((i+j)/10)*scale; as
+    sin(a+b) = sin(a)cos(b) + cos(a)sin(b), the 64x64 map depends on nothing else.  The functions
+    are built here, as closures, so workers need no copy of this package.
+    """
+    step = np.arange(DIM) * _ANGLE
+    sin, cos, scale = np.sin(step), np.cos(step), _SCALE
 
-def embedding() -> list[Column]:
-    """The 64 values a node's ``c, s`` stand for: ReLU of the linear map with weights sin((i+j)/10)*scale.
+    def values(c, s):
+        return np.maximum(0.0, (np.outer(c, sin) + np.outer(s, cos)) * scale)
 
-    sin(a+b) = sin(a)cos(b) + cos(a)sin(b), so the 64x64 map only depends on two sums.  The values
-    are plain arithmetic on two columns and stay inside generated code; no array is built.
-    """
-    return [F.greatest(F.lit(0.0), F.col("c") * (sin(i * _ANGLE) * _SCALE) + F.col("s") * (cos(i * _ANGLE) * _SCALE)) for i in range(DIM)]
+    def next_sums(c: pd.Series, s: pd.Series) -> pd.DataFrame:
+        v = values(c, s)
+        return pd.DataFrame({"c": v @ cos, "s": v @ sin})
+
+    def embedding(c: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series(list(values(c, s)))
+
+    def rms(c: pd.Series, s: pd.Series, mean: pd.Series) -> pd.Series:
+        off = values(c, s) - np.vstack(mean.to_numpy())
+        return pd.Series(np.sqrt((off * off).mean(axis=1)))
+
+    return (F.pandas_udf(next_sums, "struct<c:double,s:double>"), F.pandas_udf(embedding, "array<double>"), F.pandas_udf(rms, "double"))
 
 
 def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> DataFrame:
     """Nodes after rounds of (in-neighbour sum + 2 x self) -> linear map -> ReLU.
 
     ``nodes(func, node, features)`` with up to 64 features, ``edges(func, src, dst)``.  Because the
-    map has rank two, a node's embedding is given by two sums ``c, s`` (see :func:`embedding`), and
+    map has rank two, a node's embedding is given by two sums ``c, s`` (see :func:`_vector_udfs`), and
     two numbers per edge are shuffled instead of sixty-four.
     """
+    next_sums, _, _ = _vector_udfs()
     cur = nodes.select("func", "node", *_project(F.col("features")))
     for r in range(rounds):
         if r:
             # both branches below read the round's result; it is two numbers per node
-            e = embedding()
-            cur = cut(cur.select("func", "node", _total([x * cos(i * _ANGLE) for i, x in enumerate(e)]).alias("c"),
-                                 _total([x * sin(i * _ANGLE) for i, x in enumerate(e)]).alias("s")))
+            cur = cut(cur.select("func", "node", next_sums("c", "s").alias("p")).select("func", "node", "p.c", "p.s"))
         own = cur.select("func", "node", (F.col("c") * 2).alias("c"), (F.col("s") * 2).alias("s"))
         sent = cur.withColumnRenamed("node", "src").join(edges.select("func", "src", "dst"), ["func", "src"]).select(
             "func", F.col("dst").alias("node"), "c", "s")
@@ -245,12 +255,12 @@ def rms_outliers(nodes: DataFrame, threshold: float | None = 0.7, min_nodes: int
     Graphs below ``min_nodes`` are skipped.  The node table is small (two sums per node), so it is
     kept once and expanded where needed.
     """
+    _, embedding, rms = _vector_udfs()
     kept = cut(nodes)
-    e = embedding()
-    means = kept.groupBy("func").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"m{i}") for i, x in enumerate(e)])
-    means = means.where(F.col("n") >= min_nodes)
-    off = [x - F.col(f"m{i}") / F.col("n") for i, x in enumerate(e)]
-    out = kept.join(means, "func").select("func", "node", F.sqrt(_total([d * d for d in off]) / DIM).alias("deviation"))
+    means = kept.select("func", embedding("c", "s").alias("e")).groupBy("func").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.get("e", F.lit(i))).alias(f"m{i}") for i in range(DIM)])
+    means = means.where(F.col("n") >= min_nodes).select("func", F.array(*[F.col(f"m{i}") / F.col("n") for i in range(DIM)]).alias("mean"))
+    out = kept.join(means, "func").select("func", "node", rms("c", "s", "mean").alias("deviation"))
     return out if threshold is None else out.where(F.col("deviation") > threshold)
 
 

@@ -6,11 +6,9 @@ rows; in batch the same windows are plain aggregates with a map-side part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from auditloom.plans.series import framed, previous, with_position
 
@@ -63,26 +61,34 @@ METRICS_SCHEMA = "validator string, ts timestamp, skip_pct double, stress_pct do
 STATE_SCHEMA = "recent array<double>"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Ten floats of state per validator: the last samples' transactions per slot."""
-    recent = list(state.get[0]) if state.exists else []
-    for pdf in batches:
+def _advancer():
+    """State function: ten floats per validator, the last samples' transactions per slot.
+
+    Built as a closure, so workers need no copy of this package.
+    """
+    frame, recent_n, expected, peak, per_tx, cap = SKIP_FRAME, STRESS_FRAME, EXPECTED_PER_SLOT, PEAK_PER_SLOT, LAG_MS_PER_TX, float(LAG_CAP)
+
+    def advance(key, batches, state):
+        seen = list(state.get[0]) if state.exists else []
+        # a trigger's rows of one validator may come in several Arrow batches; order needs all of them
+        pdf = pd.concat(list(batches)).sort_values("ts")
         rows = []
-        for r in pdf.sort_values("ts").itertuples(index=False):
-            recent = (recent + [r.num_transactions / r.num_slots if r.num_slots else 0.0])[-SKIP_FRAME:]
-            last = recent[-STRESS_FRAME:]
-            rows.append((key[0], r.ts, max(0.0, (EXPECTED_PER_SLOT - sum(recent) / len(recent)) / EXPECTED_PER_SLOT * 100),
-                         min(100.0, sum(last) / len(last) / PEAK_PER_SLOT * 100),
-                         min(float(LAG_CAP), r.num_non_vote_transactions / r.num_slots * LAG_MS_PER_TX) if r.num_slots else 0.0,
+        for r in pdf.itertuples(index=False):
+            seen = (seen + [r.num_transactions / r.num_slots if r.num_slots else 0.0])[-frame:]
+            last = seen[-recent_n:]
+            rows.append((key[0], r.ts, max(0.0, (expected - sum(seen) / len(seen)) / expected * 100), min(100.0, sum(last) / len(last) / peak * 100),
+                         min(cap, r.num_non_vote_transactions / r.num_slots * per_tx) if r.num_slots else 0.0,
                          r.num_transactions / r.sample_period_secs if r.sample_period_secs else 0.0))
+        state.update((seen,))
         yield pd.DataFrame(rows, columns=["validator", "ts", "skip_pct", "stress_pct", "lag_ms", "tps"])
-    state.update((recent,))
+
+    return advance
 
 
 def validator_metrics_stream(samples: DataFrame) -> DataFrame:
     """Streaming twin of :func:`validator_metrics`: one small state per validator."""
     return samples.groupBy("validator").applyInPandasWithState(
-        _advance, METRICS_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _advancer(), METRICS_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 #: Metric -> thresholds of Medium, High, Critical.
