@@ -34,6 +34,14 @@ def enrich(df: DataFrame) -> DataFrame:
     return out
 
 
+def join_dimension(df: DataFrame, dim: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Attach columns of a dimension (advice, owners, costs) with one row per key; unknown keys get nulls.
+
+    Whether the dimension is broadcast is decided by its measured size.
+    """
+    return df.join(dim.select(key, *columns), key, "left")
+
+
 def drop_mirrors(df: DataFrame, by: list[str], proven: str = "KANI-", mirrored: str = "SEC3-") -> DataFrame:
     """Drop rows of one engine that restate a property another engine already reports.
 

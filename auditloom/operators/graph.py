@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.plans.fixpoint import closure
-from auditloom.plans.lineage import cut, cut_bucketed, cut_counted
+from auditloom.plans.lineage import cut, cut_bucketed, cut_counted, forget
 from auditloom.plans.skew import hot_keys, replicated, salted_join, with_salt
 
 SEP = ">"
@@ -25,11 +25,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> Data
     sources, if there are any, are salted first.
     """
     keys = ["src"]
-    table = cut_bucketed(edges.select("src", "dst"), keys)
+    table, name = cut_bucketed(edges.select("src", "dst"), keys)
+    names = [name]
     hubs, n_hubs = cut_counted(hot_keys(table, ["src"]))
     if n_hubs:
         keys = ["src", "salt"]
-        table = cut_bucketed(with_salt(table, hubs, ["src"], ["dst"]), keys)
+        table, name = cut_bucketed(with_salt(table, hubs, ["src"], ["dst"]), keys)
+        names.append(name)
 
     def step(front: DataFrame) -> DataFrame:
         f = front.withColumnRenamed("node", "src")
@@ -38,7 +40,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> Data
                 .agg(F.min(F.col("depth") + 1).alias("depth"), F.min(F.concat("path", F.lit(SEP), "dst")).alias("path")))
 
     start = seeds.select("label", "node").distinct().select("label", "node", F.lit(0).alias("depth"), F.col("node").alias("path"))
-    return closure(start, step, ["label", "node"], max_rounds)
+    found = closure(start, step, ["label", "node"], max_rounds)
+    forget(edges.sparkSession, names)
+    return found
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:

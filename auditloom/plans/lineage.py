@@ -40,11 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """As :func:`cut`, stored in buckets of ``keys``: later joins on exactly these keys do not shuffle it."""
+def cut_bucketed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """As :func:`cut`, stored in buckets of ``keys``: later joins on exactly these keys do not shuffle it.
+
+    Also returns the catalog name, to be given to :func:`forget` when no plan needs the table.
+    """
     spark = df.sparkSession
     ident = f"auditloom_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{ident}")
      .format("parquet").saveAsTable(ident))
-    return spark.table(ident)
+    return spark.table(ident), ident
+
+
+def forget(spark: SparkSession, names: list[str]) -> None:
+    """Remove bucketed tables from the catalog; their files stay in the shared folder."""
+    for n in names:
+        spark.sql(f"DROP TABLE IF EXISTS {n}")

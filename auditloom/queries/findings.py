@@ -45,6 +45,13 @@ def _(spark, sf):
     return V.findings(spark, sf).select("seq", LB.lookup(T.taxonomy(F.col("vuln_type"), F.col("category")), LB.CATEGORY_CWE).alias("cwe"))
 
 
+@query("dimension_join", with_sql(FINDINGS_SQL, body="""SELECT seq, s_name AS owner, coalesce(s_nationkey, -1) AS unit FROM findings_v LEFT JOIN supplier ON s_suppkey = user_id"""))
+def _(spark, sf):
+    dim = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("owner"), F.col("s_nationkey").alias("unit"))
+    return FN.join_dimension(V.findings(spark, sf), dim, "user_id", ["owner", "unit"]).select(
+        "seq", "owner", F.coalesce("unit", F.lit(-1)).alias("unit"))
+
+
 @query("evidence_confidence", with_sql(FINDINGS_SQL, body="""
 SELECT seq, CAST(least(99, greatest(0, CASE severity WHEN 5 THEN 80 WHEN 4 THEN 70 WHEN 3 THEN 60 WHEN 2 THEN 50 ELSE 40 END
   + CASE WHEN line_number > 0 THEN 8 ELSE 0 END + 5
