@@ -181,16 +181,16 @@ UNIT_RULES: tuple[Rule, ...] = (
 
 #: Further unit rules: raw memory and call order (F25) and guard tokens (F14).
 EXTRA_UNIT_RULES: tuple[Rule, ...] = (
-    Rule("WACANA-CAST", "Narrowing Cast On Amount", "Integer Overflow", 4, "CWE-190",
+    Rule("UNIT-CAST", "Narrowing Cast On Amount", "Integer Overflow", 4, "CWE-190",
          Has("as u64") & any_of("amount", "balance", "lamports") & none_of("checked_", "saturating_")),
-    Rule("WACANA-DESER", "Deserialize Without Validation", "Uninitialized Data", 4, "CWE-665",
+    Rule("UNIT-DESER", "Deserialize Without Validation", "Uninitialized Data", 4, "CWE-665",
          any_of("try_from_slice", "unpack") & none_of("validate", "is_initialized")),
-    Rule("WACANA-MEM", "Raw Memory Copy Without Bounds", "Memory Safety", 5, "CWE-119",
+    Rule("UNIT-MEM", "Raw Memory Copy Without Bounds", "Memory Safety", 5, "CWE-119",
          any_of("unsafe", "ptr::") & any_of("copy", "write_bytes", "read_unaligned") & none_of("len()", "bounds")),
-    Rule("WACANA-ORDER", "Call Followed By Write", "Reentrancy Pattern", 4, "CWE-841",
+    Rule("UNIT-ORDER", "Call Followed By Write", "Reentrancy Pattern", 4, "CWE-841",
          all_of("invoke", "program_id") & none_of("reentrancy", "is_locked", "guard")
          & Matches("(?s)invoke.*(serialize|pack_into|borrow_mut)")),
-    Rule("WACANA-EXT", "Unchecked External Data", "Unchecked External Data", 4, "CWE-20",
+    Rule("UNIT-EXT", "Unchecked External Data", "Unchecked External Data", 4, "CWE-20",
          any_of("account_info", "AccountInfo") & Has("data") & any_of("memcpy", "copy_from_slice")
          & none_of("check", "validate")),
     Rule("REEN-UNGUARDED", "Unguarded CPI", "Reentrancy", 4, "CWE-841",
