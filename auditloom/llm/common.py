@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters worked on at once inside a task; one text above it is a piece of its own.
@@ -29,11 +33,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name))
+        _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batch: pa.RecordBatch, text: str, size: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``size`` bytes of text, so that working memory stays bounded."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
@@ -60,7 +81,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, work: Call
                 made = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(work(texts), new.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols + made, names=keep + list(new))
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, full)
+    return map_arrow(df.select(*dict.fromkeys([*keep, text])), run, full)
 
 
 def _types(schema: str) -> dict[str, pa.DataType]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import quality
+from auditloom.llm import bpe, quality, token_counts
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
+#: Vocabulary files.
+RANKS, MERGES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
 AREA = Area()
 QUERIES, ORACLE = AREA.queries, AREA.oracle
 
@@ -17,3 +21,17 @@ def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, n = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
     return out.select("doc_id", *[F.col(n[c]).alias(c) for c in cols])
+
+
+@AREA.query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, ["doc_id"])
+    both = bpe.decode(ids, RANKS, ["doc_id", "ids"])
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@AREA.query("op6_prefix_token_counts")
+def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (token_counts.count_tokens(table(spark, sf_dir, "documents"), MERGES, ["doc_id"], budget=1024)
+            .withColumn("over_limit", F.col("n_tokens") > 1024))
