@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, quality, token_counts
+from auditloom.llm import bpe, contamination, quality, token_counts
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -35,3 +35,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (token_counts.count_tokens(table(spark, sf_dir, "documents"), MERGES, ["doc_id"], budget=1024)
             .withColumn("over_limit", F.col("n_tokens") > 1024))
+
+
+@AREA.query("op10_fm_index")
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, (n_words, hits, items) = contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id", F.col(n_words).alias("n_words"), contamination.n_hit(hits).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array(items), ",").cast("binary"), 256).alias("items_sha256"),
+        contamination.contaminated(n_words, hits).alias("contaminated"))
