@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, contamination, quality, token_counts
+from auditloom.llm import bpe, contamination, neardup, quality, token_counts
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -44,3 +44,9 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col(n_words).alias("n_words"), contamination.n_hit(hits).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(items), ",").cast("binary"), 256).alias("items_sha256"),
         contamination.contaminated(n_words, hits).alias("contaminated"))
+
+
+@AREA.query("op7_prob_minhash")
+def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, cls = neardup.with_class(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", F.col(cls).alias("class_id"))
