@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, contamination, neardup, quality, token_counts
+from auditloom.llm import bpe, contamination, neardup, quality, token_counts, toxicity
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -50,3 +50,17 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, cls = neardup.with_class(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", F.col(cls).alias("class_id"))
+
+
+def fold(column: str, n: int):
+    """crc32 of an id as text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+@AREA.query("op4_bigru_toxicity")
+def op4_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    net = toxicity.fit(toxicity.sample(docs, labels))
+    return toxicity.score(docs, net, ["doc_id"]).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
