@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, contamination, neardup, quality, token_counts, toxicity
+from auditloom.llm import bpe, contamination, langid, neardup, quality, token_counts, toxicity
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -53,14 +53,21 @@ def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(column: str, n: int):
-    """crc32 of an id as text, modulo n."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of an id as text, modulo n; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
 
 
 @AREA.query("op4_bigru_toxicity")
 def op4_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) > 0)
     net = toxicity.fit(toxicity.sample(docs, labels))
     return toxicity.score(docs, net, ["doc_id"]).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@AREA.query("op8_hyperdimensional_language")
+def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 3).isin(0, 2)))
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
