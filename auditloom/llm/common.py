@@ -86,7 +86,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, work: Call
 
 def _types(schema: str) -> dict[str, pa.DataType]:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
-             "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "float": pa.float32()}
+             "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "float": pa.float32()}
     return {n: kinds[k] for n, k in (x.split() for x in schema.split(", "))}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, contamination, langid, neardup, quality, token_counts, toxicity
+from auditloom.llm import bpe, contamination, langid, neardup, pii, quality, token_counts, toxicity
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -71,3 +71,13 @@ def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold("doc_id", 3).isin(0, 2)))
     return langid.identify(docs, model, ["doc_id"]).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@AREA.query("op3_skip_chain_pii")
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.spans(docs, pii.learn(docs), ["doc_id"])
+    number = lambda kind: F.size(F.filter("base", lambda x: x.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(number, pii.KINDS),
+        F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
