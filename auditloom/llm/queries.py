@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, contamination, langid, neardup, pii, quality, token_counts, toxicity
+from auditloom.llm import bpe, contamination, langid, neardup, pii, quality, token_counts, toxicity, urls
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -52,6 +52,10 @@ def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(cls).alias("class_id"))
 
 
+#: Verdict, host, path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
 def fold(column: str, n: int):
     """crc32 of an id as text, modulo n; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
@@ -81,3 +85,9 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *map(number, pii.KINDS),
         F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
+@AREA.query("op1_link_propagation")
+def op1_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, n = urls.judge(table(spark, sf_dir, "pages"), URL_RULES, ["page_id"])
+    return out.select("page_id", *[F.col(n[c]).alias(c) for c in ("host", "path", "rule", "verdict", "trust", "distrust")])
