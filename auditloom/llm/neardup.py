@@ -7,10 +7,10 @@ to a random register, which keeps the earliest.  A shingle stops as soon as its
 any register of its text.  Two registers agree with the probability Jaccard similarity of the weights.
 
 Equal texts form one class from the start and only one of them goes on.  Registers are hashed
-in bands; texts that share a band are candidates.  In every band bucket all are first compared with
-one of them, so a bucket of n texts makes n rows.  Confirmed links join classes.  Where a bucket still holds
-texts of different classes, all pairs across these classes that were not compared yet are, so that no
-link in any bucket is lost, whatever its size.  A link is confirmed by the exact Jaccard similarity of the
+in bands; texts that share a band are candidates.  In every band bucket all are first compared with its
+centre, so a bucket of n texts makes n rows.  Confirmed links join classes.  Where a bucket still holds
+texts of different classes, all similar pairs across these classes are found by a prefix join of their
+shingles, so that no link in any bucket is lost, whatever its size.  A link is confirmed by the exact Jaccard similarity of the
 shingle sets, read from the texts again.  A class is a connected component of links.
 
 Defined cases: null, empty and blank texts have no shingle and are classes of their own; a text of any
@@ -33,6 +33,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 PIECE = 1 << 21
+#: Slots of the filter before texts move: a bound on what is broadcast, not on what is found.
+NARROW = 1 << 20
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -165,6 +167,50 @@ def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "text_a", "text_b"), run, "a binary, b binary, similarity double")
 
 
+def possible(texts: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of texts with different roots that may be similar: all that are, and few others.
+
+    ``texts``: key, root, text.  Shingles are put in one order for all texts, the rarer first.  Of two similar
+    texts, the first shingle they have in common stands so early in both that enough can follow; so only the early
+    part of each text is joined, and only where enough can follow.  The order uses counts in ``NARROW`` slots;
+    any order gives all similar pairs.
+    """
+    slots = np.uint64(NARROW)
+
+    def count(batches):
+        total = np.zeros(NARROW, np.int64)
+        for b in batches:
+            for p in pieces(b, "text", PIECE):
+                total += np.bincount((shingles(p.column("text").cast(pa.binary()).to_pylist())[0] % slots).astype(np.int64), minlength=NARROW)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["slot", "n"])
+
+    found = map_arrow(texts.select("text"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").cast("int").alias("n")).toPandas()
+    often = np.zeros(NARROW, np.int32)
+    often[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int32)
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
+    def early(batches):
+        for b in batches:
+            for p in pieces(b, "text", PIECE):
+                h, doc, _ = shingles(p.column("text").cast(pa.binary()).to_pylist())
+                order = np.lexsort((h, sent.value[(h % slots).astype(np.int64)], doc))
+                h, doc = h[order], doc[order]
+                size = np.bincount(doc, minlength=p.num_rows)
+                at = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
+                keep = size[doc] - at >= similar * size[doc] - 1e-9
+                row = pa.array(doc[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [p.column("key").take(row), p.column("root").take(row), pa.array(h[keep].view(np.int64)), pa.array((size[doc] - at)[keep].astype(np.int32)),
+                     pa.array(size[doc][keep].astype(np.int32))], names=["key", "root", "h", "rest", "size"])
+
+    part = map_arrow(texts.select("key", "root", "text"), early, "key binary, root binary, h long, rest int, size int")
+    x, y = (part.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "rest", "size")]) for side in "ab")
+    enough = F.least("rest_a", "rest_b") >= similar / (1 + similar) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    return (x.join(y, "h").where((F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & enough)
+            .select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``key``, ``root``: smallest key of each component, for keys that have a link.
 
@@ -198,23 +244,28 @@ def classes(df: DataFrame, ids: str = "doc_id", text: str = "text", similar: flo
         signed(base, "id", "text").where(F.col("key").isNotNull())
         .groupBy("key").agg(F.min("id").alias("id"), F.min("bands").alias("bands")))
     rows = texts.select("key", F.explode("bands").alias("band"))
-    centre = rows.groupBy("band").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    shared = cut(rows.join(centre, "band"))
+    many = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(rows.join(many, "band"))
+    # A bucket's centre is the text that meets most others in all its buckets: most likely what they were copied from.
+    meets = shared.groupBy("key").agg(F.sum("n").alias("meets"))
+    centre = shared.select("band", "key").join(meets, "key").groupBy("band").agg(F.max(F.struct("meets", "key")).alias("c"))
+    shared = cut(shared.select("band", "key").join(centre, "band").select("band", F.col("c.key").alias("a"), "key"))
     stars = cut(shared.where("a <> key").select("a", F.col("key").alias("b")).distinct())
     ends = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
+    # Texts without a candidate stay where they are: at most NARROW slots say which slots hold an end.
+    slot = F.pmod(F.xxhash64("key"), F.lit(NARROW)).alias("slot")
+    narrow = F.broadcast(ends.select(slot).distinct())
     whole = cut(base.select(text_key(F.col("text")).alias("key"), "text").where(F.col("key").isNotNull())
+                .withColumn("slot", slot).join(narrow, "slot", "left_semi")
                 .groupBy("key").agg(F.min("text").alias("text")).join(ends, "key", "left_semi"))
     first = cut(confirmed(stars, whole))
     links = first.where(F.col("similarity") >= similar).select("a", "b")
     joined = cut(components(links))
-    # Buckets that still hold several classes: pairs across classes, except those compared with the centre.
+    # Buckets that still hold several classes: pairs across classes, found by what similar texts must have in common.
     placed = shared.select("band", "key").join(joined, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = placed.join(mixed, "band")
-    left, right = open_.toDF("band", "a", "root_a"), open_.toDF("band", "b", "root_b")
-    pairs = (left.join(right, "band").where("root_a < root_b")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    pairs, n = cut_counted(pairs)
+    open_ = cut(placed.join(mixed, "band").select("key", "root").distinct())
+    pairs, n = cut_counted(possible(whole.join(open_, "key"), similar))
     if n:
         more = confirmed(pairs, whole).where(F.col("similarity") >= similar).select("a", "b")
         joined = components(links.union(more))
