@@ -18,18 +18,17 @@ are read.  Rows with a null label or id are not learned from.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from auditloom.llm.common import map_arrow, map_texts, mix
+from auditloom.llm.bpe import spread
 from auditloom.llm.contamination import words
 
 WINDOW, STRIDE = 32, 24
 SAMPLE_ROWS, SAMPLE_WINDOWS = 1200, 24
-KNOWN_IN, CHAR_SLOTS, DIM, HIDDEN = 3, 1 << 16, 12, 8
+KNOWN_IN, CHAR_SLOTS, DIM, HIDDEN = 3, 1 << 18, 12, 8
 RUNS = (3, 4, 5)
 CACHE_WORDS = 150_000
 #: A word or run speaks for toxicity when it is in such a share of the toxic texts and by this log odds more often than in others.
@@ -64,38 +63,28 @@ def features(new: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.
     return np.fromiter((known.get(w, 0) for w in new), np.int64, len(new)), np.concatenate(slots)[order], np.bincount(of, minlength=len(new))
 
 
-def evidence(w: bytes) -> set[bytes]:
-    """What a word can show: itself, and its runs of characters."""
-    b = b"^" + w + b"$"
-    return {w, *(b[k:k + n] for n in RUNS for k in range(len(b) - n + 1))}
-
-
-def run_slot(run: bytes) -> int:
-    code = np.array([int.from_bytes(run, "big") + len(run) - 1], np.uint64)
-    return int(mix(code)[0] % np.uint64(CHAR_SLOTS))
-
-
 class Network:
     """Parameters and both passes."""
 
-    def __init__(self, known: list[bytes], odds: dict[bytes, float], seed: int = 7):
+    def __init__(self, known: list[bytes], word_odds: np.ndarray, char_odds: np.ndarray, seed: int = 7):
         r = np.random.default_rng(seed)
         f = lambda *s: r.normal(0, 0.3, s).astype(np.float32)
         self.known = {w: k + 1 for k, w in enumerate(known)}
-        word, char = np.zeros((len(known) + 1, DIM), np.float32), np.zeros((CHAR_SLOTS, DIM), np.float32)
         # Embeddings start at 0 but for one coordinate, the log odds of what was seen in toxic texts.
-        for e, o in odds.items():
-            if e in self.known:
-                word[self.known[e], 0] = (o - EVIDENCE_ODDS + 1) / 3
-            if len(e) in RUNS:
-                char[run_slot(e), 0] = (o - EVIDENCE_ODDS + 1) / 3
+        word, char = np.zeros((len(known) + 1, DIM), np.float32), np.zeros((CHAR_SLOTS, DIM), np.float32)
+        word[1:, 0], char[:, 0] = word_odds, char_odds
         self.p = {"word": word, "char": char, "a": f(2 * HIDDEN), "u": f(2 * HIDDEN), "c": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {"W" + d: f(DIM, GATES), "U" + d: f(HIDDEN, GATES), "b" + d: np.zeros(GATES, np.float32)}
 
     def inputs(self, slot: np.ndarray, slots: np.ndarray, n: np.ndarray) -> np.ndarray:
-        chars = np.add.reduceat(self.p["char"][slots], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
-        return self.p["word"][slot] + chars
+        out, ends = self.p["word"][slot], np.cumsum(n)
+        for k in range(0, len(n), 8192):  # in parts: the gathered rows are many times the result
+            part = slice(k, k + 8192)
+            first = ends[k] - n[k]
+            chars = np.add.reduceat(self.p["char"][slots[first:ends[part][-1]]], ends[part] - n[part] - first, axis=0)
+            out[part] += chars / np.sqrt(n[part])[:, None].astype(np.float32)
+        return out
 
     def run(self, gates: dict[str, np.ndarray], index: np.ndarray, real: np.ndarray, trace: bool = False):
         """Window logits.  ``gates``: input part of the gates per distinct word, the last row for padding."""
@@ -157,9 +146,8 @@ class Network:
             g["U" + d], g["W" + d], g["b" + d] = dU, x.T @ d_gate, d_gate.sum(0)
             d_x += d_gate @ self.p["W" + d].T
         d_x = d_x[:-1]
-        g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
-        np.add.at(g["word"], slot, d_x)
-        np.add.at(g["char"], slots, np.repeat(d_x / np.sqrt(n)[:, None].astype(np.float32), n, axis=0))
+        g["word"] = (slot, d_x)
+        g["char"] = (slots, np.repeat(d_x / np.sqrt(n)[:, None].astype(np.float32), n, axis=0))
         return g
 
 
@@ -173,29 +161,43 @@ def pack(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarra
     return list(vocab), index, index < len(vocab)
 
 
-def fit(texts: list[tuple[list[list[bytes]], int]], epochs: int = 12, seed: int = 7) -> Network | None:
+def fit(texts: list[tuple[list[list[bytes]], int]], epochs: int = 9, seed: int = 7) -> Network | None:
     """From windows and label of each text.  None unless there are both labels."""
     texts = [(w, y) for w, y in texts if w]
     if len({y for _, y in texts}) < 2:
         return None
     r = np.random.default_rng(seed)
-    shows = {x: evidence(x) for x in {x for w, _ in texts for v in w for x in v}}
-    held = [set().union(*(shows[x] for v in w for x in v)) for w, _ in texts]
-    seen = {y: Counter(e for h, (_, l) in zip(held, texts) if l == y for e in h) for y in (0, 1)}
-    total = {y: sum(l == y for _, l in texts) for y in (0, 1)}
-    odds = {x: np.log((c + 0.1) / (total[1] + 1)) - np.log((seen[0][x] + 0.1) / (total[0] + 1))
-            for x, c in seen[1].items() if c >= max(KNOWN_IN, EVIDENCE_SHARE * total[1])}
-    odds = {x: o for x, o in odds.items() if o >= EVIDENCE_ODDS}
-    # Labels hold errors: a text labelled toxic with nothing in it that speaks for it is not learned from.
-    some = [(w, y) for (w, y), h in zip(texts, held) if not y or not h.isdisjoint(odds)]
-    texts = some if any(y for _, y in some) else texts
-    worth = {x: max((odds[e] for e in es if e in odds), default=0.0) for x, es in shows.items()}
-    often = Counter(x for w, _ in texts for x in {x for v in w for x in v})
     vocab, index, real = pack([v for w, _ in texts for v in w])
-    net = Network(sorted(w for w in vocab if often[w] >= KNOWN_IN), odds, seed)
-    feats, label = features(vocab, net.known), np.repeat([y for _, y in texts], [len(w) for w, _ in texts])
+    number = {w: k for k, w in enumerate(vocab)}
+    _, slots, runs = features(vocab, {})
+    begin = np.cumsum(runs) - runs
+    # In how many texts of each label every word and every run of characters is.
+    n_word, n_char = np.zeros((2, len(vocab))), np.zeros((2, CHAR_SLOTS))
+    total = np.zeros(2)
+    for w, y in texts:
+        own = np.unique([number[x] for v in w for x in v])
+        n_word[y, own] += 1
+        n_char[y, np.unique(slots[spread(begin[own], runs[own])])] += 1
+        total[y] += 1
+
+    def odds(n: np.ndarray) -> np.ndarray:
+        o = np.log((n[1] + 0.1) / (total[1] + 1)) - np.log((n[0] + 0.1) / (total[0] + 1))
+        return np.where((n[1] >= max(KNOWN_IN, EVIDENCE_SHARE * total[1])) & (o >= EVIDENCE_ODDS), (o - EVIDENCE_ODDS + 1) / 3, 0)
+
+    word_odds, char_odds = odds(n_word), odds(n_char)
+    worth = np.append(np.maximum(word_odds, np.maximum.reduceat(char_odds[slots], begin)), 0)
+    known = np.flatnonzero(n_word.sum(0) >= KNOWN_IN)
+    net = Network([vocab[k] for k in known], word_odds[known], char_odds, seed)
+    feats = features(vocab, net.known)
+    value = worth[index].max(1)
+    # Labels hold errors: a text labelled toxic with nothing in it that speaks for it is not learned from.
     first = np.cumsum([0, *[len(w) for w, _ in texts]])
-    value = np.array([max((worth[x] for x in v), default=0.0) for w, _ in texts for v in w])
+    use = [not y or value[a:b].max() > 0 for (_, y), a, b in zip(texts, first, first[1:])]
+    use = use if any(u and y for u, (_, y) in zip(use, texts)) else [True] * len(texts)
+    rows = np.repeat(use, np.diff(first))
+    texts = [(len(w), y) for (w, y), u in zip(texts, use) if u]
+    index, real, value = index[rows], real[rows], value[rows]
+    label, first = np.repeat([y for _, y in texts], [n for n, _ in texts]), np.cumsum([0, *[n for n, _ in texts]])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2, step = {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     for epoch in range(epochs):
@@ -213,17 +215,21 @@ def fit(texts: list[tuple[list[list[bytes]], int]], epochs: int = 12, seed: int
             pads = used[-1] == len(vocab)
             used = used[:-1] if pads else used
             small = np.where(drop, len(used), small)
-            begin = np.cumsum(feats[2]) - feats[2]
             n = feats[2][used]
-            at = np.repeat(begin[used] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            g = net.gradients((feats[0][used], feats[1][at], n), small, real[k] & ~drop, label[k].astype(np.float32))
+            g = net.gradients((feats[0][used], feats[1][spread(begin[used], n)], n), small, real[k] & ~drop, label[k].astype(np.float32))
             step += 1
             for q, d in g.items():
+                if q in ("word", "char"):  # only the rows that were touched
+                    at, inverse = np.unique(d[0], return_inverse=True)
+                    total_d = np.zeros((len(at), DIM), np.float32)
+                    np.add.at(total_d, inverse, d[1])
+                    total_d += DECAY * net.p[q][at]
+                    v2[q][at] += total_d * total_d
+                    net.p[q][at] -= 0.0003 * total_d / (np.sqrt(v2[q][at]) + 1e-4)
+                    continue
                 m[q] = 0.9 * m[q] + 0.1 * d
-                if q in ("word", "char"):
-                    d = d + DECAY * net.p[q]
                 v2[q] = 0.99 * v2[q] + 0.01 * d * d
-                net.p[q] -= ((0.001 if q in ("word", "char") else 0.02) * (m[q] / (1 - 0.9**step)) / (np.sqrt(v2[q] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                net.p[q] -= (0.02 * (m[q] / (1 - 0.9**step)) / (np.sqrt(v2[q] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         if epoch >= 3:
             value = scores(net, feats, index, real)
     value = scores(net, feats, index, real)
@@ -231,7 +237,7 @@ def fit(texts: list[tuple[list[list[bytes]], int]], epochs: int = 12, seed: int
     y = np.array([l for _, l in texts])
     # Move the zero to where the sample's texts are told apart best, and there nearer to the toxic side: whole texts have more windows.
     order = np.sort(top)
-    cuts = np.r_[order[0] - 1, 0.75 * order[1:] + 0.25 * order[:-1]]
+    cuts = np.r_[order[0] - 1, 0.9 * order[1:] + 0.1 * order[:-1]]
     wrong = [np.mean((top > c)[y == 0]) + np.mean((top <= c)[y == 1]) for c in cuts]
     least = np.flatnonzero(np.array(wrong) <= min(wrong) + 1e-9)
     widest = least[np.argmax([(order[k] - order[k - 1]) if k else 0 for k in least])]
@@ -307,7 +313,8 @@ def sample(docs: DataFrame, labels: DataFrame, ids: str = "doc_id", text: str =
 
     kind = docs.schema[ids].dataType.simpleString()
     got = map_arrow(rows, run, f"id {kind}, y int, windows array<string>").collect()
-    return [([x.encode().split() for x in r["windows"]], r["y"]) for r in sorted(got, key=lambda r: r["id"])]
+    one: dict[bytes, bytes] = {}  # each distinct word once in memory
+    return [([[one.setdefault(w, w) for w in x.encode().split()] for x in r["windows"]], r["y"]) for r in sorted(got, key=lambda r: r["id"])]
 
 
 _SCORERS: dict[int, Scorer] = {}
