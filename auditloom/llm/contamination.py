@@ -249,6 +249,14 @@ def char_spans(text: str, hits: list[int]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in zip(hits[::2], hits[1::2])]
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    done, parts = 0, []
+    for a, b in spans:
+        parts.append(text[done:a])
+        done = b
+    return "".join([*parts, text[done:]])
+
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -261,16 +269,13 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", size:
 
     def run(batches):
         for b in batches:
-            texts, found = b.column(text).to_pylist(), b.column(hits).to_pylist()
-            for k, h in enumerate(found):
-                if h:
-                    t, done, parts = texts[k], 0, []
-                    for s, e in char_spans(t, h):
-                        parts.append(t[done:s])
-                        done = e
-                    texts[k] = "".join([*parts, t[done:]])
-            cols = {c: b.column(c) for c in spots} | {text: pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            for p in pieces(b, text):
+                texts, found = p.column(text).to_pylist(), p.column(hits).to_pylist()
+                for k, h in enumerate(found):
+                    if h:
+                        texts[k] = without(texts[k], char_spans(texts[k], h))
+                cols = {c: p.column(c) for c in spots} | {text: pa.array(texts, pa.string())}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     out = map_arrow(left, run, ", ".join(f"`{c}` {kinds[c]}" for c in spots))
     return out.withColumn(size, F.length(text).cast(kinds[size])) if size else out

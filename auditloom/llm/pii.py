@@ -277,7 +277,7 @@ def mask(df: DataFrame, field: Field, text: str = "text", size: str | None = Non
                             parts += [t[done:a], f"<{KINDS[k].upper()}>"]
                         done = max(done, e)
                     out.append(t if t is None else "".join([*parts, t[done:]]))
-                cols = {c: p.column(c) for c in df.columns} | {text: pa.array(out, pa.string())}
+                cols = {c: p.column(c) for c in kinds} | {text: pa.array(out, pa.string())}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     out = map_arrow(df, run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
