@@ -34,7 +34,7 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 PIECE = 1 << 21
 #: Slots of the filter before texts move: a bound on what is broadcast, not on what is found.
-NARROW = 1 << 20
+NARROW, PACK = 1 << 20, 1 << 12
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -185,9 +185,21 @@ def possible(texts: DataFrame, similar: float) -> DataFrame:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["slot", "n"])
 
-    found = map_arrow(texts.select("text"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").cast("int").alias("n")).toPandas()
-    often = np.zeros(NARROW, np.int32)
-    often[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int32)
+    def packed(batches):
+        for b in batches:
+            out = []
+            for slot, n in zip(b.column("slot").to_pylist(), b.column("n").to_pylist()):
+                row = np.zeros(PACK, np.uint8)
+                row[np.array(slot) % PACK] = np.minimum(255, 1 + 12 * np.log2(np.array(n)))
+                out.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(out, pa.binary())], names=["at", "counts"])
+
+    # One byte per slot reaches the driver: the count on a log scale.
+    found = (map_arrow(texts.select("text"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+             .groupBy(F.expr(f"slot div {PACK}").alias("at")).agg(F.collect_list("slot").alias("slot"), F.collect_list("n").alias("n")))
+    often = np.zeros(NARROW, np.uint8)
+    for r in map_arrow(found, packed, "at long, counts binary").collect():
+        often[r["at"] * PACK:(r["at"] + 1) * PACK] = np.frombuffer(r["counts"], np.uint8)
     sent = texts.sparkSession.sparkContext.broadcast(often)
 
     def early(batches):
