@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, contamination, langid, neardup, pii, quality, token_counts, toxicity, urls
+from auditloom.llm import bpe, contamination, langid, lm, neardup, pii, quality, token_counts, toxicity, urls
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -91,3 +91,10 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, n = urls.judge(table(spark, sf_dir, "pages"), URL_RULES, ["page_id"])
     return out.select("page_id", *[F.col(n[c]).alias(c) for c in ("host", "path", "rule", "verdict", "trust", "distrust")])
+
+
+@AREA.query("op2_cross_entropy_difference")
+def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm.score(docs, lm.fit(docs, good), ["doc_id"])
