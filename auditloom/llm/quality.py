@@ -109,7 +109,7 @@ def class_counts(c: Column) -> Column:
 
 def _shares(hist: Column) -> Column:
     total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(hist, lambda x: x / total)
+    return F.transform(hist, lambda x: F.try_divide(x, total))  # nulls for an empty histogram
 
 
 def js_distance(p: Column, q: Column) -> Column:
