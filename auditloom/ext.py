@@ -65,4 +65,7 @@ class Registry:
             empty = ", ".join(f"{c} {t}" for c, t in FINDING_COLUMNS.items())
             return files.sparkSession.createDataFrame([], empty)
         out = union_findings(*parts).where(F.col("severity") >= min_severity)
-        return out if max_findings is None else out.limit(max_findings)
+        if max_findings is None:
+            return out
+        rest = [c for c in FINDING_COLUMNS if c not in ("severity", "confidence")]
+        return out.orderBy(F.desc("severity"), F.desc("confidence"), *rest).limit(max_findings)

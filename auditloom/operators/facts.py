@@ -153,16 +153,13 @@ def missing_checks(ops: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFr
 RELATED_WORDS = (("source", "destination"), ("source", "dest"), ("from", "to"), ("sender", "receiver"), ("sender", "recipient"),
                  ("input", "output"), ("user", "vault"), ("deposit", "withdraw"), ("token_a", "token_b"), ("base", "quote"), ("pool", "user"))
 STEM_TAIL = r"[ab\p{N}_]+$"
-SMALL_STRUCT = 64
 
 
-def related_pairs(fields: DataFrame, by: list[str]) -> DataFrame:
-    """Related mutable accounts of one struct without a distinctness constraint.
+def related_blocks(fields: DataFrame, by: list[str]) -> DataFrame:
+    """Mutable accounts by block, in long form: ``by``, block, side, pos, name.
 
-    Fields meet only inside a block: a struct and a shared stem, or a struct and a word pair.
-    Blocks up to ``SMALL_STRUCT`` fields list their pairs.  In a larger block every field is paired
-    with the block's first field of the other side instead (``compact``): the block is still
-    reported whole, without a quadratic number of rows.
+    A block is a struct with a shared stem (one side) or with a word pair (two sides); every field of
+    it is a row, so it is as long as its struct whatever its size.
     """
     name = F.lower("field_name")
     stem = F.regexp_replace(name, STEM_TAIL, "")
@@ -172,34 +169,26 @@ def related_pairs(fields: DataFrame, by: list[str]) -> DataFrame:
             tags.append(F.when(F.contains(name, F.lit(word)), F.struct(F.lit(f"#{i:02d}").alias("block"), F.lit(side).alias("side"))))
     is_account = F.col("field_type").rlike("Account<|AccountInfo|UncheckedAccount<")
     is_mut = F.contains("attrs", F.lit("mut")) & ~F.contains("attrs", F.lit("immut"))
-    entries = cut(fields.where(is_account & is_mut).select(*by, "pos", F.col("field_name").alias("name"), F.inline(
-        F.filter(F.array(*tags), lambda t: t.isNotNull()))))
-    block = [*by, "block"]
-    sizes = entries.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("pos", "name", "side")).alias("_first"),
-                                        F.min(F.when(F.col("side") == "a", F.struct("pos", "name", "side"))).alias("_fa"),
-                                        F.min(F.when(F.col("side") == "b", F.struct("pos", "name", "side"))).alias("_fb"))
-    sized = cut(salted_join(entries, sizes.where("_n > 1"), block, ["pos", "name"]))
-    e = sized.where(F.col("_n") <= SMALL_STRUCT)
-    other = {"s": "s", "a": "b", "b": "a"}
-    flip = F.create_map(*[F.lit(x) for kv in other.items() for x in kv])
-    left = e.select(*block, "side", F.col("pos").alias("pos_a"), F.col("name").alias("name_a"))
-    right = e.select(*block, flip[F.col("side")].alias("side"), F.col("pos").alias("pos_b"), F.col("name").alias("name_b"))
+    return fields.where(is_account & is_mut).select(*by, "pos", F.col("field_name").alias("name"), F.inline(
+        F.filter(F.array(*tags), lambda t: t.isNotNull())))
+
+
+def related_pairs(fields: DataFrame, by: list[str]) -> DataFrame:
+    """Related mutable accounts of one struct without a distinctness constraint: all pairs of :func:`related_blocks`.
+
+    The pairs are as many as the report asks for, with the square of a struct's fields; the blocks are the short form.
+    """
+    e = related_blocks(fields, by)
+    block = [*by, "block", "side"]
+    other = F.when(F.col("side") == "a", "b").when(F.col("side") == "b", "a").otherwise("s").alias("side")
+    left = e.select(*block, F.col("pos").alias("pos_a"), F.col("name").alias("name_a"))
+    right = e.select(*by, "block", other, F.col("pos").alias("pos_b"), F.col("name").alias("name_b"))
     differ = (F.col("side") != "s") | (F.lower("name_a") != F.lower("name_b"))
-    listed = left.join(right, [*block, "side"]).where((F.col("pos_a") < F.col("pos_b")) & differ).select(
-        *by, "pos_a", "name_a", "pos_b", "name_b", F.lit(False).alias("compact"))
-    big = sized.where(F.col("_n") > SMALL_STRUCT)
-    head = F.when(F.col("side") == "a", F.col("_fb")).when(F.col("side") == "b", F.col("_fa")).otherwise(F.col("_first"))
-    star = big.withColumn("_h", head).where(F.col("_h").isNotNull() & (F.col("_h.pos") != F.col("pos")) & (
-        (F.col("side") != "s") | (F.lower("_h.name") != F.lower("name"))))
-    first = F.col("_h.pos") < F.col("pos")
-    pick = lambda a, b: F.when(first, a).otherwise(b)
-    starred = star.select(*by, pick(F.col("_h.pos"), F.col("pos")).alias("pos_a"), pick(F.col("_h.name"), F.col("name")).alias("name_a"),
-                          pick(F.col("pos"), F.col("_h.pos")).alias("pos_b"), pick(F.col("name"), F.col("_h.name")).alias("name_b"),
-                          F.lit(True).alias("compact"))
+    listed = left.join(right, block).where((F.col("pos_a") < F.col("pos_b")) & differ).select(*by, "pos_a", "name_a", "pos_b", "name_b")
     pattern = r"(\w+)\.key\(\) != (\w+)\.key\(\)|require_keys_neq!\((\w+), (\w+)\)"
     names = lambda g, h: F.filter(F.array(*[F.nullif(F.regexp_extract("_t", pattern, i), F.lit("")) for i in (g, h)]), lambda x: x.isNotNull())
     stated = fields.select(*by, F.explode(F.regexp_extract_all("attrs", F.lit(f"({pattern})"), F.lit(1))).alias("_t")).select(
         *by, F.get(names(1, 3), 0).alias("_x"), F.get(names(2, 4), 0).alias("_y"))
     stated = stated.select(*by, F.least("_x", "_y").alias("_lo"), F.greatest("_x", "_y").alias("_hi")).distinct()
-    pairs = listed.unionByName(starred).distinct().withColumn("_lo", F.least("name_a", "name_b")).withColumn("_hi", F.greatest("name_a", "name_b"))
+    pairs = listed.distinct().withColumn("_lo", F.least("name_a", "name_b")).withColumn("_hi", F.greatest("name_a", "name_b"))
     return pairs.join(stated, [*by, "_lo", "_hi"], "left_anti").drop("_lo", "_hi")

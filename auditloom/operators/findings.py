@@ -50,16 +50,21 @@ def drop_mirrors(df: DataFrame, by: list[str], proven: str = "KANI-", mirrored:
     match nothing, so they spread evenly instead of meeting at a null key.
     """
     props = df.where(F.startswith("finding_id", F.lit(proven))).select(
-        *by, F.lower(F.substring("finding_id", len(proven) + 1, 1000)).alias("_prop")).distinct()
+        *by, F.lower(F.substr("finding_id", F.lit(len(proven) + 1))).alias("_prop")).distinct()
     instr = F.lower("instruction")
-    key = F.when(F.startswith("finding_id", F.lit(mirrored)) & F.startswith(instr, F.lit("proof_")), F.substring(instr, 7, 1000))
+    key = F.when(F.startswith("finding_id", F.lit(mirrored)) & F.startswith(instr, F.lit("proof_")), F.substr(instr, F.lit(7)))
     own = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("finding_id", "seq"), F.lit(4096)).cast("string"))
     return df.withColumn("_prop", F.coalesce(key, own)).join(props, [*by, "_prop"], "left_anti").drop("_prop")
 
 
+def _true(test: Column) -> Column:
+    """A test that does not hold when it is unknown: a row is only dropped for what it says."""
+    return F.coalesce(test, F.lit(False))
+
+
 def drop_synthetic(df: DataFrame) -> DataFrame:
     """Harness rows: instruction starts with ``proof_`` and there is no real line."""
-    return df.where(~(F.startswith(F.lower("instruction"), F.lit("proof_")) & (F.col("line_number") <= 1)))
+    return df.where(~_true(F.startswith(F.lower("instruction"), F.lit("proof_")) & (F.col("line_number") <= 1)))
 
 
 #: What an infrastructure repository cannot have.
@@ -70,13 +75,14 @@ NOISE_CATEGORIES = ("Authentication", "Authorization", "PDA Security", "CPI Secu
 
 def suppress_for_profile(df: DataFrame, repo_type: Column) -> DataFrame:
     """Drop contract-only findings of repositories that hold no contract."""
-    noise = (F.col("finding_id").rlike("^(" + "|".join(NOISE_PREFIXES) + ")") | F.contains("category", F.lit("Anchor"))
-             | F.col("category").isin(*NOISE_CATEGORIES))
-    return df.where(~((repo_type == "RustInfrastructure") & noise))
+    noise = (_true(F.col("finding_id").rlike("^(" + "|".join(NOISE_PREFIXES) + ")")) | _true(F.contains("category", F.lit("Anchor")))
+             | _true(F.col("category").isin(*NOISE_CATEGORIES)))
+    return df.where(~(_true(repo_type == "RustInfrastructure") & noise))
 
 
 def min_confidence(df: DataFrame, threshold: int) -> DataFrame:
-    return df.where(F.col("confidence") >= threshold)
+    """Rows at or above the threshold; an unknown confidence is not below it."""
+    return df.where(~_true(F.col("confidence") < threshold))
 
 
 def top_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -104,13 +110,15 @@ def cap_per(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return top_rows(df, keys, [F.desc("severity"), F.desc("confidence"), F.asc("seq")], n)
 
 
-def consolidate(df: DataFrame, by: list[str], repo_type: Column, threshold: int, per_category: int = 10,
-                per_type: int = 5) -> DataFrame:
-    """All noise filters in order; row-local filters run before any shuffle by key."""
+def consolidate(df: DataFrame, by: list[str], repo_type: Column, threshold: int, per_category: int | None = None,
+                per_type: int | None = None) -> DataFrame:
+    """All noise filters in order.  Nothing is capped unless a number per category or type is given."""
     kept = drop_mirrors(df, by)
     kept = min_confidence(suppress_for_profile(drop_synthetic(kept), repo_type), threshold)
     kept = dedup_best(kept, by)
-    return cap_per(cap_per(kept, [*by, "category"], per_category), [*by, "vuln_type"], per_type)
+    if per_category is not None:
+        kept = cap_per(kept, [*by, "category"], per_category)
+    return kept if per_type is None else cap_per(kept, [*by, "vuln_type"], per_type)
 
 
 #: Fixed values of the root-cause ranking.
@@ -176,7 +184,9 @@ def apply_config(df: DataFrame, min_severity: int = 1, allow: list[str] | None =
     if deny:
         out = out.where(~F.col("category").isin(*deny))
     if max_findings is not None:
-        out = (out.orderBy(*order) if order else out).limit(max_findings)
+        if not order:
+            raise ValueError("a limit needs an order that ends in a unique column")
+        out = out.orderBy(*order).limit(max_findings)
     return out
 
 

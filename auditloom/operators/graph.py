@@ -17,7 +17,7 @@ from auditloom.plans.skew import hot_keys, replicated, salted_join, with_salt
 SEP = ">"
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(label, node, depth, path): labels flow along ``edges(src, dst)`` from ``seeds(label, node)``.
 
     One shortest path is kept per label and node, the lexicographically first among equals, so
@@ -45,7 +45,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> Data
     return found
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Nodes reachable from any node of ``start(node)``, itself included."""
     s = start.select(F.lit("*").alias("label"), "node")
     return propagate(edges, s, max_rounds).select("node", "depth")
@@ -84,7 +84,7 @@ def flows(reached: DataFrame, sinks: DataFrame) -> DataFrame:
                                               flow_severity(F.col("label"), F.col("sink_kind")).alias("severity"))
 
 
-def backward_flows(edges: DataFrame, sinks: DataFrame, sources: DataFrame, max_rounds: int = 100) -> DataFrame:
+def backward_flows(edges: DataFrame, sinks: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Sources found walking back from each sink, with the node path and its variables only."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seen = propagate(back, sinks.select(F.col("node").alias("label"), "node"), max_rounds)
@@ -133,7 +133,7 @@ def path_taint(uses: DataFrame, states: DataFrame, keep: list[str]) -> DataFrame
     return salted_join(asked, known, ["var", "_at"], [*keep, "conditions"]).select(*keep, "var", "label").distinct()
 
 
-def reaching_defs(edges: DataFrame, defs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def reaching_defs(edges: DataFrame, defs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(func, node, var, def_node): definitions that reach a node's entry.
 
     A definition passes a node exactly when the node does not redefine its variable, so following
@@ -150,7 +150,7 @@ def reaching_defs(edges: DataFrame, defs: DataFrame, max_rounds: int = 1000) ->
     return closure(born, step, ["func", "node", "var", "def_node"], max_rounds)
 
 
-def live_vars(edges: DataFrame, defs: DataFrame, uses: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def live_vars(edges: DataFrame, defs: DataFrame, uses: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(func, node, var) live on entry: used there, or live on exit and not defined there."""
     back = cut(edges.select("func", F.col("dst").alias("node"), F.col("src").alias("_prev")).distinct())
     kills = cut(defs.select("func", "node", "var").distinct())

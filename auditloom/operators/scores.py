@@ -299,7 +299,12 @@ def interval_meet(df: DataFrame, key: list[str]) -> DataFrame:
 
 def interval_flags(df: DataFrame) -> DataFrame:
     top = F.lit(str(U64_MAX)).cast("decimal(38,0)")
-    return df.withColumn("may_overflow", F.col("hi") > top).withColumn("may_underflow", F.col("lo") < 0)
+    return df.withColumn("may_overflow", (F.col("hi") > top) | (F.col("lo") < 0)).withColumn("may_underflow", F.col("lo") < 0)
+
+
+def interval_contains(value: Column) -> Column:
+    """Whether ``value`` lies in the row's interval; an empty one (lo > hi) holds nothing."""
+    return (F.col("lo") <= value) & (value <= F.col("hi"))
 
 
 def scan_stats(df: DataFrame, by: list[str]) -> DataFrame:

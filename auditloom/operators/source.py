@@ -33,29 +33,39 @@ def _unit_array(files: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame
     The array is exploded as an expression, not as a column: for a column the optimizer infers a
     non-empty filter, pushes it below the projections and computes everything again in it.
     """
-    at = files.select(*keep, lines_of(F.col(text)).alias("_lines")).withColumn(
-        "_starts", _positions(F.col("_lines"), L.UNIT_START))
+    at = files.select(*keep, lines_of(F.col(text)).alias("_lines")).withColumns({
+        "_starts": _positions(F.col("_lines"), L.UNIT_START), "_heads": F.transform("_lines", lambda l: l.rlike(L.UNIT_HEAD))})
     line, starts = F.col("_lines"), F.col("_starts")
+
+    def begin(s: Column, j: Column) -> Column:
+        """First of the attribute and comment lines right above the start; each line is looked at once."""
+        gap = s - F.coalesce(F.get(starts, j - 1) + 1, F.lit(0))
+        above = F.reverse(F.slice("_heads", s - gap + 1, gap))
+        stop = F.array_position(above, False).cast("int")
+        return s - F.when(stop > 0, stop - 1).otherwise(gap)
+
+    at = at.withColumn("_begins", F.transform(starts, begin))
+    begins = F.col("_begins")
     unit = lambda s, j: F.struct(
         F.regexp_extract(F.get(line, s), L.UNIT_START, 1).alias("unit_kind"),
         F.regexp_extract(F.get(line, s), L.UNIT_START, 2).alias("unit_name"),
         (s + 1).alias("line_no"),
-        F.array_join(F.slice(line, s + 1, F.coalesce(F.get(starts, j + 1), F.size(line)) - s), "\n").alias("code"))
+        F.array_join(F.slice(line, F.get(begins, j) + 1, F.coalesce(F.get(begins, j + 1), F.size(line)) - F.get(begins, j)), "\n").alias("code"))
     return at, F.transform(starts, unit)
 
 
 def segment_units(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Function and struct units found by their first line (no parser)."""
+    """Function and struct units found by their first line (no parser), with the attributes and comments right above it."""
     at, units = _unit_array(files, text, keep)
     return at.select(*keep, F.inline(units))
 
 
 def attach_context(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Function units with the text of the accounts struct named in ``Context<..>`` put before their own."""
+    """Function units with the text of the ``derive(Accounts)`` struct named in ``Context<..>`` put before their own."""
     units = F.col("units")
     def joined(u: Column) -> Column:
         wanted = context_struct(u["code"])
-        struct = F.get(F.filter(units, lambda s: (s["unit_kind"] == "struct") & (s["unit_name"] == wanted)), 0)
+        struct = F.get(F.filter(units, lambda s: (s["unit_kind"] == "struct") & (s["unit_name"] == wanted) & s["code"].rlike(L.ACCOUNTS_STRUCT)), 0)
         return F.struct(
             u["unit_kind"].alias("unit_kind"), u["unit_name"].alias("unit_name"), u["line_no"].alias("line_no"),
             wanted.alias("context_name"), F.coalesce(struct["code"], F.lit("")).alias("context_code"),

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 
 from auditloom.plans.lineage import cut, cut_counted
 
 
-def closure(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int = 100) -> DataFrame:
+def closure(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None) -> DataFrame:
     """Rows reachable from ``seeds`` by ``step``, one row per ``keys``, first found wins.
 
     ``step`` must return at most one row per ``keys``.  The driver only learns the row count of a round.
+    Rounds go on until one finds nothing new; ``max_rounds`` is a safety bound, reaching it is an error.
     """
     seen = frontier = cut(seeds)
-    for _ in range(max_rounds):
+    for rounds in count(1):
         fresh, n = cut_counted(step(frontier).join(seen.select(*keys), keys, "left_anti").select(*seen.columns))
         if n == 0:
-            break
+            return seen
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
         seen = seen.unionByName(fresh)
         frontier = fresh
-    return seen

@@ -246,7 +246,7 @@ def _(spark, sf):
         C("l_orderkey").alias("struct_id"), (C("l_linenumber") * 100000 + C("l_partkey")).alias("pos"), choose(_FN, C("l_partkey")).alias("field_name"),
         F.when(C("l_suppkey") % 4 == 0, "mut, constraint = from.key() != to.key()").when(C("l_suppkey") % 5 == 0, "").otherwise("mut").alias("attrs"),
         F.when(C("l_suppkey") % 6 == 0, "Signer").otherwise("Account<T>").alias("field_type"))
-    return FT.related_pairs(f, ["struct_id"])
+    return FT.related_pairs(f, ["struct_id"]).withColumn("compact", F.lit(False))
 
 
 # ---------------------------------------------------------------- invariants

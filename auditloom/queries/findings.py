@@ -164,7 +164,8 @@ _CONS = ("s1 AS (SELECT * FROM findings_v f WHERE NOT " + _MIRROR_SQL + ")",
 
 
 def consolidated(spark, sf):
-    return FN.consolidate(V.findings(spark, sf), BY, _profile(), 20)
+    """With the caps per category and type, which these reports have."""
+    return FN.consolidate(V.findings(spark, sf), BY, _profile(), 20, 10, 5)
 
 
 @query("consolidated_findings", with_sql(FINDINGS_SQL, *_CONS, body="SELECT program, finding_id, category, vuln_type, severity, confidence, seq FROM s5"))
@@ -511,7 +512,7 @@ def intervals(spark, sf):
                                                  (q + F.col("l_linenumber") * 12 - 6).cast("decimal(38,0)").alias("hi"))
 
 
-@query("interval_hulls", with_sql(_IV_SQL, body="SELECT key, MIN(lo)::BIGINT AS lo, MAX(hi)::BIGINT AS hi, false AS may_overflow, MIN(lo) < 0 AS may_underflow FROM iv WHERE lo <= hi GROUP BY key"))
+@query("interval_hulls", with_sql(_IV_SQL, body="SELECT key, MIN(lo)::BIGINT AS lo, MAX(hi)::BIGINT AS hi, MAX(hi) > 18446744073709551615 OR MIN(lo) < 0 AS may_overflow, MIN(lo) < 0 AS may_underflow FROM iv WHERE lo <= hi GROUP BY key"))
 def _(spark, sf):
     h = SC.interval_flags(SC.interval_hull(intervals(spark, sf), ["key"]))
     return h.withColumn("lo", F.col("lo").cast("long")).withColumn("hi", F.col("hi").cast("long"))

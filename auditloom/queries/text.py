@@ -85,12 +85,16 @@ _UNITS_SQL = rf"""unit_starts AS (
   SELECT doc_id, repo, path, line_no, regexp_extract(text, {quote(L.UNIT_START)}, 1) AS unit_kind,
          regexp_extract(text, {quote(L.UNIT_START)}, 2) AS unit_name
   FROM code_lines WHERE regexp_matches(text, {quote(L.UNIT_START)})),
+below AS (  -- the next line that is neither attribute nor comment: what a line belongs to
+  SELECT doc_id, line_no, min(CASE WHEN NOT regexp_matches(text, '^\s*(#!?\[|//)') THEN line_no END)
+    OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS owner FROM code_lines),
 unit_spans AS (
-  SELECT *, lead(line_no, 1, 1000000000) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM unit_starts),
+  SELECT s.*, b.first_line, lead(b.first_line, 1, 1000000000) OVER (PARTITION BY s.doc_id ORDER BY s.line_no) AS next_line
+  FROM unit_starts s JOIN (SELECT doc_id, owner, min(line_no) AS first_line FROM below GROUP BY ALL) b ON b.doc_id = s.doc_id AND b.owner = s.line_no),
 units AS (
   SELECT s.doc_id, s.repo, s.path, s.unit_kind, s.unit_name, s.line_no, string_agg(l.text, chr(10) ORDER BY l.line_no) AS code
-  FROM unit_spans s JOIN code_lines l ON l.doc_id = s.doc_id AND l.line_no >= s.line_no AND l.line_no < s.next_line
-  GROUP BY ALL)"""
+  FROM unit_spans s JOIN code_lines l ON l.doc_id = s.doc_id AND l.line_no >= s.first_line AND l.line_no < s.next_line
+  GROUP BY s.doc_id, s.repo, s.path, s.unit_kind, s.unit_name, s.line_no)"""
 UNITS_SQL = (CODE_SQL, LINES_SQL, _UNITS_SQL)
 
 _CONTEXT_SQL = r"""handlers AS (
@@ -98,7 +102,7 @@ _CONTEXT_SQL = r"""handlers AS (
                            '^[A-Z]\w*', 0) AS context_name
   FROM units WHERE unit_kind = 'fn'),
 structs AS (
-  SELECT doc_id, unit_name, arg_min(code, line_no) AS code FROM units WHERE unit_kind = 'struct' GROUP BY ALL),
+  SELECT doc_id, unit_name, arg_min(code, line_no) AS code FROM units WHERE unit_kind = 'struct' AND regexp_matches(code, 'derive\([^)]*\bAccounts\b') GROUP BY ALL),
 full_units AS (
   SELECT h.doc_id, h.unit_kind, h.unit_name, h.line_no, h.context_name, coalesce(s.code, '') AS context_code,
          CASE WHEN s.code IS NULL THEN h.code ELSE s.code || chr(10) || h.code END AS code

@@ -35,6 +35,7 @@ LISTING: tuple[str, ...] = (
     "    ctx.accounts.vault.balance = total;",
     "    Ok(())",
     "}",
+    "#[derive(Accounts)]",
     "pub struct Deposit<'info> {",
     "    pub authority: AccountInfo<'info>,",
     "    #[account(mut, seeds = [b\"vault\"])]",
@@ -86,6 +87,9 @@ LISTING: tuple[str, ...] = (
     "    withdraw(ctx, initialize(ctx));",
     "    let t = Clock::get()?.unix_timestamp + lock;",
     "#[cfg(test)]",
+    "#[test]",
+    "pub async fn settle(ctx: Context<Withdraw>) -> Result<()> {",
+    "pub(crate) const fn limit() -> u64 {",
 )
 
 

@@ -55,7 +55,10 @@ INCIDENT_THRESHOLD = 0.7
 
 COMMENT = r"^\s*(//|/\*|\*)"
 FUNCTION_START = r"\bfn\s+(\w+)"
-UNIT_START = r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:unsafe\s+)?(fn|struct)\s+(\w+)"
+UNIT_START = r"^\s*(?:pub(?:\([a-z ]+\))?\s+)?(?:(?:async|const|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*(fn|struct)\s+(\w+)"
+#: Lines that belong to the unit right below them: attributes and line comments.
+UNIT_HEAD = r"^\s*(?:#!?\[|//)"
+ACCOUNTS_STRUCT = r"derive\([^)]*\bAccounts\b"
 
 #: Trigger and evidence of the neighbourhood rules: (trigger, evidence, first, last line offset).
 CALL_TRIGGER = r"invoke\(|invoke_signed\(|program::invoke"

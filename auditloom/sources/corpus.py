@@ -4,26 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MAX_BYTES = 1_000_000
-
-
-def read_corpus(spark: SparkSession, root: str | list[str], ext: str = "rs", max_bytes: int = MAX_BYTES,
-                max_files: int | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str | list[str], ext: str = "rs", max_bytes: int | None = None) -> DataFrame:
     """One row per file of a tree: repo (first folder below root), path, content, size.
 
-    The size test is on file metadata, so large files are not read.  Roots inside other roots are
-    left out, so no file comes twice and file contents need no shuffle.
+    Every file is read unless ``max_bytes`` is given; the size test is on file metadata, so larger files are
+    not opened, and :func:`skipped_files` lists them.  Roots inside other roots are left out, so no file comes
+    twice and file contents need no shuffle.
     """
+    out = _files(spark, root, ext)
+    out = out if max_bytes is None else out.where(F.col("size") <= max_bytes)
+    return out.select("repo", "path", F.decode("content", "utf-8").alias("content"), "size")
+
+
+def skipped_files(spark: SparkSession, root: str | list[str], max_bytes: int, ext: str = "rs") -> DataFrame:
+    """repo, path, size of the files that :func:`read_corpus` leaves out under ``max_bytes``; contents are not read."""
+    return _files(spark, root, ext).where(F.col("size") > max_bytes).select("repo", "path", "size")
+
+
+def _files(spark: SparkSession, root: str | list[str], ext: str) -> DataFrame:
     given = sorted({r.rstrip("/") for r in ([root] if isinstance(root, str) else root)})
     roots = [r for r in given if not any(r.startswith(o + "/") for o in given)]
     df = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", True)
-          .load(roots).where(F.col("length") <= max_bytes))
+          .load(roots))
     rel = F.col("path")
     for r in roots:
         rel = F.regexp_replace(rel, r"^[a-z0-9]+:/*" + r.rstrip("/").lstrip("/") + "/", "")
-    out = df.select(F.split(rel, "/")[0].alias("repo"), F.col("path"), F.decode("content", "utf-8").alias("content"),
-                    F.col("length").alias("size"))
-    return out.orderBy("path").limit(max_files) if max_files is not None else out
+    return df.select(F.split(rel, "/")[0].alias("repo"), "path", "content", F.col("length").alias("size"))
 
 
 NAMED = "accounts array<struct<name:string>>, instructions array<struct<name:string>>"

@@ -39,10 +39,12 @@ def test_distinct_constraint(spark):
     assert FT.related_pairs(f, ["struct_name"]).count() == 0
 
 
-def test_large_block_stays_linear(spark):
-    got = FT.related_pairs(pair_fields(spark, [f"user_{i}" for i in range(200)]), ["struct_name"])
-    rows = got.collect()
-    assert len(rows) == 199 and all(r.compact for r in rows) and {r.pos_b for r in rows} == set(range(1, 200))
+@pytest.mark.parametrize("n", [64, 65, 200])
+def test_all_pairs_at_any_size(spark, n):
+    f = pair_fields(spark, [f"user_{i}" for i in range(n)], {"user_3": "#[account(mut, constraint = user_3.key() != user_7.key())]"})
+    rows = {(r.pos_a, r.pos_b) for r in FT.related_pairs(f, ["struct_name"]).collect()}
+    assert rows == {(a, b) for a in range(n) for b in range(a + 1, n)} - {(3, 7)}
+    assert FT.related_blocks(f, ["struct_name"]).count() == 3 * n  # the stem, and two word pairs that "user" is in
 
 
 def test_fields(spark):
@@ -115,3 +117,41 @@ def test_salted_join_keeps_every_row(spark):
     for how in ("inner", "left"):
         want = sorted(map(tuple, many.join(few, "k", how).collect()), key=str)
         assert sorted(map(tuple, salted_join(many, few, ["k"], ["i"], how).collect()), key=str) == want
+
+
+U64 = 2 ** 64 - 1
+EDGES = [0, 1, 2 ** 63, U64]
+
+
+def u64_frame(spark, names, rows):
+    return spark.createDataFrame([tuple(str(v) for v in r) for r in rows], ", ".join(f"{n} string" for n in names)).select(
+        *[F.col(n).cast("decimal(20,0)").alias(n) for n in names])
+
+
+def test_full_range_products(spark):
+    rows = [(a, b, c) for a in EDGES for b in EDGES for c in EDGES]
+    df = u64_frame(spark, ["a", "b", "c"], rows)
+    high, low = IV.product(F.col("a"), F.col("b"))
+    got = df.select("a", "b", "c", high.alias("high"), low.alias("low"), IV.product_div(F.col("a"), F.col("b"), F.col("c")).alias("q")).collect()
+    for r in got:
+        a, b, c = int(r.a), int(r.b), int(r.c)
+        assert int(r.high) * IV.LOW + int(r.low) == a * b
+        assert r.q is None if c == 0 else int(r.q) == min(a * b // c, 10 ** 38 - 1)
+
+
+def test_full_range_checks(spark):
+    pools = u64_frame(spark, ["pool", "ts", "reserve_x", "reserve_y", "total_lp", "deposit_x", "deposit_y", "expected_k"], [
+        (0, t, x, y, U64, x, y, 0) for t, (x, y) in enumerate([(0, 0), (0, U64), (1, 1), (U64, U64), (U64, U64 - 1)])])
+    got = IV.check_pool(pools, ["pool"], ["ts"], F.col("ts")).orderBy("ts").collect()
+    assert [r.k_not_falling for r in got] == [True, True, True, True, False]
+    assert [r.k_within for r in got] == [True, True, True, False, False] and [r.share_proportional for r in got] == [True, False, True, True, True]
+    vaults = u64_frame(spark, ["v", "ts", "total_assets", "total_shares", "deposit", "dead_shares"], [(0, 0, U64, U64, 1, 1), (0, 1, U64, U64 - 1, U64, 0), (0, 2, 0, 0, 5, 0)])
+    got = IV.check_vault(vaults, ["v"], ["ts"], F.col("ts")).orderBy("ts").collect()
+    assert [(r.price_not_falling, r.mints) for r in got] == [(True, True), (True, True), (True, True)]
+    fees = u64_frame(spark, ["fee", "amount", "bps"], [(U64, U64, 10_000), (U64, U64, 9_999), (10 ** 16, 10 ** 16, 10_000), (0, 0, 0)])
+    assert [r.fee_ok for r in IV.check_fees(fees).collect()] == [True, False, True, True]
+    users = u64_frame(spark, ["pool", "amount"], [(1, U64), (1, U64), (2, 1)])
+    totals = u64_frame(spark, ["pool", "total_staked", "total_rewards", "reward_rate", "last_update", "now"], [(1, U64, U64, U64, 0, U64), (2, 1, 1, U64, 5, 0)])
+    assert {int(r.pool): (r.conserved, r.rewards_bounded) for r in IV.check_staking(users, totals).collect()} == {1: (False, True), 2: (True, False)}
+    lend = u64_frame(spark, ["total_deposits", "total_borrows", "total_collateral", "liquidation_threshold_bps"], [(U64, U64, U64, 8000), (0, 0, 0, 0), (1, U64, 1, 1)])
+    assert [(r.solvent, r.collateral_ok, r.healthy) for r in IV.check_lending(lend).collect()] == [(True, True, False), (True, True, True), (False, False, False)]

@@ -53,8 +53,8 @@ def test_profile(spark):
 
 def test_consolidate_limits_before_shuffle(spark):
     df = frame(spark, *[{"line_number": i} for i in range(50)])
-    out = FN.consolidate(df, [], F.lit("AnchorProgram"), 0)
-    assert out.count() == 5
+    assert FN.consolidate(df, [], F.lit("AnchorProgram"), 0).count() == 50
+    assert FN.consolidate(df, [], F.lit("AnchorProgram"), 0, 10, 5).count() == 5
     plan = FN.cap_per(df, ["category"], 10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan  # ranks are cut on the map side: a hot category sends ten rows per task
 
@@ -119,3 +119,31 @@ def test_query_findings(spark):
         "priority", F.when(F.col("severity") == 4, "critical").otherwise("low")).withColumn("description", F.lit("Some Text"))
     assert [r.severity for r in FN.query_findings(df, "critical").collect()] == [5, 4]
     assert seqs(FN.query_findings(df, None, "AUTH")) == [2] and FN.query_findings(df, text="some text").count() == 3
+
+
+def test_unknown_values_are_kept(spark):
+    df = frame(spark, {"instruction": None, "line_number": None}, {"category": None, "finding_id": None}, {"confidence": None}, {"confidence": 3})
+    assert seqs(FN.drop_synthetic(df)) == [0, 1, 2, 3]
+    assert 1 in seqs(FN.suppress_for_profile(df, F.lit("RustInfrastructure")))
+    kept = seqs(FN.min_confidence(df, 50))
+    assert 2 in kept and 3 not in kept
+    assert seqs(FN.suppress_for_profile(df, F.lit(None).cast("string"))) == [0, 1, 2, 3]
+
+
+def test_mirrors_by_whole_names(spark):
+    long = "x" * 1500
+    df = frame(spark, {"finding_id": f"KANI-{long}a"}, {"finding_id": "SEC3-1", "instruction": f"proof_{long}b"}, {"finding_id": "SEC3-2", "instruction": f"proof_{long}a"})
+    assert seqs(FN.drop_mirrors(df, [])) == [0, 1]
+
+
+def test_limits_need_an_order(spark):
+    with pytest.raises(ValueError):
+        FN.apply_config(frame(spark, {}), max_findings=1)
+
+
+def test_interval_range(spark):
+    rows = [(1, -5, 3), (2, 0, 2 ** 64 - 1), (3, 0, 2 ** 64)]
+    df = spark.createDataFrame([(k, str(a), str(b)) for k, a, b in rows], "k int, lo string, hi string").select("k", *[F.col(c).cast("decimal(38,0)").alias(c) for c in ("lo", "hi")])
+    assert [r.may_overflow for r in SC.interval_flags(df).orderBy("k").collect()] == [True, False, True]
+    assert [r.x for r in df.select(SC.interval_contains(F.lit(3)).alias("x")).collect()] == [True, True, True]
+    assert [r.x for r in df.select(SC.interval_contains(F.lit(-1)).alias("x")).collect()] == [True, False, False]

@@ -165,3 +165,13 @@ def test_cross_similarity_both_ways(spark, monkeypatch, limit):
             want = 0.0 if norm(p) == 0 else sum(a * b for a, b in zip(v, p)) / norm(v) / norm(p)
             assert abs(got[i, n] - want) < 1e-9
     assert len(got) == 200
+
+
+def test_fixpoint_has_no_silent_end(spark):
+    from auditloom.plans.fixpoint import closure
+    from pyspark.sql import functions as F
+    seeds = spark.createDataFrame([(0,)], "node int")
+    step = lambda f: f.where("node < 12").select((F.col("node") + 1).alias("node"))
+    assert closure(seeds, step, ["node"]).count() == 13
+    with pytest.raises(RuntimeError):
+        closure(seeds, step, ["node"], max_rounds=3)

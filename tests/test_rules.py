@@ -15,6 +15,7 @@ pub fn update(ctx: Context<Update>) -> Result<()> {
 }
 """
 RAW_AUTHORITY = """
+#[derive(Accounts)]
 pub struct Update<'info> {
     pub authority: AccountInfo<'info>,
 }

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, types as T
 
 from auditloom.ext import Registry
 from auditloom.rules.formula import Has, Rule
-from auditloom.sources.corpus import idl_names, read_corpus
+from auditloom.sources.corpus import idl_names, read_corpus, skipped_files
 from auditloom.sources.registry import registry_history
 from auditloom.sources.reports import explode_findings, prefer_source, read_reports, write_findings
 from auditloom.streaming import io, monitor as M, transactions as X
@@ -17,7 +17,8 @@ def test_corpus(spark, tmp_path):
         f.write_text(text)
     got = {r.repo: r.content for r in read_corpus(spark, str(tmp_path), max_bytes=1000).collect()}
     assert got == {"r1": "fn a() {}", "r2": "ä"}
-    assert read_corpus(spark, str(tmp_path), max_files=1).count() == 1
+    assert read_corpus(spark, str(tmp_path)).count() == 3
+    assert [(r.repo, r.size) for r in skipped_files(spark, str(tmp_path), 1000).collect()] == [("r2", 2000)]
     assert read_corpus(spark, [str(tmp_path), str(tmp_path / "r1")]).count() == 3
 
 

@@ -55,11 +55,11 @@ def test_severity_round_trip(spark):
 
 
 def test_units_and_context(spark):
-    code = "use x;\npub struct A<'info> {\n  a: Signer<'info>,\n}\nimpl B {\n  pub fn go(ctx: Context<'_, A>) {\n    x\n  }\n}\nfn tail() {}"
+    code = "use x;\n#[derive(Accounts)]\npub struct A<'info> {\n  a: Signer<'info>,\n}\nimpl B {\n  pub fn go(ctx: Context<'_, A>) {\n    x\n  }\n}\nfn tail() {}"
     f = files(spark, code)
-    assert [(u.unit_kind, u.unit_name, u.line_no) for u in S.segment_units(f, "content", []).collect()] == [("struct", "A", 2), ("fn", "go", 6), ("fn", "tail", 10)]
+    assert [(u.unit_kind, u.unit_name, u.line_no) for u in S.segment_units(f, "content", []).collect()] == [("struct", "A", 3), ("fn", "go", 7), ("fn", "tail", 11)]
     go, tail = S.attach_context(f, "content", []).collect()
-    assert go.context_name == "A" and go.code.startswith("pub struct A") and "pub fn go" in go.code
+    assert go.context_name == "A" and go.code.startswith("#[derive(Accounts)]\npub struct A") and "pub fn go" in go.code
     assert tail.context_name == "" and tail.code == "fn tail() {}"
 
 
@@ -133,3 +133,30 @@ def test_arithmetic(spark):
     got = {(r.line_no, r.issue, r.severity) for r in S.scan_arithmetic(l, ["line_no"], F.lit(False)).collect()}
     assert got == {(1, "raw +", 5), (4, "raw /", 4), (4, "raw *", 5), (4, "division before multiplication", 4), (4, "precision loss", 3), (5, "narrowing cast", 3)}
     assert {r.severity for r in S.scan_arithmetic(l, [], F.lit(True)).where("issue like 'raw%'").collect()} == {3}
+
+
+def test_units_own_what_stands_above_them(spark):
+    text = "\n".join(["use x;", "/// Makes an account.", "pub async fn handler(ctx: Context<Make>) {", "    create_account(&ix);", "}", "#[test]", "fn checks() {", "    create_account(&ix);", "}",
+                      "#[derive(Accounts)]", "pub struct Make<'info> {", "    pub a: Signer<'info>,", "}", "pub struct Plain {", "}", "pub(crate) const fn one() -> u8 { 1 }", 'unsafe extern "C" fn two() {}'])
+    files = spark.createDataFrame([("f", text)], "path string, content string")
+    units = {r.unit_name: r for r in S.segment_units(files, "content", ["path"]).collect()}
+    assert list(units) == ["handler", "checks", "Make", "Plain", "one", "two"] and units["handler"].line_no == 3 and units["checks"].line_no == 7
+    assert units["handler"].code.startswith("/// Makes") and "#[test]" not in units["handler"].code
+    assert units["checks"].code.startswith("#[test]") and units["Make"].code.startswith("#[derive(Accounts)]")
+    full = {r.unit_name: r for r in S.attach_context(files, "content", ["path"]).collect()}
+    assert full["handler"].context_code == units["Make"].code and full["checks"].context_code == ""
+
+
+def test_test_code_is_told_from_the_handler_before_it(spark):
+    from auditloom.operators import scan
+    from auditloom.rules import contract
+    text = "pub fn handler(p: AccountInfo<'info>) {\n    invoke(&ix, &accs);\n}\n#[test]\nfn checks() {\n    invoke(&ix, &accs);\n}"
+    units = S.attach_context(spark.createDataFrame([("f", text)], "path string, content string"), "content", ["path"])
+    hits = scan.scan_rules(units, contract.UNIT_RULES, "code", ["unit_name"], kind="unit_kind").where("rule_id = 'SOL-005'").collect()
+    assert [r.unit_name for r in hits] == ["handler"]
+
+
+def test_plain_struct_is_no_context(spark):
+    text = "pub fn f(ctx: Context<Data>) {\n}\npub struct Data {\n    pub x: u64,\n}"
+    got = S.attach_context(spark.createDataFrame([("f", text)], "path string, content string"), "content", ["path"]).first()
+    assert got.context_name == "Data" and got.context_code == ""
