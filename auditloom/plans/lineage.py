@@ -40,6 +40,34 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables that are deleted together once the result no longer needs them.
+
+    Use as a context manager around a job that ends by writing its result elsewhere.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/auditloom-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def cut_counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
+
 def cut_bucketed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
     """As :func:`cut`, stored in buckets of ``keys``: later joins on exactly these keys do not shuffle it.
 
