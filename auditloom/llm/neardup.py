@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.llm.common import fresh, map_arrow, mix, pieces
-from auditloom.plans.lineage import cut, cut_counted
+from auditloom.plans.lineage import Scratch, cut
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -223,7 +223,7 @@ def possible(texts: DataFrame, similar: float) -> DataFrame:
             .select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, cut) -> DataFrame:
     """``key``, ``root``: smallest key of each component, for keys that have a link.
 
     Rounds of linking to the smallest neighbour, larger neighbours first, then smaller ones, until nothing changes.
@@ -251,39 +251,40 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(df: DataFrame, ids: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """``key``, ``id`` (the smallest), ``root``, ``class_id`` of each distinct text that has words: its class and that class's smallest id."""
-    base = df.select(F.col(ids).alias("id"), F.col(text).alias("text"))
-    texts = cut(
-        signed(base, "id", "text").where(F.col("key").isNotNull())
-        .groupBy("key").agg(F.min("id").alias("id"), F.min("bands").alias("bands")))
-    rows = texts.select("key", F.explode("bands").alias("band"))
-    many = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(rows.join(many, "band"))
-    # A bucket's centre is the text that meets most others in all its buckets: most likely what they were copied from.
-    meets = shared.groupBy("key").agg(F.sum("n").alias("meets"))
-    centre = shared.select("band", "key").join(meets, "key").groupBy("band").agg(F.max(F.struct("meets", "key")).alias("c"))
-    shared = cut(shared.select("band", "key").join(centre, "band").select("band", F.col("c.key").alias("a"), "key"))
-    stars = cut(shared.where("a <> key").select("a", F.col("key").alias("b")).distinct())
-    ends = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
-    # Texts without a candidate stay where they are: at most NARROW slots say which slots hold an end.
-    slot = F.pmod(F.xxhash64("key"), F.lit(NARROW)).alias("slot")
-    narrow = F.broadcast(ends.select(slot).distinct())
-    whole = cut(base.select(text_key(F.col("text")).alias("key"), "text").where(F.col("key").isNotNull())
-                .withColumn("slot", slot).join(narrow, "slot", "left_semi")
-                .groupBy("key").agg(F.min("text").alias("text")).join(ends, "key", "left_semi"))
-    first = cut(confirmed(stars, whole))
-    links = first.where(F.col("similarity") >= similar).select("a", "b")
-    joined = cut(components(links))
-    # Buckets that still hold several classes: pairs across classes, found by what similar texts must have in common.
-    placed = shared.select("band", "key").join(joined, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = cut(placed.join(mixed, "band").select("key", "root").distinct())
-    pairs, n = cut_counted(possible(whole.join(open_, "key"), similar))
-    if n:
-        more = confirmed(pairs, whole).where(F.col("similarity") >= similar).select("a", "b")
-        joined = components(links.union(more))
-    member = texts.select("key", "id").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    small = member.groupBy("root").agg(F.min("id").alias("class_id"))
-    return cut(member.join(small, "root").select("key", "id", "root", "class_id"))
+    with Scratch(df.sparkSession) as own:
+        base = df.select(F.col(ids).alias("id"), F.col(text).alias("text"))
+        texts = own.cut(
+            signed(base, "id", "text").where(F.col("key").isNotNull())
+            .groupBy("key").agg(F.min("id").alias("id"), F.min("bands").alias("bands")))
+        rows = texts.select("key", F.explode("bands").alias("band"))
+        many = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = own.cut(rows.join(many, "band"))
+        # A bucket's centre is the text that meets most others in all its buckets: most likely what they were copied from.
+        meets = shared.groupBy("key").agg(F.sum("n").alias("meets"))
+        centre = shared.select("band", "key").join(meets, "key").groupBy("band").agg(F.max(F.struct("meets", "key")).alias("c"))
+        shared = own.cut(shared.select("band", "key").join(centre, "band").select("band", F.col("c.key").alias("a"), "key"))
+        stars = own.cut(shared.where("a <> key").select("a", F.col("key").alias("b")).distinct())
+        ends = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
+        # Texts without a candidate stay where they are: at most NARROW slots say which slots hold an end.
+        slot = F.pmod(F.xxhash64("key"), F.lit(NARROW)).alias("slot")
+        narrow = F.broadcast(ends.select(slot).distinct())
+        whole = own.cut(base.select(text_key(F.col("text")).alias("key"), "text").where(F.col("key").isNotNull())
+                    .withColumn("slot", slot).join(narrow, "slot", "left_semi")
+                    .groupBy("key").agg(F.min("text").alias("text")).join(ends, "key", "left_semi"))
+        first = own.cut(confirmed(stars, whole))
+        links = first.where(F.col("similarity") >= similar).select("a", "b")
+        joined = own.cut(components(links, own.cut))
+        # Buckets that still hold several classes: pairs across classes, found by what similar texts must have in common.
+        placed = shared.select("band", "key").join(joined, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+        open_ = own.cut(placed.join(mixed, "band").select("key", "root").distinct())
+        pairs, n = own.cut_counted(possible(whole.join(open_, "key"), similar))
+        if n:
+            more = confirmed(pairs, whole).where(F.col("similarity") >= similar).select("a", "b")
+            joined = components(links.union(more), own.cut)
+        member = texts.select("key", "id").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        small = member.groupBy("root").agg(F.min("id").alias("class_id"))
+        return cut(member.join(small, "root").select("key", "id", "root", "class_id"))
 
 
 def with_class(df: DataFrame, keep: list[str], ids: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, str]:
