@@ -37,7 +37,27 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("over_limit", F.col("n_tokens") > 1024))
 
 
-@AREA.query("op10_fm_index")
+def _words_sql(column: str) -> str:
+    lower = f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP10_SQL = f"""WITH items AS (SELECT item_id::VARCHAR AS item, {_words_sql('text')} AS w FROM benchmark),
+phrases AS (SELECT DISTINCT item, len(x) AS n, x FROM (
+  SELECT item, CASE WHEN len(w) < 13 THEN w ELSE list_slice(w, k, k + 12) END AS x
+  FROM items, LATERAL (SELECT unnest(range(1, greatest(len(w) - 11, 2))) AS k) WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),
+windows AS (SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS x
+  FROM docs, (SELECT DISTINCT n FROM phrases) AS sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS s)),
+hits AS (SELECT doc_id, item, s, windows.n FROM windows JOIN phrases ON windows.n = phrases.n AND windows.x = phrases.x),
+hit_words AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM hits, LATERAL (SELECT unnest(range(s, s + n)) AS p) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+
+@AREA.query("op10_fm_index", OP10_SQL)
 def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, (n_words, hits, items) = contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select(
