@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from auditloom.llm.bpe import Vocabulary, load, merges_vocabulary, spread
 from auditloom.llm.common import map_texts
 
 #: Pieces, and pairs of neighbouring tokens, that a worker remembers; beyond it that memory starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 CACHE_PAIRS = 1_000_000
 
 
@@ -62,12 +63,13 @@ class PrefixCounter:
         """Token count of each prefix of a piece, by code point, the empty one left out."""
         data, usable, beside = text.encode(), self.usable, self._beside
         size, longest = len(data), self.v.longest
-        last, count = [0] * (size + 1), [0] * (size + 1)
+        last, count, begin = [0] * (size + 1), [0] * (size + 1), 0
         for i in range(1, size + 1):
-            for j in range(max(0, i - longest), i):
+            # Exactly one start fits, so the order is free: that of the token before first, then later ones, then earlier.
+            for j in chain(range(begin, i), range(begin - 1, max(0, i - longest) - 1, -1)):
                 t = usable.get(data[j:i])
                 if t is not None and (j == 0 or beside(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
+                    last[i], count[i], begin = t, count[j] + 1, j
                     break
         if size == len(text):
             return count[1:]
