@@ -16,11 +16,47 @@ AREA = Area()
 QUERIES, ORACLE = AREA.queries, AREA.oracle
 
 
-@AREA.query("op9_quality_divergence")
+def _count_sql(kind: str) -> str:
+    return f"length(regexp_replace(t, '[^{kind}]', '', 'g'))"
+
+
+_COMMON_SQL = "[" + ", ".join(f"'{w}'" for w in quality.COMMON_WORDS) + "]"
+_PUNCT_SQL = quality.PUNCT.replace("'", "''")
+OP9_SQL = rf"""WITH base AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM base),
+windows AS (SELECT r, k, COUNT(*) OVER (PARTITION BY r, w[k], w[k + 1], w[k + 2]) AS n
+  FROM split, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS k)),
+repeats AS (SELECT r, COUNT(DISTINCT p) AS n FROM windows, LATERAL (SELECT unnest(range(k, k + 3)) AS p) WHERE windows.n > 1 GROUP BY r),
+counted AS (SELECT split.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_count_sql(quality.SYMBOLS)} AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+  {_count_sql(chr(92) + 'p{Lu}')} AS upper, {_count_sql('0-9')} AS digit, {_count_sql(_PUNCT_SQL)} AS punct,
+  list_transform({_COMMON_SQL}, lambda c: len(list_filter(w, lambda x: x = c))) AS common FROM split LEFT JOIN repeats USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, length(t) - word_chars AS space,
+  [upper, digit, n_symbols, punct, length(t) - word_chars, word_chars - upper - digit - n_symbols - punct] AS classes FROM counted),
+hists AS (SELECT r, lang, base_failed, h, unnest(v) AS v, generate_subscripts(v, 1) AS i
+  FROM (SELECT r, lang, base_failed, 'c' AS h, classes AS v FROM judged UNION ALL SELECT r, lang, base_failed, 'w', common FROM judged)),
+known AS (SELECT lang FROM judged WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang
+  HAVING COUNT(*) * {quality.REFERENCE_SHARE} >= (SELECT COUNT(*) FROM judged WHERE lang IS NOT NULL AND NOT base_failed)),
+sums AS (SELECT lang, h, i, SUM(v)::DOUBLE AS v FROM hists WHERE NOT base_failed AND lang IN (SELECT lang FROM known) GROUP BY ALL),
+refs AS (SELECT lang, h, i, v / SUM(v) OVER (PARTITION BY lang, h) AS q FROM sums),
+shares AS (SELECT r, h, i, v / nullif(SUM(v) OVER (PARTITION BY r, h), 0) AS p FROM hists),
+far AS (SELECT r, h, refs.lang, sqrt(greatest(0, SUM(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
+  FROM shares JOIN refs USING (h, i) GROUP BY r, h, refs.lang),
+near AS (SELECT r, MIN(d) FILTER (WHERE h = 'c') AS c, MIN(d) FILTER (WHERE h = 'w') AS w FROM far GROUP BY r),
+final AS (SELECT judged.*, CASE WHEN word_chars >= {quality.MIN_CHARS} THEN near.c END AS cd,
+  CASE WHEN list_sum(common) >= {quality.MIN_COMMON} THEN near.w END AS wd FROM judged LEFT JOIN near USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(cd, 0) <= {quality.MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {quality.MAX_WORD_DISTANCE} AS kept,
+  round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM final"""
+
+
+@AREA.query("op9_quality_divergence", OP9_SQL)
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, n = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
-    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
-    return out.select("doc_id", *[F.col(n[c]).alias(c) for c in cols])
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", *[F.col(n[c]).alias(c) for c in cols], *[F.round(n[c], 6).alias(c) for c in ("class_distance", "word_distance")])
 
 
 @AREA.query("op5_byte_bpe")
