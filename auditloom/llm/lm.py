@@ -82,8 +82,8 @@ def counts(docs: DataFrame, text: str, target: str, known: dict[bytes, int]) ->
             for p in pieces(b, text, PIECE):
                 code, n = coder.codes([t or b"" for t in p.column(text).cast(pa.binary()).to_pylist()])
                 mine = np.repeat(np.asarray(p.column(target).to_pylist(), bool), n)
-                total[1] += np.bincount(code, minlength=cells)
-                total[0] += np.bincount(code[mine], minlength=cells)
+                np.add.at(total[1], code, 1)
+                np.add.at(total[0], code[mine], 1)
         there = np.flatnonzero(total[1])
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[0][there]), pa.array(total[1][there])], names=["code", "t", "b"])
 
@@ -121,7 +121,8 @@ def mark_target(docs: DataFrame, chosen: DataFrame, keep: list[str], ids: str, t
     (flag,) = fresh(docs.columns, "target")
     rows = docs.select(*dict.fromkeys([*keep, ids, text]))
     one = chosen.select(F.col(ids)).where(F.col(ids).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    with_id = rows.where(F.col(ids).isNotNull()).join(one, ids, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    # The same join at every size: neither side has a bound, so neither is broadcast.
+    with_id = rows.where(F.col(ids).isNotNull()).join(one.hint("merge"), ids, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return with_id.unionByName(rows.where(F.col(ids).isNull()).withColumn(flag, F.lit(False))), flag
 
 
