@@ -130,12 +130,12 @@ def cross_similarity(vecs: DataFrame, patterns: DataFrame, keep: list[str], labe
 
 
 def best_line(files: DataFrame, text: str, keep: list[str], threshold: float = 0.5) -> DataFrame:
-    """Per (file, pattern): the line most similar to the pattern, the earliest on a tie."""
+    """Per (file, pattern): the line most similar to the pattern, the earliest on a tie (equal to nine digits)."""
     rows = [{"pattern": n, "body": b} for n, b in PATTERNS.items()]
     pats = constant_rows(files.sparkSession, rows).select("pattern", embed(F.col("body")).alias("vector"))
     lines = files.select(*keep, F.posexplode(lines_of(F.col(text))).alias("_p", "line")).where(
         (F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit("//")))
     vecs = lines.select(*keep, (F.col("_p") + 1).alias("line_no"), embed(F.col("line")).alias("vector"))
     sims = cross_similarity(vecs, pats, [*keep, "line_no"], "pattern", normalised=True).where(F.col("similarity") > threshold)
-    return sims.groupBy(*keep, "pattern").agg(F.max_by(F.struct("line_no", "similarity"), F.struct("similarity", -F.col("line_no"))).alias("b")).select(
+    return sims.groupBy(*keep, "pattern").agg(F.max_by(F.struct("line_no", "similarity"), F.struct(F.round("similarity", 9), -F.col("line_no"))).alias("b")).select(
         *keep, "pattern", "b.line_no", "b.similarity")
