@@ -133,9 +133,9 @@ def constraint_score(metrics: DataFrame, findings: DataFrame, by: list[str]) ->
 
 
 def latest_score(audits: DataFrame, key: str, ts: str) -> DataFrame:
-    """Score of the newest audit per program."""
+    """Score of the newest audit per program; of audits at the same time, the one with most critical findings."""
     counts = F.struct("critical_count", "high_count", "medium_count", "low_count")
-    last = audits.groupBy(key).agg(F.max_by(counts, ts).alias("a"), F.count(F.lit(1)).alias("audits"))
+    last = audits.groupBy(key).agg(F.max_by(counts, F.struct(F.col(ts).alias("ts"), counts.alias("counts"))).alias("a"), F.count(F.lit(1)).alias("audits"))
     a = lambda c: F.col(f"a.{c}_count")
     return last.select(key, "audits", F.greatest(F.lit(0), 100 - 25 * a("critical") - 15 * a("high") - 5 * a("medium") - a("low")).alias("score"),
                        (F.col("audits") > 0).alias("has_records"))

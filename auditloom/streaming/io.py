@@ -33,9 +33,12 @@ def alert_sink(stream: DataFrame, min_level: int, targets: Sequence[str], checkp
     after a failure is not delivered twice.
     """
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        due = batch.where(F.col(level) >= min_level)
-        for t in targets:
-            due.write.mode("overwrite").parquet(f"{t}/batch_id={batch_id}")
+        due = batch.where(F.col(level) >= min_level).persist()
+        try:
+            for t in targets:
+                due.write.mode("overwrite").parquet(f"{t}/batch_id={batch_id}")
+        finally:
+            due.unpersist()
 
     w = stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).queryName(name)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=POLL)).start()

@@ -106,8 +106,8 @@ def tier(df: DataFrame, keep: list[str], metrics: list[str], tiers: dict[str, tu
 
 
 def rapid_drain(df: DataFrame, key: str, ts: str, amount: str, pct: int = 80, length: str = "3 minutes", slide: str = "1 minute") -> DataFrame:
-    """Windows in which the last balance is at least ``pct`` percent below the peak."""
-    g = watermarked(df, ts).groupBy(key, F.window(ts, length, slide)).agg(F.max(amount).alias("peak"), F.max_by(amount, ts).alias("last"))
+    """Windows in which the last balance (the larger one at equal times) is at least ``pct`` percent below the peak."""
+    g = watermarked(df, ts).groupBy(key, F.window(ts, length, slide)).agg(F.max(amount).alias("peak"), F.max_by(amount, F.struct(ts, amount)).alias("last"))
     return g.where(F.col("last") * 100 <= F.col("peak") * (100 - pct)).select(
         key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "peak", "last")
 
