@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,12 @@ class Tokens:
         digits = [NOT_DIGIT.sub("", w) for w in words]
         self.next = [bool(GAP.fullmatch(text, self.span[k][1], self.span[k + 1][0])) for k in range(n - 1)]
         self.label = [0] * n
+        ends = [e for _, e in self.span]
         for kind, a, b in reversed(base):
-            for k, (s, e) in enumerate(self.span):
-                if s < b and e > a:
-                    self.label[k] = kind + 1
+            k = bisect_right(ends, a)
+            while k < n and self.span[k][0] < b:
+                self.label[k] = kind + 1
+                k += 1
         # Digits of the whole chain of a token, and whether it starts with a plus.
         group, whole, plus = 0, [], []
         while group < n:
@@ -91,7 +94,8 @@ class Tokens:
         self.features = [self._features(text, k, words[k], digits[k], whole[k], plus[k]) for k in range(n)]
         self.same, self.like = self._links(words), self._links([
             w.partition("@")[0].lower() + "@" if "@" in w else d if len(d) >= 7 else None for w, d in zip(words, whole)])
-        self.like = [(a, b) for a, b in self.like if (a, b) not in set(self.same)]
+        same = set(self.same)
+        self.like = [x for x in self.like if x not in same]
 
     @staticmethod
     def _links(keys: list[str | None]) -> list[tuple[int, int]]:
