@@ -1,59 +1,81 @@
 """Cross-entropy difference of a target and a background language model.
 
-Both models are word bigrams over one vocabulary: the ``VOCABULARY`` symbols are the most frequent words of the whole corpus and,
-for all other words, shape classes (kind of first character, length, marks inside).  So the number of bigrams has a bound
-whatever the corpus, and each model is a table.  The background model counts all documents, the target model those
-marked as such; both use the same smoothing: the unigram distribution with the weight of ``PRIOR`` words.
-A document's score is the mean over its words of target minus background log probability.
-
-Word and bigram counts cover all documents and are summed in tasks before they are shuffled.
-
-Defined cases: null, empty and blank texts have no word and score 0; documents without an id are never target;
-without a target document both models are the background's and every score is 0; texts of any length are read whole;
-repeated rows count and are scored each for itself; an empty table gives no rows; only the named columns are read.
+Both models are word bigrams over the whole vocabulary, so what is gathered grows with the corpus.  A bigram of two of the
+``WORDS`` most frequent words is a cell of one table, which every task has; all others are rows of a Spark table of n-grams.
+That is where a count is kept, not what is counted: the probabilities are the same for any ``WORDS``.
+The background model counts all documents, the target model those marked as such; both use the same smoothing: the unigram
+distribution with the weight of ``PRIOR`` words.  A document's score is the mean over its words of target minus background
+log probability.
+
+An n-gram row belongs to a rare word: the word after any other (its share of the probability is the numerator), or the word
+before a frequent one or before any rare one (the denominator).  So all counts of a rare word meet in one task, and as a rare
+word has less than one in ``WORDS`` of all words, no key is hot.  Counts are summed in tasks before they are shuffled.  A
+document's n-grams are counted in its task, joined with the table, and their losses are summed by document.
+
+Words are known by 64 bits of a hash.  Defined cases: null, empty and blank texts have no word and score 0; documents without
+an id are never target; without a target document both models are the background's and every score is 0; n-grams that the
+models have not seen have the smoothing's probability; texts of any length are read whole; repeated rows count and are scored
+each for itself; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from auditloom.llm.common import fresh, map_arrow, map_texts, pieces
+from auditloom.llm.common import fresh, map_arrow, pieces
+from auditloom.plans.lineage import Scratch, cut
 
+#: Symbols of the table: start of a text, any rare word, the frequent words.  The unigram distribution adds one for each of at least so many words.
 VOCABULARY, PRIOR = 2048, 50.0
-KIND = 5
-LENGTHS = 6
-SHAPES = KIND * LENGTHS * 2
-START = SHAPES
-WORDS = VOCABULARY - SHAPES - 1
+START, RARE = 0, 1
+WORDS = VOCABULARY - 2
 PIECE, PACK = 1 << 22, 1 << 12
-_FIRST = np.full(256, 4, np.uint8)
-_FIRST[ord("a"):ord("z") + 1], _FIRST[ord("A"):ord("Z") + 1], _FIRST[ord("0"):ord("9") + 1], _FIRST[33:48] = 0, 1, 2, 3
-_MARKS = bytes.maketrans(b"#*$%&|<>!?=", b"\x00" * 11)
+#: N-gram rows that a task holds before it adds them up.
+HOLD = 1 << 21
+
 
+class Model(NamedTuple):
+    """Frequent words, log probabilities of their table, the table of n-grams, counts of rare words, and what smoothing needs of frequent ones."""
 
-def vocabulary(docs: DataFrame, text: str) -> dict[bytes, int]:
-    """The most frequent words and their symbols; ties in order of the words."""
+    known: dict[bytes, int]
+    target: np.ndarray
+    background: np.ndarray
+    grams: DataFrame
+    words: DataFrame
+    frequent: DataFrame
+    unseen: tuple[float, float]
+
+
+def vocabulary(docs: DataFrame, text: str) -> tuple[dict[bytes, int], int]:
+    """The most frequent words and their symbols, ties in order of the words; the number of all distinct words."""
+    seen = Observation()
     top = (docs.select(F.explode(F.array_remove(F.split(F.col(text), "[ \\t-\\r]+"), "")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "w").limit(WORDS).collect())
-    return {r["w"].encode(): START + 1 + k for k, r in enumerate(top)}
+           .observe(seen, F.count(F.lit(1)).alias("words")).orderBy(F.desc("n"), "w").limit(WORDS).collect())
+    return {r["w"].encode(): RARE + 1 + k for k, r in enumerate(top)}, seen.get["words"]
 
 
-def shape(w: bytes) -> int:
-    """Class of a word outside the vocabulary."""
-    kind, length = int(_FIRST[w[0]]), min(LENGTHS - 1, len(w) // 3)
-    return (kind * LENGTHS + length) * 2 + (0 in w.translate(_MARKS))
+def rare(w: bytes) -> int:
+    """Symbol of a word outside the table, apart from all symbols in it and their negatives."""
+    h = int.from_bytes(blake2b(w, digest_size=8).digest(), "little", signed=True)
+    return h if abs(h) >= VOCABULARY else h + 2 * VOCABULARY
 
 
 class Coder:
-    """Symbols of words, with a bounded memory for shapes."""
+    """Symbols of words, with a bounded memory for rare ones."""
 
     def __init__(self, known: dict[bytes, int]):
         self.known, self.seen = known, {}
 
-    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Bigram codes of all texts in a row, and how many each has: one per word, the first after a start symbol."""
+    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Table cells of all texts in a row, one per word, and how many each has; the n-gram rows: owner (position of the word), rare word, other.
+
+        ``other`` is the symbol before a rare word, or the negative symbol of what follows it.
+        """
         split = [t.split() for t in texts]
         if len(self.seen) > 300_000:
             self.seen = {}
@@ -61,31 +83,62 @@ class Coder:
             self.seen = dict(self.known)
         flat = [w for s in split for w in s]
         for w in set(flat).difference(self.seen):
-            self.seen[w] = shape(w)
+            self.seen[w] = rare(w)
         n = np.fromiter(map(len, split), np.int64, len(split))
-        ids = np.fromiter(map(self.seen.__getitem__, flat), np.int64, len(flat))
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
+        word = np.fromiter(map(self.seen.__getitem__, flat), np.int64, len(flat))
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
         first = (np.cumsum(n) - n)[n > 0]
         before[first] = START
-        return before * VOCABULARY + ids, n
+        ids, ids_before = (np.where((x >= 0) & (x < VOCABULARY), x, RARE) for x in (word, before))
+        here, after = np.flatnonzero(ids == RARE), np.flatnonzero(ids_before == RARE)
+        return (ids_before * VOCABULARY + ids, n, np.r_[here, after], np.r_[word[here], before[after]], np.r_[before[here], -ids[after]])
 
 
-def counts(docs: DataFrame, text: str, target: str, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram tables of the target and of all documents."""
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows by ``keys``, and where in it a new group starts."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(new)
+
+
+def counts(docs: DataFrame, text: str, target: str, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Tables of the target and of all documents, and the counts of n-grams: ``w``, ``other``, ``t``, ``b``."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         coder, cells = Coder(sent.value), VOCABULARY**2
         total = np.zeros((2, cells), np.int64)
+        held, size = [], 0
+
+        def rows(cell, w, other, t, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), cell)), *map(pa.array, (w, other, t, b))], names=["cell", "w", "other", "t", "b"])
+
+        def added():
+            w, other, t = (np.concatenate(x) for x in zip(*held))
+            order, new = _groups(w, other)
+            return rows(False, w[order][new], other[order][new], np.add.reduceat(t[order].astype(np.int64), new), np.diff(np.r_[new, len(w)]))
+
         for b in batches:
             for p in pieces(b, text, PIECE):
-                code, n = coder.codes([t or b"" for t in p.column(text).cast(pa.binary()).to_pylist()])
+                code, n, at, w, other = coder.codes([t or b"" for t in p.column(text).cast(pa.binary()).to_pylist()])
                 mine = np.repeat(np.asarray(p.column(target).to_pylist(), bool), n)
                 np.add.at(total[1], code, 1)
                 np.add.at(total[0], code[mine], 1)
+                if len(w):
+                    held.append((w, other, mine[at]))
+                    size += len(w)
+                if size > HOLD:
+                    yield added()
+                    held, size = [], 0
+        if size:
+            yield added()
         there = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[0][there]), pa.array(total[1][there])], names=["code", "t", "b"])
+        yield rows(True, there // PACK, there, total[0][there], total[1][there])
 
     def packed(batches):
         for b in batches:
@@ -95,25 +148,49 @@ def counts(docs: DataFrame, text: str, target: str, known: dict[bytes, int]) ->
                 row[0, at], row[1, at] = b.column("t")[k].as_py(), b.column("b")[k].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("at")[k].as_py()]), pa.array([row.tobytes()], pa.binary())], names=["at", "row"])
 
-    sums = (map_arrow(docs.select(text, target), run, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-            .groupBy(F.expr(f"code div {PACK}").alias("at"))
-            .agg(F.collect_list(F.struct("code", "t", "b")).alias("x"))
-            .select("at", F.col("x.code").alias("code"), F.col("x.t").alias("t"), F.col("x.b").alias("b")))
+    sums = cut(map_arrow(docs.select(text, target), run, "cell boolean, w long, other long, t long, b long")
+               .groupBy("cell", "w", "other").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
+    cells = (sums.where("cell").groupBy(F.col("w").alias("at"))
+             .agg(F.collect_list(F.struct("other", "t", "b")).alias("x"))
+             .select("at", F.col("x.other").alias("code"), F.col("x.t").alias("t"), F.col("x.b").alias("b")))
     out = np.zeros((2, VOCABULARY**2), np.float32)
-    for r in map_arrow(sums, packed, "at long, row binary").toLocalIterator():
+    for r in map_arrow(cells, packed, "at long, row binary").toLocalIterator():
         out[:, r["at"] * PACK:(r["at"] + 1) * PACK] = np.frombuffer(r["row"], np.float32).reshape(2, PACK)
-    return out[0].reshape(VOCABULARY, VOCABULARY), out[1].reshape(VOCABULARY, VOCABULARY)
+    return out[0].reshape(VOCABULARY, VOCABULARY), out[1].reshape(VOCABULARY, VOCABULARY), sums.where("not cell").drop("cell")
+
 
+def log_probabilities(table: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of a word given the one before it, by table cell; probability of each symbol; that of a word without a count.
 
-def log_probabilities(table: np.ndarray) -> np.ndarray:
-    """Of a word given the one before it, by bigram code."""
-    word = table.sum(0, dtype=np.float64) + 1
-    word /= word.sum()
+    What rare words have of it is left to the n-grams: a rare word's numerator, and all after a rare word.
+    """
+    size = table.sum(dtype=np.float64) + max(VOCABULARY, n_words)
+    word = (table.sum(0, dtype=np.float64) + 1) / size
     given = table.sum(1, dtype=np.float64)
     out = np.empty(table.shape, np.float32)
     for k in range(VOCABULARY):
-        out[k] = np.log((table[k] + PRIOR * word) / (given[k] + PRIOR))
-    return out.ravel()
+        above = np.log(table[k] + PRIOR * word)
+        above[RARE] = 0
+        out[k] = above - np.log(given[k] + PRIOR)
+    out[RARE] = 0
+    return out.ravel(), word, 1 / size
+
+
+def _losses(rows: DataFrame, frequent: DataFrame, unseen: tuple[float, float]) -> DataFrame:
+    """``rows`` with ``lt``, ``lb``: the log probability that an n-gram adds.
+
+    ``rows``: w, other, counts ``t`` and ``b`` of the n-gram, ``word_t``, ``word_b`` of the rare word and ``given_t``, ``given_b`` of it before others.
+    """
+    before = (F.col("other") < 0) & (F.col("other") > -VOCABULARY)
+
+    def part(m: str, p: float) -> Column:
+        above = F.log(F.col(m) + PRIOR * F.coalesce(F.col(f"p_{m}"), (F.col(f"word_{m}") + 1) * p))
+        below = F.log(F.col(f"given_{m}") + PRIOR)
+        return F.when(~before, above).when(F.col("other") == -RARE, -below).otherwise(above - below)
+
+    # A word before a rare one has no numerator here; the symbols of frequent words are looked up in 2046 rows.
+    wide = rows.join(F.broadcast(frequent), F.when(before, -F.col("other")) == F.col("symbol"), "left")
+    return wide.withColumns({f"l{m}": part(m, p) for m, p in zip("tb", unseen)}).select(*rows.columns, "lt", "lb")
 
 
 def mark_target(docs: DataFrame, chosen: DataFrame, keep: list[str], ids: str, text: str) -> tuple[DataFrame, str]:
@@ -126,34 +203,64 @@ def mark_target(docs: DataFrame, chosen: DataFrame, keep: list[str], ids: str, t
     return with_id.unionByName(rows.where(F.col(ids).isNull()).withColumn(flag, F.lit(False))), flag
 
 
-def fit(docs: DataFrame, chosen: DataFrame, ids: str = "doc_id", text: str = "text") -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, chosen: DataFrame, ids: str = "doc_id", text: str = "text") -> Model:
     """Vocabulary and both models; ``chosen`` has the ids of the target documents."""
-    known = vocabulary(docs, text)
+    known, n_words = vocabulary(docs, text)
     marked, flag = mark_target(docs, chosen, [], ids, text)
-    target, background = counts(marked, text, flag, known)
-    own = log_probabilities(background)
-    return known, log_probabilities(target) if target.any() else own, own
-
-
-def score(df: DataFrame, model, keep: list[str], text: str = "text") -> DataFrame:
+    target, background, sums = counts(marked, text, flag, known)
+    if not target.any():
+        target, sums = background, sums.withColumn("t", F.col("b"))
+    (lt, word_t, none_t), (lb, word_b, none_b) = (log_probabilities(x, n_words) for x in (target, background))
+    frequent = docs.sparkSession.createDataFrame(
+        [(k, float(word_t[k]), float(word_b[k])) for k in range(RARE + 1, VOCABULARY)], "symbol long, p_t double, p_b double")
+    before = (F.col("other") < 0) & (F.col("other") > -VOCABULARY)
+    of = {f"{part}_{m}": F.sum(F.when(test, F.col(m)).otherwise(0)) for part, test in (("word", ~before), ("given", before)) for m in "tb"}
+    word = Window.partitionBy("w")
+    rows = sums.withColumns({k: v.over(word) for k, v in of.items()})
+    grams = cut(_losses(rows, frequent, (none_t, none_b)).select(F.xxhash64("w", "other").alias("g"), F.col("lt").cast("float"), F.col("lb").cast("float")))
+    words = sums.groupBy("w").agg(*[v.alias(k) for k, v in of.items()])
+    return Model(known, lt, lb, grams, words, frequent, (none_t, none_b))
+
+
+def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep``, ``n_words``, ``target_loss``, ``background_loss`` (mean per word) and ``score``, their difference."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(model[:3])
+    row, n_words, t, b, w, other, n = fresh([*keep, text], "row", "n_words", "t", "b", "w", "other", "n")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
-    def work(texts: list[str]):
+    def run(batches):
         known, target, background = sent.value
-        code, n = _coder(known).codes([t.encode() for t in texts])
-        owner = np.repeat(np.arange(len(n)), n)
-        t, b = (-np.bincount(owner, table[code], minlength=len(n)) / np.maximum(n, 1) for table in (target, background))
-        return [n, t, b, b - t]
-
-    return map_texts(df, keep, text, "n_words long, target_loss double, background_loss double, score double", work)
-
-
-_CODERS: dict[int, Coder] = {}
-
-
-def _coder(known: dict[bytes, int]) -> Coder:
-    if id(known) not in _CODERS:
-        _CODERS.clear()
-        _CODERS[id(known)] = Coder(known)
-    return _CODERS[id(known)]
+        coder = Coder(known)
+        for batch in batches:
+            for p in pieces(batch, text, PIECE):
+                code, size, at, ws, others = coder.codes([x or b"" for x in p.column(text).cast(pa.binary()).to_pylist()])
+                owner = np.repeat(np.arange(len(size)), size)
+                sums = [np.bincount(owner, x[code], minlength=len(size)).astype(float) for x in (target, background)]
+                doc = owner[at]
+                order, new = _groups(doc, ws, others)
+                first = order[new]
+                ends = np.searchsorted(doc[first], np.arange(len(size) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ws[first], others[first], np.diff(np.r_[new, len(order)]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*[p.column(c) for c in keep], pa.array(size), *map(pa.array, sums), *lists], names=[*keep, n_words, t, b, w, other, n])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{n_words}` long, `{t}` double, `{b}` double, `{w}` array<long>, `{other}` array<long>, `{n}` array<int>"])
+    with Scratch(df.sparkSession) as own:
+        docs = own.cut(map_arrow(df.select(*dict.fromkeys([*keep, text])), run, schema).withColumn(row, F.monotonically_increasing_id()))
+        rows = (docs.select(F.col(row).alias("row"), F.inline(F.arrays_zip(F.col(w).alias("w"), F.col(other).alias("other"), F.col(n).alias("n"))))
+                .toDF("row", "w", "other", "n").withColumn("g", F.xxhash64("w", "other")))
+        # The same join at every size: neither side has a bound, so neither is broadcast.
+        found = rows.select("row", "g", "n").join(model.grams.hint("merge"), "g", "left")
+        sums = own.cut(found.groupBy("row").agg(
+            F.sum(F.col("lt").cast("double") * F.col("n")).alias("lt"), F.sum(F.col("lb").cast("double") * F.col("n")).alias("lb"),
+            F.sum(F.when(F.col("lt").isNull(), 1).otherwise(0)).alias("new")))
+        if not sums.where("new > 0").isEmpty():
+            # N-grams that no document of the models has.
+            none = rows.join(model.grams.hint("merge"), "g", "left_anti").join(model.words.hint("merge"), "w", "left")
+            none = none.withColumns({"t": F.lit(0), "b": F.lit(0)}).fillna(0, ["word_t", "word_b", "given_t", "given_b"])
+            more = _losses(none, model.frequent, model.unseen).groupBy("row").agg(F.sum(F.col("lt") * F.col("n")).alias("lt"), F.sum(F.col("lb") * F.col("n")).alias("lb"))
+            sums = own.cut(sums.select("row", "lt", "lb").union(more).groupBy("row").agg(F.sum("lt").alias("lt"), F.sum("lb").alias("lb")))
+        sums = sums.select(F.col("row").alias(row), F.col("lt").alias(w), F.col("lb").alias(other))
+        whole = docs.select(*keep, row, n_words, t, b).join(sums.hint("merge"), row, "left")
+        loss = lambda x, y: -(F.col(x) + F.coalesce(F.col(y), F.lit(0.0))) / F.greatest(F.col(n_words), F.lit(1))
+        out = whole.select(*keep, F.col(n_words).alias("n_words"), loss(t, w).alias("target_loss"), loss(b, other).alias("background_loss"))
+        return cut(out.withColumn("score", F.col("background_loss") - F.col("target_loss")))

@@ -247,6 +247,38 @@ def test_losses_by_hand(spark):
         assert (x["target_loss"], x["background_loss"]) == pytest.approx(tuple(want), abs=1e-4)
 
 
+def test_whole_vocabulary_by_hand(spark):
+    """More words than the table has symbols, most of them rare and alike in shape; and texts the models have not seen."""
+    r = random.Random(8)
+    names = [f"w{k:05d}" for k in range(9000)]
+    rows = [(k, " ".join(r.choice(names[:3] if r.random() < 0.4 else names) for _ in range(r.randint(0, 300)))) for k in range(150)] + [(3, "w00001 w08999"), (None, "x y")]
+    new = [(900, "w00001 never seen w00002 w00001 w08999 w08998"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(docs, spark.createDataFrame([(k,) for k in range(40)], "doc_id long"))
+    n_words = len({w for _, t in rows for w in t.split()})
+    assert n_words > lm.VOCABULARY
+
+    def tables(texts):
+        pair, word, given = {}, {}, {}
+        for x in texts:
+            s = x.split()
+            for a, b in zip([None, *s], s):
+                for d, k in ((pair, (a, b)), (word, b), (given, a)):
+                    d[k] = d.get(k, 0) + 1
+        return pair, word, given
+
+    models = [tables([t for i, t in rows if i is not None and i < 40]), tables([t for _, t in rows])]
+    got = lm.score(docs, model, ["doc_id", "text"]).collect() + lm.score(spark.createDataFrame(new, "doc_id long, text string"), model, ["doc_id", "text"]).collect()
+    assert len(got) == len(rows) + len(new)
+    for x in got:
+        s, want = (x["text"] or "").split(), []
+        for pair, word, given in models:
+            p = lambda b: (word.get(b, 0) + 1) / (sum(word.values()) + n_words)  # noqa: B023, E731
+            want.append(-sum(math.log((pair.get((a, b), 0) + lm.PRIOR * p(b)) / (given.get(a, 0) + lm.PRIOR)) for a, b in zip([None, *s], s)) / max(1, len(s)))
+        assert x["n_words"] == len(s)
+        assert (x["target_loss"], x["background_loss"]) == pytest.approx(tuple(want), abs=1e-4)
+
+
 def test_language_model_tells_quality(spark):
     got = QUERIES["op2_cross_entropy_difference"](spark, SF).join(table(spark, SF, "labels"), "doc_id").collect()
     good, bad = ([x["score"] for x in got if x["quality"] == q] for q in (1, 0))
