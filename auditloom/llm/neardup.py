@@ -5,6 +5,8 @@ is one shingle.  A shingle's weight is ``1 + log2(count)``, so a line repeated a
 than once but not a hundredfold.  Every shingle starts a Poisson process with its weight as the rate; each arrival goes
 to a random register, which keeps the earliest.  A shingle stops as soon as its next arrival cannot change
 any register of its text.  Two registers agree with the probability Jaccard similarity of the weights.
+Where shingles repeat, that can be far below the similarity that confirms a link, so such a text also has
+registers with the weight one for every shingle; they agree with the Jaccard similarity of the sets.
 
 Equal texts form one class from the start and only one of them goes on.  Registers are hashed
 in bands; texts that share a band are candidates.  In every band bucket all are first compared with its
@@ -29,7 +31,7 @@ from auditloom.plans.lineage import Scratch, cut
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: 25 bands of 5 registers: a pair with similarity 0.8 shares a band with probability 0.99995.
+#: 25 bands of 5 registers: a pair with similarity 0.8 of its shingle sets shares a band with probability 0.99995.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 PIECE = 1 << 21
@@ -118,6 +120,27 @@ def registers(h: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs: int) ->
     return (who >> np.uint64(32)).astype(np.uint32).reshape(n_docs, REGISTERS)
 
 
+def bands(h: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs: int) -> np.ndarray:
+    """Hashes of each text's bands."""
+    reg = registers(h, doc, count, n_docs).reshape(n_docs, BANDS, ROWS).astype(np.uint64)
+    band = np.zeros((n_docs, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(ROWS):
+        band = mix(band ^ (reg[:, :, k] + np.uint64(k)))
+    return band.view(np.int64)
+
+
+def all_bands(h: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs: int) -> list[np.ndarray | None]:
+    """Each text's bands with weights and with unit weights, which are the same where no shingle repeats; None without shingles."""
+    full = np.bincount(doc, minlength=n_docs) > 0
+    out = [x if f else None for x, f in zip(bands(h, doc, count, n_docs), full)]
+    again = np.bincount(doc[count > 1], minlength=n_docs) > 0
+    mine = again[doc]
+    which = np.flatnonzero(again)
+    for k, x in zip(which.tolist(), bands(h[mine], np.searchsorted(which, doc[mine]), np.ones(int(mine.sum()), np.int64), len(which))):
+        out[k] = np.unique(np.r_[out[k], x])
+    return out
+
+
 def signed(df: DataFrame, ids: str, text: str) -> DataFrame:
     """``ids``, ``key`` of the text (null without words) and ``bands`` (hashes) of every row."""
     kind = df.schema[ids].dataType.simpleString()
@@ -127,14 +150,8 @@ def signed(df: DataFrame, ids: str, text: str) -> DataFrame:
             for p in pieces(b, text, PIECE):
                 texts = [t or b"" for t in p.column(text).cast(pa.binary()).to_pylist()]
                 h, doc, count = shingles(texts)
-                reg = registers(h, doc, count, len(texts)).reshape(len(texts), BANDS, ROWS).astype(np.uint64)
-                band = np.zeros((len(texts), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for k in range(ROWS):
-                    band = mix(band ^ (reg[:, :, k] + np.uint64(k)))
-                full = np.bincount(doc, minlength=len(texts)) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [p.column(ids), p.column("key"), pa.array([x if f else None for x, f in zip(band.view(np.int64), full)], pa.list_(pa.int64()))],
-                    names=[ids, "key", "bands"])
+                    [p.column(ids), p.column("key"), pa.array(all_bands(h, doc, count, len(texts)), pa.list_(pa.int64()))], names=[ids, "key", "bands"])
 
     keyed = df.select(F.col(ids), F.col(text), text_key(F.col(text)).alias("key"))
     return map_arrow(keyed, run, f"`{ids}` {kind}, key binary, bands array<long>")

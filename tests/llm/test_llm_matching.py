@@ -153,6 +153,20 @@ def test_keep_one(spark, copies):
     assert len(rows) == len(set(of)) + len(blank)
 
 
+def test_copies_with_unequal_line_counts(spark):
+    """One line of a copy comes 500 times: the sets of shingles stay alike, their weights do not."""
+    r = random.Random(12)
+    rows = []
+    for _ in range(20):
+        w = [f"w{r.randrange(10**9)}" for _ in range(104)]
+        rows += [" ".join(w), " ".join(w[:40] + w[40:64] * 500 + w[64:]), " ".join(w[:40] + w[40:64] * 90 + w[64:] + ["more", "words"])]
+    copies = list(enumerate(rows))
+    of = brute_classes(copies)
+    assert len(set(of)) == 20
+    out, cls = neardup.with_class(spark.createDataFrame(copies, "doc_id long, text string"), ["doc_id"])
+    assert {x["doc_id"]: x[cls] for x in out.collect()} == {i: of.index(of[i]) for i, _ in copies}
+
+
 def test_register_agreement_estimates_similarity():
     r = random.Random(2)
     a = sentence(r, 900).split()
