@@ -3,9 +3,11 @@
 The patterns give the base spans.  Tokens with a digit or an @ are then labelled by a random field: features of
 the token, potentials between neighbours, and potentials between distant tokens of the same text that are
 equal (the same characters) or similar (the same seven or more digits, also over neighbouring tokens, or the same name before an @).
-Each such token is tied to the one before it, so links grow with the tokens, not with their pairs.  Tokens
-of base spans are fixed to their kind; loopy message passing carries that to the others, and a token that is
-then surely of a kind becomes a span of its own.  Base spans stay as they are.
+All of them are tied to one node that stands for what they name, so links grow with the tokens, not with their pairs,
+and evidence is two links from any other occurrence however many lie between.  Tokens of base spans are fixed to their kind,
+and so is their node; loopy message passing carries that to the others until messages stop changing, and a token that is
+then surely of a kind becomes a span of its own.  A node without a base span has no kind by itself: tokens that say nothing
+leave it as it is.  Base spans stay as they are.
 
 Weights come from pseudo-likelihood: every token given the labels of its neighbours, with the base spans as labels.
 Equal situations are counted on the executors, so only distinct ones reach the driver.  They are taken from about
@@ -38,8 +40,12 @@ TOKEN = re.compile(r"[A-Za-z0-9._%+@-]*[0-9@][A-Za-z0-9._%+@-]*")
 GAP = re.compile(r"[\x20().-]{1,3}")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 SAMPLE_TEXTS = 4000
-#: Probability from which a token is added, rounds of message passing, weight that fixes base tokens.
-SURE, ROUNDS, FIXED = 0.9, 12, 12.0
+#: Probability from which a token is added, change at which messages have come to rest, weight that fixes base tokens.
+SURE, REST, FIXED = 0.9, 1e-3, 12.0
+#: Rounds after each of which the step is halved again, so that messages that swing come to rest too.
+FULL_STEPS = 200
+#: Log weight of what cannot be.
+NEVER = -1e6
 #: Prior of the agreement potentials.
 AGREE = 6.0
 N_LABELS = 1 + len(KINDS)
@@ -92,20 +98,19 @@ class Tokens:
             plus += [words[group].startswith("+")] * (end + 1 - group)
             group = end + 1
         self.features = [self._features(text, k, words[k], digits[k], whole[k], plus[k]) for k in range(n)]
-        self.same, self.like = self._links(words), self._links([
-            w.partition("@")[0].lower() + "@" if "@" in w else d if len(d) >= 7 else None for w, d in zip(words, whole)])
-        same = set(self.same)
-        self.like = [x for x in self.like if x not in same]
+        self.same = self._groups(words)
+        equal = set(map(tuple, self.same))
+        self.like = [g for g in self._groups([w.partition("@")[0].lower() + "@" if "@" in w else d if len(d) >= 7 else None for w, d in zip(words, whole)])
+                     if tuple(g) not in equal]
 
     @staticmethod
-    def _links(keys: list[str | None]) -> list[tuple[int, int]]:
-        last, out = {}, []
+    def _groups(keys: list[str | None]) -> list[list[int]]:
+        """Tokens with the same key, where there are two or more."""
+        by: dict[str, list[int]] = {}
         for k, key in enumerate(keys):
             if key is not None and len(key) > 4:
-                if key in last:
-                    out.append((last[key], k))
-                last[key] = k
-        return out
+                by.setdefault(key, []).append(k)
+        return [g for g in by.values() if len(g) > 1]
 
     def _features(self, text: str, k: int, w: str, d: str, whole: str, plus: bool) -> tuple[int, ...]:
         parts, n = w.rstrip(".-").split("."), len(d)
@@ -121,8 +126,14 @@ class Tokens:
         return tuple(i for i, y in enumerate(yes) if y)
 
 
+def most(number: list[int]) -> int:
+    """The most frequent kind by label, the first of several; 0 if there is none."""
+    best = max(range(1, N_LABELS), key=number.__getitem__)
+    return best if number[best] else 0
+
+
 def situations(texts: list[str]) -> dict[tuple, int]:
-    """How often each (features, labels left, right, same before/after, like before/after, own label) occurs."""
+    """How often each (features, label left, right, of equal tokens, of similar tokens, own label) occurs; each label is a tuple of one or none."""
     seen: dict[tuple, int] = {}
     for t in texts:
         k = Tokens(t, base_spans(t))
@@ -131,10 +142,15 @@ def situations(texts: list[str]) -> dict[tuple, int]:
             if go:
                 near[a + 1][0].append(k.label[a])
                 near[a][1].append(k.label[a + 1])
-        for links, slot in ((k.same, 2), (k.like, 3)):
-            for a, b in links:
-                near[a][slot].append(k.label[b])
-                near[b][slot].append(k.label[a])
+        for groups, slot in ((k.same, 2), (k.like, 3)):
+            for g in groups:
+                number = [0] * N_LABELS
+                for a in g:
+                    number[k.label[a]] += 1
+                for a in g:
+                    number[k.label[a]] -= 1
+                    near[a][slot].append(most(number))
+                    number[k.label[a]] += 1
         for f, x, y in zip(k.features, near, k.label):
             s = (f, *[tuple(sorted(v)) for v in x], y)
             seen[s] = seen.get(s, 0) + 1
@@ -184,31 +200,48 @@ class Field:
     def marginals(self, tokens: list[Tokens]) -> list[np.ndarray]:
         """Label probabilities of the tokens of many texts, by loopy message passing over all at once."""
         size = np.cumsum([0, *[len(t.label) for t in tokens]])
-        unary = np.zeros((size[-1], N_LABELS))
-        src, dst, pot = [], [], []
-        for t, o in zip(tokens, size.tolist()):
+        nodes = size[-1] + sum(len(t.same) + len(t.like) for t in tokens)
+        unary = np.zeros((nodes, N_LABELS))
+        src, dst, pot, of = [], [], [], []
+        node = int(size[-1])
+        # Of a token given its node, so that a node gains nothing from tokens that say nothing.
+        equal, similar = (m - np.log(np.exp(m).sum(0)) for m in (np.diag(self.same), np.diag(self.like)))
+        for i, (t, o) in enumerate(zip(tokens, size.tolist())):
             for k, f in enumerate(t.features):
                 unary[o + k] = self.unary[list(f)].sum(0)
                 if t.label[k]:
                     unary[o + k, t.label[k]] += FIXED
-            for links, table in (([(a, a + 1) for a, go in enumerate(t.next) if go], self.chain), (t.same, np.diag(self.same)), (t.like, np.diag(self.like))):
-                for a, b in links:
-                    src += [o + a, o + b]
-                    dst += [o + b, o + a]
-                    pot += [table, table.T]
-        belief = unary
+            links = [(o + a, o + a + 1, self.chain) for a, go in enumerate(t.next) if go]
+            for groups, table in ((t.same, equal), (t.like, similar)):
+                for g in groups:
+                    links += [(o + a, node, table) for a in g]
+                    if kind := most(np.bincount([t.label[a] for a in g], minlength=N_LABELS).tolist()):
+                        unary[node] = NEVER
+                        unary[node, kind] = 0
+                    node += 1
+            for a, b, table in links:
+                src += [a, b]
+                dst += [b, a]
+                pot += [table, table.T]
+            of += [i] * (2 * len(links))
+        belief = unary.copy()
         if src:
-            src, dst, pot = np.array(src), np.array(dst), np.array(pot)
-            back = np.arange(len(src)) ^ 1
+            src, dst, pot, of = np.array(src), np.array(dst), np.array(pot), np.array(of)
             message = np.zeros((len(src), N_LABELS))
-            for _ in range(ROUNDS):
-                into = message[back]
-                x = (belief[src] - into)[:, :, None] + pot
+            live, n = np.arange(len(src)), 0
+            while len(live):
+                x = (belief[src[live]] - message[live ^ 1])[:, :, None] + pot[live]
                 top = x.max(1)
                 new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
-                message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
-                belief = unary.copy()
-                np.add.at(belief, dst, message)
+                change = 0.5 ** (1 + n // FULL_STEPS) * (new - new.max(1, keepdims=True) - message[live])
+                message[live] += change
+                np.add.at(belief, dst[live], change)
+                # Texts whose messages have come to rest are done.
+                moving = np.zeros(len(tokens), bool)
+                moving[of[live[np.abs(change).max(1) > REST]]] = True
+                live = live[moving[of[live]]]
+                n += 1
+        belief = belief[:size[-1]]
         p = np.exp(belief - belief.max(1, keepdims=True)) if len(belief) else belief
         p = p / p.sum(1, keepdims=True) if len(p) else p
         return [p[a:b] for a, b in zip(size, size[1:])]

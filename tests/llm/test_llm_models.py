@@ -130,6 +130,19 @@ def test_labels_spread_to_repeats():
     assert [t[a:b] for _, a, b in added] == ["bob.smith@mail", "493012345678"]
 
 
+def test_labels_reach_all_repeats():
+    field = pii.Field().fit(list(pii.situations([f"Call +49 30 {1000000 + k} or mail p{k}@mail.example.com, ip 10.0.0.{k}, order {k * 7}" for k in range(60)]).items()))
+    text = "Mail bob.smith@mail.example.com now." + " Again bob.smith@mail please." * 60 + " Call +49 (30) 1234-5678." + " That is 493012345678 again." * 60
+    base, added = pii.find([text], field)[0]
+    assert [text[a:b] for _, a, b in base] == ["bob.smith@mail.example.com", "+49 (30) 1234-5678"]
+    assert [text[a:b] for _, a, b in added] == ["bob.smith@mail"] * 60 + ["493012345678"] * 60
+    # Tokens that are slightly against it, with the potentials at their prior.
+    field = pii.Field()
+    field.unary[0, 0] = 1.0
+    tokens = pii.Tokens(" and ".join(["+4930-1234567"] * 40), [(3, 0, 13)])
+    assert (field.marginals([tokens])[0][:, 4] >= pii.SURE).all()
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "to a@b.cd from 1.2.3.4!", 3), (2, None, None), (3, "", 0)], "doc_id long, text string, n_chars long")
     got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in pii.mask(df, pii.learn(df), size="n_chars").collect()}
