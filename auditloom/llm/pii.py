@@ -10,8 +10,8 @@ then surely of a kind becomes a span of its own.  A node without a base span has
 leave it as it is.  Base spans stay as they are.
 
 Weights come from pseudo-likelihood: every token given the labels of its neighbours, with the base spans as labels.
-Equal situations are counted on the executors, so only distinct ones reach the driver.  They are taken from about
-``SAMPLE_TEXTS`` texts, chosen by a hash of the text.
+Equal situations of all texts are counted on the executors, so only distinct ones reach the driver: a combination of
+features with at most one label of each of four neighbours and its own, whatever the number of texts.
 
 Defined cases: null and empty texts have no spans; texts of any length are searched whole; repeated rows are judged
 each for itself; an empty table gives no rows (and no spans are added where nothing was learned); only the named
@@ -23,6 +23,7 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,6 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[A-Za-z0-9._%+@-]*[0-9@][A-Za-z0-9._%+@-]*")
 GAP = re.compile(r"[\x20().-]{1,3}")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-SAMPLE_TEXTS = 4000
 #: Probability from which a token is added, change at which messages have come to rest, weight that fixes base tokens.
 SURE, REST, FIXED = 0.9, 1e-3, 12.0
 #: Rounds after each of which the step is halved again, so that messages that swing come to rest too.
@@ -269,14 +269,14 @@ def find(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]
 
 
 def learn(df: DataFrame, text: str = "text") -> Field:
-    n = df.count()
-    rows = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]") & (F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE_TEXTS))) == 0))
+    rows = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
 
     def run(batches):
+        seen: Counter = Counter()
         for b in batches:
             for p in pieces(b, "text"):
-                seen = situations(p.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([repr(s) for s in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
+                seen.update(situations(p.column("text").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([repr(s) for s in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
 
     got = map_arrow(rows, run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
     return Field().fit([(ast.literal_eval(r["s"]), r["n"]) for r in sorted(got, key=lambda r: r["s"])])

@@ -143,6 +143,16 @@ def test_labels_reach_all_repeats():
     assert (field.marginals([tokens])[0][:, 4] >= pii.SURE).all()
 
 
+def test_every_text_is_learned_from(spark, monkeypatch):
+    """One text in 12 000 has a situation of its own; the rest are of one kind."""
+    seen = []
+    monkeypatch.setattr(pii.Field, "fit", lambda self, got: seen.extend(got) or self)
+    rows = [(f"order {k}",) for k in range(100000, 112000)] + [("Call +49 (30) 1234-5678 or 493012345678",)] + [("same mail a@b.example",)] * 500
+    pii.learn(spark.createDataFrame(rows, "text string"))
+    want = pii.situations([t for t, in rows])
+    assert dict(seen) == want and sum(want.values()) > 12500
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "to a@b.cd from 1.2.3.4!", 3), (2, None, None), (3, "", 0)], "doc_id long, text string, n_chars long")
     got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in pii.mask(df, pii.learn(df), size="n_chars").collect()}
