@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, contamination, langid, lm, neardup, pii, quality, token_counts, toxicity, urls
+from auditloom.llm import bpe, contamination, filter_audit, langid, lm, neardup, pii, quality, token_counts, toxicity, urls
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -154,3 +154,32 @@ def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return lm.score(docs, lm.fit(docs, good), ["doc_id"])
+
+
+OP11_SQL = r"""WITH base AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS w FROM base),
+failing AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(MIN(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM split),
+marks AS (SELECT doc_id, MAX((quality = 1)::INT) AS good, MAX((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counted AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+    || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+  COUNT(*) AS n, SUM(coalesce(good, 0)) AS good, SUM(coalesce(toxic, 0)) AS toxic FROM failing LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+seen AS (SELECT part, filter_order, step, f, fails, n, good, toxic, contains(fails, f) AS hit,
+  len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0 AND before <> '' AND fails <> '' AS gone FROM counted, steps),
+removals AS (SELECT part, f, SUM(n) AS shapley FROM seen WHERE hit AND NOT gone GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(SUM(n) FILTER (WHERE NOT hit AND NOT gone), 0)::BIGINT AS kept,
+  coalesce(SUM(n) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS removed, coalesce(SUM(n) FILTER (WHERE hit AND gone), 0)::BIGINT AS redundant,
+  coalesce(SUM(n) FILTER (WHERE fails = f), 0)::BIGINT AS unique_fails, coalesce(SUM(good) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS good_lost,
+  coalesce(SUM(toxic) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS toxic_lost, coalesce(ANY_VALUE(shapley), 0)::BIGINT AS shapley
+FROM seen LEFT JOIN removals USING (part, f) GROUP BY part, filter_order, step"""
+
+
+@AREA.query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
