@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Characters worked on at once inside a task; one text above it is a piece of its own.
 PIECE_CHARS = 1 << 19
@@ -99,3 +99,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Bits of the largest filter that is broadcast (16 MB), and of one row of it on its way to the driver.
+FILTER_BITS, FILTER_ROW = 1 << 27, 1 << 16
+
+
+def bit_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits that are set for every ``key`` (long) of a table with ``n`` rows; other keys seldom have theirs set.
+
+    Sixteen bits a key, at most ``FILTER_BITS``: beyond, more keys pass that are not in the table.  So it may only decide
+    what is looked at more closely.
+    """
+    bits = min(max(FILTER_ROW, 1 << (16 * n).bit_length()), FILTER_BITS)
+
+    def pack(batches):
+        for b in batches:
+            rows = []
+            for slots in b.column("slots").to_pylist():
+                row = np.zeros(FILTER_ROW, bool)
+                row[slots] = True
+                rows.append(np.packbits(row).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(rows, pa.binary())], names=["row", "bits"])
+
+    slot = F.expr(f"key & {bits - 1}L")
+    grouped = (keys.select(slot.alias("slot")).distinct().groupBy(F.expr(f"slot div {FILTER_ROW}").alias("row"))
+               .agg(F.collect_list((F.col("slot") % FILTER_ROW).cast("int")).alias("slots")))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in map_arrow(grouped, pack, "row long, bits binary").collect():
+        out[r["row"] * FILTER_ROW // 8:(r["row"] + 1) * FILTER_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which ``keys`` (64 bits) a :func:`bit_filter` lets pass."""
+    slot = keys.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8) & 1).astype(bool)

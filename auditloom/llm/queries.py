@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, contamination, filter_audit, langid, lm, neardup, pii, quality, token_counts, toxicity, urls
+from auditloom.llm import bpe, collocations, contamination, filter_audit, langid, lm, neardup, pii, quality, token_counts, toxicity, urls
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -183,3 +183,28 @@ FROM seen LEFT JOIN removals USING (part, f) GROUP BY part, filter_order, step""
 @AREA.query("op11_filter_audit", OP11_SQL)
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+parts AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\n-\r]')) AS p FROM docs),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS w FROM parts),
+totals AS (SELECT lang, SUM(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, COUNT(*) AS f
+  FROM lists, (SELECT unnest(range(1, 6)) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) GROUP BY ALL HAVING COUNT(*) >= 100),
+candidates AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM candidates c, LATERAL (SELECT unnest(range(1, size)) AS j) JOIN totals ON totals.lang = c.lang
+  JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, j), ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, j + 1, size), ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts),
+dropped AS (SELECT DISTINCT lang, a, array_to_string(list_slice(w, s, s + m - 1), ' ') AS phrase
+  FROM candidates, LATERAL (SELECT unnest(range(2, size)) AS m), LATERAL (SELECT unnest(range(1, size - m + 2)) AS s)),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM best WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM dropped d WHERE d.lang = best.lang AND d.phrase = best.phrase AND 100 * d.a >= 100 * best.a))
+SELECT * FROM ranked WHERE rank <= 2000"""
+
+
+@AREA.query("op12_phrase_collocations", OP12_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
