@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auditloom.llm import bpe, collocations, contamination, filter_audit, langid, lm, neardup, pii, quality, token_counts, toxicity, urls
+from auditloom.llm import bpe, collocations, contamination, filter_audit, langid, lm, neardup, pii, quality, repeats, token_counts, toxicity, urls
 from auditloom.llm.common import table
 from auditloom.queries.base import Area
 
@@ -208,3 +208,9 @@ SELECT * FROM ranked WHERE rank <= 2000"""
 @AREA.query("op12_phrase_collocations", OP12_SQL)
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@AREA.query("op13_suffix_repeats")
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, n = repeats.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"], digest=True)
+    return out.select("doc_id", *[F.col(n[c]).alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.col(n["kept"]).alias("kept_sha256"))
