@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from auditloom.plans.lineage import shared_dir
 from auditloom.queries import views as V
 from auditloom.queries.base import Area
 from auditloom.queries.views import LINE_ID_SQL, SAMPLES_SQL, TICKS_SQL, with_sql
-from auditloom.streaming import io, monitor as M, transactions as X
+from auditloom.streaming import io, ledger, monitor as M, transactions as X
+from auditloom.streaming.cursor_source import read_by_id
 
 area = Area()
 QUERIES, ORACLE, query = area.queries, area.oracle, area.query
@@ -134,7 +140,7 @@ def _(spark, sf):
 @query("stale_feeds", with_sql(TICKS_SQL, body="""SELECT key, last_seen, ts AS resumed FROM (SELECT key, ts, lag(ts) OVER (PARTITION BY key ORDER BY ts, event_id) AS last_seen FROM ticks_v)
 WHERE epoch_us(ts) - epoch_us(last_seen) >= 86400000000"""))
 def _(spark, sf):
-    return M.stale_feed(V.ticks(spark, sf), "key", "ts", 86_400, F.date_trunc("minute", "ts"))
+    return M.stale_feed(V.ticks(spark, sf), "key", "ts", 86_400, F.date_trunc("minute", "ts"), ["event_id"])
 
 
 @query("large_moves", with_sql(TICKS_SQL, body="SELECT event_id, key, cents FROM ticks_v WHERE cents >= 15000"))
@@ -204,11 +210,138 @@ def _(spark, sf):
     return io.run_to_table(M.stale_feed_stream(V.tick_columns(event_stream(spark, sf)), "key", "ts", 86_400))
 
 
-@query("validator_metrics_stream", with_sql(SAMPLES_SQL, _METRIC_SQL, body=f"SELECT validator, ts, {_ROUND_SQL} FROM vm"))
+# Streams of five triggers.  A slice is six days; every second event of its last hour comes one trigger late, inside the watermark.
+SLICES, DELAY, DELAY_SQL = 5, "2 hours", "INTERVAL 2 HOUR"
+
+
+def slices(n: int = SLICES, ident=None):
+    """Which trigger a row comes in, one condition each."""
+    at = F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(n - 1))
+    late = (F.dayofmonth("ts") % 6 == 0) & (F.hour("ts") == 23)
+    at = F.least(at + F.when(late & (F.lit(True) if ident is None else ident % 2 == 1), 1).otherwise(0), F.lit(n - 1))
+    return [at == k for k in range(n)]
+
+
+def sliced_ticks(spark, sf):
+    t = V.ticks(spark, sf)
+    return io.read_tx_stream(spark, io.in_triggers(t, slices(ident=C("event_id"))), t.schema, max_per_trigger=1)
+
+
+@query("validator_metrics_stream", with_sql(SAMPLES_SQL, _METRIC_SQL, body=f"SELECT validator, ts, {_ROUND_SQL} FROM vm WHERE ts <= (SELECT MAX(ts) - {DELAY_SQL} FROM samples_v)"))
+def _(spark, sf):
+    s = V.samples(spark, sf)
+    path = io.in_triggers(s, slices(ident=F.ascii(F.substring("validator", 2, 1))))
+    return _rounded(io.run_to_table(M.validator_metrics_stream(io.read_tx_stream(spark, path, s.schema, max_per_trigger=1), DELAY), ordered=True))
+
+
+_BEFORE_SQL = f"ts <= (SELECT date_trunc('millisecond', MAX(ts)) - {DELAY_SQL} FROM ticks_v)"
+
+
+@query("value_changes_stream", with_sql(TICKS_SQL, body=f"""SELECT key, ts, event_id, event_type, before FROM (SELECT *, lag(event_type) OVER w AS before, lag(ts) OVER w AS last_ts FROM ticks_v
+WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)) WHERE before <> event_type AND epoch_ms(ts) - epoch_ms(last_ts) < 172800000 AND {_BEFORE_SQL}"""))
+def _(spark, sf):
+    return io.run_to_table(M.value_changed_stream(sliced_ticks(spark, sf), "key", "ts", ["event_id"], "event_type", 172_800_000, DELAY), ordered=True)
+
+
+@query("new_account_spike_stream", with_sql(TICKS_SQL, """first_v AS (SELECT key, MIN(ts) AS ts FROM ticks_v GROUP BY key)""", body=f"""
+SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS "end", COUNT(*) AS n FROM first_v GROUP BY 1
+HAVING COUNT(*) >= 2 AND time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= (SELECT MAX(ts) - {DELAY_SQL} FROM ticks_v)"""))
+def _(spark, sf):
+    return io.run_to_table(M.new_account_spike(sliced_ticks(spark, sf), "key", "ts", "event_id", 2, "6 hours", DELAY), ordered=True)
+
+
+_TICK_DEV_SQL = with_sql(TICKS_SQL, "m AS (SELECT key, date_trunc('day', ts) AS start, COUNT(*) AS n, SUM(cents) AS total FROM ticks_v GROUP BY 1, 2)", body="""
+SELECT event_id, cents, start, round(total::DOUBLE / n, 4) AS mean FROM ticks_v t JOIN m ON t.key = m.key AND date_trunc('day', t.ts) = m.start WHERE abs(cents * n - total) * 100 > total * 50""")
+
+
+@query("deviating_ticks", _TICK_DEV_SQL)
+def _(spark, sf):
+    return M.deviating_ticks(V.ticks(spark, sf), "key", "ts", "cents", ["event_id", "cents"], 50, "1 day").withColumn("mean", F.round("mean", 4))
+
+
+@query("deviating_ticks_stream", _TICK_DEV_SQL + f" AND start + INTERVAL 1 DAY <= (SELECT MAX(ts) - {DELAY_SQL} FROM ticks_v)")
+def _(spark, sf):
+    out = M.deviating_ticks(sliced_ticks(spark, sf), "key", "ts", "cents", ["event_id", "cents"], 50, "1 day", DELAY)
+    return io.run_to_table(out).withColumn("mean", F.round("mean", 4))
+
+
+@query("late_rows", f"""SELECT 4::BIGINT AS batch_id, 'dedupeWithinWatermark' AS kind, COUNT(*) AS dropped FROM events WHERE event_id % 50 = 0 AND day(ts) <= 18
+AND ts <= (SELECT MAX(ts) - {DELAY_SQL} FROM events WHERE day(ts) <= 24 AND NOT (day(ts) <= 18 AND event_id % 50 = 0)) HAVING COUNT(*) > 0""")
+def _(spark, sf):
+    """Every fiftieth event of the first eighteen days comes in the last trigger, far behind the watermark."""
+    t = V.ticks(spark, sf)
+    late = (C("event_id") % 50 == 0) & (F.dayofmonth("ts") <= 18)
+    at = F.when(late, 4).otherwise(F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(4)))
+    path = io.in_triggers(t, [at == k for k in range(5)])
+    base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    seen = ledger.LateRows(spark, f"{base}/late")
+    spark.streams.addListener(seen)
+    try:
+        s = M.dedup_stream(io.read_tx_stream(spark, path, t.schema, max_per_trigger=1), "event_id", "ts", DELAY)
+        q = s.writeStream.option("checkpointLocation", f"{base}/checkpoint").format("parquet").option("path", f"{base}/data").trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen.wait(q)
+    finally:
+        spark.streams.removeListener(seen)
+    return seen.table().groupBy("batch_id", "kind").agg(F.sum("dropped").alias("dropped"))
+
+
+@query("delivered_alerts", with_sql(TICKS_SQL, body="""SELECT target, COUNT(*) AS n, COUNT(DISTINCT event_id) AS ids, SUM(cents)::BIGINT AS cents
+FROM ticks_v, (SELECT unnest(['archive', 'pager']) AS target) WHERE cents >= 15000 GROUP BY target"""))
+def _(spark, sf):
+    """Two targets that append; the second fails in the second trigger, the query is started again."""
+    base = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    failed: list[int] = []
+
+    def append(name, fail_once=False):
+        def write(df, batch_id):
+            if fail_once and batch_id == 1 and not failed:
+                failed.append(batch_id)
+                raise RuntimeError("target is away")
+            df.write.mode("append").parquet(f"{base}/{name}")
+        return ledger.Target(name, write)
+
+    t = V.ticks(spark, sf)
+    stream = io.read_tx_stream(spark, io.in_triggers(t, slices(ident=C("event_id"))), t.schema, max_per_trigger=1)
+    alerts = stream.select("event_id", "cents", F.when(C("cents") >= 15_000, 4).otherwise(1).alias("level"))
+    targets = [append("archive"), append("pager", fail_once=True)]
+    for _ in range(2):
+        q = ledger.deliver_once(alerts, 3, targets, f"{base}/checkpoint")
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            if len(failed) != 1:
+                raise
+    out = [spark.read.schema("event_id long, cents long, level int").parquet(f"{base}/{n.name}").withColumn("target", F.lit(n.name)) for n in targets]
+    return out[0].unionByName(out[1]).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"), F.sum("cents").alias("cents"))
+
+
+@query("followed_by_id", with_sql(TICKS_SQL, body="SELECT event_id, key, cents FROM ticks_v"))
+def _(spark, sf):
+    """A log followed by id, a quarter of it a trigger, stopped and started again after two triggers."""
+    t = V.ticks(spark, sf).select("event_id", "key", "cents")
+    base = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    t.repartitionByRange("event_id").sortWithinPartitions("event_id").write.parquet(f"{base}/log")
+    rows = t.count() // 4 + 1
+    for stop_after in (2, None):
+        s = read_by_id(spark, f"{base}/log", t.schema, "event_id", rows, f"{base}/cursor")
+        q = s.writeStream.option("checkpointLocation", f"{base}/checkpoint").format("parquet").option("path", f"{base}/data").trigger(processingTime="0 seconds").start()
+        if stop_after is None:
+            q.processAllAvailable()
+        while stop_after and q.isActive and (q.lastProgress is None or q.lastProgress.batchId < stop_after - 1):
+            time.sleep(0.1)
+        q.stop()
+    return spark.read.schema(t.schema).parquet(f"{base}/data")
+
+
+@query("rapid_drain_stream", with_sql(TICKS_SQL, """w AS (SELECT key, cents, ts, event_id, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS start FROM ticks_v),
+g AS (SELECT key, start, MAX(cents) AS peak, arg_max(cents, ts) AS last FROM w GROUP BY ALL)""", body=f"""SELECT key, start, start + INTERVAL 12 HOUR AS "end", peak, last FROM g
+WHERE last * 100 <= peak * 15 AND start + INTERVAL 12 HOUR <= (SELECT MAX(ts) - {DELAY_SQL} FROM ticks_v)"""))
+def _(spark, sf):
+    return io.run_to_table(M.rapid_drain(sliced_ticks(spark, sf), "key", "ts", "cents", 85, "12 hours", "6 hours", DELAY))
+
+
+@query("failure_rate_stream", with_sql(TICKS_SQL, body=f"""SELECT key, date_trunc('day', ts) AS start, COUNT(*) AS n, COUNT(*) FILTER (WHERE failed) AS failed FROM ticks_v GROUP BY 1, 2
+HAVING COUNT(*) FILTER (WHERE failed) * 100 > COUNT(*) * 30 AND COUNT(*) >= 2 AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) - {DELAY_SQL} FROM ticks_v)"""))
 def _(spark, sf):
-    from auditloom.plans.lineage import shared_dir
-    import uuid
-    path = f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}"
-    V.samples(spark, sf).write.parquet(path)
-    s = io.read_tx_stream(spark, path, V.samples(spark, sf).schema, max_per_trigger=None)
-    return _rounded(io.run_to_table(M.validator_metrics_stream(s)))
+    return io.run_to_table(M.failure_rate(sliced_ticks(spark, sf), "key", "ts", "failed", 30, "1 day", 2, DELAY))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +12,20 @@ from pyspark.sql.streaming import StreamingQuery
 from auditloom.plans.lineage import shared_dir
 
 POLL = "500 milliseconds"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+#: The state store that has timers and several states a key.
+STORE_WITH_TIMERS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside use a state store with timers."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, STORE_WITH_TIMERS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
 
 
 def read_tx_stream(spark: SparkSession, path: str, schema, max_per_trigger: int | None = 100, fmt: str = "parquet",
@@ -44,16 +60,27 @@ def alert_sink(stream: DataFrame, min_level: int, targets: Sequence[str], checkp
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=POLL)).start()
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is available now and return the result as a table in the shared folder."""
-    import uuid
-
+def run_to_table(stream: DataFrame, mode: str = "append", ordered: bool = False) -> DataFrame:
+    """Process what is available now and return the result as a table in the shared folder; ``ordered`` for :mod:`~auditloom.streaming.stateful`."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     w = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", f"{base}/data").start()
+        w = w.outputMode("append").format("parquet").option("path", f"{base}/data")
     else:
-        q = w.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{base}/data")).start()
-    q.awaitTermination()
+        w = w.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{base}/data"))
+    if ordered:
+        with timers(spark):
+            q = w.start()
+            q.awaitTermination()
+    else:
+        w.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
+
+
+def in_triggers(df: DataFrame, slices: list) -> str:
+    """A folder with one file for each condition of ``slices``, in order of age: a stream of one file a trigger gets them one by one."""
+    path = f"{shared_dir(df.sparkSession)}/slices-{uuid.uuid4().hex}"
+    for s in slices:
+        df.where(s).coalesce(1).write.mode("append").parquet(path)
+    return path

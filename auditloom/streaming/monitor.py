@@ -6,11 +6,10 @@ rows; in batch the same windows are plain aggregates with a map-side part.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from auditloom.plans.series import framed, previous, with_position
+from auditloom.streaming import stateful
 
 LATENESS = "10 minutes"
 
@@ -58,37 +57,18 @@ def validator_metrics(samples: DataFrame, keys: list[str], ts: str, bucket: Colu
 
 
 METRICS_SCHEMA = "validator string, ts timestamp, skip_pct double, stress_pct double, lag_ms double, tps double"
-STATE_SCHEMA = "recent array<double>"
+SAMPLE_SCHEMA = "ts timestamp, num_transactions double, num_slots double, num_non_vote_transactions double, sample_period_secs double"
 
 
-def _advancer():
-    """State function: ten floats per validator, the last samples' transactions per slot.
+def validator_metrics_stream(samples: DataFrame, delay: str = LATENESS) -> DataFrame:
+    """Streaming twin of :func:`validator_metrics`, for samples up to the watermark, in whatever order they come.
 
-    Built as a closure, so workers need no copy of this package.
+    State of a validator: the last ten ratios and the samples that the watermark has not passed.
     """
-    frame, recent_n, expected, peak, per_tx, cap = SKIP_FRAME, STRESS_FRAME, EXPECTED_PER_SLOT, PEAK_PER_SLOT, LAG_MS_PER_TX, float(LAG_CAP)
-
-    def advance(key, batches, state):
-        seen = list(state.get[0]) if state.exists else []
-        # a trigger's rows of one validator may come in several Arrow batches; order needs all of them
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        rows = []
-        for r in pdf.itertuples(index=False):
-            seen = (seen + [r.num_transactions / r.num_slots if r.num_slots else 0.0])[-frame:]
-            last = seen[-recent_n:]
-            rows.append((key[0], r.ts, max(0.0, (expected - sum(seen) / len(seen)) / expected * 100), min(100.0, sum(last) / len(last) / peak * 100),
-                         min(cap, r.num_non_vote_transactions / r.num_slots * per_tx) if r.num_slots else 0.0,
-                         r.num_transactions / r.sample_period_secs if r.sample_period_secs else 0.0))
-        state.update((seen,))
-        yield pd.DataFrame(rows, columns=["validator", "ts", "skip_pct", "stress_pct", "lag_ms", "tps"])
-
-    return advance
-
-
-def validator_metrics_stream(samples: DataFrame) -> DataFrame:
-    """Streaming twin of :func:`validator_metrics`: one small state per validator."""
-    return samples.groupBy("validator").applyInPandasWithState(
-        _advancer(), METRICS_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    run = stateful.SampleMetrics(SAMPLE_SCHEMA, "ts", SKIP_FRAME, STRESS_FRAME, EXPECTED_PER_SLOT, PEAK_PER_SLOT, LAG_MS_PER_TX, LAG_CAP)
+    numbers = [c.split()[0] for c in SAMPLE_SCHEMA.split(", ")[1:]]
+    rows = samples.withWatermark("ts", delay).select("validator", "ts", *[F.col(c).cast("double").alias(c) for c in numbers])
+    return stateful.in_order(rows, ["validator"], run, METRICS_SCHEMA)
 
 
 #: Metric -> thresholds of Medium, High, Critical.
@@ -105,9 +85,10 @@ def tier(df: DataFrame, keep: list[str], metrics: list[str], tiers: dict[str, tu
     return df.select(*keep, F.inline(F.filter(F.array(*[graded(m) for m in metrics]), lambda x: x.isNotNull())))
 
 
-def rapid_drain(df: DataFrame, key: str, ts: str, amount: str, pct: int = 80, length: str = "3 minutes", slide: str = "1 minute") -> DataFrame:
+def rapid_drain(df: DataFrame, key: str, ts: str, amount: str, pct: int = 80, length: str = "3 minutes", slide: str = "1 minute",
+                delay: str = LATENESS) -> DataFrame:
     """Windows in which the last balance (the larger one at equal times) is at least ``pct`` percent below the peak."""
-    g = watermarked(df, ts).groupBy(key, F.window(ts, length, slide)).agg(F.max(amount).alias("peak"), F.max_by(amount, F.struct(ts, amount)).alias("last"))
+    g = watermarked(df, ts, delay).groupBy(key, F.window(ts, length, slide)).agg(F.max(amount).alias("peak"), F.max_by(amount, F.struct(ts, amount)).alias("last"))
     return g.where(F.col("last") * 100 <= F.col("peak") * (100 - pct)).select(
         key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "peak", "last")
 
@@ -118,27 +99,73 @@ def spike(df: DataFrame, ts: str, is_new: Column, n: int = 200, length: str = "5
     return g.where(F.col("n") >= n).select(*(keys or []), F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
-def failure_rate(df: DataFrame, key: str, ts: str, failed: str, pct: int, length: str, min_rows: int = 1) -> DataFrame:
+def first_sight(df: DataFrame, account: str, ts: str, ident: str, delay: str = LATENESS) -> DataFrame:
+    """The first row (account, ts, id) of each account by event time, however often it returns.
+
+    On a stream an account's rows wait until the watermark has passed them; its output keeps the watermark, so windows may follow.
+    """
+    rows = df.select(F.col(account).alias("account"), F.col(ts).alias("ts"), F.col(ident).alias("id"))
+    if not df.isStreaming:
+        first = rows.groupBy("account").agg(F.min(F.struct("ts", "id")).alias("x"))
+        return first.select("account", "x.ts", "x.id")
+    kind = rows.schema["id"].dataType.simpleString()
+    run = stateful.FirstRows(f"account string, ts timestamp, id {kind}", "ts")
+    rows = rows.select(F.col("account").cast("string").alias("account"), "ts", "id").withWatermark("ts", delay)
+    return stateful.in_order(rows, ["account"], run, run.row_schema, "ts")
+
+
+def new_account_spike(df: DataFrame, account: str, ts: str, ident: str, n: int = 200, length: str = "5 minutes", delay: str = LATENESS) -> DataFrame:
+    """Windows in which at least ``n`` accounts are seen for the first time.  On a stream two stateful operators in a chain."""
+    g = first_sight(df, account, ts, ident, delay).groupBy(F.window("ts", length)).agg(F.count(F.lit(1)).alias("n"))
+    return g.where(F.col("n") >= n).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
+
+
+def failure_rate(df: DataFrame, key: str, ts: str, failed: str, pct: int, length: str, min_rows: int = 1, delay: str = LATENESS) -> DataFrame:
     """Windows of a program in which more than ``pct`` percent of the transactions failed."""
-    g = watermarked(df, ts).groupBy(key, F.window(ts, length)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(failed)).alias("failed"))
+    g = watermarked(df, ts, delay).groupBy(key, F.window(ts, length)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(failed)).alias("failed"))
     return g.where((F.col("failed") * 100 > F.col("n") * pct) & (F.col("n") >= min_rows)).select(key, F.col("window.start").alias("start"), "n", "failed")
 
 
-def price_deviation(df: DataFrame, key: str, ts: str, price: str, pct: int = 5, length: str = "5 minutes") -> DataFrame:
+def _off(n: Column, total: Column, price: Column) -> Column:
+    """How far ``price`` is off the mean, times n: products of 38 digits, as sums of prices may pass 64 bits."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    return F.abs(wide(price) * wide(n) - wide(total))
+
+
+def _beyond(off: Column, total: Column, pct: int) -> Column:
+    return off * 100 > total.cast("decimal(28,0)") * pct
+
+
+def price_deviation(df: DataFrame, key: str, ts: str, price: str, pct: int = 5, length: str = "5 minutes", delay: str = LATENESS) -> DataFrame:
     """Windows whose lowest or highest price is more than ``pct`` percent off the window average.
 
     Works on the sums only, so a window is one row of state and ticks are not joined back.
     """
-    g = watermarked(df, ts).groupBy(key, F.window(ts, length)).agg(
+    g = watermarked(df, ts, delay).groupBy(key, F.window(ts, length)).agg(
         F.count(F.lit(1)).alias("n"), F.sum(price).alias("total"), F.min(price).alias("lo"), F.max(price).alias("hi"))
     n, t = F.col("n"), F.col("total")
-    off = F.greatest(F.col("hi") * n - t, t - F.col("lo") * n)
-    return g.where(off * 100 > t * pct).select(key, F.col("window.start").alias("start"), "n", "lo", "hi", (t / n).alias("mean"))
+    off = F.greatest(_off(n, t, F.col("hi")), _off(n, t, F.col("lo")))
+    return g.where(_beyond(off, t, pct)).select(key, F.col("window.start").alias("start"), "n", "lo", "hi", (t / n).alias("mean"))
 
 
-def stale_feed(df: DataFrame, key: str, ts: str, seconds: int, bucket: Column) -> DataFrame:
-    """Batch: silences of at least ``seconds`` between updates of a feed."""
-    p = previous(df.select(key, ts, "event_id"), [key], [ts, "event_id"], bucket, {ts: "last_seen"})
+def deviating_ticks(df: DataFrame, key: str, ts: str, price: str, keep: list[str], pct: int = 5, length: str = "5 minutes", delay: str = LATENESS) -> DataFrame:
+    """Every tick that is more than ``pct`` percent off the average of its window.
+
+    Ticks meet the sums of their window by key and window.  On a stream that is a join of the ticks with the
+    aggregate of the same stream; both sides are bounded by the watermark, a tick waits until its window is closed.
+    """
+    timed = watermarked(df, ts, delay)
+    ticks = timed.select(*keep, F.col(key).alias("_key"), F.col(price).alias("_price"), F.window(ts, length).alias("_window"))
+    sums = timed.groupBy(F.col(key).alias("_key"), F.window(ts, length).alias("_window")).agg(F.count(F.lit(1)).alias("n"), F.sum(price).alias("total"))
+    n, t, p = F.col("n"), F.col("total"), F.col("_price")
+    return (ticks.join(sums, ["_key", "_window"]).where(_beyond(_off(n, t, p), t, pct))
+            .select(*keep, F.col("_window.start").alias("start"), (t / n).alias("mean")))
+
+
+def stale_feed(df: DataFrame, key: str, ts: str, seconds: int, bucket: Column, ties: list[str] | None = None) -> DataFrame:
+    """Batch: silences of at least ``seconds`` between updates of a feed; ``ties`` order updates at the same time."""
+    ties = ties or []
+    p = previous(df.select(key, ts, *ties), [key], [ts, *ties], bucket, {ts: "last_seen"})
     gap = F.unix_micros(ts) - F.unix_micros("last_seen")
     return p.where(gap >= seconds * 1_000_000).select(key, "last_seen", F.col(ts).alias("resumed"))
 
@@ -159,6 +186,19 @@ def value_changed(df: DataFrame, key: str, order: list[str], bucket: Column, val
     return p.where(F.col("before").isNotNull() & (F.col("before") != F.col(value)))
 
 
+def value_changed_stream(df: DataFrame, key: str, ts: str, order: list[str], value: str, expiry_ms: int | None = None, delay: str = LATENESS) -> DataFrame:
+    """Streaming twin of :func:`value_changed`: (key, ts, ``order``, value, before) of rows up to the watermark.
+
+    Rows at the same time are taken by the columns ``order``.  A value is compared only within ``expiry_ms``; then its state goes.
+    """
+    cols = list(dict.fromkeys([ts, *order, value]))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols)
+    run = stateful.Changes(schema, ts, value, expiry_ms)
+    out = stateful.in_order(df.withWatermark(ts, delay).select(key, *cols), [key], run.with_key(key), f"{key} {kinds[key]}, {schema}, before string")
+    return out
+
+
 ALERT_COLUMNS = ("id", "ts", "alert_type", "severity", "program", "description", "tx", "resolved")
 
 
