@@ -103,6 +103,52 @@ def context_key(calls: Column, k: int) -> Column:
     return F.array_join(F.transform(last, lambda c: F.concat(c["caller"], F.lit("@"), c["loc"])), " -> ")
 
 
+#: Kinds of edges between variables: inside a function, into a callee at a call site, and back out of it.
+FLOW, CALL, RETURN = "flow", "call", "return"
+
+
+def context_taint(edges: DataFrame, seeds: DataFrame, k: int = 2, max_rounds: int | None = None) -> DataFrame:
+    """(label, node, context, depth): labels flow along ``edges(src, dst, kind, site)`` with the calls that lead to them.
+
+    A context is the array of the last ``k`` call sites.  A call adds its site; a return goes only to the caller of the
+    last site and takes it off.  So a label that enters a helper from one caller does not come out at another.  Where no site is known
+    (a label that starts in the helper, or sites beyond the last ``k``) a return may go to any caller: nothing that can
+    happen is lost.  ``seeds(label, node)`` start without a site; with a column ``context`` they start in it.
+
+    There are at most nodes x sites^k states a label; a round moves only the new ones.
+    """
+    if k < 1:
+        raise ValueError("a context needs at least one site")
+    names = ["src", "dst", "kind", "site"]
+    table, name = cut_bucketed(edges.select(*names), ["src"])
+    context, site = F.col("context"), F.col("site")
+    called = F.concat(context, F.array(site))
+    after = (F.when(F.col("kind") == CALL, F.slice(called, F.greatest(F.size(called) - k + 1, F.lit(1)), F.lit(k)))
+             .when((F.col("kind") == RETURN) & (F.size(context) > 0), F.slice(context, F.lit(1), F.size(context) - 1)).otherwise(context))
+    matched = (F.col("kind") != RETURN) | (F.size(context) == 0) | (F.element_at(F.when(F.size(context) > 0, context).otherwise(F.array(site)), -1) == site)
+
+    def step(front: DataFrame) -> DataFrame:
+        met = front.withColumnRenamed("node", "src").join(table, "src").where(matched)
+        return (met.select("label", F.col("dst").alias("node"), after.alias("context"), (F.col("depth") + 1).alias("depth"))
+                .groupBy("label", "node", "context").agg(F.min("depth").alias("depth")))
+
+    start = seeds if "context" in seeds.columns else seeds.withColumn("context", F.array().cast("array<string>"))
+    start = start.select("label", "node", "context", F.lit(0).alias("depth")).distinct()
+    found = closure(start, step, ["label", "node", "context"], max_rounds)
+    forget(edges.sparkSession, [name])
+    return found
+
+
+def context_text(context: Column) -> Column:
+    """A context of site names as one key."""
+    return F.array_join(context, " -> ")
+
+
+def tainted_in(found: DataFrame, context: list[str]) -> DataFrame:
+    """(label, node) that hold in exactly this context."""
+    return found.where(F.col("context") == F.array(*[F.lit(x) for x in context]).cast("array<string>")).select("label", "node")
+
+
 def merge_paths(*states: DataFrame) -> DataFrame:
     """Label sets at a join point: a label holds if it holds on any incoming path."""
     out = states[0]

@@ -86,6 +86,42 @@ def _(spark, sf):
     return V.table(spark, sf, "events").select("event_id", chain.alias("calls")).select("event_id", G.context_key(F.col("calls"), 2).alias("context"))
 
 
+# Every part is a call site: function p_partkey // 4 passes its v1 to another one and gets that one's ret back as its v2.
+_CALL_SQL = """fns AS (SELECT MAX(p_partkey) // 4 + 1 AS n FROM part),
+sites_v AS (SELECT p_partkey AS site, p_partkey // 4 AS f, (p_partkey * 13 + p_size) % n AS g FROM part, fns),
+call_edges AS (SELECT 'f' || f || '.v1' AS src, 'f' || g || '.v1' AS dst, 'call' AS kind, 's' || site AS site FROM sites_v
+  UNION ALL SELECT 'f' || g || '.ret', 'f' || f || '.v2', 'return', 's' || site FROM sites_v
+  UNION ALL SELECT DISTINCT 'f' || f || '.v1', 'f' || f || '.ret', 'flow', '' FROM sites_v WHERE f % 3 <> 0
+  UNION ALL SELECT DISTINCT 'f' || f || '.v2', 'f' || f || '.out', 'flow', '' FROM sites_v),
+call_seeds AS (SELECT DISTINCT 'l' || s_nationkey % 5 AS label, 'f' || (s_suppkey * 37) % n || '.v1' AS node FROM supplier, fns)"""
+
+
+def call_graph(spark, sf):
+    """(edges, seeds) of a program with one call site a part."""
+    part = V.table(spark, sf, "part")
+    n = part.agg((F.floor(F.max("p_partkey") / 4) + 1).cast("long")).scalar()
+    var = lambda f, v: F.concat(F.lit("f"), f.cast("string"), F.lit(f".{v}"))
+    f, g = F.col("f"), F.col("g")
+    sites = part.select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("site"), F.floor(F.col("p_partkey") / 4).alias("f"),
+                        ((F.col("p_partkey") * 13 + F.col("p_size")) % n).alias("g"))
+    edge = lambda src, dst, kind, site: F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), site.alias("site"))
+    calls = sites.select(F.inline(F.array(edge(var(f, "v1"), var(g, "v1"), G.CALL, F.col("site")), edge(var(g, "ret"), var(f, "v2"), G.RETURN, F.col("site")))))
+    own = sites.select("f").distinct()
+    flows = own.where(f % 3 != 0).select(F.inline(F.array(edge(var(f, "v1"), var(f, "ret"), G.FLOW, F.lit(""))))).unionByName(
+        own.select(F.inline(F.array(edge(var(f, "v2"), var(f, "out"), G.FLOW, F.lit(""))))))
+    seeds = V.table(spark, sf, "supplier").select(F.concat(F.lit("l"), (F.col("s_nationkey") % 5).cast("string")).alias("label"), var((F.col("s_suppkey") * 37) % n, "v1").alias("node"))
+    return calls.unionByName(flows), seeds.distinct()
+
+
+@query("context_taint", with_sql(_CALL_SQL, """states AS (SELECT label, node, CAST([] AS VARCHAR[]) AS ctx FROM call_seeds
+  UNION SELECT label, dst, CASE WHEN kind = 'call' THEN list_append(ctx, site)[greatest(len(ctx), 1):] WHEN kind = 'return' AND len(ctx) > 0 THEN ctx[:len(ctx) - 1] ELSE ctx END
+  FROM states JOIN call_edges ON src = node WHERE kind <> 'return' OR len(ctx) = 0 OR ctx[len(ctx)] = site)""", body="""
+SELECT label, node, array_to_string(ctx, ' -> ') AS context FROM states""", recursive=True))
+def _(spark, sf):
+    edges, seeds = call_graph(spark, sf)
+    return G.context_taint(edges, seeds, 2).select("label", "node", G.context_text(F.col("context")).alias("context"))
+
+
 _FT_SQL = """uses_v AS (SELECT l_orderkey, l_partkey, 'b' || (l_suppkey % 40) || '.f' || (l_partkey % 5) || CASE WHEN l_linenumber % 2 = 0 THEN '.g' || (l_linenumber % 3) ELSE '' END AS path FROM lineitem),
 taints_v AS (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'b' || (p_partkey % 60) WHEN 1 THEN 'b' || (p_partkey % 40) || '.f' || (p_size % 5) ELSE 'b' || (p_partkey % 40) || '.f' || (p_size % 5) || '.g1' END AS path,
   p_brand AS label FROM part WHERE p_size > 45)"""

@@ -175,3 +175,52 @@ def test_fixpoint_has_no_silent_end(spark):
     assert closure(seeds, step, ["node"]).count() == 13
     with pytest.raises(RuntimeError):
         closure(seeds, step, ["node"], max_rounds=3)
+
+
+# ---- calls and returns
+
+def program(spark):
+    """main passes a, other passes b to one helper; helper calls a second one; only a is tainted."""
+    edges = [("main.a", "helper.p", "call", "main@1"), ("helper.ret", "main.r", "return", "main@1"),
+             ("other.b", "helper.p", "call", "other@2"), ("helper.ret", "other.r", "return", "other@2"),
+             ("helper.p", "inner.p", "call", "helper@3"), ("inner.p", "inner.ret", "flow", ""), ("inner.ret", "helper.ret", "return", "helper@3")]
+    return spark.createDataFrame(edges, "src string, dst string, kind string, site string")
+
+
+def nodes(df):
+    return {r["node"] for r in df.collect()}
+
+
+def test_a_label_returns_only_to_its_caller(spark):
+    seeds = spark.createDataFrame([("x", "main.a")], "label string, node string")
+    assert nodes(G.context_taint(program(spark), seeds, 2)) == {"main.a", "helper.p", "inner.p", "inner.ret", "helper.ret", "main.r"}
+    # One site is not enough for two calls: the first is forgotten, so both callers may get it.
+    assert "other.r" in nodes(G.context_taint(program(spark), seeds, 1))
+
+
+def test_a_label_that_starts_in_the_helper_reaches_all_callers(spark):
+    seeds = spark.createDataFrame([("x", "helper.ret")], "label string, node string")
+    assert nodes(G.context_taint(program(spark), seeds, 2)) == {"helper.ret", "main.r", "other.r"}
+
+
+def test_contexts_are_kept_apart(spark):
+    seeds = spark.createDataFrame([("x", "main.a")], "label string, node string")
+    found = G.context_taint(program(spark), seeds, 2).persist()
+    assert nodes(G.tainted_in(found, [])) == {"main.a", "main.r"}
+    assert nodes(G.tainted_in(found, ["main@1"])) == {"helper.p", "helper.ret"}
+    assert nodes(G.tainted_in(found, ["main@1", "helper@3"])) == {"inner.p", "inner.ret"}
+    assert nodes(G.tainted_in(found, ["other@2"])) == set()
+
+
+def test_recursion_ends_and_seeds_may_have_a_context(spark):
+    edges = spark.createDataFrame([("f.p", "f.p", "call", "f@1"), ("f.p", "f.ret", "flow", ""), ("f.ret", "f.ret", "return", "f@1"), ("f.ret", "g.r", "return", "g@2")],
+                                  "src string, dst string, kind string, site string")
+    seeds = spark.createDataFrame([("x", "f.p", ["g@2"])], "label string, node string, context array<string>")
+    found = G.context_taint(edges, seeds, 2)
+    assert {tuple(r["context"]) for r in found.where("node = 'f.p'").collect()} == {("g@2",), ("g@2", "f@1"), ("f@1", "f@1")}
+    assert "g.r" in nodes(found)
+    try:
+        G.context_taint(edges, seeds, 0)
+        raise AssertionError
+    except ValueError:
+        pass
