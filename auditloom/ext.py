@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from auditloom.operators.findings import FINDING_COLUMNS, union_findings
+from auditloom.plans.lineage import cut_counted
 from auditloom.rules.formula import Rule
 
 
@@ -69,3 +71,25 @@ class Registry:
             return out
         rest = [c for c in FINDING_COLUMNS if c not in ("severity", "confidence")]
         return out.orderBy(F.desc("severity"), F.desc("confidence"), *rest).limit(max_findings)
+
+    def run_isolated(self, files: DataFrame, capability: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(findings, outcomes): every analyzer as a job of its own, so that one which fails while it runs ends alone.
+
+        A result is written to the shared folder and read from there, so nothing runs twice.  ``outcomes`` has a row for each
+        applicable analyzer: engine, version, findings, error (null if there was none).  What a failed analyzer had found is left out.
+        """
+        spark = files.sparkSession
+        parts, outcomes = [], []
+        for a in self.analyzers.values():
+            if capability and capability not in a.capabilities:
+                continue
+            try:
+                seen = files if a.applies_if is None else files.where(a.applies_if)
+                out, n = cut_counted(union_findings(a.fn(seen).withColumn("engine", F.lit(a.name))))
+                parts.append(out)
+                outcomes.append((a.name, a.version, n, None))
+            except (PySparkException, Py4JJavaError, ValueError, TypeError, KeyError) as e:
+                outcomes.append((a.name, a.version, 0, str(e)))
+        types = ", ".join(f"{c} {t}" for c, t in FINDING_COLUMNS.items())
+        found = union_findings(spark.createDataFrame([], types), *parts)
+        return found, spark.createDataFrame(outcomes, "engine string, version string, findings long, error string")

@@ -96,8 +96,16 @@ def top_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
 
 
 def dedup_best(df: DataFrame, by: list[str]) -> DataFrame:
-    """Per (scope, type, instruction, line): highest confidence, earliest on a tie."""
-    return top_rows(df, [*by, "vuln_type", "instruction", "line_number"], [F.desc("confidence"), F.asc("seq")], 1)
+    """Per (scope, type, instruction, line): highest confidence, earliest on a tie.
+
+    A row that does not say where it is (a null in its key) is only the same as one that equals it in every column.
+    """
+    keys = [*by, "vuln_type", "instruction", "line_number"]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    own = F.when(~known, F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t]))
+    return top_rows(df.withColumn("_own", own), [*keys, "_own"], [F.desc("confidence"), F.asc("seq")], 1).drop("_own")
 
 
 def dedup_fingerprint(df: DataFrame, fp: str, seq: str) -> DataFrame:

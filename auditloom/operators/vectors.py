@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.functions.text import lines_of
 from auditloom.plans.lineage import cut
+from auditloom.plans.skew import salted_join
 from auditloom.sources.tables import constant_rows
 
+# Functions that run in tasks are pickled by value, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DIM = 128
 STRIDE = 7
 #: 55 undoes the stride: 7 * 55 = 1 (mod 128), so slot d is fed by tokens 55*d, 55*d+128, ..
@@ -101,32 +111,119 @@ def tier(similarity: Column) -> Column:
     return F.when(similarity > 0.85, "Critical").when(similarity > 0.75, "High").when(similarity > 0.6, "Medium").otherwise("None")
 
 
-MAX_INLINE = 256
-
-
 def cross_similarity(vecs: DataFrame, patterns: DataFrame, keep: list[str], label: str, vector: str = "vector",
                      normalised: bool = False) -> DataFrame:
-    """Similarity of every vector with every pattern; both sides have ``vector``.
-
-    ``normalised`` says that all vectors have length 1 or 0, so the product is the cosine.
+    """Similarity of every vector with each pattern of a catalogue; both sides have ``vector``.
 
-    Up to ``MAX_INLINE`` patterns become one array value read by every row: no join at all.
-    Larger pattern sets are cut in groups of that size and joined by group number.
+    ``normalised`` says that all vectors have length 1 or 0, so the product is the cosine.  The catalogue, a few
+    rows written by people, becomes one array value read by every row: no join.  For pattern tables that grow with
+    the data there is :func:`similar_pairs`.
     """
     measure = dot if normalised else cosine
+    one = patterns.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col(vector).alias("v")))).alias("ps"))
+    pairs = F.transform("_ps", lambda p: F.struct(p["l"].alias(label), measure(F.col(vector), p["v"]).alias("similarity")))
+    return vecs.withColumn("_ps", one.scalar()).select(*keep, F.inline(pairs))
+
 
-    def scored(df: DataFrame) -> DataFrame:
-        pairs = F.transform("_ps", lambda p: F.struct(p["l"].alias(label), measure(F.col(vector), p["v"]).alias("similarity")))
-        return df.select(*keep, F.inline(pairs))
-
-    pats = cut(patterns.select(F.struct(F.col(label).alias("l"), F.col(vector).alias("v")).alias("p"), F.xxhash64(label, vector).alias("_h")))
-    n = pats.count()
-    if n <= MAX_INLINE:
-        one = pats.agg(F.array_sort(F.collect_list("p")).alias("ps"))
-        return scored(vecs.withColumn("_ps", one.scalar()))
-    groups = -(-n // (MAX_INLINE // 2))
-    g = pats.withColumn("_g", F.pmod("_h", F.lit(groups)).cast("int")).groupBy("_g").agg(F.collect_list("p").alias("_ps"))
-    return scored(vecs.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(g, "_g"))
+#: Rows from which pivots are chosen, pivots, and vectors that meet at once in a task.
+PIVOT_SAMPLE, PIVOTS, BLOCK = 4096, 128, 2048
+
+
+def choose_pivots(vecs: DataFrame, vector: str, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
+    """Up to ``n`` unit vectors that lie far from each other, from a sample of at most ``sample`` rows (those with the smallest hash).
+
+    Pivots only decide how much is left out early, never what is found.
+    """
+    rows = vecs.select(vector).distinct().orderBy(F.xxhash64(vector), vector).limit(sample).collect()
+    x = _units([r[0] for r in rows])
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    if not len(x):
+        return np.zeros((0, 0))
+    best = x @ x[0]
+    chosen = [0]
+    while len(chosen) < min(n, len(x)):
+        far = int(best.argmin())
+        if best[far] > 1 - 1e-9:
+            break
+        chosen.append(far)
+        best = np.maximum(best, x @ x[far])
+    return x[chosen]
+
+
+def _units(vectors) -> np.ndarray:
+    x = np.array([np.asarray(v, float) for v in vectors])
+    if not len(x):
+        return x
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def similar_pairs(vecs: DataFrame, patterns: DataFrame, ident: str, label: str, vector: str = "vector", above: float = 0.6, block: int = BLOCK,
+                  pivots: int = PIVOTS) -> DataFrame:
+    """(``ident``, ``label``, similarity) of all pairs with a cosine above ``above``, for tables of any size on both sides.
+
+    A pivot index on the unit sphere.  Every vector belongs to the cell of its nearest pivot; a cell's range of angles to its pivot is
+    known from one aggregate.  By the triangle inequality of angles, a pattern can only have partners in cells
+    whose range comes within ``acos(above)`` of its own angle to their pivot, and is sent to these alone.  In a cell, vectors and
+    patterns meet in blocks of at most about ``block`` rows, so a task multiplies two small matrices however full the cell is;
+    a crowded cell has many blocks, which are salted.  Exact: nothing is left out that is above the threshold.
+
+    Null vectors and vectors of length 0 are similar to nothing; vectors of one table must have one size.
+    """
+    if not 0 <= above < 1:
+        raise ValueError("the threshold must be at least 0 and below 1")
+    spark = vecs.sparkSession
+    kinds = {c: t for c, t in [*vecs.dtypes, *patterns.dtypes]}
+    both = (vecs.select(F.col(ident).alias("id"), F.col(vector).alias("v")), patterns.select(F.col(label).alias("id"), F.col(vector).alias("v")))
+    left, right = (d.where(F.col("v").isNotNull() & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0)) for d in both)
+    axes = choose_pivots(left, "v", pivots)
+    out = f"{ident} {kinds[ident]}, {label} {kinds[label]}, similarity double"
+    if not len(axes):
+        return spark.createDataFrame([], out)
+    reach = math.acos(above)
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                x = _units(b.column("v").to_pylist())
+                c = np.clip(x @ axes.T, -1, 1)
+                near = c.argmax(1)
+                angle = np.arccos(c[np.arange(len(c)), near])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(angle)], names=["id", "v", "cell", "angle"])
+
+    cells = cut(left.mapInArrow(place, f"id {kinds[ident]}, v {kinds[vector]}, cell int, angle double"))
+    # At most ``pivots`` rows.
+    ranges = {r["cell"]: (r["lo"], r["hi"], r["n"]) for r in cells.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    used = sorted(ranges)
+    lo, hi = (np.array([ranges[c][k] for c in used]) for k in (0, 1))
+
+    def send(batches):
+        for b in batches:
+            if b.num_rows:
+                angle = np.arccos(np.clip(_units(b.column("v").to_pylist()) @ axes[used].T, -1, 1))
+                row, at = np.nonzero((angle - reach <= hi + 1e-9) & (angle + reach >= lo - 1e-9))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(np.array(used, np.int32)[at])], names=["id", "v", "cell"])
+
+    def blocked(df: DataFrame, parts, side: str) -> DataFrame:
+        numbered = df.withColumn("part", F.pmod(F.xxhash64("id", "v"), parts))
+        return numbered.groupBy("cell", "part").agg(F.collect_list("id").alias(f"ids_{side}"), F.collect_list("v").alias(f"vs_{side}")).withColumnRenamed("part", f"part_{side}")
+
+    sent = cut(right.mapInArrow(send, f"id {kinds[label]}, v {kinds[vector]}, cell int"))
+    size = spark.createDataFrame([(c, -(-n // block)) for c, (_, _, n) in ranges.items()], "cell int, parts long")
+    queries = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    # Both lists have a row a cell.
+    rows = blocked(cells.join(F.broadcast(size), "cell"), F.col("parts"), "a")
+    asked = blocked(sent.join(F.broadcast(queries), "cell"), F.col("parts"), "b")
+    met = salted_join(cut(rows), asked, ["cell"], ["part_a"])
+
+    def multiply(batches):
+        for b in batches:
+            for a_ids, a_vs, b_ids, b_vs in zip(*(b.column(c) for c in ("ids_a", "vs_a", "ids_b", "vs_b"))):
+                c = _units(a_vs.as_py()) @ _units(b_vs.as_py()).T
+                i, j = np.nonzero(c > above)
+                yield pa.RecordBatch.from_arrays([a_ids.values.take(pa.array(i)), b_ids.values.take(pa.array(j)), pa.array(c[i, j])], names=[ident, label, "similarity"])
+
+    return met.select("ids_a", "vs_a", "ids_b", "vs_b").mapInArrow(multiply, out)
 
 
 def best_line(files: DataFrame, text: str, keep: list[str], threshold: float = 0.5) -> DataFrame:

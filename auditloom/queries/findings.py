@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditloom.functions import labels as LB, text as T
-from auditloom.operators import findings as FN, scores as SC
+from auditloom.operators import findings as FN, ranges as R, scores as SC
 from auditloom.queries import views as V
 from auditloom.queries.base import Area
 from auditloom.sources.tables import constant_rows
@@ -616,3 +618,73 @@ def _(spark, sf):
                    F.array(F.struct(F.col("finding_id").alias("id"), "category", F.col("vuln_type").alias("vulnerability_type"), "severity", "instruction")).alias("exploits"))
     e = explode_findings(one)
     return e.groupBy(F.col("program_name").alias("program"), "vuln_type").agg(F.count(F.lit(1)).alias("n"), F.sum("severity").alias("s"))
+
+
+# ---------------------------------------------------------------- ranges
+_SPAN_SQL = """outer_v AS (SELECT c_custkey AS custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS lo,
+  CAST(round(c_acctbal * 100) AS BIGINT) + CASE WHEN c_custkey % 100 = 7 THEN 100000 ELSE c_custkey % 7 * 300 - 100 END AS hi FROM customer),
+points_v AS (SELECT s_suppkey AS suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS val, CAST(round(s_acctbal * 100) AS BIGINT) + s_suppkey % 5 * 100 - 50 AS until FROM supplier)"""
+
+
+def spans(spark, sf):
+    """(outer, inner): balances in cents as intervals, short ones, a few long ones, and empty ones."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    k = F.col("c_custkey")
+    outer = V.table(spark, sf, "customer").select(k.alias("custkey"), cents("c_acctbal").alias("lo"), (cents("c_acctbal") + F.when(k % 100 == 7, 100_000).otherwise(k % 7 * 300 - 100)).alias("hi"))
+    inner = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("suppkey"), cents("s_acctbal").alias("val"), (cents("s_acctbal") + F.col("s_suppkey") % 5 * 100 - 50).alias("until"))
+    return outer, inner
+
+
+@query("values_in_intervals", with_sql(_SPAN_SQL, body="SELECT suppkey, custkey FROM points_v JOIN outer_v ON val BETWEEN lo AND hi"))
+def _(spark, sf):
+    outer, inner = spans(spark, sf)
+    return R.values_in(inner, "val", outer).select("suppkey", "custkey")
+
+
+@query("intervals_in_intervals", with_sql(_SPAN_SQL, body="SELECT suppkey, custkey FROM points_v JOIN outer_v ON val <= until AND val >= lo AND until <= hi"))
+def _(spark, sf):
+    outer, inner = spans(spark, sf)
+    return R.intervals_in(inner, "val", "until", outer).select("suppkey", "custkey")
+
+
+# ---------------------------------------------------------------- extensions
+@query("isolated_analyzers", """SELECT 'short' AS engine, COUNT(*) FILTER (WHERE n_chars < 200) AS findings, false AS failed FROM documents
+UNION ALL SELECT 'marked', COUNT(*) FILTER (WHERE contains(text, '@')), false FROM documents UNION ALL SELECT 'breaks', 0, true UNION ALL SELECT 'unknown', 0, true""")
+def _(spark, sf):
+    """Two analyzers that work, one that fails on one row, one whose plan does not resolve."""
+    from auditloom.ext import Registry
+    docs = V.table(spark, sf, "documents")
+    flaw = lambda df, name: df.select(F.lit(name).alias("category"), F.lit(3).alias("severity"), F.col("source").alias("program"))
+    first = docs.agg(F.min("doc_id")).scalar()
+    fails = F.when(F.col("doc_id") == first, F.raise_error(F.lit("cannot read this file"))).otherwise(F.lit("ok"))
+    reg = Registry()
+    reg.register_analyzer("short", lambda df: flaw(df.where("n_chars < 200"), "short"))
+    reg.register_analyzer("breaks", lambda df: flaw(df.withColumn("source", F.concat("source", fails.cast("string"))), "breaks"))
+    reg.register_analyzer("unknown", lambda df: df.select("no_such_column"))
+    reg.register_analyzer("marked", lambda df: flaw(df, "marked"), applies_if=F.contains("text", F.lit("@")))
+    found, outcomes = reg.run_isolated(docs)
+    n = found.groupBy("engine").agg(F.count(F.lit(1)).alias("n"))
+    return outcomes.join(n, "engine", "left").select("engine", F.coalesce("n", F.lit(0)).cast("long").alias("findings"), F.col("error").isNotNull().alias("failed"))
+
+
+# ---------------------------------------------------------------- files
+@query("report_files", with_sql(FINDINGS_SQL, body="""SELECT program AS program_id, COUNT(*) AS actual_exploits, COUNT(*) + 1 AS total_exploits, SUM(severity)::BIGINT AS severity_sum,
+ COUNT(*) FILTER (WHERE severity = 5) AS proofs, 'p' || program AS solver, SUM(risk)::BIGINT AS risk_sum FROM findings_v GROUP BY program"""))
+def _(spark, sf):
+    """Reports written as JSON files, one a program, with fields that no schema knows, and read back."""
+    from auditloom.plans.lineage import shared_dir
+    from auditloom.sources import reports as RP
+    f = V.findings(spark, sf)
+    exploit = F.struct(F.col("finding_id").alias("id"), F.col("category"), F.col("vuln_type").alias("vulnerability_type"), F.col("severity"), F.struct(F.struct("risk").alias("loss")).alias("origin"))
+    doc = f.groupBy("program").agg(F.collect_list(exploit).alias("exploits"), F.count_if(F.col("severity") == 5).alias("proofs")).select(
+        F.col("program").alias("name"), F.col("program").alias("program_id"), (F.size("exploits") + 1).alias("total_exploits"), "exploits",
+        F.struct(F.struct(F.concat(F.lit("p"), "program").alias("solver"), "proofs").alias("run")).alias("kani_report"))
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    doc.write.partitionBy("name").json(path)
+    r = RP.read_reports(spark, path)
+    get = lambda m, k, p, t: F.variant_get(F.element_at(m, F.lit(k)), p, t)
+    risk = F.aggregate("exploit_extras", F.lit(0).cast("long"), lambda a, m: a + get(m, "origin", "$.loss.risk", "long"))
+    return r.select("program_id", F.col("actual_exploits").cast("long").alias("actual_exploits"), "total_exploits",
+                    F.aggregate("exploits", F.lit(0).cast("long"), lambda a, x: a + x["severity"]).alias("severity_sum"),
+                    get(F.col("extras"), "kani_report", "$.run.proofs", "long").alias("proofs"), get(F.col("extras"), "kani_report", "$.run.solver", "string").alias("solver"),
+                    risk.alias("risk_sum"))

@@ -276,11 +276,11 @@ _COS = "list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[])"
 
 
 @query("pattern_similarity", f"""SELECT v.vec_id, p.vec_id AS pattern, round({_COS}, 4) AS similarity, CASE WHEN {_COS} > 0.85 THEN 'Critical' WHEN {_COS} > 0.75 THEN 'High'
- WHEN {_COS} > 0.6 THEN 'Medium' ELSE 'None' END AS tier FROM embeddings v, embeddings p WHERE p.vec_id < 8""")
+ ELSE 'Medium' END AS tier FROM embeddings v, embeddings p WHERE p.vec_id % 100 = 0 AND {_COS} > 0.6""")
 def _(spark, sf):
-    e = V.table(spark, sf, "embeddings", ["vec_id"])
-    pats = e.where("vec_id < 8").select(F.col("vec_id").alias("pattern"), F.col("embedding").alias("vector"))
-    s = VC.cross_similarity(e.select("vec_id", F.col("embedding").alias("vector")), pats, ["vec_id"], "pattern")
+    e = V.table(spark, sf, "embeddings", ["vec_id"]).select("vec_id", F.col("embedding").alias("vector"))
+    pats = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "pattern")
+    s = VC.similar_pairs(e, pats, "vec_id", "pattern")
     return s.select("vec_id", "pattern", F.round("similarity", 4).alias("similarity"), VC.tier(F.col("similarity")).alias("tier"))
 
 

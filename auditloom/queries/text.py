@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
-from auditloom.operators import scan, source as S
+from auditloom.operators import audit as AU, scan, source as S
 from auditloom.queries import views as V
 from auditloom.queries.base import Area
 from auditloom.queries.views import CODE_SQL, LINES_SQL, with_sql
@@ -475,3 +475,18 @@ def _(spark, sf):
 def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", T.render(
         "Document {id} from {src} has {n} characters", {"id": F.col("doc_id"), "src": F.col("source"), "n": F.col("n_chars")}).alias("message"))
+
+
+# ---------------------------------------------------------------- the whole audit
+_AUDIT_SQL = (*FULL_SQL, STRIPPED_SQL, "hits AS (" + " UNION ALL ".join(
+    [f"SELECT doc_id, '{r.vuln_type.replace(chr(39), chr(39) * 2)}' AS vuln_type, '{r.category}' AS category, {r.severity} AS severity, unit_name AS instruction, CAST(line_no AS INTEGER) AS line_no FROM stripped WHERE {r.when.sql('code')}"
+     for r in contract.UNIT_RULES]
+    + [f"SELECT doc_id, '{r.category}', '{r.category}', {r.severity}, '', CAST(line_no AS INTEGER) FROM code_lines WHERE regexp_matches(text, {quote(r.pattern)}) AND NOT regexp_matches(text, {quote(L.COMMENT)}) AND trim(text) <> ''"
+       for r in L.UNSAFE_CODE_RULES]) + ")")
+
+
+@query("batch_audit", with_sql(*_AUDIT_SQL, """kept AS (SELECT source AS program, doc_id, vuln_type, instruction, line_no, MAX(severity) AS severity FROM hits JOIN documents USING (doc_id) GROUP BY ALL)""",
+    body="""SELECT program, COUNT(*) AS findings, SUM(severity)::BIGINT AS severity_sum, COUNT(*) FILTER (WHERE severity = 5) AS critical_count FROM kept GROUP BY program"""))
+def _(spark, sf):
+    found = AU.audit_findings(V.code(spark, sf).select("repo", "path", "content"))
+    return found.groupBy("program").agg(F.count(F.lit(1)).alias("findings"), F.sum("severity").alias("severity_sum"), F.count_if(F.col("severity") == 5).alias("critical_count"))

@@ -152,9 +152,7 @@ def test_embedding(spark, text):
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, brute_embed(text)))
 
 
-@pytest.mark.parametrize("limit", [256, 4])
-def test_cross_similarity_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(VC, "MAX_INLINE", limit)
+def test_cross_similarity(spark):
     rnd = random.Random(1)
     vec = lambda: [rnd.uniform(-1, 1) for _ in range(8)]
     vs, ps = [(i, vec()) for i in range(20)], [(f"p{i}", vec()) for i in range(9)] + [("zero", [0.0] * 8)]
@@ -224,3 +222,29 @@ def test_recursion_ends_and_seeds_may_have_a_context(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+# ---- pivot index
+
+@pytest.mark.parametrize("above,pivots,block,spread", [(0.6, 128, 2048, 0.3), (0.6, 7, 5, 0.5), (0.9, 16, 3, 0.1), (0.0, 1, 50, 1.0)])
+def test_similar_pairs_equal_brute_force(spark, above, pivots, block, spread):
+    rnd = random.Random(pivots)
+    centres = [[rnd.gauss(0, 1) for _ in range(12)] for _ in range(9)]
+    near = lambda c: [x + rnd.gauss(0, spread) for x in c]
+    rows = [(k, near(rnd.choice(centres))) for k in range(300)] + [(300 + k, centres[0]) for k in range(120)] + [(900, [0.0] * 12), (901, None), (None, centres[1])]
+    df = spark.createDataFrame(rows, "id int, vector array<float>").repartition(3)
+    pats = df.where("id % 9 = 0 or id > 400").withColumnRenamed("id", "p")
+    got = VC.similar_pairs(df, pats, "id", "p", above=above, pivots=pivots, block=block).collect()
+    ps = [(r.p, r.vector) for r in pats.collect() if r.vector]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b) if norm(a) * norm(b) else -1
+    want = {(r.id, p): cos(r.vector, v) for r in df.collect() if r.vector for p, v in ps}
+    found = {(r.id, r.p): r.similarity for r in got}
+    assert len(found) == len(got)
+    assert all(abs(found[k] - want[k]) < 1e-6 for k in found)
+    assert {k for k, c in want.items() if c > above + 1e-6} <= set(found) <= {k for k, c in want.items() if c > above - 1e-6}
+
+
+def test_similar_pairs_of_nothing(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0])], "id int, vector array<double>")
+    assert VC.similar_pairs(df, df.withColumnRenamed("id", "p"), "id", "p").count() == 0
