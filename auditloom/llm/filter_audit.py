@@ -4,12 +4,12 @@ A row's failed filters are five bits.  Four of them (few words, few distinct wor
 the row itself.  The fifth, a text that a row with a smaller id has too, needs the whole table: tasks insert their texts
 into compressed tries, whose terminals keep the smallest id, so any number of copies leaves a task as one text; the texts
 are then range-partitioned by a prefix and inserted into the tries of their range.  The prefix is adaptive: where texts of more than
-``BUCKET`` bytes share it, a prefix eight times as long divides them, and so on.  A range's tries are
+1/``SHARE`` of all bytes, or of more than ``BUCKET``, share it, a prefix eight times as long divides them, and so on.  A range's tries are
 emptied when a prefix ends, so that memory is bounded by a prefix, not by a partition.  The traversal returns (smallest id,
 key) of each text; a row without such a partner is a duplicate.  Only ids, keys and bits meet the labels; they are reduced to counts
 per part and bits, and 120 orders of five steps are read off these counts.
 
-What reaches the driver are the digests of prefixes above ``BUCKET``, which grows with the table so that there are
+What reaches the driver are the digests of such prefixes; ``BUCKET`` grows with the table so that there are
 fewer than 2^20 a level.
 
 Defined cases: a null text is empty and has no words; an empty text fails few words and, if a smaller id is empty too,
@@ -39,8 +39,8 @@ CAPITALS = bytes(range(65, 91))
 DUPLICATE = 1 << FILTERS.index("E")
 #: First prefix, and the factor by which it grows where it does not divide the texts enough.
 PREFIX, LONGER = 8, 8
-#: Bytes of text that may share a prefix, bytes of a task's texts in one trie, and the prefixes above ``BUCKET`` in a level.
-BUCKET, TRIE, MANY = 1 << 25, 1 << 23, 1 << 20
+#: Bytes of text that may share a prefix, and as a share of all; bytes of a task's texts in one trie; prefixes that may be too common in a level.
+BUCKET, SHARE, TRIE, MANY = 1 << 25, 256, 1 << 23, 1 << 20
 
 
 def failed(text: str) -> int:
@@ -74,14 +74,14 @@ def _prefix(length: int) -> Column:
 
 
 def crowded(texts: DataFrame, bucket: int = BUCKET) -> list[tuple[int, set[str]]]:
-    """(length, digests) of the prefixes that more than ``bucket`` bytes of text share, level by level."""
+    """(length, digests) of the prefixes that too many bytes of text share, level by level."""
     levels, length, rows = [], PREFIX, texts
     weight = F.sum(F.octet_length("text") + 1).alias("w")
     while True:
         sizes = cut(rows.groupBy(F.md5(_prefix(length)).alias("at")).agg(weight))
         if not levels:
             total = sizes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-            bucket = max(bucket, total // MANY)
+            bucket = max(min(bucket, total // SHARE), total // MANY)
         heavy = sizes.where(F.col("w") > bucket).select("at")
         found = {r["at"] for r in heavy.collect()}
         if not found:

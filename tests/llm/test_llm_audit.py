@@ -65,7 +65,8 @@ def test_audit_equals_brute_force(spark, monkeypatch):
         assert len(got) == 600 * 5
 
 
-def test_adaptive_prefixes_part_long_texts(spark):
+def test_adaptive_prefixes_part_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(filter_audit, "SHARE", 1)
     texts = ["p" * 100 + c * 500 for c in "abcd"] * 3 + ["q"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     levels = filter_audit.crowded(docs.select(docs.text.cast("binary").alias("text")), bucket=1000)
