@@ -124,13 +124,13 @@ def _(spark, sf):
 
 _FT_SQL = """uses_v AS (SELECT l_orderkey, l_partkey, 'b' || (l_suppkey % 40) || '.f' || (l_partkey % 5) || CASE WHEN l_linenumber % 2 = 0 THEN '.g' || (l_linenumber % 3) ELSE '' END AS path FROM lineitem),
 taints_v AS (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'b' || (p_partkey % 60) WHEN 1 THEN 'b' || (p_partkey % 40) || '.f' || (p_size % 5) ELSE 'b' || (p_partkey % 40) || '.f' || (p_size % 5) || '.g1' END AS path,
-  p_brand AS label FROM part WHERE p_size > 45)"""
+  p_brand AS label FROM part)"""
 
 
 @query("field_taint", with_sql(_FT_SQL, body="""SELECT DISTINCT u.path, t.label FROM (SELECT DISTINCT path FROM uses_v) u JOIN taints_v t ON u.path = t.path OR starts_with(u.path, t.path || '.')"""))
 def _(spark, sf):
     s = lambda c: c.cast("string")
-    l, p = V.table(spark, sf, "lineitem"), V.table(spark, sf, "part").where("p_size > 45")
+    l, p = V.table(spark, sf, "lineitem"), V.table(spark, sf, "part")
     uses = l.select(F.concat(F.lit("b"), s(F.col("l_suppkey") % 40), F.lit(".f"), s(F.col("l_partkey") % 5),
                              F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(".g"), s(F.col("l_linenumber") % 3))).otherwise("")).alias("path")).distinct()
     b = lambda n: F.concat(F.lit("b"), s(F.col("p_partkey") % n))
@@ -142,13 +142,13 @@ def _(spark, sf):
 
 _PT_SQL = """u AS (SELECT DISTINCT (['x', 'y', 'z'])[l_partkey % 3 + 1] AS var, CASE l_linenumber % 3 WHEN 0 THEN [] WHEN 1 THEN ['a' || (l_suppkey % 4)] ELSE ['a' || (l_suppkey % 4), 'b' || (l_partkey % 4)] END AS conds FROM lineitem),
 st AS (SELECT DISTINCT (['x', 'y', 'z'])[o_orderkey % 3 + 1] AS var, CASE o_custkey % 3 WHEN 0 THEN ['a' || (o_custkey % 4)] WHEN 1 THEN ['a' || (o_orderkey % 4), 'b' || (o_custkey % 4)] ELSE ['c1'] END AS conds,
-   o_orderpriority AS label FROM orders WHERE o_orderstatus = 'P')"""
+   o_orderpriority AS label FROM orders)"""
 
 
 @query("path_taint", with_sql(_PT_SQL, body="""SELECT DISTINCT array_to_string(u.conds, '&') AS conds, u.var, st.label FROM u JOIN st ON u.var = st.var AND len(st.conds) <= len(u.conds) AND u.conds[1:len(st.conds)] = st.conds"""))
 def _(spark, sf):
     s = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
-    l, o = V.table(spark, sf, "lineitem"), V.table(spark, sf, "orders").where("o_orderstatus = 'P'")
+    l, o = V.table(spark, sf, "lineitem"), V.table(spark, sf, "orders")
     n, empty = F.col("l_linenumber") % 3, F.array().cast("array<string>")
     uses = l.select(V.choose(("x", "y", "z"), F.col("l_partkey")).alias("var"), F.when(n == 0, empty).when(n == 1, F.array(s("a", "l_suppkey", 4)))
                     .otherwise(F.array(s("a", "l_suppkey", 4), s("b", "l_partkey", 4))).alias("conditions")).distinct().withColumn("conds", F.array_join("conditions", "&"))

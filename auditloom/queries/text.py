@@ -409,12 +409,11 @@ def _(spark, sf):
 SELECT p_partkey, camel, CASE WHEN stem = '' THEN lower(camel) ELSE
   lower(regexp_replace(regexp_replace(stem, '(.)([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z])', '\1_\2', 'g')) END AS snake
 FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(camel, '(Accounts)+$', ''), '(Context)+$', ''), '(Ctx)+$', '') AS stem
-  FROM (SELECT p_partkey, upper(substring(split_part(p_name, ' ', 1), 1, 1)) || substring(split_part(p_name, ' ', 1), 2) ||
-    upper(substring(split_part(p_name, ' ', 2), 1, 1)) || substring(split_part(p_name, ' ', 2), 2) ||
+  FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), '') ||
     (['Accounts', 'Context', 'Ctx', ''])[p_partkey % 4 + 1] AS camel FROM part))""")
 def _(spark, sf):
-    word = lambda i: F.initcap(F.split_part("p_name", F.lit(" "), F.lit(i)))
-    camel = F.concat(word(1), word(2), V.choose(("Accounts", "Context", "Ctx", ""), F.col("p_partkey")))
+    words = F.array_join(F.transform(F.split("p_name", " "), F.initcap), "")
+    camel = F.concat(words, V.choose(("Accounts", "Context", "Ctx", ""), F.col("p_partkey")))
     return V.table(spark, sf, "part").select("p_partkey", camel.alias("camel"), T.snake_name(camel).alias("snake"))
 
 
@@ -450,7 +449,7 @@ def _(spark, sf):
 
 
 _VOTE_TEXT_SQL = """prose AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN text
-  ELSE substring(text, 1, 20) || ' {"verdict": "' || (['confirmed', 'REJECTED', 'maybe'])[length(text) % 3 + 1] || '"' ||
+  ELSE text || ' {"verdict": "' || (['confirmed', 'REJECTED', 'maybe'])[length(text) % 3 + 1] || '"' ||
   CASE WHEN turn % 4 = 0 THEN ', "confidence": 0.' || (length(text) % 9) ELSE '' END || ', "reasoning": "r' || turn || '"} tail' END AS body FROM conversations)"""
 
 
@@ -462,7 +461,7 @@ FROM (SELECT *, regexp_extract(js, '"verdict": "([^"]*)"', 1) AS v, regexp_extra
   FROM (SELECT conv_id, turn, regexp_extract(body, '(?s)\{.*\}', 0) AS js FROM prose))"""))
 def _(spark, sf):
     c, n = V.table(spark, sf, "conversations"), F.length("text")
-    js = F.concat(F.substring("text", 1, 20), F.lit(' {"verdict": "'), V.choose(("confirmed", "REJECTED", "maybe"), n), F.lit('"'),
+    js = F.concat("text", F.lit(' {"verdict": "'), V.choose(("confirmed", "REJECTED", "maybe"), n), F.lit('"'),
                   F.when(F.col("turn") % 4 == 0, F.concat(F.lit(', "confidence": 0.'), (n % 9).cast("string"))).otherwise(""),
                   F.lit(', "reasoning": "r'), F.col("turn").cast("string"), F.lit('"} tail'))
     body = F.when(F.col("turn") % 4 == 3, F.col("text")).otherwise(js)
