@@ -307,8 +307,10 @@ def interval_contains(value: Column) -> Column:
     return (F.col("lo") <= value) & (value <= F.col("hi"))
 
 
-def scan_stats(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.countDistinct("path").alias("files"), F.countDistinct("instruction").alias("instructions"),
+def scan_stats(df: DataFrame, by: list[str], account: str | None = None) -> DataFrame:
+    """Distinct files and instructions, lines, and with ``account`` the distinct accounts named; null names are none."""
+    more = [F.countDistinct(account).alias("accounts")] if account else []
+    return df.groupBy(*by).agg(F.countDistinct("path").alias("files"), F.countDistinct("instruction").alias("instructions"), *more,
                                F.sum("lines").alias("lines"))
 
 

@@ -62,17 +62,19 @@ def segment_units(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def attach_context(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Function units with the text of the ``derive(Accounts)`` struct named in ``Context<..>`` put before their own."""
-    units = F.col("units")
+    units, contexts = F.col("units"), F.col("contexts")
     def joined(u: Column) -> Column:
         wanted = context_struct(u["code"])
-        struct = F.get(F.filter(units, lambda s: (s["unit_kind"] == "struct") & (s["unit_name"] == wanted) & s["code"].rlike(L.ACCOUNTS_STRUCT)), 0)
+        struct = F.get(F.filter(contexts, lambda s: s["unit_name"] == wanted), 0)
         return F.struct(
             u["unit_kind"].alias("unit_kind"), u["unit_name"].alias("unit_name"), u["line_no"].alias("line_no"),
             wanted.alias("context_name"), F.coalesce(struct["code"], F.lit("")).alias("context_code"),
             F.when(struct.isNotNull(), F.concat(struct["code"], F.lit("\n"), u["code"])).otherwise(u["code"]).alias("code"))
     fns = F.transform(F.filter(units, lambda u: u["unit_kind"] == "fn"), joined)
     at, array = _unit_array(files, text, keep)
-    return at.select(*keep, array.alias("units")).select(*keep, F.inline(fns))
+    # Structs are tested once a file; functions then only compare names with those that are contexts.
+    named = F.filter("units", lambda s: (s["unit_kind"] == "struct") & s["code"].rlike(L.ACCOUNTS_STRUCT))
+    return at.select(*keep, array.alias("units")).withColumn("contexts", named).select(*keep, F.inline(fns))
 
 
 def enclosing_fn(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -184,13 +186,24 @@ def struct_fields(units: DataFrame, keep: list[str]) -> DataFrame:
         *keep, "struct_name", "pos", "f.field_name", "f.field_type", "f.attrs")
 
 
-def struct_schemas(units: DataFrame, keep: list[str]) -> DataFrame:
-    """Struct name with a map field -> type (last declaration wins)."""
+#: Annotations of a struct: state of an account, accounts of a handler.
+ACCOUNT_STATE = r"#\[account\b"
+
+
+def struct_schemas(units: DataFrame, keep: list[str], annotated: bool = False) -> DataFrame:
+    """Struct name with a map field -> type (last declaration wins) and flags of what it is annotated as.
+
+    ``is_account``: state of an account; ``is_context``: accounts of a handler.  ``annotated`` keeps only the former.
+    Fields are sorted by name and place once, so a struct costs n log n in its fields.
+    """
     part = lambda g: F.regexp_extract_all("code", F.lit(FIELD), F.lit(g))
-    pairs = F.arrays_zip(part(2).alias("k"), part(3).alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return units.where("unit_kind = 'struct'").select(
-        *keep, F.col("unit_name").alias("struct_name"), F.map_from_entries(last).alias("schema"))
+    pairs = F.transform(F.arrays_zip(part(2).alias("k"), part(3).alias("v")), lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    last = lambda s: F.map_from_entries(F.transform(F.filter(s, lambda p, i: ~F.get(s, i + 1)["k"].eqNullSafe(p["k"])), lambda p: F.struct(p["k"], p["v"])))
+    schema = F.get(F.transform(F.array(F.array_sort(pairs)), last), 0)
+    out = units.where("unit_kind = 'struct'").select(
+        *keep, F.col("unit_name").alias("struct_name"), schema.alias("schema"), F.col("code").rlike(ACCOUNT_STATE).alias("is_account"),
+        F.col("code").rlike(L.ACCOUNTS_STRUCT).alias("is_context"))
+    return out.where("is_account") if annotated else out
 
 
 def program_id(files: DataFrame, text: str, keys: list[str]) -> DataFrame:

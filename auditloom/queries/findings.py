@@ -526,14 +526,16 @@ def _(spark, sf):
     return h.withColumn("lo", F.col("lo").cast("long")).withColumn("hi", F.col("hi").cast("long"))
 
 
-@query("scan_stats", with_sql(V.CODE_SQL, V.LINES_SQL, r"""f AS (SELECT repo, path, line_no, coalesce(last_value(CASE WHEN regexp_matches(text, '\bfn\s+(\w+)') THEN regexp_extract(text, '\bfn\s+(\w+)', 1) END IGNORE NULLS)
+@query("scan_stats", with_sql(V.CODE_SQL, V.LINES_SQL, r"""f AS (SELECT repo, path, line_no, text, coalesce(last_value(CASE WHEN regexp_matches(text, '\bfn\s+(\w+)') THEN regexp_extract(text, '\bfn\s+(\w+)', 1) END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'unknown') AS instruction FROM code_lines)""",
-    body="SELECT repo, COUNT(DISTINCT path) AS files, COUNT(DISTINCT instruction) AS instructions, COUNT(*) AS lines FROM f GROUP BY repo"))
+    body=r"""SELECT repo, COUNT(DISTINCT path) AS files, COUNT(DISTINCT instruction) AS instructions, COUNT(DISTINCT nullif(regexp_extract(text, '(\w+):\s*(Account|Signer|AccountInfo|UncheckedAccount)\b', 1), '')) AS accounts,
+ COUNT(*) AS lines FROM f GROUP BY repo"""))
 def _(spark, sf):
     from auditloom.operators import source as S
     l = S.enclosing_fn(V.code(spark, sf), "content", ["repo", "path"])
-    per = l.groupBy("repo", "path", F.col("fn_name").alias("instruction")).agg(F.count(F.lit(1)).alias("lines"))
-    return SC.scan_stats(per, ["repo"])
+    name = F.nullif(F.regexp_extract("text", r"(\w+):\s*(Account|Signer|AccountInfo|UncheckedAccount)\b", 1), F.lit(""))
+    per = l.groupBy("repo", "path", F.col("fn_name").alias("instruction"), name.alias("account")).agg(F.count(F.lit(1)).alias("lines"))
+    return SC.scan_stats(per, ["repo"], "account")
 
 
 # ---------------------------------------------------------------- evidence, economics, verdict
@@ -688,3 +690,72 @@ def _(spark, sf):
                     F.aggregate("exploits", F.lit(0).cast("long"), lambda a, x: a + x["severity"]).alias("severity_sum"),
                     get(F.col("extras"), "kani_report", "$.run.proofs", "long").alias("proofs"), get(F.col("extras"), "kani_report", "$.run.solver", "string").alias("solver"),
                     risk.alias("risk_sum"))
+
+
+@query("written_findings", with_sql(FINDINGS_SQL, body="SELECT program, fmt, COUNT(*) AS n, SUM(severity)::BIGINT AS severity_sum, COUNT(DISTINCT finding_id) AS ids FROM findings_v, (SELECT unnest(['json', 'parquet']) AS fmt) GROUP BY ALL"))
+def _(spark, sf):
+    """Findings written in both formats, one folder a program, and read back."""
+    from auditloom.plans.lineage import shared_dir
+    from auditloom.sources import reports as RP
+    base = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
+    f, parts = V.findings(spark, sf).select("program", "finding_id", "severity", "category"), []
+    for fmt in ("json", "parquet"):
+        RP.write_findings(f, f"{base}/{fmt}", fmt)
+        back = spark.read.format(fmt).schema("finding_id string, severity int, category string, program string").load(f"{base}/{fmt}")
+        parts.append(back.withColumn("fmt", F.lit(fmt)))
+    return parts[0].unionByName(parts[1]).groupBy("program", "fmt").agg(F.count(F.lit(1)).alias("n"), F.sum("severity").alias("severity_sum"), F.countDistinct("finding_id").alias("ids"))
+
+
+_TREE_SQL = """tree_v AS (SELECT p_brand AS repo, p_size AS f, p_partkey, '// ' || p_name || chr(10) || CASE WHEN p_partkey % 9 = 0 THEN 'declare_id!("' || p_brand || p_partkey || '");' ELSE p_type || ';' END AS line FROM part)"""
+
+
+def source_tree(spark, sf) -> str:
+    """A tree of files below the shared folder: a repository for each brand, a file for each size."""
+    from auditloom.plans.lineage import shared_dir
+    path, c = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", F.col
+    body = F.when(c("p_partkey") % 9 == 0, F.concat(F.lit('declare_id!("'), "p_brand", c("p_partkey").cast("string"), F.lit('");'))).otherwise(F.concat("p_type", F.lit(";")))
+    lines = V.table(spark, sf, "part").select(c("p_brand").alias("repo"), c("p_size").alias("file"), "p_partkey", F.concat(F.lit("// "), "p_name", F.lit("\n"), body).alias("value"))
+    lines.repartition("repo", "file").sortWithinPartitions("repo", "file", "p_partkey").select("repo", "file", "value").write.partitionBy("repo", "file").text(path)
+    return path
+
+
+@query("corpus_files", with_sql(_TREE_SQL, body="""SELECT repo, COUNT(*) AS files, SUM(size)::BIGINT AS size, SUM(len(string_split(content, chr(10))) - 1)::BIGINT AS lines, MIN(sha256(content)) AS first_digest FROM (
+SELECT repo, f, string_agg(line || chr(10), '' ORDER BY p_partkey) AS content, SUM(strlen(line) + 1) AS size FROM tree_v GROUP BY ALL) GROUP BY repo"""))
+def _(spark, sf):
+    from auditloom.sources.corpus import read_corpus
+    files = read_corpus(spark, source_tree(spark, sf), "txt")
+    repo = F.regexp_replace(F.replace("repo", F.lit("%23"), F.lit("#")), "^repo=", "")
+    return files.groupBy(repo.alias("repo")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"), F.sum(F.size(F.split("content", "\n")) - 1).cast("long").alias("lines"),
+                                                 F.min(F.sha2("content", 256)).alias("first_digest"))
+
+
+@query("program_ids", with_sql(_TREE_SQL, body="""SELECT repo, arg_min(pid, f) AS program_id FROM (SELECT repo, 'file=' || f || '/' AS f, arg_min(repo || p_partkey, p_partkey) AS pid
+FROM tree_v WHERE p_partkey % 9 = 0 GROUP BY ALL) GROUP BY repo"""))
+def _(spark, sf):
+    from auditloom.operators import source as S
+    from auditloom.sources.corpus import read_corpus
+    files = read_corpus(spark, source_tree(spark, sf), "txt")
+    repo = F.regexp_replace(F.replace("repo", F.lit("%23"), F.lit("#")), "^repo=", "")
+    return S.program_id(files.withColumn("repo", repo).withColumn("path", F.regexp_extract("path", "(file=[0-9]+/)", 1)), "content", ["repo"])
+
+
+@query("interface_names", """SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda w: 'a_' || w) AS accounts, CASE WHEN p_size % 3 = 0 THEN [] ELSE [lower(split_part(p_type, ' ', 1)), split_part(p_type, ' ', 2)] END AS instructions FROM part""")
+def _(spark, sf):
+    from auditloom.sources.corpus import idl_names
+    named = lambda names: F.transform(names, lambda w: F.struct(w.alias("name"), F.lit(True).alias("isMut")))
+    doc = F.to_json(F.struct(F.lit("1.0").alias("version"), named(F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("a_"), w))).alias("accounts"),
+                             F.when(F.col("p_size") % 3 != 0, named(F.array(F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))), F.split_part("p_type", F.lit(" "), F.lit(2))))).alias("instructions")))
+    return idl_names(V.table(spark, sf, "part").select("p_partkey", doc.alias("doc")), "doc", ["p_partkey"])
+
+
+@query("user_rules", """SELECT doc_id, 'USER-1' AS rule_id, 4 AS severity FROM documents WHERE contains(text, 'http') AND NOT contains(text, '@')
+UNION ALL SELECT doc_id, 'USER-2', 2 FROM documents WHERE regexp_matches(text, '[0-9]{3}')""")
+def _(spark, sf):
+    """Two rules of a user beside the catalogue, as an analyzer."""
+    from auditloom.ext import Registry
+    from auditloom.operators import scan
+    from auditloom.rules.formula import Has, Matches, Rule
+    reg = Registry()
+    reg.register_rule(Rule("USER-1", "Link", "Text", 4, None, Has("http") & ~Has("@")))
+    reg.register_rule(Rule("USER-2", "Number", "Text", 2, None, Matches("[0-9]{3}")))
+    return scan.scan_rules(V.table(spark, sf, "documents"), reg.rules, "text", ["doc_id"]).select("doc_id", "rule_id", "severity")

@@ -91,6 +91,16 @@ def _(spark, sf):
     return M.monitor_stats(t.select(X.max_level(C("signals")).alias("level")))
 
 
+@query("user_signals", with_sql(_TX_SQL, _SIG_SQL, body=f"""SELECT signature, arg_min(threat_type, ord) AS threat_type, CAST(MAX({_LEVEL_SQL}) AS INTEGER) AS level, MAX(confidence) AS confidence, string_agg(details, '; ' ORDER BY ord) AS explanation FROM (
+  SELECT * FROM sig UNION ALL SELECT signature, 5, 'AccountHijacking', 0.9, 'fee ' || fee FROM tx_v WHERE fee >= 40000 AND error IS NOT NULL) GROUP BY signature"""))
+def _(spark, sf):
+    """A signal of a user folded with the built-in ones."""
+    from auditloom.ext import Registry
+    reg = Registry()
+    reg.register_signal(F.when((C("fee") >= 40_000) & C("error").isNotNull(), X.signal("AccountHijacking", 0.9, F.concat(F.lit("fee "), C("fee").cast("string")))))
+    return X.fold_signals(transactions(V.lineitem(spark, sf)), ["signature"], 1, reg.signals).drop("threat_level")
+
+
 # ---------------------------------------------------------------- validators
 _METRIC_SQL = """vm AS (SELECT validator, ts, greatest(0.0::DOUBLE, (3000 - AVG(p) OVER (PARTITION BY validator ORDER BY ts ROWS 9 PRECEDING)) / 3000 * 100) AS skip_pct,
   least(100.0::DOUBLE, AVG(p) OVER (PARTITION BY validator ORDER BY ts ROWS 4 PRECEDING) / 5000 * 100) AS stress_pct,

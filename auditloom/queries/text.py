@@ -363,14 +363,16 @@ def _(spark, sf):
     return fields(spark, sf)
 
 
-@query("struct_schemas", with_sql(*UNITS_SQL, FIELDS_SQL, body="""
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, struct_name, string_agg(field_name || '=' || field_type, '|' ORDER BY field_name) AS schema_text FROM (
-  SELECT doc_id, line_no, struct_name, field_name, arg_max(field_type, pos) AS field_type FROM fields GROUP BY ALL) GROUP BY ALL"""))
+@query("struct_schemas", with_sql(*UNITS_SQL, FIELDS_SQL, body=r"""
+SELECT f.*, regexp_matches(code, '#\[account\b') AS is_account, regexp_matches(code, """ + quote(L.ACCOUNTS_STRUCT) + r""") AS is_context FROM (
+  SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, struct_name, string_agg(field_name || '=' || field_type, '|' ORDER BY field_name) AS schema_text FROM (
+  SELECT doc_id, line_no, struct_name, field_name, arg_max(field_type, pos) AS field_type FROM fields GROUP BY ALL) GROUP BY ALL) f
+JOIN units u ON u.doc_id = f.doc_id AND u.line_no = f.line_no AND u.unit_kind = 'struct' AND u.unit_name = f.struct_name"""))
 def _(spark, sf):
     u = S.segment_units(V.code(spark, sf), "content", KEEP)
     m = S.struct_schemas(u, ["doc_id", "line_no"])
     text = F.array_join(F.transform(F.array_sort(F.map_entries("schema")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
-    return m.select("doc_id", "line_no", "struct_name", text.alias("schema_text")).where("schema_text <> ''")
+    return m.select("doc_id", "line_no", "struct_name", text.alias("schema_text"), "is_account", "is_context").where("schema_text <> ''")
 
 
 @query("text_call_edges", with_sql(*UNITS_SQL, r"""calls AS (

@@ -160,3 +160,13 @@ def test_plain_struct_is_no_context(spark):
     text = "pub fn f(ctx: Context<Data>) {\n}\npub struct Data {\n    pub x: u64,\n}"
     got = S.attach_context(spark.createDataFrame([("f", text)], "path string, content string"), "content", ["path"]).first()
     assert got.context_name == "Data" and got.context_code == ""
+
+
+def test_struct_schema_flags_and_repeats(spark):
+    code = "#[account]\npub struct Vault {\n    pub a: u64,\n    pub b: Pubkey,\n    pub a: u128,\n}\n"
+    other = "#[derive(Accounts)]\npub struct Ctx<'info> {\n    pub z: Signer<'info>,\n}\n"
+    units = spark.createDataFrame([("struct", "Vault", code), ("struct", "Ctx", other), ("fn", "f", "fn f() {}")], "unit_kind string, unit_name string, code string")
+    got = {r["struct_name"]: r for r in S.struct_schemas(units, []).collect()}
+    assert got["Vault"]["schema"] == {"a": "u128", "b": "Pubkey"} and (got["Vault"]["is_account"], got["Vault"]["is_context"]) == (True, False)
+    assert (got["Ctx"]["is_account"], got["Ctx"]["is_context"]) == (False, True)
+    assert [r["struct_name"] for r in S.struct_schemas(units, [], annotated=True).collect()] == ["Vault"]
