@@ -132,12 +132,16 @@ def windows(docs: DataFrame, often: np.ndarray) -> DataFrame:
 
 def counted(docs: DataFrame, least: int) -> DataFrame:
     """``lang``, ``size``, ``phrase``, ``f`` of every phrase with ``least`` occurrences; size 0 has the words of a language."""
-    top = windows(docs, frequent_pairs(docs, least)).groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n"))
-    sums = top.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("left_out"))
-    size = LONGEST - F.bit_count("left_out")
-    whole = F.array_position(F.array(*COLUMNS), "") == 0
-    return (sums.where(F.col("lang").isNotNull()).select("lang", size.alias("size"), F.concat_ws(" ", *COLUMNS).alias("phrase"), "f", whole.alias("whole"))
-            .where((F.col("size") == 0) | ((F.col("size") > 0) & F.coalesce("whole", F.lit(True)) & (F.col("f") >= least))).drop("whole"))
+    top = cut(windows(docs, frequent_pairs(docs, least)).groupBy("lang", *COLUMNS).agg(F.sum("n").alias("n")))
+    rolled = lambda rows, cols: rows.rollup("lang", *cols).agg(F.sum("n").alias("f"), (len(cols) - F.bit_count(F.grouping_id())).alias("size"))
+    # Windows of one word have no longer prefix, so they are rolled up over that word alone.
+    longer, single = rolled(top.where("w2 <> ''"), COLUMNS), rolled(top.where("w2 = ''"), COLUMNS[:1])
+    for c in COLUMNS[1:]:
+        single = single.withColumn(c, F.lit(None).cast("string"))
+    whole = F.coalesce(F.array_position(F.array(*COLUMNS), ""), F.lit(0)) == 0
+    part = lambda sums: sums.where("size >= 0 and lang is not null").where(whole).select("lang", "size", F.concat_ws(" ", *COLUMNS).alias("phrase"), "f")
+    low = part(longer).where("size < 2").unionByName(part(single)).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    return part(longer).where("size > 1").unionByName(low).where((F.col("size") == 0) | (F.col("f") >= least))
 
 
 def mine(df: DataFrame, text: str = "text", part: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -152,8 +156,9 @@ def mine(df: DataFrame, text: str = "text", part: str = "lang", least: int = LEA
     cuts = candidates.select("lang", "phrase", "a", "size", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", join(F.lit(1), F.col("k")).alias("head"), join(F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
     part_count = lambda c, f: phrases.select("lang", F.col("phrase").alias(c), F.col("f").alias(f))
-    rows = salted_join(cuts, part_count("head", "l"), ["lang", "head"], ["phrase", "k"])
-    rows = salted_join(rows, part_count("tail", "r"), ["lang", "tail"], ["phrase", "k"])
+    # A salted join reads its larger side several times, so each result is written.
+    rows = cut(salted_join(cut(cuts), part_count("head", "l"), ["lang", "head"], ["phrase", "k"]))
+    rows = cut(salted_join(rows, part_count("tail", "r"), ["lang", "tail"], ["phrase", "k"]))
     rows = salted_join(rows, total, ["lang"], ["phrase", "k"])
     wide = lambda c: f"cast({c} as decimal(19,0))"
     score = F.expr(f"(1000 * ({wide('a')} * {wide('n')})) div ({wide('l')} * {wide('r')})")
