@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1, drawn from its number.  A run of three letters is the product of
+Every letter of any script has its own random vector of +1 and -1, drawn from its code point.  A run of three letters is the product of
 the letters' vectors, the first rotated by two places and the second by one, so order counts; runs of
 other characters are one gap letter.  A text's vector is the sum over its runs; a language's prototype is the
 sum of its texts' vectors at unit length.  A text gets the language whose prototype has the highest cosine.
@@ -23,48 +23,65 @@ from pyspark.sql import DataFrame, functions as F
 from auditloom.llm.common import map_arrow, map_texts, mix, pieces
 from auditloom.llm.pretokens import APOS, NUMBER, OTHER, SPACE, WHITE, classes
 
-DIM, LETTERS = 1024, 128
+DIM = 1024
+#: Cells of a table of texts and runs, and runs, that are worked on at once.
+CELLS, RUNS = 1 << 24, 1 << 12
 #: Languages that a model may hold; more are an error, none is dropped.
 MAX_LANGUAGES = 4096
 
 
 @functools.cache
-def letters() -> tuple[np.ndarray, np.ndarray]:
-    """Letter number of every code point (0: gap), and the letters' vectors."""
-    kind = classes()
-    of = 1 + (mix(np.arange(len(kind), dtype=np.uint64)) % np.uint64(LETTERS - 1)).astype(np.int64)
-    latin = np.arange(ord("a"), ord("z") + 1)
-    of[latin] = np.arange(1, 27)
-    of[np.isin(kind, (NUMBER, OTHER, SPACE, WHITE, APOS))] = 0
-    vectors = np.random.default_rng(11).integers(0, 2, (LETTERS, DIM), dtype=np.int8) * 2 - 1
-    return of, vectors.astype(np.int8)
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return ~np.isin(classes(), (NUMBER, OTHER, SPACE, WHITE, APOS))
+
+
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The vector of each code point (0: gap), from its number alone: bits of a hash of the number and the coordinate."""
+    part = np.arange(DIM // 64, dtype=np.uint64)
+    bits = mix(mix(points.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(11)) + part[None, :])
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the texts (zero without letters), and whether each has a letter."""
-    of, base = letters()
-    joined = " ".join(["", *(t.lower() for t in texts), ""])
-    n = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
-    sym = of[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
-    doc = np.repeat(np.arange(len(texts) + 1), np.r_[n + 1, 1])  # a text's leading gap is its own
+    lower = [t.lower() for t in texts]
+    n = np.fromiter(map(len, lower), np.int64, len(lower))
+    point = np.frombuffer(" ".join(["", *lower, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    point = np.where(letters()[point], point, 0)
+    doc = np.repeat(np.arange(len(lower) + 1), np.r_[n + 1, 1])  # a text's leading gap is its own
     first = np.r_[0, np.cumsum(n + 1)]
-    keep = (sym > 0) | np.r_[True, sym[:-1] > 0]
+    keep = (point > 0) | np.r_[True, point[:-1] > 0]
     keep[first] = True
-    sym, doc = sym[keep], doc[keep]
-    code = (sym[:-2] * LETTERS + sym[1:-1]) * LETTERS + sym[2:]
-    owner = doc[1:-1]
-    inner = (sym[1:-1] > 0)
+    point, doc = point[keep], doc[keep]
+    known, sym = np.unique(point, return_inverse=True)
+    size = len(known)
+    code = (sym[:-2] * size + sym[1:-1]) * size + sym[2:]
     # Runs are counted at their middle letter; the gap after a text's last letter may be the next text's first.
-    code, owner = code[inner], owner[inner]
-    there = np.flatnonzero(np.bincount(code, minlength=LETTERS**3))
-    place = np.zeros(LETTERS**3, np.int32)
-    place[there] = np.arange(len(there))
-    hist = np.bincount(owner * len(there) + place[code], minlength=len(texts) * len(there)).reshape(len(texts), -1).astype(np.float32)
-    a, b, c = there // LETTERS**2, there // LETTERS % LETTERS, there % LETTERS
-    runs = np.roll(base, 2, 1)[a] * np.roll(base, 1, 1)[b] * base[c]
-    out = hist @ runs.astype(np.float32)
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(size > 0, size, 1), np.bincount(owner, minlength=len(texts)) > 0
+    inner = point[1:-1] > 0
+    code, owner = code[inner], doc[1:-1][inner]
+    base = letter_vectors(known)
+    two, one = np.roll(base, 2, 1), np.roll(base, 1, 1)
+    out = np.zeros((len(texts), DIM), np.float32)
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+
+    def add(lo: int, hi: int) -> None:
+        """Texts ``lo`` to ``hi``, halved until their table of runs is small."""
+        runs, which = np.unique(code[ends[lo]:ends[hi]], return_inverse=True)
+        if hi - lo > 1 and (hi - lo) * len(runs) > CELLS:
+            add(lo, (lo + hi) // 2)
+            add((lo + hi) // 2, hi)
+            return
+        table = np.bincount((owner[ends[lo]:ends[hi]] - lo) * len(runs) + which, minlength=(hi - lo) * len(runs)).reshape(hi - lo, -1)
+        for k in range(0, len(runs), RUNS):
+            r = runs[k:k + RUNS]
+            bound = two[r // size**2] * one[r // size % size] * base[r % size]
+            out[lo:hi] += table[:, k:k + RUNS].astype(np.float32) @ bound.astype(np.float32)
+
+    if len(code):
+        add(0, len(texts))
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(length > 0, length, 1), np.diff(ends) > 0
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:

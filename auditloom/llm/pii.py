@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import ast
 import re
+import string
 from bisect import bisect_right
 from collections import Counter
 
@@ -34,10 +35,13 @@ from auditloom.llm.common import map_arrow, map_texts, pieces
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+#: Patterns only start where a run of their first characters does: a later start in the run cannot match either, and long runs are read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"[A-Za-z0-9._%+@-]*[0-9@][A-Za-z0-9._%+@-]*")
+TOKEN = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*")
+LOCAL = string.ascii_letters + string.digits + "._%+-"
 GAP = re.compile(r"[\x20().-]{1,3}")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 #: Probability from which a token is added, change at which messages have come to rest, weight that fixes base tokens.
@@ -57,11 +61,31 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, back[::2])) + sum(sum(divmod(2 * int(d), 10)) for d in back[1::2])) % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Spans of ``EMAIL``, found from each ``@`` to the left, so that a run without one is never tried."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start, step = at, 32
+        while start > done:
+            low = max(done, start - step)
+            short = len(text[low:start].rstrip(LOCAL))
+            start = low + short
+            if short:
+                break
+            step *= 2
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            done = m.end()
+            out.append((start, done))
+        at = text.find("@", max(at + 1, done))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind and start."""
     out = []
     if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+        out += [(0, *span) for span in emails(text)]
     if "." in text:
         out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):

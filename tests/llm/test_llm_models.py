@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -348,3 +350,64 @@ def test_pipeline_on_odd_rows(spark):
         for _, stage in c.STAGES:
             out = stage(spark, out, SF)
         out.collect()
+
+
+# ---- long runs, many short texts
+
+def test_patterns_are_those_of_the_contract():
+    email, token = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[A-Za-z0-9._%+@-]*[0-9@][A-Za-z0-9._%+@-]*")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    r = random.Random(1)
+    for _ in range(20000):
+        t = "".join(r.choice("a@.1-% +é") for _ in range(r.randint(0, 30)))
+        assert pii.emails(t) == [m.span() for m in email.finditer(t)]
+        assert [m.span() for m in pii.TOKEN.finditer(t)] == [m.span() for m in token.finditer(t)]
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in ip.finditer(t)]
+
+
+@pytest.mark.parametrize("text", ["a" * 5_000_000 + " @", "1" * 5_000_000, "a@" * 500_000, "1." * 500_000, "x" * 100 + "@" + "a-" * 1_000_000])
+def test_long_runs_take_linear_time(text):
+    start = time.time()
+    pii.base_spans(text)
+    sum(1 for _ in pii.TOKEN.finditer(text))
+    assert time.time() - start < 20
+
+
+def plain_vector(text):
+    """Letter by letter: a gap at both ends, gaps are one."""
+    of = langid.letters()
+    out = np.zeros(langid.DIM)
+    run = [0]
+    for c in text.lower() + " ":
+        p = ord(c) if of[ord(c)] else 0
+        if p or run[-1]:
+            run.append(p)
+    v = {p: langid.letter_vectors(np.array([p]))[0].astype(int) for p in set(run)}
+    for a, b, c in zip(run, run[1:], run[2:]):
+        if b:
+            out += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    n = np.linalg.norm(out)
+    return out / n if n else out
+
+
+def test_language_vectors_equal_a_plain_loop(monkeypatch):
+    texts = ["", "a", "Hello, World", "  x  y ", "été à l'ÎLE", "привет мир", "你好世界", "γειά σου Κόσμε", "12 34", "مرحبا", "a" * 50]
+    for cells, runs in ((langid.CELLS, langid.RUNS), (8, 3)):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        monkeypatch.setattr(langid, "RUNS", runs)
+        got, some = langid.vectors(texts)
+        assert np.allclose(got, [plain_vector(t) for t in texts], atol=1e-5)
+        assert list(some) == [any(langid.letters()[ord(c)] for c in t.lower()) for t in texts]
+    points = np.array([ord("a"), ord("ж"), ord("你"), ord("ä"), 0])
+    v = langid.letter_vectors(points).astype(int)
+    assert (np.abs(v @ v.T - np.eye(5) * langid.DIM) < 200).all()
+
+
+def test_many_short_texts_of_a_large_script_stay_small():
+    r = random.Random(5)
+    texts = ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(50)) for _ in range(10_000)]
+    tracemalloc.start()
+    v, some = langid.vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert v.shape == (10_000, langid.DIM) and some.all() and peak < 1e9
