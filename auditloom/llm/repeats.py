@@ -40,7 +40,7 @@ from auditloom.plans.skew import salted_join
 #: Bytes of a window, and of the gram that marks it (a power of two).
 WINDOW, GRAM = 400, 64
 #: Window starts worked on at once, region bytes sorted at once, and distinct regions of a gram that one task takes.
-BLOCK, SORTED, HOT = 1 << 20, 1 << 22, 1 << 12
+BLOCK, SORTED, HOT = 1 << 20, 1 << 22, 1 << 14
 NARROW = 1 << 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _PLACE = np.uint64(24)
@@ -229,8 +229,8 @@ def cleaned(df: DataFrame, text: str = "text", window: int = WINDOW, gram: int =
         size = by_gram.agg(F.count(F.lit(1)), F.count_if(F.expr("kinds > 1 and single > 0"))).first()
         again, mixed = (bit_filter(d.select(F.col("gram").alias("key")), n) for d, n in zip((by_gram, open_), size))
         found = own.cut(places(texts, window, gram, again, mixed))
-        shown = (found.where(F.col("region").isNotNull()).join(open_, "gram").groupBy("gram", "r1", "r2", "kinds", "mark").agg(F.min("region").alias("region"))
-                 .join(counts, ["gram", "r1", "r2"]))
+        shown = (salted_join(found.where(F.col("region").isNotNull()), open_, ["gram"], ["r1"]).groupBy("gram", "r1", "r2", "kinds", "mark")
+                 .agg(F.min("region").alias("region")).join(counts, ["gram", "r1", "r2"]))
         parts = [sorted_regions(shown.where(F.col("kinds") <= hot), window, gram)]
         if open_.where(F.col("kinds") > hot).limit(1).count():
             parts.append(counted_windows(shown.where(F.col("kinds") > hot), window))
