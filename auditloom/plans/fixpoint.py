@@ -14,11 +14,16 @@ def closure(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
     """Rows reachable from ``seeds`` by ``step``, one row per ``keys``, first found wins.
 
     ``step`` must return at most one row per ``keys``.  The driver only learns the row count of a round.
+    A round's rows are written first and then looked up in all earlier ones, not the other way round: where they are few, as
+    in the long tail of late rounds, Spark sends them to the scans of the earlier rows, which then do not move.
     Rounds go on until one finds nothing new; ``max_rounds`` is a safety bound, reaching it is an error.
     """
     seen = frontier = cut(seeds)
     for rounds in count(1):
-        fresh, n = cut_counted(step(frontier).join(seen.select(*keys), keys, "left_anti").select(*seen.columns))
+        found, n = cut_counted(step(frontier).select(*seen.columns))
+        if n:
+            known = seen.select(*keys).join(found.select(*keys), keys, "left_semi")
+            fresh, n = cut_counted(found.join(known, keys, "left_anti").select(*seen.columns))
         if n == 0:
             return seen
         if max_rounds is not None and rounds >= max_rounds:
