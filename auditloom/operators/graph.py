@@ -40,9 +40,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None)
                 .agg(F.min(F.col("depth") + 1).alias("depth"), F.min(F.concat("path", F.lit(SEP), "dst")).alias("path")))
 
     start = seeds.select("label", "node").distinct().select("label", "node", F.lit(0).alias("depth"), F.col("node").alias("path"))
-    found = closure(start, step, ["label", "node"], max_rounds)
-    forget(edges.sparkSession, names)
-    return found
+    try:
+        return closure(start, step, ["label", "node"], max_rounds)
+    finally:
+        forget(edges.sparkSession, names)
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -134,9 +135,10 @@ def context_taint(edges: DataFrame, seeds: DataFrame, k: int = 2, max_rounds: in
 
     start = seeds if "context" in seeds.columns else seeds.withColumn("context", F.array().cast("array<string>"))
     start = start.select("label", "node", "context", F.lit(0).alias("depth")).distinct()
-    found = closure(start, step, ["label", "node", "context"], max_rounds)
-    forget(edges.sparkSession, [name])
-    return found
+    try:
+        return closure(start, step, ["label", "node", "context"], max_rounds)
+    finally:
+        forget(edges.sparkSession, [name])
 
 
 def context_text(context: Column) -> Column:

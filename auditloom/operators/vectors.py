@@ -236,3 +236,21 @@ def best_line(files: DataFrame, text: str, keep: list[str], threshold: float = 0
     sims = cross_similarity(vecs, pats, [*keep, "line_no"], "pattern", normalised=True).where(F.col("similarity") > threshold)
     return sims.groupBy(*keep, "pattern").agg(F.max_by(F.struct("line_no", "similarity"), F.struct(F.round("similarity", 9), -F.col("line_no"))).alias("b")).select(
         *keep, "pattern", "b.line_no", "b.similarity")
+
+
+def matching_files(files: DataFrame, text: str, keep: list[str], above: float = 0.6) -> DataFrame:
+    """(``keep``, pattern, file_similarity, tier) of the files whose own vector is similar to a pattern of the catalogue; nothing is shuffled."""
+    rows = [{"pattern": n, "body": b} for n, b in PATTERNS.items()]
+    pats = constant_rows(files.sparkSession, rows).select("pattern", embed(F.col("body")).alias("vector"))
+    sims = cross_similarity(embed_doc(files, text, keep), pats, keep, "pattern", normalised=True).where(F.col("similarity") > above)
+    return sims.withColumnRenamed("similarity", "file_similarity").withColumn("tier", tier(F.col("file_similarity")))
+
+
+def gated_lines(files: DataFrame, text: str, keep: list[str], above: float = 0.6, threshold: float = 0.5) -> DataFrame:
+    """The best line of each pattern, in the files that are similar to the pattern as a whole.
+
+    ``keep`` identifies a file.  Only lines of files with some similar pattern are compared.
+    """
+    gate = cut(matching_files(files, text, keep, above))
+    some = files.join(gate.select(*keep).distinct(), keep, "left_semi")
+    return best_line(some, text, keep, threshold).join(gate, [*keep, "pattern"])

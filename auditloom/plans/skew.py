@@ -12,13 +12,12 @@ HOT_SHARE = 256
 def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys above the share, with ``n_salts`` = how many slices each needs.
 
-    At most ``share - 1`` rows come back.
+    At most ``share - 1`` rows come back.  The total is the sum of the keys' counts, whose shuffle is used for both.
     """
-    total = df.select(F.count(F.lit(1)))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n"))
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slices", F.ceil(F.col("_n") * F.lit(share) / total.scalar()).cast("int"))
+        counts.withColumn("_slices", F.ceil(F.col("_n") * F.lit(share) / total.scalar()).cast("int"))
         .where(F.col("_slices") > 1)
         .select(*keys, F.col("_slices").alias("n_salts"))
     )

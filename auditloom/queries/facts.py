@@ -238,15 +238,24 @@ st AS (SELECT DISTINCT struct_id FROM pf WHERE contains(attrs, '!='))"""
 _REL_SQL = " OR ".join(f"(contains(a.ln, '{x}') AND contains(b.ln, '{y}')) OR (contains(a.ln, '{y}') AND contains(b.ln, '{x}'))" for x, y in FT.RELATED_WORDS)
 
 
-@query("related_account_pairs", with_sql(_PAIR_SQL, body=f"""SELECT DISTINCT a.struct_id, a.pos AS pos_a, a.name AS name_a, b.pos AS pos_b, b.name AS name_b, false AS compact
+@query("related_account_pairs", with_sql(_PAIR_SQL, body=f"""SELECT DISTINCT a.struct_id, a.pos AS pos_a, a.name AS name_a, b.pos AS pos_b, b.name AS name_b
 FROM mutf a JOIN mutf b ON a.struct_id = b.struct_id AND a.pos < b.pos WHERE ({_REL_SQL} OR (a.stem <> '' AND a.stem = b.stem AND a.ln <> b.ln))
  AND NOT (least(a.name, b.name) = 'from' AND greatest(a.name, b.name) = 'to' AND a.struct_id IN (SELECT struct_id FROM st))"""))
 def _(spark, sf):
-    f = lineitem(spark, sf).select(
+    return FT.related_pairs(account_fields(spark, sf), ["struct_id"])
+
+
+@query("related_blocks", with_sql(_PAIR_SQL, body="SELECT struct_id, '=' || stem AS block, 's' AS side, pos, name FROM mutf WHERE stem <> ''" + "".join(
+    f" UNION ALL SELECT struct_id, '#{i:02d}', '{side}', pos, name FROM mutf WHERE contains(ln, '{w}')" for i, pair in enumerate(FT.RELATED_WORDS) for w, side in zip(pair, "ab"))))
+def _(spark, sf):
+    return FT.related_blocks(account_fields(spark, sf), ["struct_id"])
+
+
+def account_fields(spark, sf):
+    return lineitem(spark, sf).select(
         C("l_orderkey").alias("struct_id"), (C("l_linenumber") * 100000 + C("l_partkey")).alias("pos"), choose(_FN, C("l_partkey")).alias("field_name"),
         F.when(C("l_suppkey") % 4 == 0, "mut, constraint = from.key() != to.key()").when(C("l_suppkey") % 5 == 0, "").otherwise("mut").alias("attrs"),
         F.when(C("l_suppkey") % 6 == 0, "Signer").otherwise("Account<T>").alias("field_type"))
-    return FT.related_pairs(f, ["struct_id"]).withColumn("compact", F.lit(False))
 
 
 # ---------------------------------------------------------------- invariants

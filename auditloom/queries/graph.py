@@ -295,3 +295,16 @@ _BEST_SQL = ("ln AS (SELECT doc_id AS k, line_no, text FROM code_lines WHERE tri
  SELECT *, row_number() OVER (PARTITION BY k, pattern ORDER BY round(s, 9) DESC, line_no) AS rn FROM sims) WHERE rn = 1"""))
 def _(spark, sf):
     return VC.best_line(V.code(spark, sf), "content", ["doc_id"]).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("gated_matching_lines", with_sql(V.CODE_SQL, V.LINES_SQL, *_BEST_SQL, "fl AS (SELECT doc_id, line_no, COUNT(*) OVER (PARTITION BY doc_id) AS n, text FROM code_lines)",
+    _EMB_SQL("fl", "doc_id, line_no, n", "text").replace("tok AS", "ftok AS").replace("FROM tok", "FROM ftok").replace("slot AS", "fslot AS").replace("FROM slot", "FROM fslot").replace("emb AS", "femb AS"),
+    "fv AS (SELECT doc_id, d, SUM(x * (1.0::DOUBLE + (line_no - 1)::DOUBLE / n * 0.5::DOUBLE)) AS x FROM femb GROUP BY ALL)",
+    "fu AS (SELECT doc_id, d, x / sqrt(SUM(x * x) OVER (PARTITION BY doc_id)) AS x FROM fv)",
+    "gate AS (SELECT doc_id, pattern, SUM(f.x * p.x) AS fs FROM fu f JOIN pemb p USING (d) GROUP BY ALL HAVING SUM(f.x * p.x) > 0.3)", body="""
+SELECT b.k AS doc_id, b.pattern, CAST(line_no AS INTEGER) AS line_no, round(s, 4) AS similarity, round(fs, 4) AS file_similarity,
+ CASE WHEN fs > 0.85 THEN 'Critical' WHEN fs > 0.75 THEN 'High' WHEN fs > 0.6 THEN 'Medium' ELSE 'None' END AS tier
+FROM (SELECT *, row_number() OVER (PARTITION BY k, pattern ORDER BY round(s, 9) DESC, line_no) AS rn FROM sims) b JOIN gate g ON g.doc_id = b.k AND g.pattern = b.pattern WHERE rn = 1"""))
+def _(spark, sf):
+    g = VC.gated_lines(V.code(spark, sf), "content", ["doc_id"], above=0.3)
+    return g.select("doc_id", "pattern", "line_no", F.round("similarity", 4).alias("similarity"), F.round("file_similarity", 4).alias("file_similarity"), "tier")

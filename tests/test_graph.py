@@ -248,3 +248,22 @@ def test_similar_pairs_equal_brute_force(spark, above, pivots, block, spread):
 def test_similar_pairs_of_nothing(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0])], "id int, vector array<double>")
     assert VC.similar_pairs(df, df.withColumnRenamed("id", "p"), "id", "p").count() == 0
+
+
+def test_lines_only_of_files_like_the_pattern(spark):
+    body = VC.PATTERNS["Missing Signer Check"]
+    texts = {1: body, 2: "fn nothing() {}\n" * 30 + "authority is_signer", 3: None, 4: "", 5: "let total = price * amount;\n" * 9 + body, 6: ("x " * 128 + "\n") * 20 + body}
+    files = spark.createDataFrame(list(texts.items()), "id int, text string")
+
+    def similar(text):
+        lines = text.split("\n")
+        v = [sum(x) for x in zip(*([a * (1 + i / len(lines) * 0.5) for a in brute_embed(l)] for i, l in enumerate(lines)))]
+        n = sum(x * x for x in v) ** 0.5
+        return sum(a * b for a, b in zip(v, brute_embed(body))) / n if n else 0.0
+
+    want = {k for k, t in texts.items() if t and similar(t) > 0.6}
+    of = lambda df: {r.id: r for r in df.where("pattern = 'Missing Signer Check'").collect()}
+    gate, got, every = of(VC.matching_files(files, "text", ["id"])), of(VC.gated_lines(files, "text", ["id"])), of(VC.best_line(files, "text", ["id"]))
+    assert 1 in want and set(gate) == want and set(got) == want & set(every) and set(every) - want
+    assert all(abs(gate[k].file_similarity - similar(texts[k])) < 1e-9 for k in want)
+    assert (got[1].line_no, got[1].tier) == (1, "Critical")
