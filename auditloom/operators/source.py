@@ -131,15 +131,20 @@ def writes_after_call(files: DataFrame, text: str, keep: list[str]) -> DataFrame
         call, ret = l.rlike(L.CALL_LINE), l.rlike(L.RETURN_LINE)
         write = l.rlike(L.WRITE_LINE_TOKENS) | (l.rlike("=") & ~l.rlike("==") & ~l.rlike("let"))
         return F.when(call | ret | write, F.struct(i.alias("i"), (call & ~ret).alias("opens"), (write & ~call).alias("writes")))
-    ev = at.select(*keep, F.filter(F.transform("_lines", event), lambda e: e.isNotNull()).alias("_ev"),
+    ev = at.select(*keep, "_lines", F.filter(F.transform("_lines", event), lambda e: e.isNotNull()).alias("_ev"),
                    F.filter(F.transform("_lines", lambda l, i: F.when(
                        l.rlike(L.FUNCTION_START),
                        F.struct(i.alias("i"), F.regexp_extract(l, L.FUNCTION_START, 1).alias("n")))),
                        lambda f: f.isNotNull()).alias("_fns"))
-    e, fns = F.col("_ev"), F.col("_fns")
+    # The name of the function each line lies in, from the first function's line on: one entry a line.
+    fns, n = F.col("_fns"), F.size("_lines")
+    names = F.flatten(F.transform(fns, lambda f, k: F.array_repeat(f["n"], (F.coalesce(F.get(fns, k + 1)["i"], n) - f["i"]).cast("int"))))
+    ev = ev.withColumn("_names", names)
+    e = F.col("_ev")
     def hit(x: Column, j: Column) -> Column:
         before = F.get(e, j - 1)
-        name = F.try_element_at(F.filter(fns, lambda f: f["i"] <= x["i"]), F.lit(-1))["n"]
+        first = F.get(fns, 0)["i"]
+        name = F.when(x["i"] >= first, F.get("_names", (x["i"] - first).cast("int")))
         return F.when(x["writes"] & (j > 0) & before["opens"], F.struct(
             (x["i"] + 1).alias("line_no"), (before["i"] + 1).alias("call_line"),
             F.coalesce(F.when(F.size(fns) > 0, name), F.lit("unknown")).alias("fn_name")))

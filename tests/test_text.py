@@ -170,3 +170,11 @@ def test_struct_schema_flags_and_repeats(spark):
     assert got["Vault"]["schema"] == {"a": "u128", "b": "Pubkey"} and (got["Vault"]["is_account"], got["Vault"]["is_context"]) == (True, False)
     assert (got["Ctx"]["is_account"], got["Ctx"]["is_context"]) == (False, True)
     assert [r["struct_name"] for r in S.struct_schemas(units, [], annotated=True).collect()] == ["Vault"]
+
+
+def test_writes_after_call_name_their_function(spark):
+    call, write = "    invoke(&ix, &accounts)?;", "    vault.balance = 1;"
+    texts = {1: [call, write], 2: [call, write, "fn a() {", call, write, "}", "fn b() {", call, write, "}"], 3: ["fn only() {"], 4: [""]}
+    files = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "id int, text string")
+    got = sorted((r.id, r.line_no, r.fn_name) for r in S.writes_after_call(files, "text", ["id"]).collect())
+    assert got == [(1, 2, "unknown"), (2, 2, "unknown"), (2, 5, "a"), (2, 9, "b")]
