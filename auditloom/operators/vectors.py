@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -136,7 +137,7 @@ def choose_pivots(vecs: DataFrame, vector: str, n: int = PIVOTS, sample: int = P
     """
     rows = vecs.select(vector).distinct().orderBy(F.xxhash64(vector), vector).limit(sample).collect()
     x = _units([r[0] for r in rows])
-    x = x[np.linalg.norm(x, axis=1) > 0]
+    x = x[np.abs(x).sum(1) > 0] if len(x) else x
     if not len(x):
         return np.zeros((0, 0))
     best = x @ x[0]
@@ -206,7 +207,7 @@ def similar_pairs(vecs: DataFrame, patterns: DataFrame, ident: str, label: str,
 
     def blocked(df: DataFrame, parts, side: str) -> DataFrame:
         numbered = df.withColumn("part", F.pmod(F.xxhash64("id", "v"), parts))
-        return numbered.groupBy("cell", "part").agg(F.collect_list("id").alias(f"ids_{side}"), F.collect_list("v").alias(f"vs_{side}")).withColumnRenamed("part", f"part_{side}")
+        return numbered.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias(f"rows_{side}")).withColumnRenamed("part", f"part_{side}")
 
     sent = cut(right.mapInArrow(send, f"id {kinds[label]}, v {kinds[vector]}, cell int"))
     size = spark.createDataFrame([(c, -(-n // block)) for c, (_, _, n) in ranges.items()], "cell int, parts long")
@@ -218,12 +219,14 @@ def similar_pairs(vecs: DataFrame, patterns: DataFrame, ident: str, label: str,
 
     def multiply(batches):
         for b in batches:
-            for a_ids, a_vs, b_ids, b_vs in zip(*(b.column(c) for c in ("ids_a", "vs_a", "ids_b", "vs_b"))):
-                c = _units(a_vs.as_py()) @ _units(b_vs.as_py()).T
+            for a, z in zip(b.column("rows_a"), b.column("rows_b")):
+                x, y = (_units(pc.struct_field(r.values, "v").to_pylist()) for r in (a, z))
+                c = x @ y.T
                 i, j = np.nonzero(c > above)
-                yield pa.RecordBatch.from_arrays([a_ids.values.take(pa.array(i)), b_ids.values.take(pa.array(j)), pa.array(c[i, j])], names=[ident, label, "similarity"])
+                ids = [pc.struct_field(r.values, "id").take(pa.array(k)) for r, k in ((a, i), (z, j))]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(c[i, j])], names=[ident, label, "similarity"])
 
-    return met.select("ids_a", "vs_a", "ids_b", "vs_b").mapInArrow(multiply, out)
+    return met.select("rows_a", "rows_b").mapInArrow(multiply, out)
 
 
 def best_line(files: DataFrame, text: str, keep: list[str], threshold: float = 0.5) -> DataFrame:
