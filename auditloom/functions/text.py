@@ -10,8 +10,11 @@ from auditloom.rules import lines as L
 
 
 def lines_of(text: Column) -> Column:
-    """Lines without terminators; a final newline adds no empty line, empty text has no lines."""
-    body = F.regexp_replace(text, "\r?\n$", "")
+    """Lines without terminators; a final newline adds no empty line, empty text has no lines.
+
+    Only the last terminator goes: ``$`` would also match before it, and so take an empty last line with it.
+    """
+    body = F.regexp_replace(text, r"\r?\n\z", "")
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\r?\n"))
 
 

@@ -19,6 +19,16 @@ def test_lines(spark, text, want):
     assert one(spark, text, T.lines_of) == want
 
 
+def test_empty_last_lines_stay(spark):
+    body = "fn f() {\n}\n\n\n"
+    assert one(spark, body, T.lines_of) == ["fn f() {", "}", "", ""] and one(spark, "\n\n", T.lines_of) == ["", ""]
+    assert one(spark, "a\r\n\r\n", T.lines_of) == ["a", ""] and one(spark, "a\n\u2028", T.lines_of) == ["a", "\u2028"]
+    d = files(spark, body)
+    assert [r.code for r in S.segment_units(d, "content", ["path"]).collect()] == ["fn f() {\n}\n\n"]
+    assert [r.code for r in S.attach_context(d, "content", ["path"]).collect()] == ["fn f() {\n}\n\n"]
+    assert [r.line_no for r in S.enclosing_fn(d, "content", ["path"]).collect()] == [1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("name,want", [("InitializeVaultAccounts", "initialize_vault"), ("DepositCtx", "deposit"), ("Context", "context"), ("ABC", "a_b_c"), ("Swap", "swap")])
 def test_snake_name(spark, name, want):
     assert one(spark, name, T.snake_name) == want
