@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from auditloom.ext import Registry
@@ -144,3 +145,20 @@ def test_alert_sink_is_idempotent(spark, tmp_path):
         io.alert_sink(s, 3, targets, str(tmp_path / f"cp{run}"), once=True).awaitTermination()
     for t in targets:
         assert sorted(r.id for r in spark.read.parquet(t).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_a_program_gets_one_file(spark, tmp_path, fmt):
+    rows = spark.range(600).select((F.col("id") % 300).cast("string").alias("program"), F.col("id").alias("seq")).repartition(6, "seq")
+    write_findings(rows, str(tmp_path / "out"), fmt)
+    files = [len(list(d.glob("part-*"))) for d in (tmp_path / "out").iterdir() if d.is_dir()]
+    assert files == [1] * 300
+    back = spark.read.format(fmt).schema("seq long, program string").load(str(tmp_path / "out"))
+    assert sorted((x.program, x.seq) for x in back.collect()) == sorted((str(k % 300), k) for k in range(600))
+
+
+def test_rows_of_a_common_program_are_dealt(spark, tmp_path):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.lit(None)).alias("program"), F.col("id").alias("seq"))
+    write_findings(rows, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out" / "program=hot").glob("part-*"))) > 1
+    assert sorted(x.seq for x in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(4000))
