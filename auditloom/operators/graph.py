@@ -1,7 +1,8 @@
 """Graph jobs on edge tables: taint, reachability, dataflow fixpoints, message passing.
 
 Each fixpoint joins only the newest rows with the edges, aggregates candidates before the
-shuffle, and writes every round to the shared checkpoint folder.  Hub nodes are salted.
+shuffle, and writes every round to the shared checkpoint folder.  Hub nodes are salted.  Facts that
+stay in their function are solved by function in tasks, see :mod:`~auditloom.plans.grouped`.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.plans.fixpoint import closure
+from auditloom.plans.grouped import flow_facts
 from auditloom.plans.lineage import cut, cut_bucketed, cut_counted, forget
 from auditloom.plans.skew import hot_keys, replicated, salted_join, with_salt
 
@@ -187,27 +189,40 @@ def reaching_defs(edges: DataFrame, defs: DataFrame, max_rounds: int | None = No
     A definition passes a node exactly when the node does not redefine its variable, so following
     single definitions along edges is the full fixpoint.
     """
-    e = cut(edges.select("func", F.col("src").alias("node"), F.col("dst").alias("_next")).distinct())
-    kills = cut(defs.select("func", "node", "var").distinct())
+    steps = edges.select("func", F.col("src").alias("node"), F.col("dst").alias("next"))
+    found = flow_facts(steps, defs.select("func", "node", "var"), None, lambda e, k, _: _reaching_rounds(e, k, max_rounds))
+    return found.withColumnRenamed("origin", "def_node")
+
+
+def _reaching_rounds(edges: DataFrame, defs: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(func, node, var, origin) in rounds over all tasks; ``edges(func, node, next)``."""
+    e = cut(edges.distinct())
+    kills = cut(defs.distinct())
 
     def step(front: DataFrame) -> DataFrame:
         alive = front.join(kills, ["func", "node", "var"], "left_anti")
-        return alive.join(e, ["func", "node"]).select("func", F.col("_next").alias("node"), "var", "def_node").distinct()
+        return alive.join(e, ["func", "node"]).select("func", F.col("next").alias("node"), "var", "origin").distinct()
 
-    born = kills.join(e, ["func", "node"]).select("func", F.col("_next").alias("node"), "var", F.col("node").alias("def_node")).distinct()
-    return closure(born, step, ["func", "node", "var", "def_node"], max_rounds)
+    born = kills.join(e, ["func", "node"]).select("func", F.col("next").alias("node"), "var", F.col("node").alias("origin")).distinct()
+    return closure(born, step, ["func", "node", "var", "origin"], max_rounds)
 
 
 def live_vars(edges: DataFrame, defs: DataFrame, uses: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(func, node, var) live on entry: used there, or live on exit and not defined there."""
-    back = cut(edges.select("func", F.col("dst").alias("node"), F.col("src").alias("_prev")).distinct())
-    kills = cut(defs.select("func", "node", "var").distinct())
+    back = edges.select("func", F.col("dst").alias("node"), F.col("src").alias("next"))
+    return flow_facts(back, defs.select("func", "node", "var"), uses.select("func", "node", "var"), lambda e, k, u: _live_rounds(e, k, u, max_rounds))
+
+
+def _live_rounds(back: DataFrame, defs: DataFrame, uses: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(func, node, var) in rounds over all tasks; ``back(func, node, next)`` leads to earlier nodes."""
+    back = cut(back.distinct())
+    kills = cut(defs.distinct())
 
     def step(front: DataFrame) -> DataFrame:
-        out = front.join(back, ["func", "node"]).select("func", F.col("_prev").alias("node"), "var").distinct()
+        out = front.join(back, ["func", "node"]).select("func", F.col("next").alias("node"), "var").distinct()
         return out.join(kills, ["func", "node", "var"], "left_anti")
 
-    return closure(uses.select("func", "node", "var").distinct(), step, ["func", "node", "var"], max_rounds)
+    return closure(uses.distinct(), step, ["func", "node", "var"], max_rounds)
 
 
 def live_out(live_in: DataFrame, edges: DataFrame) -> DataFrame:

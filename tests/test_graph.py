@@ -267,3 +267,32 @@ def test_lines_only_of_files_like_the_pattern(spark):
     assert 1 in want and set(gate) == want and set(got) == want & set(every) and set(every) - want
     assert all(abs(gate[k].file_similarity - similar(texts[k])) < 1e-9 for k in want)
     assert (got[1].line_no, got[1].tier) == (1, "Critical")
+
+
+def test_facts_in_functions_equal_rounds(spark, monkeypatch):
+    from auditloom.plans import grouped
+    rnd = random.Random(5)
+    e = {(f"f{rnd.randrange(40)}", rnd.randrange(9), rnd.randrange(9)) for _ in range(500)}
+    d, u = ({(f"f{rnd.randrange(40)}", rnd.randrange(9), rnd.choice("xyz")) for _ in range(n)} for n in (200, 150))
+    s = "func string, node int, var string"
+    e, d, u = spark.createDataFrame(sorted(e), "func string, src int, dst int"), spark.createDataFrame(sorted(d), s), spark.createDataFrame([*sorted(u), ("f1", None, "x"), (None, 1, "y")], s)
+    jobs = lambda: [sorted(map(str, r.collect())) for r in (G.reaching_defs(e, d), G.live_vars(e, d, u))]
+    small = jobs()
+    # No rounds over all tasks where functions are small.
+    monkeypatch.setattr(G, "closure", None)
+    assert jobs() == small
+    monkeypatch.undo()
+    # Functions of more than a few rows go by rounds, the others stay in their tasks.
+    for large in (0, 18):
+        monkeypatch.setattr(grouped, "LARGE", large)
+        assert jobs() == small
+    assert "Row(func=None, node=1, var='y')" in small[1] and "Row(func='f1', node=None, var='x')" in small[1]
+
+
+def test_whole_functions_are_cut_at_their_ends():
+    import pyarrow as pa
+    from auditloom.plans.grouped import _whole_functions
+    funcs = [k // 7 for k in range(100)] + [99] * 40
+    batches = pa.table({"func": funcs}).to_batches(max_chunksize=9)
+    parts = [t.column("func").to_pylist() for t in _whole_functions(batches, 20)]
+    assert sum(parts, []) == funcs and len(parts) > 3 and all(not set(a) & set(b) for a, b in zip(parts, parts[1:]))
