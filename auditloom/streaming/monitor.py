@@ -109,9 +109,9 @@ def first_sight(df: DataFrame, account: str, ts: str, ident: str, delay: str = L
         first = rows.groupBy("account").agg(F.min(F.struct("ts", "id")).alias("x"))
         return first.select("account", "x.ts", "x.id")
     kind = rows.schema["id"].dataType.simpleString()
-    run = stateful.FirstRows(f"account string, ts timestamp, id {kind}", "ts")
+    run = stateful.FirstRows(f"account string, ts timestamp, id {kind}", "ts", "account")
     rows = rows.select(F.col("account").cast("string").alias("account"), "ts", "id").withWatermark("ts", delay)
-    return stateful.in_order(rows, ["account"], run, run.row_schema, "ts")
+    return stateful.in_buckets(rows, ["account"], run, run.row_schema, "ts")
 
 
 def new_account_spike(df: DataFrame, account: str, ts: str, ident: str, n: int = 200, length: str = "5 minutes", delay: str = LATENESS) -> DataFrame:
@@ -191,12 +191,11 @@ def value_changed_stream(df: DataFrame, key: str, ts: str, order: list[str], val
 
     Rows at the same time are taken by the columns ``order``.  A value is compared only within ``expiry_ms``; then its state goes.
     """
-    cols = list(dict.fromkeys([ts, *order, value]))
+    cols = list(dict.fromkeys([key, ts, *order, value]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in cols)
-    run = stateful.Changes(schema, ts, value, expiry_ms)
-    out = stateful.in_order(df.withWatermark(ts, delay).select(key, *cols), [key], run.with_key(key), f"{key} {kinds[key]}, {schema}, before string")
-    return out
+    run = stateful.Changes(schema, ts, key, value, expiry_ms)
+    return stateful.in_buckets(df.withWatermark(ts, delay).select(*cols), [key], run, f"{schema}, before string")
 
 
 ALERT_COLUMNS = ("id", "ts", "alert_type", "severity", "program", "description", "tx", "resolved")

@@ -16,7 +16,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -101,56 +101,86 @@ class SampleMetrics(InOrder):
 
 
 class Changes(InOrder):
-    """Rows whose value differs from the one before; a value is forgotten ``expiry_ms`` after its last row."""
+    """Rows whose value differs from the one before of their ``key``; a value is forgotten ``expiry_ms`` after its last row.
 
-    def __init__(self, row_schema: str, ts: str, value: str, expiry_ms: int | None):
-        super().__init__(row_schema, ts)
-        self.value, self.expiry, self.key = value, expiry_ms, None
+    Serves all keys of a bucket at once, see :func:`in_buckets`: their last values are one list, read and written as a whole.
+    """
 
-    def with_key(self, name: str) -> Changes:
-        """Put the key before the row in the output."""
-        self.key = name
-        return self
+    def __init__(self, row_schema: str, ts: str, key: str, value: str, expiry_ms: int | None):
+        super().__init__(row_schema, ts)
+        self.key, self.value, self.expiry = key, value, expiry_ms
 
     def open(self) -> None:
-        self.known = self.handle.getValueState("known", "value string, at long")
+        kind = next(c.split(" ", 1)[1] for c in self.row_schema.split(", ") if c.split()[0] == self.key)
+        self.known = self.handle.getListState("known", f"key {kind}, value string, at long")
+
+    def keep(self, known: list[tuple]) -> None:
+        # What still waits or comes lies above the watermark, so beyond the time of the values that go.
+        known = known if self.expiry is None else [k for k in known if k[2] + self.expiry > self.watermark]
+        self.known.put(known) if known else self.known.clear()
 
     def idle(self, key, watermark_ms):
-        if self.expiry is not None and self.known.exists() and not self.waiting.exists() and self.known.get()[1] + self.expiry <= watermark_ms:
-            self.known.clear()
+        self.watermark = watermark_ms
+        if self.expiry is not None and self.known.exists() and not self.waiting.exists():
+            self.keep([tuple(k) for k in self.known.get()])
 
     def advance(self, key, rows):
         at = pd.to_datetime(rows[self.ts]).astype("datetime64[us]").astype("int64").to_numpy() // 1000
         value = rows[self.value].to_numpy(object)
-        old, old_at = self.known.get() if self.known.exists() else (None, 0)
-        before, since = np.r_[np.array([old], object), value[:-1]], np.r_[np.array([old_at]), at[:-1]]
-        fresh = np.array([b is not None for b in before]) & (before != value)
+        known = [tuple(k) for k in self.known.get()]
+        code = pd.factorize(pd.concat([pd.Series([k[0] for k in known], dtype=rows[self.key].dtype), rows[self.key]]), use_na_sentinel=False)[0]
+        # Known values come first, then the rows in order; the entry before of the same key is the one to compare with.
+        value, at = np.r_[np.array([k[1] for k in known], object), value], np.r_[np.array([k[2] for k in known], np.int64), at]
+        order = np.argsort(code, kind="stable")
+        same = code[order][1:] == code[order][:-1]
+        prev = np.full(len(code), -1)
+        prev[order[1:][same]] = order[:-1][same]
+        prev = prev[len(known):]
+        before = np.where(prev >= 0, value[prev], None)
+        fresh = np.array([b is not None and b != v for b, v in zip(before, value[len(known):])], bool)
         if self.expiry is not None:
-            fresh &= at - since < self.expiry
-            self.handle.registerTimer(int(at[-1] + self.expiry))
-        self.known.update((value[-1], int(at[-1])))
-        out = rows.assign(before=before)[fresh]
-        if self.key:
-            out.insert(0, self.key, key[0])
-        return out
+            fresh &= at[len(known):] - at[prev] < self.expiry
+            self.handle.registerTimer(int(at.max() + self.expiry))
+        last = order[np.r_[~same, True]]
+        keys = [k[0] for k in known] + rows[self.key].tolist()
+        self.keep([(keys[i], value[i], int(at[i])) for i in last])
+        return rows.assign(before=before)[fresh]
 
 
 class FirstRows(InOrder):
-    """The first row of a key by event time; the key stays known."""
+    """The first row of a key by event time; the key stays known.  Serves all keys of a bucket, see :func:`in_buckets`."""
+
+    def __init__(self, row_schema: str, ts: str, key: str):
+        super().__init__(row_schema, ts)
+        self.key = key
 
     def open(self) -> None:
-        self.done = self.handle.getValueState("done", "yes boolean")
+        kind = next(c.split(" ", 1)[1] for c in self.row_schema.split(", ") if c.split()[0] == self.key)
+        self.done = self.handle.getListState("done", f"key {kind}")
+
+    def new(self, rows: pd.DataFrame) -> pd.DataFrame:
+        done = [k[0] for k in self.done.get()] if self.done.exists() else []
+        return rows[~rows[self.key].isin(done)]
 
     def advance(self, key, rows):
-        if self.done.exists():
-            return rows[:0]
-        self.done.update((True,))
-        return rows[:1]
+        first = self.new(rows).drop_duplicates(self.key)
+        if len(first):
+            self.done.appendList([(k,) for k in first[self.key].tolist()])
+        return first
 
     def handleInputRows(self, key, rows, timerValues):
-        if self.done.exists():
-            return
-        yield from super().handleInputRows(key, rows, timerValues)
+        fresh = self.new(pd.concat(list(rows)))
+        if len(fresh):
+            yield from super().handleInputRows(key, iter([fresh]), timerValues)
+
+
+#: Keys share this many states.  A call serves a bucket, so calls do not grow with keys; a bucket's waiting rows must fit a task.
+BUCKETS = 256
+
+
+def in_buckets(df: DataFrame, keys: list[str], processor: InOrder, out: str, ts: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """As :func:`in_order`, for processors that serve many keys at once; rows keep their ``keys``."""
+    return in_order(df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), ["_bucket"], processor, out, ts)
 
 
 def in_order(df: DataFrame, keys: list[str], processor: InOrder, out: str, ts: str | None = None) -> DataFrame:

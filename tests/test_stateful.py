@@ -158,3 +158,40 @@ def test_cursor_follows_planned_offsets_only(spark, tmp_path):
     parts = r.partitions({"id": -1}, {"id": 5})
     assert sorted(x for p in parts for b in r.read(p) for x in b.column(0).to_pylist()) == list(range(6))
     assert CursorReader(df.schema, options).latestOffset() == {"id": 11}
+
+
+def test_a_call_serves_many_keys():
+    import pandas as pd
+    from auditloom.streaming import stateful
+
+    class Held(list):
+        get, exists, appendList = list.copy, lambda s: bool(s), list.extend
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        def __init__(self):
+            self.lists, self.timers = {}, []
+
+        def getListState(self, name, schema):
+            return self.lists.setdefault(name, Held())
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    at = lambda m: pd.Timestamp(T0 + timedelta(minutes=m))
+    rows = lambda *r: pd.DataFrame(r, columns=["key", "ts", "value"])
+    run, h = stateful.Changes("key string, ts timestamp, value string", "ts", "key", "value", 600_000), Handle()
+    run.init(h)
+    run.idle((0,), 0)
+    got = run.advance((0,), rows(("x", at(0), "a"), ("y", at(0), "b"), ("x", at(1), "c"), ("y", at(2), "b")))
+    assert got[["key", "value", "before"]].values.tolist() == [["x", "c", "a"]]
+    got = run.advance((0,), rows(("y", at(3), "a"), ("x", at(12), "d"), ("z", at(12), "a")))
+    assert got[["key", "value", "before"]].values.tolist() == [["y", "a", "b"]] and sorted(k[0] for k in h.lists["known"]) == ["x", "y", "z"]
+    run.idle((0,), at(15).value // 1_000_000)
+    assert sorted(k[0] for k in h.lists["known"]) == ["x", "z"]
+    first, h = stateful.FirstRows("key string, ts timestamp, value string", "ts", "key"), Handle()
+    first.init(h)
+    assert first.advance((0,), rows(("x", at(0), "a"), ("y", at(0), "b"), ("x", at(1), "c"))).key.tolist() == ["x", "y"]
+    assert first.advance((0,), rows(("x", at(2), "a"), ("z", at(3), "b"))).key.tolist() == ["z"]
