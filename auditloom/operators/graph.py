@@ -7,15 +7,22 @@ stay in their function are solved by function in tasks, see :mod:`~auditloom.pla
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.plans.fixpoint import closure
-from auditloom.plans.grouped import flow_facts
+from auditloom.plans.grouped import LARGE, _codes, _whole_functions, flow_facts
 from auditloom.plans.lineage import cut, cut_bucketed, cut_counted, forget
 from auditloom.plans.skew import hot_keys, replicated, salted_join, with_salt
 
+# Functions that run in tasks are pickled by value, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEP = ">"
 
 
@@ -331,6 +338,79 @@ def rms_outliers(nodes: DataFrame, threshold: float | None = 0.7, min_nodes: int
     return out if threshold is None else out.where(F.col("deviation") > threshold)
 
 
+def graph_outliers(nodes: DataFrame, edges: DataFrame, rounds: int = 2, threshold: float | None = 0.7, min_nodes: int = 3,
+                   large: int = LARGE) -> DataFrame:
+    """(func, node, deviation): :func:`rms_outliers` of :func:`message_pass`, with one shuffle by function.
+
+    Messages never leave their function, so blocks of whole functions are worked through in tasks and no embedding is moved.
+    Functions of more than ``large`` rows (nodes and edges) go through the two operators, which spread them over all tasks.
+    A node without features counts as one of zeros; rows without a function have no graph.
+    """
+    of = F.col("func").isNotNull()
+    own = nodes.where(of).select("func", "node", "features")
+    sent = edges.where(of & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("func", "src", "dst")
+    big, n_big = cut_counted(own.select("func").unionByName(sent.select("func")).groupBy("func").agg(F.count(F.lit(1)).alias("n"))
+                             .where(F.col("n") > large).select("func"))
+    part = lambda d, how: d.join(F.broadcast(big), "func", how) if n_big else d
+    sums = [F.coalesce(x, F.lit(0.0)).alias(n) for x, n in zip(_project(F.col("features")), "cs")]
+    kind = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    rows = part(own, "left_anti").select("func", F.col("node").alias("src"), F.lit(None).cast(kind["node"]).alias("dst"), *sums).unionByName(
+        part(sent, "left_anti").select("func", F.col("src").cast(kind["node"]).alias("src"), F.col("dst").cast(kind["node"]).alias("dst"),
+                                       F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("s")))
+    # By a hash of its own: a union of sides that are dealt by function already would not be dealt again, but adaptive execution
+    # may join the sides' partitions differently.
+    out = rows.repartition(F.xxhash64("func")).sortWithinPartitions("func").mapInArrow(
+        _outlier_solver(rounds, threshold, min_nodes), f"func {kind['func']}, node {kind['node']}, deviation double")
+    if n_big:
+        out = out.unionByName(rms_outliers(message_pass(part(own, "left_semi"), part(sent, "left_semi"), rounds), threshold, min_nodes))
+    return out
+
+
+def _outlier_solver(rounds: int, threshold: float | None, min_nodes: int):
+    step = np.arange(DIM) * _ANGLE
+    sin, cos, scale = np.sin(step), np.cos(step), _SCALE
+
+    def values(c, s):
+        return np.maximum(0.0, (np.outer(c, sin) + np.outer(s, cos)) * scale)
+
+    def solve(t: pa.Table) -> list[pa.Array]:
+        (func,), funcs = _codes(t.column("func"))
+        (src, dst), names = _codes(t.column("src"), t.column("dst"))
+        c, s = (t.column(x).to_numpy() for x in "cs")
+        is_node, width = ~np.isnan(c), len(names) + 1
+        place, at = np.unique(func[is_node] * width + src[is_node] + 1, return_inverse=True)
+        c, s = (np.bincount(at, x[is_node], len(place)) for x in (c, s))
+        ends = []
+        for x in (src, dst):
+            wanted = func[~is_node] * width + x[~is_node] + 1
+            i = np.minimum(np.searchsorted(place, wanted), max(len(place) - 1, 0))
+            ends.append((i, place[i] == wanted if len(place) else np.zeros(len(wanted), bool)))
+        known = ends[0][1] & ends[1][1]
+        a, z = (i[known] for i, _ in ends)
+        for r in range(rounds):
+            if r:
+                v = values(c, s)
+                c, s = v @ cos, v @ sin
+            c, s = (2 * x + np.bincount(z, x[a], len(place)) for x in (c, s))
+        f, n = place // width, place % width - 1
+        first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]][:len(f)])
+        size = np.diff(np.r_[first, len(f)])
+        v = values(c, s)
+        mean = np.add.reduceat(v, first) / size[:, None] if len(first) else v
+        off = v - np.repeat(mean, size, axis=0)
+        deviation = np.sqrt((off * off).mean(axis=1))
+        keep = np.repeat(size, size) >= min_nodes
+        if threshold is not None:
+            keep &= deviation > threshold
+        return [funcs.take(pa.array(f[keep])), names.take(pa.array(n[keep], mask=n[keep] < 0)), pa.array(deviation[keep])]
+
+    def run(batches):
+        for t in _whole_functions(batches):
+            yield pa.RecordBatch.from_arrays(solve(t), names=["func", "node", "deviation"])
+
+    return run
+
+
 #: What an outlier of a node kind is called.
 NODE_CLASS = {"CPICall": "ArbitraryCPI", "AccountAccess": "MissingOwnerCheck", "Conditional": "AnomalousControlFlow",
               "Loop": "ComplexReentrancy"}

@@ -243,8 +243,7 @@ def _(spark, sf):
     l = V.table(spark, sf, "lineitem")
     feat = l.groupBy(F.col("l_orderkey").alias("func"), F.col("l_linenumber").alias("node")).agg(F.array(
         F.sum("l_quantity").cast("long") / 100.0, F.count(F.lit(1)) / 10.0, F.max(F.col("l_suppkey") % 7) / 10.0, F.min(F.col("l_partkey") % 5) / 10.0).alias("features"))
-    emb = G.message_pass(feat, V.cfg(spark, sf)["edges"])
-    return G.rms_outliers(emb).withColumn("deviation", F.round("deviation", 4))
+    return G.graph_outliers(feat, V.cfg(spark, sf)["edges"]).withColumn("deviation", F.round("deviation", 4))
 
 
 # ---------------------------------------------------------------- vectors

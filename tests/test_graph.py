@@ -296,3 +296,19 @@ def test_whole_functions_are_cut_at_their_ends():
     batches = pa.table({"func": funcs}).to_batches(max_chunksize=9)
     parts = [t.column("func").to_pylist() for t in _whole_functions(batches, 20)]
     assert sum(parts, []) == funcs and len(parts) > 3 and all(not set(a) & set(b) for a, b in zip(parts, parts[1:]))
+
+
+def test_outliers_in_functions_equal_message_passing(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(f"f{k % 30}", k // 30, [rnd.random() * 3 for _ in range(4)]) for k in range(200)] + [("f1", 0, [1.0]), ("f2", None, [2.0]), (None, 1, [1.0]), ("g", 1, [9.0])]
+    nodes = spark.createDataFrame(rows, "func string, node int, features array<double>")
+    e = [(f"f{rnd.randrange(40)}", rnd.randrange(9), rnd.randrange(9)) for _ in range(400)] + [("f1", None, 1), ("f1", 1, None), (None, 1, 1)]
+    edges = spark.createDataFrame(e, "func string, src int, dst int")
+    found = lambda d: {(r.func, r.node): r.deviation for r in d.collect()}
+    want = found(G.rms_outliers(G.message_pass(nodes, edges), None))
+    for large in (20, 1000):
+        got = found(G.graph_outliers(nodes.repartition("func"), edges.repartition("func"), threshold=None, large=large))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # Small functions move no messages over the network.
+    monkeypatch.setattr(G, "message_pass", None)
+    assert found(G.graph_outliers(nodes, edges)).keys() == {k for k, d in want.items() if d > 0.7}
