@@ -53,12 +53,17 @@ def _token_signals(moves: Column) -> Column:
 
 def default_signals() -> Column:
     """Array of the four built-in signals; one that does not fire is null."""
-    acc = F.col("accounts")
-    moves = F.transform(_paired(F.col("pre_token_balances"), F.col("post_token_balances")), lambda p: F.struct(
-        p["l"]["amount"].alias("a"), F.abs(p["l"]["amount"] - p["r"]["amount"]).alias("d"), (p["l"]["mint"] == p["r"]["mint"]).alias("same")))
-    n = F.size(acc)
-    many = F.when(n > MAX_ACCOUNTS, signal("UnusualAccountPattern", 0.5, F.concat(F.lit("Unusually high account count: "), n.cast("string")))).when(
-        F.size(F.array_distinct(acc)) < n, signal("ReentrancyAttempt", 0.6, F.lit("Duplicate accounts detected - possible reentrancy setup")))
+    # Positions that one side lacks give nulls, on which no signal fires.
+    moves = F.zip_with("pre_token_balances", "post_token_balances", lambda l, r: F.struct(
+        l["amount"].alias("a"), F.abs(l["amount"] - r["amount"]).alias("d"), (l["mint"] == r["mint"]).alias("same")))
+
+    def crowd(acc: Column) -> Column:
+        n = F.size(acc)
+        return F.when(n > MAX_ACCOUNTS, signal("UnusualAccountPattern", 0.5, F.concat(F.lit("Unusually high account count: "), n.cast("string")))).when(
+            F.size(F.array_distinct(acc)) < n, signal("ReentrancyAttempt", 0.6, F.lit("Duplicate accounts detected - possible reentrancy setup")))
+
+    # Bound, as the accounts may be an expression that is computed at every use.
+    many = bind(F.col("accounts"), crowd)
     heavy = F.when(F.col("compute_units") > MAX_COMPUTE, signal("SuspiciousTimingPattern", 0.4, F.concat(
         F.lit("Very high compute usage: "), F.col("compute_units").cast("string"), F.lit(" CUs"))))
     return F.concat(bind(moves, _token_signals), F.array(many, heavy))

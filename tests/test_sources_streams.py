@@ -162,3 +162,13 @@ def test_rows_of_a_common_program_are_dealt(spark, tmp_path):
     write_findings(rows, str(tmp_path / "out"))
     assert len(list((tmp_path / "out" / "program=hot").glob("part-*"))) > 1
     assert sorted(x.seq for x in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(4000))
+
+
+def test_signals_read_the_accounts_once_and_uneven_balances(spark):
+    """The accounts of a transaction are one use of the column, whatever they are computed from; positions of one side alone fire nothing."""
+    df = tx(spark, accounts=["a", "a"], pre=[("m", 100), ("n", 5)], post=[("m", 9)])
+    plan = df.select(X.default_signals().alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.splitlines()[0].count("accounts#") == 1
+    got = [r.threat_type for r in X.tx_signals(df, ["signature"]).collect()]
+    assert got == ["AbnormalTokenFlow", "ReentrancyAttempt"]
+    assert [r.threat_type for r in X.tx_signals(tx(spark, pre=[("m", 5)], post=[("m", 5), ("n", 10 ** 14)]), []).collect()] == []
