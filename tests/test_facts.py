@@ -155,3 +155,16 @@ def test_full_range_checks(spark):
     assert {int(r.pool): (r.conserved, r.rewards_bounded) for r in IV.check_staking(users, totals).collect()} == {1: (False, True), 2: (True, False)}
     lend = u64_frame(spark, ["total_deposits", "total_borrows", "total_collateral", "liquidation_threshold_bps"], [(U64, U64, U64, 8000), (0, 0, 0, 0), (1, U64, 1, 1)])
     assert [(r.solvent, r.collateral_ok, r.healthy) for r in IV.check_lending(lend).collect()] == [(True, True, False), (True, True, True), (False, False, False)]
+
+
+def test_account_checks_move_one_byte_a_row(spark):
+    """Rows meet their constraints as bits, those that no rule asks for not at all."""
+    schema = "k long, name string, type string, source string, operations array<string>, validations array<string>"
+    rows = [(1, "a", "StateAccount", "Stored", ["Read"], []), (2, "b", "Program", "Stored", ["Write"], ["OwnerCheck"]), (3, None, "Program", "RemainingAccounts", [], []),
+            (4, "c", "TokenAccount", "RemainingAccounts", ["Write", "TokenTransfer"], None), (5, "d", "StateAccount", "Stored", [], [])]
+    con = spark.createDataFrame([("a", "Account<'info, T>"), ("c", "Signer<'info>"), ("d", "owner = x")], "name string, constraint string")
+    out = FT.check_accounts(spark.createDataFrame(rows, schema), con, ["k"])
+    assert sorted((r.k, r.rule_id) for r in out.collect()) == [(1, "MissingOwnerCheck"), (3, "UncheckedRemainingAccounts")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter"):].splitlines()[1]
+    assert "operations" not in join and "validations" not in join
