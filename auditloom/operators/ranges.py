@@ -3,7 +3,8 @@
 An interval is put on the level whose bins are at least as long as it is, a power of two, so it touches at most two bins there,
 however long it is.  A value has one bin on each level that any interval is on.  Both sides then meet by level and bin, and
 the bounds are tested on what meets: at most four times as many pairs as there are results on evenly spread bounds.
-Bounds are whole numbers of up to 38 digits.  Bins with very many intervals are salted.
+Bounds are whole numbers of up to 38 digits.  Pairs are dealt evenly to all tasks, whatever bins they are in: results may grow as the
+product of both sides, tables that one task reads included.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditloom.plans.lineage import cut
-from auditloom.plans.skew import salted_join
+from auditloom.plans.skew import pair_join
 
 WHOLE = "decimal(38,0)"
 
@@ -47,7 +48,7 @@ def values_in(values: DataFrame, value: str, intervals: DataFrame, lo: str = "lo
     levels = placed.agg(F.sort_array(F.collect_set("_level")).alias("levels"))
     spread = values.where(v.isNotNull()).withColumn("_level", F.explode(levels.scalar()))
     spread = spread.withColumn("_bin", _bin(v, F.col("_level")).cast(WHOLE))
-    pairs = salted_join(placed, spread, ["_level", "_bin"], [lo, hi, *[c for c, t in intervals.dtypes if "map<" not in t and "variant" not in t]])
+    pairs = pair_join(placed, spread, ["_level", "_bin"])
     inside = (a <= v) & (v <= z)
     return pairs.where(inside if extra is None else inside & extra).drop("_level", "_bin")
 

@@ -86,3 +86,13 @@ def test_unknown_report_fields_keep_their_shape(spark, tmp_path):
                                            F.size(F.col("exploit_extras")[1]).alias("none")).first()
     assert (x.b, x.t, x["keys"], x.step, x.none) == (True, "t", ["nested", "nothing", "text"], 4, 0)
     assert r.where("program_id = 'Q'").select(F.size("extras").alias("n"), "actual_exploits").first() == (0, 0) and r.count() == 2
+
+
+def test_pairs_of_one_bin_are_dealt_to_all_tasks(spark):
+    """Few intervals in one file, all in one bin with all values: the work is their pairs, not their rows."""
+    iv = spark.createDataFrame([(i, 0, 1000 + i % 3) for i in range(300)], "k int, lo long, hi long").coalesce(1)
+    for n in (200, 1500):
+        pt = spark.createDataFrame([(i, i % 1000) for i in range(n)], "p int, v long").coalesce(1)
+        tasks = R.values_in(pt, "v", iv).groupBy(F.spark_partition_id()).count().collect()
+        total = sum(r["count"] for r in tasks)
+        assert total == 300 * n and max(r["count"] for r in tasks) < 0.5 * total
