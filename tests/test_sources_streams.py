@@ -172,3 +172,12 @@ def test_signals_read_the_accounts_once_and_uneven_balances(spark):
     got = [r.threat_type for r in X.tx_signals(df, ["signature"]).collect()]
     assert got == ["AbnormalTokenFlow", "ReentrancyAttempt"]
     assert [r.threat_type for r in X.tx_signals(tx(spark, pre=[("m", 5)], post=[("m", 5), ("n", 10 ** 14)]), []).collect()] == []
+
+
+def test_reports_are_one_file_each_in_one_folder(spark, tmp_path):
+    from auditloom.sources.reports import write_reports
+    docs = spark.range(40).select(F.col("id").cast("string").alias("program_id"), F.lit(3).alias("total_exploits"))
+    write_reports(docs, str(tmp_path / "r"), "program_id")
+    files = [f for f in (tmp_path / "r").rglob("*.json") if f.stat().st_size]
+    assert len(files) == 40 and {f.parent for f in files} == {tmp_path / "r"}
+    assert {r.program_id for r in read_reports(spark, str(tmp_path / "r")).collect()} == {str(i) for i in range(40)}
