@@ -30,7 +30,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None)
     """(label, node, depth, path): labels flow along ``edges(src, dst)`` from ``seeds(label, node)``.
 
     One shortest path is kept per label and node, the lexicographically first among equals, so
-    cycles end.  The edge table is bucketed by source once, so rounds do not shuffle it; hub
+    cycles end.  Repeated edges change nothing.  The edge table is bucketed by source once, so rounds do not shuffle it; hub
     sources, if there are any, are salted first.
     """
     keys = ["src"]

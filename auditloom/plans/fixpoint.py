@@ -7,26 +7,34 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 
-from auditloom.plans.lineage import cut, cut_counted
+from auditloom.plans.lineage import cut_counted
+
+#: A round has few rows when it has less than 1/FEW of all so far.
+FEW = 16
 
 
 def closure(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None) -> DataFrame:
     """Rows reachable from ``seeds`` by ``step``, one row per ``keys``, first found wins.
 
     ``step`` must return at most one row per ``keys``.  The driver only learns the row count of a round.
-    A round's rows are written first and then looked up in all earlier ones, not the other way round: where they are few, as
-    in the long tail of late rounds, Spark sends them to the scans of the earlier rows, which then do not move.
+    After a round of many rows the next one's are looked up in all earlier ones as they come.  After one of few, as in the long
+    tail of late rounds, they are written first and Spark sends them to the scans of the earlier rows, which then do not move.
     Rounds go on until one finds nothing new; ``max_rounds`` is a safety bound, reaching it is an error.
     """
-    seen = frontier = cut(seeds)
+    seen, total = cut_counted(seeds)
+    frontier, n = seen, total
     for rounds in count(1):
-        found, n = cut_counted(step(frontier).select(*seen.columns))
-        if n:
-            known = seen.select(*keys).join(found.select(*keys), keys, "left_semi")
-            fresh, n = cut_counted(found.join(known, keys, "left_anti").select(*seen.columns))
+        found = step(frontier).select(*seen.columns)
+        if n * FEW > total:
+            fresh, n = cut_counted(found.join(seen.select(*keys), keys, "left_anti"))
+        else:
+            found, n = cut_counted(found)
+            if n:
+                known = seen.select(*keys).join(found.select(*keys), keys, "left_semi")
+                fresh, n = cut_counted(found.join(known, keys, "left_anti").select(*seen.columns))
         if n == 0:
             return seen
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
         seen = seen.unionByName(fresh)
-        frontier = fresh
+        frontier, total = fresh, total + n

@@ -312,3 +312,13 @@ def test_outliers_in_functions_equal_message_passing(spark, monkeypatch):
     # Small functions move no messages over the network.
     monkeypatch.setattr(G, "message_pass", None)
     assert found(G.graph_outliers(nodes, edges)).keys() == {k for k, d in want.items() if d > 0.7}
+
+
+def test_rounds_of_many_rows_are_written_once(spark, monkeypatch):
+    from auditloom.plans import fixpoint
+    written = []
+    monkeypatch.setattr(fixpoint, "cut_counted", lambda d, inner=fixpoint.cut_counted: written.append(1) or inner(d))
+    e = edges(spark, *[(f"{'abc'[k]}{i}", f"{'bcd'[k]}{i}") for k in range(3) for i in range(20)], ("a0", "b0"))
+    got = fixpoint.closure(spark.createDataFrame([(f"a{i}",) for i in range(20)], "node string"),
+                           lambda f: f.join(e, f["node"] == e["src"]).select(F.col("dst").alias("node")).distinct(), ["node"])
+    assert got.count() == 80 and len(written) == 5
