@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from auditloom.plans.fixpoint import closure
+from auditloom.plans.fixpoint import closure, states
 from auditloom.plans.grouped import LARGE, _codes, _whole_functions, flow_facts
 from auditloom.plans.lineage import cut, cut_bucketed, cut_counted, forget
 from auditloom.plans.skew import hot_keys, replicated, salted_join, with_salt
@@ -139,13 +139,11 @@ def context_taint(edges: DataFrame, seeds: DataFrame, k: int = 2, max_rounds: in
 
     def step(front: DataFrame) -> DataFrame:
         met = front.withColumnRenamed("node", "src").join(table, "src").where(matched)
-        return (met.select("label", F.col("dst").alias("node"), after.alias("context"), (F.col("depth") + 1).alias("depth"))
-                .groupBy("label", "node", "context").agg(F.min("depth").alias("depth")))
+        return met.select("label", F.col("dst").alias("node"), after.alias("context"))
 
     start = seeds if "context" in seeds.columns else seeds.withColumn("context", F.array().cast("array<string>"))
-    start = start.select("label", "node", "context", F.lit(0).alias("depth")).distinct()
     try:
-        return closure(start, step, ["label", "node", "context"], max_rounds)
+        return states(start.select("label", "node", "context"), step, max_rounds)
     finally:
         forget(edges.sparkSession, [name])
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from auditloom.plans.lineage import cut_counted
 
@@ -38,3 +40,31 @@ def closure(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
             raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
         seen = seen.unionByName(fresh)
         frontier, total = fresh, total + n
+
+
+def states(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
+    """``start`` and all rows that ``step`` leads to, with ``depth``, the number of steps; all columns are the key, nulls are equal.
+
+    ``step`` may return rows repeatedly.  A round with many rows needs one shuffle: its rows and all earlier ones are
+    grouped together, and those whose first depth is the round's are new; nothing is sorted and nothing is written twice.
+    """
+    keys = start.columns
+    seen, total = cut_counted(start.distinct().withColumn("depth", F.lit(0)))
+    frontier, n = seen, total
+    for rounds in count(1):
+        found = step(frontier.select(*keys)).select(*keys)
+        if n * FEW > total:
+            rows = found.withColumn("depth", F.lit(rounds)).unionByName(seen)
+            fresh, n = cut_counted(rows.groupBy(*keys).agg(F.min("depth").alias("depth")).where(F.col("depth") == rounds))
+        else:
+            found, n = cut_counted(found.distinct())
+            if n:
+                same = reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+                known = seen.select(*keys).alias("a").join(found.alias("b"), same, "left_semi")
+                fresh, n = cut_counted(found.alias("a").join(known.alias("b"), same, "left_anti").withColumn("depth", F.lit(rounds)))
+        if n == 0:
+            return seen
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
+        seen = seen.unionByName(fresh)
+        frontier, total = fresh, total + n

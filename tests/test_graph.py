@@ -314,6 +314,17 @@ def test_outliers_in_functions_equal_message_passing(spark, monkeypatch):
     assert found(G.graph_outliers(nodes, edges)).keys() == {k for k, d in want.items() if d > 0.7}
 
 
+def test_states_without_a_label_end(spark):
+    """Nulls are a key like others, in rounds of many rows and in those of few."""
+    seeds = spark.createDataFrame([(None, "main.a"), (None, "helper.ret")], "label string, node string")
+    found = G.context_taint(program(spark), seeds, 2, max_rounds=20)
+    assert nodes(found) == {"main.a", "helper.p", "inner.p", "inner.ret", "helper.ret", "main.r", "other.r"}
+    from auditloom.plans import fixpoint
+    ring = lambda f: f.select(F.explode(F.array((F.col("node") + 1) % 40, F.lit(None).cast("long"))).alias("node"))
+    got = fixpoint.states(spark.range(40).where("id <> 3").select(F.col("id").alias("node")), ring, max_rounds=6)
+    assert got.count() == 41 and got.where("node is null").first()["depth"] == 1
+
+
 def test_rounds_of_many_rows_are_written_once(spark, monkeypatch):
     from auditloom.plans import fixpoint
     written = []
