@@ -1,16 +1,19 @@
 """Cross-entropy difference of a target and a background language model.
 
 Both models are word bigrams over the whole vocabulary, so what is gathered grows with the corpus.  A bigram of two of the
-``WORDS`` most frequent words is a cell of one table, which every task has; all others are rows of a Spark table of n-grams.
+``WORDS`` most frequent words is a cell of one table, which every task has; all others are counted where they meet.
 That is where a count is kept, not what is counted: the probabilities are the same for any ``WORDS``.
 The background model counts all documents, the target model those marked as such; both use the same smoothing: the unigram
 distribution with the weight of ``PRIOR`` words.  A document's score is the mean over its words of target minus background
 log probability.
 
-An n-gram row belongs to a rare word: the word after any other (its share of the probability is the numerator), or the word
-before a frequent one or before any rare one (the denominator).  So all counts of a rare word meet in one task, and as a rare
-word has less than one in ``WORDS`` of all words, no key is hot.  Counts are summed in tasks before they are shuffled.  A
-document's n-grams are counted in its task, joined with the table, and their losses are summed by document.
+Most n-grams occur once, so a table of them is as large as the texts.  None is written: each occurrence of a rare word moves
+once, as the word, the one before, the one after and its document, in arrays by ranges of words (:func:`_sent`).  All
+occurrences of a rare word meet in one range, so every count it needs is there (its bigrams, its own, its share as the word
+before); as it has less than one in ``WORDS`` of all words, no range is hot.  What a range adds to a document goes back as one
+pair of sums.  Documents that are counted and scored move once for both; others are scored by the same way, counting nothing.
+
+Texts are not moved to be marked, except the few whose id two bit filters leave open.
 
 Words are known by 64 bits of a hash.  Defined cases: null, empty and blank texts have no word and score 0; documents without
 an id are never target; without a target document both models are the background's and every score is 0; n-grams that the
@@ -20,43 +23,63 @@ each for itself; an empty table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from auditloom.llm.common import fresh, map_arrow, pieces
-from auditloom.plans.lineage import Scratch, cut
+from auditloom.llm.common import bit_filter, fresh, map_arrow, pieces
+from auditloom.plans.skew import parts_of
 
 #: Symbols of the table: start of a text, any rare word, the frequent words.  The unigram distribution adds one for each of at least so many words.
 VOCABULARY, PRIOR = 2048, 50.0
 START, RARE = 0, 1
 WORDS = VOCABULARY - 2
-PIECE, PACK = 1 << 22, 1 << 12
-#: N-gram rows that a task holds before it adds them up.
-HOLD = 1 << 21
+PIECE, PACK = 1 << 20, 1 << 12
+#: Occurrences of rare words that a task holds before it sends them, and about how many meet in a range of words.
+HOLD, RANGE = 1 << 19, 1 << 19
+#: Documents of a task that are sent together at most, and those whose sums meet again.
+SPAN, HOME = 1 << 16, 1 << 14
+#: How a document takes part: counted by the background, by both models; added if it is scored.
+COUNTED, TARGET, SCORED = 1, 2, 4
+
+
+class Marks(NamedTuple):
+    """Ids of the target documents, each once, a test that they all pass, and one that no others do."""
+
+    ids: DataFrame
+    near: Column
+    sure: Column
 
 
 class Model(NamedTuple):
-    """Frequent words, log probabilities of their table, the table of n-grams, counts of rare words, and what smoothing needs of frequent ones."""
+    """Frequent words, log probabilities of their table, what smoothing needs, and the documents that are counted."""
 
     known: dict[bytes, int]
     target: np.ndarray
     background: np.ndarray
-    grams: DataFrame
-    words: DataFrame
-    frequent: DataFrame
+    #: Of each model: probabilities of the table's symbols, that of a word without a count.
+    word: np.ndarray
     unseen: tuple[float, float]
+    #: Occurrences of rare words; whether there is a target document.
+    n_rare: int
+    any_target: bool
+    docs: DataFrame
+    marks: Marks
+    ids: str
+    text: str
 
 
-def vocabulary(docs: DataFrame, text: str) -> tuple[dict[bytes, int], int]:
-    """The most frequent words and their symbols, ties in order of the words; the number of all distinct words."""
+def vocabulary(docs: DataFrame, text: str) -> tuple[dict[bytes, int], int, int]:
+    """The most frequent words and their symbols, ties in order of the words; the number of all distinct words; how often rare ones occur."""
     seen = Observation()
     top = (docs.select(F.explode(F.array_remove(F.split(F.col(text), "[ \\t-\\r]+"), "")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-           .observe(seen, F.count(F.lit(1)).alias("words")).orderBy(F.desc("n"), "w").limit(WORDS).collect())
-    return {r["w"].encode(): RARE + 1 + k for k, r in enumerate(top)}, seen.get["words"]
+           .observe(seen, F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).orderBy(F.desc("n"), "w").limit(WORDS).collect())
+    return {r["w"].encode(): RARE + 1 + k for k, r in enumerate(top)}, seen.get["words"], seen.get["all"] - sum(r["n"] for r in top)
 
 
 def rare(w: bytes) -> int:
@@ -71,10 +94,10 @@ class Coder:
     def __init__(self, known: dict[bytes, int]):
         self.known, self.seen = known, {}
 
-    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Table cells of all texts in a row, one per word, and how many each has; the n-gram rows: owner (position of the word), rare word, other.
+    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Table cells of all texts in a row, one per word, and how many each has; where rare words are, and of each the word, the one before and after.
 
-        ``other`` is the symbol before a rare word, or the negative symbol of what follows it.
+        Before the first word is ``START``; after the last too.  The word after is a symbol of the table.
         """
         split = [t.split() for t in texts]
         if len(self.seen) > 300_000:
@@ -88,85 +111,67 @@ class Coder:
         word = np.fromiter(map(self.seen.__getitem__, flat), np.int64, len(flat))
         before = np.empty_like(word)
         before[1:] = word[:-1]
-        first = (np.cumsum(n) - n)[n > 0]
-        before[first] = START
+        ends = np.cumsum(n)
+        before[(ends - n)[n > 0]] = START
         ids, ids_before = (np.where((x >= 0) & (x < VOCABULARY), x, RARE) for x in (word, before))
-        here, after = np.flatnonzero(ids == RARE), np.flatnonzero(ids_before == RARE)
-        return (ids_before * VOCABULARY + ids, n, np.r_[here, after], np.r_[word[here], before[after]], np.r_[before[here], -ids[after]])
+        after = np.empty_like(ids)
+        after[:-1] = ids[1:]
+        after[ends[n > 0] - 1] = START
+        here = np.flatnonzero(ids == RARE)
+        return ids_before * VOCABULARY + ids, n, here, word[here], before[here], after[here]
+
+    def cells(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The first two of :meth:`codes`; rare words are not told apart."""
+        split = [t.split() for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        ids = np.fromiter((self.known.get(w, RARE) for s in split for w in s), np.int64, int(n.sum()))
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        before[(np.cumsum(n) - n)[n > 0]] = START
+        return before * VOCABULARY + ids, n
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the rows by ``keys``, and where in it a new group starts."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.flatnonzero(new)
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
-def counts(docs: DataFrame, text: str, target: str, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Tables of the target and of all documents, and the counts of n-grams: ``w``, ``other``, ``t``, ``b``."""
+def counts(docs: DataFrame, text: str, target: str, known: dict[bytes, int]) -> np.ndarray:
+    """Tables of the target and of all documents."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        coder, cells = Coder(sent.value), VOCABULARY**2
-        total = np.zeros((2, cells), np.int64)
-        held, size = [], 0
-
-        def rows(cell, w, other, t, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), cell)), *map(pa.array, (w, other, t, b))], names=["cell", "w", "other", "t", "b"])
-
-        def added():
-            w, other, t = (np.concatenate(x) for x in zip(*held))
-            order, new = _groups(w, other)
-            return rows(False, w[order][new], other[order][new], np.add.reduceat(t[order].astype(np.int64), new), np.diff(np.r_[new, len(w)]))
-
+        coder, total = Coder(sent.value), np.zeros((2, VOCABULARY**2), np.int64)
         for b in batches:
             for p in pieces(b, text, PIECE):
-                code, n, at, w, other = coder.codes([t or b"" for t in p.column(text).cast(pa.binary()).to_pylist()])
-                mine = np.repeat(np.asarray(p.column(target).to_pylist(), bool), n)
+                code, n = coder.cells([t or b"" for t in p.column(text).cast(pa.binary()).to_pylist()])
                 np.add.at(total[1], code, 1)
-                np.add.at(total[0], code[mine], 1)
-                if len(w):
-                    held.append((w, other, mine[at]))
-                    size += len(w)
-                if size > HOLD:
-                    yield added()
-                    held, size = [], 0
-        if size:
-            yield added()
+                np.add.at(total[0], code[np.repeat(np.asarray(p.column(target).to_pylist(), bool), n)], 1)
         there = np.flatnonzero(total[1])
-        yield rows(True, there // PACK, there, total[0][there], total[1][there])
+        at = np.unique(there // PACK)
+        ends = np.r_[np.searchsorted(there, at * PACK), len(there)]
+        yield pa.RecordBatch.from_arrays([pa.array(at), _lists((there % PACK).astype(np.int16), ends), *(_lists(x[there], ends) for x in total)], names=["at", "code", "t", "b"])
 
-    def packed(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                row = np.zeros((2, PACK), np.float32)  # at most PACK cells come together
-                at = np.array(b.column("code")[k].as_py()) % PACK
-                row[0, at], row[1, at] = b.column("t")[k].as_py(), b.column("b")[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("at")[k].as_py()]), pa.array([row.tobytes()], pa.binary())], names=["at", "row"])
-
-    sums = cut(map_arrow(docs.select(text, target), run, "cell boolean, w long, other long, t long, b long")
-               .groupBy("cell", "w", "other").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
-    cells = (sums.where("cell").groupBy(F.col("w").alias("at"))
-             .agg(F.collect_list(F.struct("other", "t", "b")).alias("x"))
-             .select("at", F.col("x.other").alias("code"), F.col("x.t").alias("t"), F.col("x.b").alias("b")))
-    out = np.zeros((2, VOCABULARY**2), np.float32)
-    for r in map_arrow(cells, packed, "at long, row binary").toLocalIterator():
-        out[:, r["at"] * PACK:(r["at"] + 1) * PACK] = np.frombuffer(r["row"], np.float32).reshape(2, PACK)
-    return out[0].reshape(VOCABULARY, VOCABULARY), out[1].reshape(VOCABULARY, VOCABULARY), sums.where("not cell").drop("cell")
+    def added(rows):
+        out, code = np.zeros((2, PACK)), rows.column("code").combine_chunks().flatten().to_numpy()
+        for x, m in zip(out, "tb"):
+            np.add.at(x, code, rows.column(m).combine_chunks().flatten().to_numpy())
+        return pa.table({"at": rows.column("at")[:1], "row": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros((2, VOCABULARY**2))
+    rows = map_arrow(docs.select(text, target), run, "at long, code array<smallint>, t array<long>, b array<long>")
+    for r in rows.groupBy("at").applyInArrow(added, "at long, row binary").toLocalIterator():
+        out[:, r["at"] * PACK:(r["at"] + 1) * PACK] = np.frombuffer(r["row"]).reshape(2, PACK)
+    return out.reshape(2, VOCABULARY, VOCABULARY)
 
 
 def log_probabilities(table: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Of a word given the one before it, by table cell; probability of each symbol; that of a word without a count.
 
-    What rare words have of it is left to the n-grams: a rare word's numerator, and all after a rare word.
+    What rare words have of it is left to :func:`_met`: a rare word's numerator, and all after a rare word.
     """
-    size = table.sum(dtype=np.float64) + max(VOCABULARY, n_words)
-    word = (table.sum(0, dtype=np.float64) + 1) / size
-    given = table.sum(1, dtype=np.float64)
+    size = table.sum() + max(VOCABULARY, n_words)
+    word = (table.sum(0) + 1) / size
+    given = table.sum(1)
     out = np.empty(table.shape, np.float32)
     for k in range(VOCABULARY):
         above = np.log(table[k] + PRIOR * word)
@@ -176,91 +181,190 @@ def log_probabilities(table: np.ndarray, n_words: int) -> tuple[np.ndarray, np.n
     return out.ravel(), word, 1 / size
 
 
-def _losses(rows: DataFrame, frequent: DataFrame, unseen: tuple[float, float]) -> DataFrame:
-    """``rows`` with ``lt``, ``lb``: the log probability that an n-gram adds.
+def _passing(keys: DataFrame) -> Callable[[Column], Column]:
+    """Whether the hash of an id may be among ``key``, by a bit filter: of others one in sixteen is.  The filter is a subquery, so no Python runs for it."""
+    bits = bit_filter(keys, keys.count())
+    value = keys.sparkSession.createDataFrame([(bytearray(bits.tobytes()),)], "bits binary").scalar()
 
-    ``rows``: w, other, counts ``t`` and ``b`` of the n-gram, ``word_t``, ``word_b`` of the rare word and ``given_t``, ``given_b`` of it before others.
-    """
-    before = (F.col("other") < 0) & (F.col("other") > -VOCABULARY)
+    def test(key: Column) -> Column:
+        slot = key.bitwiseAND(F.lit(8 * len(bits) - 1))
+        byte = F.conv(F.hex(F.substring(value, (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (7 - slot % 8).cast("int")) == 1
 
-    def part(m: str, p: float) -> Column:
-        above = F.log(F.col(m) + PRIOR * F.coalesce(F.col(f"p_{m}"), (F.col(f"word_{m}") + 1) * p))
-        below = F.log(F.col(f"given_{m}") + PRIOR)
-        return F.when(~before, above).when(F.col("other") == -RARE, -below).otherwise(above - below)
+    return test
 
-    # A word before a rare one has no numerator here; the symbols of frequent words are looked up in 2046 rows.
-    wide = rows.join(F.broadcast(frequent), F.when(before, -F.col("other")) == F.col("symbol"), "left")
-    return wide.withColumns({f"l{m}": part(m, p) for m, p in zip("tb", unseen)}).select(*rows.columns, "lt", "lb")
 
+def marks(docs: DataFrame, chosen: DataFrame, ids: str) -> Marks:
+    """Two filters: of the target's ids, and of the documents' ids that pass the first though they are not target.  What passes the second is left to a join."""
+    one = chosen.select(ids).where(F.col(ids).isNotNull()).distinct()
+    known, key = F.col(ids).isNotNull(), F.xxhash64(ids)
+    if one.schema[ids].dataType != docs.schema[ids].dataType:
+        return Marks(one, known, F.lit(False))  # equal after a cast, but not by hash
+    near = known & _passing(one.select(key.alias("key")))(key)
+    wrong = docs.select(ids).where(near).join(one, ids, "left_anti").select(key.alias("key")).distinct()
+    return Marks(one, near, near & ~_passing(wrong)(key))
 
-def mark_target(docs: DataFrame, chosen: DataFrame, keep: list[str], ids: str, text: str) -> tuple[DataFrame, str]:
-    """``docs`` with a flag for those whose id is in ``chosen``; rows without an id do not meet in one task."""
+
+def mark_target(docs: DataFrame, found: Marks, keep: list[str], ids: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with a flag for the target; texts do not move, except of ids that the filters leave open, and rows without an id do not meet in one task."""
     (flag,) = fresh(docs.columns, "target")
     rows = docs.select(*dict.fromkeys([*keep, ids, text]))
-    one = chosen.select(F.col(ids)).where(F.col(ids).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    # The same join at every size: neither side has a bound, so neither is broadcast.
-    with_id = rows.where(F.col(ids).isNotNull()).join(one.hint("merge"), ids, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    return with_id.unionByName(rows.where(F.col(ids).isNull()).withColumn(flag, F.lit(False))), flag
+    joined = rows.where(found.near & ~found.sure).join(found.ids.withColumn(flag, F.lit(True)), ids, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return joined.unionByName(rows.where(found.sure | ~found.near).withColumn(flag, found.sure)), flag
 
 
 def fit(docs: DataFrame, chosen: DataFrame, ids: str = "doc_id", text: str = "text") -> Model:
-    """Vocabulary and both models; ``chosen`` has the ids of the target documents."""
-    known, n_words = vocabulary(docs, text)
-    marked, flag = mark_target(docs, chosen, [], ids, text)
-    target, background, sums = counts(marked, text, flag, known)
-    if not target.any():
-        target, sums = background, sums.withColumn("t", F.col("b"))
-    (lt, word_t, none_t), (lb, word_b, none_b) = (log_probabilities(x, n_words) for x in (target, background))
-    frequent = docs.sparkSession.createDataFrame(
-        [(k, float(word_t[k]), float(word_b[k])) for k in range(RARE + 1, VOCABULARY)], "symbol long, p_t double, p_b double")
-    before = (F.col("other") < 0) & (F.col("other") > -VOCABULARY)
-    of = {f"{part}_{m}": F.sum(F.when(test, F.col(m)).otherwise(0)) for part, test in (("word", ~before), ("given", before)) for m in "tb"}
-    word = Window.partitionBy("w")
-    rows = sums.withColumns({k: v.over(word) for k, v in of.items()})
-    grams = cut(_losses(rows, frequent, (none_t, none_b)).select(F.xxhash64("w", "other").alias("g"), F.col("lt").cast("float"), F.col("lb").cast("float")))
-    words = sums.groupBy("w").agg(*[v.alias(k) for k, v in of.items()])
-    return Model(known, lt, lb, grams, words, frequent, (none_t, none_b))
+    """Vocabulary and table of both models; ``chosen`` has the ids of the target documents."""
+    known, n_words, n_rare = vocabulary(docs, text)
+    found = marks(docs, chosen, ids)
+    marked, flag = mark_target(docs, found, [], ids, text)
+    target, background = counts(marked, text, flag, known)
+    any_target = bool(target.any())
+    (lt, word_t, none_t), (lb, word_b, none_b) = (log_probabilities(x, n_words) for x in (target if any_target else background, background))
+    return Model(known, lt, lb, np.stack([word_t, word_b]), (none_t, none_b), n_rare, any_target, docs, found, ids, text)
+
+
+def _sent(held: list[tuple[np.ndarray, ...]], bits: int) -> tuple[np.ndarray, list[pa.ListArray]]:
+    """Ranges of words, and for each the words, how often each occurs, and of all occurrences the symbol before, after (with the part of the
+    document) and the document; rare words before come apart."""
+    w, before, after, at = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(w.view(np.uint64))
+    w, before, after, at = w[order], before[order], after[order], at[order]
+    in_range = (w.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+    ends = np.r_[0, np.flatnonzero(in_range[1:] != in_range[:-1]) + 1, len(w)]
+    first = np.r_[0, np.flatnonzero(w[1:] != w[:-1]) + 1]
+    words = np.searchsorted(first, ends)
+    is_rare = (before < 0) | (before >= VOCABULARY)
+    symbol = np.where(is_rare, RARE, before).astype(np.int16)
+    return in_range[ends[:-1]], [
+        _lists(w[first], words), _lists(np.diff(np.r_[first, len(w)]).astype(np.int32), words), _lists(symbol, ends), _lists(after, ends),
+        _lists(at.view(np.int16), ends), _lists(before[is_rare], np.r_[0, np.cumsum(is_rare)][ends])]
+
+
+def _met(words, sizes, before, after, part, word: np.ndarray, unseen: tuple[float, float], any_target: bool) -> list[np.ndarray]:
+    """Log probability that each occurrence of the rare ``words`` adds, by target and background: its own numerator, and all of a frequent word after it."""
+    known, code = np.unique(words, return_inverse=True)
+    w = np.repeat(code, sizes)
+    order = np.lexsort((before, w))
+    new = np.r_[True, (w[order][1:] != w[order][:-1]) | (before[order][1:] != before[order][:-1])]
+    pair = np.empty_like(w)
+    pair[order] = np.cumsum(new) - 1
+    follow = np.unique(w * VOCABULARY + after, return_inverse=True)[1]
+    out = []
+    for m, counted in enumerate((part == TARGET if any_target else part > 0, part > 0)):
+        total = lambda group, rows=counted: np.bincount(group, weights=rows)[group]
+        own = np.log(total(pair) + PRIOR * (total(w) + 1) * unseen[m])
+        above = np.where(after > RARE, np.log(total(follow) + PRIOR * word[m][after]), 0)
+        below = np.where(after != START, np.log(total(w, counted & (after != START)) + PRIOR), 0)
+        out.append(own + above - below)
+    return out
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep``, ``n_words``, ``target_loss``, ``background_loss`` (mean per word) and ``score``, their difference."""
-    sent = df.sparkSession.sparkContext.broadcast(model[:3])
-    row, n_words, t, b, w, other, n = fresh([*keep, text], "row", "n_words", "t", "b", "w", "other", "n")
+    """Columns ``keep``, ``n_words``, ``target_loss``, ``background_loss`` (mean per word) and ``score``, their difference.
+
+    A frame other than the model's own is scored beside the documents that are counted.
+    """
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast(model[1:3])
+    known_sent = spark.sparkContext.broadcast(model.known)
+    part, txt, row, n, t, b, group, words, sizes, before, after, at, rares, base = fresh(
+        [*keep, *df.columns], "part", "txt", "row", "n", "t", "b", "group", "words", "sizes", "before", "after", "at", "rares", "base")
+    own_doc = [row, n, t, b]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    kept = [f"`{c}` {kinds[c]}" for c in keep]
+    same = df is model.docs and text == model.text
+
+    marked, flag = mark_target(model.docs, model.marks, keep if same else [], model.ids, model.text)
+    counted = F.when(F.col(flag), TARGET).otherwise(COUNTED)
+    if same:
+        rows = marked.select(*keep, F.col(text).alias(txt), (counted + SCORED).alias(part))
+    else:
+        rows = (marked.select(*[F.lit(None).cast(kinds[c]).alias(c) for c in keep], F.col(model.text).alias(txt), counted.alias(part))
+                .union(df.select(*keep, F.col(text).alias(txt), F.lit(SCORED).alias(part))))
+    bits = max(parts_of(spark), model.n_rare // RANGE, 2).bit_length()
+    lists = {words: "long", sizes: "int", before: "smallint", after: "smallint", at: "smallint", rares: "long"}
 
     def run(batches):
-        known, target, background = sent.value
-        coder = Coder(known)
+        target, background = sent.value
+        coder, held, size, start = Coder(known_sent.value), [], 0, 0
+
+        def sending():
+            groups, made = _sent(held, bits)
+            nothing = [pa.nulls(len(groups), x) for x in kept_types]
+            yield pa.RecordBatch.from_arrays(
+                [*nothing, *(pa.nulls(len(groups), x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(groups), *made,
+                 pa.array(np.full(len(groups), start))], names=names)
+
         for batch in batches:
-            for p in pieces(batch, text, PIECE):
-                code, size, at, ws, others = coder.codes([x or b"" for x in p.column(text).cast(pa.binary()).to_pylist()])
-                owner = np.repeat(np.arange(len(size)), size)
-                sums = [np.bincount(owner, x[code], minlength=len(size)).astype(float) for x in (target, background)]
-                doc = owner[at]
-                order, new = _groups(doc, ws, others)
-                first = order[new]
-                ends = np.searchsorted(doc[first], np.arange(len(size) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ws[first], others[first], np.diff(np.r_[new, len(order)]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*[p.column(c) for c in keep], pa.array(size), *map(pa.array, sums), *lists], names=[*keep, n_words, t, b, w, other, n])
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{n_words}` long, `{t}` double, `{b}` double, `{w}` array<long>, `{other}` array<long>, `{n}` array<int>"])
-    with Scratch(df.sparkSession) as own:
-        docs = own.cut(map_arrow(df.select(*dict.fromkeys([*keep, text])), run, schema).withColumn(row, F.monotonically_increasing_id()))
-        rows = (docs.select(F.col(row).alias("row"), F.inline(F.arrays_zip(F.col(w).alias("w"), F.col(other).alias("other"), F.col(n).alias("n"))))
-                .toDF("row", "w", "other", "n").withColumn("g", F.xxhash64("w", "other")))
-        # The same join at every size: neither side has a bound, so neither is broadcast.
-        found = rows.select("row", "g", "n").join(model.grams.hint("merge"), "g", "left")
-        sums = own.cut(found.groupBy("row").agg(
-            F.sum(F.col("lt").cast("double") * F.col("n")).alias("lt"), F.sum(F.col("lb").cast("double") * F.col("n")).alias("lb"),
-            F.sum(F.when(F.col("lt").isNull(), 1).otherwise(0)).alias("new")))
-        if not sums.where("new > 0").isEmpty():
-            # N-grams that no document of the models has.
-            none = rows.join(model.grams.hint("merge"), "g", "left_anti").join(model.words.hint("merge"), "w", "left")
-            none = none.withColumns({"t": F.lit(0), "b": F.lit(0)}).fillna(0, ["word_t", "word_b", "given_t", "given_b"])
-            more = _losses(none, model.frequent, model.unseen).groupBy("row").agg(F.sum(F.col("lt") * F.col("n")).alias("lt"), F.sum(F.col("lb") * F.col("n")).alias("lb"))
-            sums = own.cut(sums.select("row", "lt", "lb").union(more).groupBy("row").agg(F.sum("lt").alias("lt"), F.sum("lb").alias("lb")))
-        sums = sums.select(F.col("row").alias(row), F.col("lt").alias(w), F.col("lb").alias(other))
-        whole = docs.select(*keep, row, n_words, t, b).join(sums.hint("merge"), row, "left")
-        loss = lambda x, y: -(F.col(x) + F.coalesce(F.col(y), F.lit(0.0))) / F.greatest(F.col(n_words), F.lit(1))
-        out = whole.select(*keep, F.col(n_words).alias("n_words"), loss(t, w).alias("target_loss"), loss(b, other).alias("background_loss"))
-        return cut(out.withColumn("score", F.col("background_loss") - F.col("target_loss")))
+            kept_types = [batch.column(c).type for c in keep]
+            for p in pieces(batch, txt, PIECE):
+                ids, parts = (p.column(c).to_numpy() for c in (row, part))
+                code, length, where, w, prev, follow = coder.codes([x or b"" for x in p.column(txt).cast(pa.binary()).to_pylist()])
+                owner = np.repeat(np.arange(len(length)), length)
+                if size and (size > HOLD or ids[-1] - start >= SPAN):
+                    yield from sending()
+                    held, size = [], 0
+                if not size:
+                    start = int(ids[0])
+                doc = owner[where]
+                # Rows of a piece are consecutive, so fewer than SPAN unless most of them are blank.
+                for k in range(0, len(ids), SPAN):
+                    if k:
+                        if size:
+                            yield from sending()
+                        held, size, start = [], 0, int(ids[k])
+                    mine = slice(*np.searchsorted(doc, [k, k + SPAN]))
+                    if mine.stop > mine.start:
+                        held.append((w[mine], prev[mine], (follow[mine] | parts[doc[mine]].astype(np.int64) << 12).astype(np.int16), (ids[doc[mine]] - start).astype(np.uint16)))
+                        size += mine.stop - mine.start
+                sums = [np.bincount(owner, x[code], minlength=len(length)).astype(float) for x in (target, background)]
+                scored = pa.array((parts & SCORED) > 0)
+                none = [pa.nulls(len(ids), pa.list_({"long": pa.int64(), "int": pa.int32(), "smallint": pa.int16()}[x])) for x in lists.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [*[p.column(c) for c in keep], pa.array(ids), pa.array(length), *map(pa.array, sums), pa.array((ids % (1 << bits)).astype(np.int32)), *none,
+                     pa.nulls(len(ids), pa.int64())], names=names).filter(scored)
+        if size:
+            yield from sending()
+
+    names = [*keep, *own_doc, group, *lists, base]
+    schema = ", ".join([*kept, f"`{row}` long, `{n}` long, `{t}` double, `{b}` double, `{group}` int", *(f"`{c}` array<{x}>" for c, x in lists.items()), f"`{base}` long"])
+    moved = map_arrow(rows.withColumn(row, F.monotonically_increasing_id()), run, schema)
+    word, unseen, any_target = model.word, model.unseen, model.any_target
+
+    def meet(table):
+        docs = table.filter(table.column(row).is_valid()).select([*keep, *own_doc])
+        home = pa.array(docs.column(row).to_numpy() // HOME)
+        out = [docs.append_column(group, home)]
+        table = table.filter(table.column(base).is_valid())
+        if table.num_rows:
+            ws, ns, prev, follow, off, rare_before = (table.column(c).combine_chunks().flatten().to_numpy() for c in lists)
+            prev = prev.astype(np.int64)
+            prev[prev == RARE] = rare_before
+            parts, follow = follow >> 12, (follow & (1 << 12) - 1).astype(np.int64)
+            added = _met(ws, ns, prev, follow, parts & (TARGET | COUNTED), word, unseen, any_target)
+            rows = np.repeat(table.column(base).to_numpy(), pc.list_value_length(table.column(before)).to_numpy()) + off.view(np.uint16)
+            scored = (parts & SCORED) > 0
+            ids, code = np.unique(rows[scored], return_inverse=True)
+            homes = np.unique(ids // HOME)
+            ends = np.r_[np.searchsorted(ids, homes * HOME), len(ids)]
+            sums = [_lists(np.bincount(code, x[scored], minlength=len(ids)).astype(np.float32), ends) for x in added]
+            out.append(pa.table([pa.array(homes), _lists((ids % HOME).astype(np.int16), ends), *sums], names=[group, at, before, after]))
+        # Missing columns are null.
+        return pa.concat_tables([*out, empty_lists], promote_options="default").select([*keep, *own_doc, group, at, before, after])
+
+    empty_lists = pa.table([pa.array([], pa.list_(x)) for x in (pa.int16(), pa.float32(), pa.float32())], names=[at, before, after])
+
+    def finish(table):
+        docs = table.filter(table.column(row).is_valid())
+        of = docs.column(row).to_numpy() % HOME
+        where = table.column(at).combine_chunks().flatten().to_numpy()
+        cols = [docs.column(c) for c in [*keep, n]]
+        for own, more in ((t, before), (b, after)):
+            total = np.bincount(where, table.column(more).combine_chunks().flatten().to_numpy(), minlength=HOME)
+            cols.append(pa.array(-(docs.column(own).to_numpy() + total[of]) / np.maximum(docs.column(n).to_numpy(), 1)))
+        return pa.table(cols, names=[*keep, n, t, b])
+
+    sums = moved.groupBy(group).applyInArrow(meet, ", ".join([*kept, f"`{row}` long, `{n}` long, `{t}` double, `{b}` double, `{group}` long, `{at}` array<smallint>, `{before}` array<float>, `{after}` array<float>"]))
+    out = sums.groupBy(group).applyInArrow(finish, ", ".join([*kept, f"`{n}` long, `{t}` double, `{b}` double"]))
+    return out.select(*keep, F.col(n).alias("n_words"), F.col(t).alias("target_loss"), F.col(b).alias("background_loss"), (F.col(b) - F.col(t)).alias("score"))

@@ -7,6 +7,7 @@ import re
 import time
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ import pytest
 from auditloom.llm import langid, lm, pii, quality, toxicity
 from auditloom.llm.common import table
 from auditloom.llm.queries import QUERIES
+from auditloom.plans.lineage import shared_dir
 
 SF = "/root/testdata/sf0.01"
 
@@ -310,6 +312,25 @@ def test_language_model_tells_quality(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.9
 
 
+def test_language_model_writes_no_ngrams(spark):
+    """Fitting and scoring leave no table of n-grams, and a frame of its own is scored as the counted one is; ids of another type, or repeated, are marked alike."""
+    r = random.Random(5)
+    names = [f"w{k:05d}" for k in range(5000)]
+    rows = [(k % 400 if k % 7 else None, " ".join(r.choice(names[:5] if r.random() < 0.5 else names) for _ in range(r.randint(0, 40)))) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in shared.glob("*")}
+    out = []
+    for kind in ("long", "int"):
+        model = lm.fit(docs, spark.createDataFrame([(k,) for k in range(0, 400, 3)] + [(None,)], f"doc_id {kind}"))
+        for df in (docs, docs.select("*")):
+            out.append(sorted((str(x["doc_id"]), x["text"], x["n_words"], round(x["target_loss"], 5), round(x["background_loss"], 5)) for x in lm.score(df, model, ["doc_id", "text"]).collect()))
+    for other in out[1:]:
+        for a, b in zip(out[0], other, strict=True):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-4)
+    assert {p.name for p in shared.glob("*")} == before
+
+
 def test_no_target(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
     model = lm.fit(docs, docs.select("doc_id").limit(0))
