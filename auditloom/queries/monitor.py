@@ -234,14 +234,15 @@ def slices(n: int = SLICES, ident=None):
 
 def sliced_ticks(spark, sf):
     t = V.ticks(spark, sf)
-    return io.read_tx_stream(spark, io.in_triggers(t, slices(ident=C("event_id"))), t.schema, max_per_trigger=1)
+    path, files = io.in_triggers(t, slices(ident=C("event_id")))
+    return io.read_tx_stream(spark, path, t.schema, max_per_trigger=files)
 
 
 @query("validator_metrics_stream", with_sql(SAMPLES_SQL, _METRIC_SQL, body=f"SELECT validator, ts, {_ROUND_SQL} FROM vm WHERE ts <= (SELECT MAX(ts) - {DELAY_SQL} FROM samples_v)"))
 def _(spark, sf):
     s = V.samples(spark, sf)
-    path = io.in_triggers(s, slices(ident=F.ascii(F.substring("validator", 2, 1))))
-    return _rounded(io.run_to_table(M.validator_metrics_stream(io.read_tx_stream(spark, path, s.schema, max_per_trigger=1), DELAY), ordered=True))
+    path, files = io.in_triggers(s, slices(ident=F.ascii(F.substring("validator", 2, 1))))
+    return _rounded(io.run_to_table(M.validator_metrics_stream(io.read_tx_stream(spark, path, s.schema, max_per_trigger=files), DELAY), ordered=True))
 
 
 _BEFORE_SQL = f"ts <= (SELECT date_trunc('millisecond', MAX(ts)) - {DELAY_SQL} FROM ticks_v)"
@@ -282,12 +283,12 @@ def _(spark, sf):
     t = V.ticks(spark, sf)
     late = (C("event_id") % 50 == 0) & (F.dayofmonth("ts") <= 18)
     at = F.when(late, 4).otherwise(F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(4)))
-    path = io.in_triggers(t, [at == k for k in range(5)])
+    path, files = io.in_triggers(t, [at == k for k in range(5)])
     base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
     seen = ledger.LateRows(spark, f"{base}/late")
     spark.streams.addListener(seen)
     try:
-        s = M.dedup_stream(io.read_tx_stream(spark, path, t.schema, max_per_trigger=1), "event_id", "ts", DELAY)
+        s = M.dedup_stream(io.read_tx_stream(spark, path, t.schema, max_per_trigger=files), "event_id", "ts", DELAY)
         q = s.writeStream.option("checkpointLocation", f"{base}/checkpoint").format("parquet").option("path", f"{base}/data").trigger(availableNow=True).start()
         q.awaitTermination()
         seen.wait(q)
@@ -311,9 +312,7 @@ def _(spark, sf):
             df.write.mode("append").parquet(f"{base}/{name}")
         return ledger.Target(name, write)
 
-    t = V.ticks(spark, sf)
-    stream = io.read_tx_stream(spark, io.in_triggers(t, slices(ident=C("event_id"))), t.schema, max_per_trigger=1)
-    alerts = stream.select("event_id", "cents", F.when(C("cents") >= 15_000, 4).otherwise(1).alias("level"))
+    alerts = sliced_ticks(spark, sf).select("event_id", "cents", F.when(C("cents") >= 15_000, 4).otherwise(1).alias("level"))
     targets = [append("archive"), append("pager", fail_once=True)]
     for _ in range(2):
         q = ledger.deliver_once(alerts, 3, targets, f"{base}/checkpoint")

@@ -181,3 +181,18 @@ def test_reports_are_one_file_each_in_one_folder(spark, tmp_path):
     files = [f for f in (tmp_path / "r").rglob("*.json") if f.stat().st_size]
     assert len(files) == 40 and {f.parent for f in files} == {tmp_path / "r"}
     assert {r.program_id for r in read_reports(spark, str(tmp_path / "r")).collect()} == {str(i) for i in range(40)}
+
+
+def test_slices_of_many_files_come_one_a_trigger(spark, monkeypatch, tmp_path):
+    """All tasks write a slice, and a trigger still gets exactly one."""
+    monkeypatch.setattr(io, "ROWS_A_FILE", 100)
+    df = spark.range(0, 2000, 1, 3).select("id", (F.col("id") % 3).alias("s"))
+    path, files = io.in_triggers(df, [F.col("s") == k for k in range(3)])
+    assert files > 1 and len(spark.read.parquet(path).inputFiles()) == 3 * files
+    got = {}
+    stream = io.read_tx_stream(spark, path, df.schema, max_per_trigger=files)
+    q = stream.writeStream.foreachBatch(lambda b, n: got.update({n: sorted(tuple(r) for r in b.collect())})).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert got == {k: [(i, k) for i in range(k, 2000, 3)] for k in range(3)}
+    path, files = io.in_triggers(df, [F.col("id") < 1900, F.col("id") >= 1900, F.lit(False)])
+    assert files == 1 and spark.read.parquet(path).count() == 2000
